@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from textquarry.llm.bpe import op3_bpe_roundtrip
+from textquarry.llm.licenses import op5_license_scan
+from textquarry.llm.media import op4_interleaved_media
 from textquarry.llm.packing import op9_best_fit_packing
+from textquarry.llm.spotsigs import op1_spotsigs_fingerprints
 from textquarry.llm.token_shards import op6_token_index
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_bpe_roundtrip, op6_token_index, op9_best_fit_packing)}
+    return {f.__name__: f for f in (op1_spotsigs_fingerprints, op3_bpe_roundtrip, op4_interleaved_media, op5_license_scan, op6_token_index, op9_best_fit_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
