@@ -3,13 +3,14 @@
 A text is lower-cased (A-Z) and read as words. Each rule is a regex over words that begins with a fixed pair of words, its
 keyword. One pass over the text looks for keywords; only texts with one are cut into words, and a rule's regex runs only where its
 keyword stands. At one place the rule of highest priority that matches wins, then the longest; a detection that lies inside
-another one is suppressed. Rules are listed by family and form, about three hundred in all.
+another one is suppressed. Rules are listed by family and form, some hundreds in all.
 
 Null and empty texts have no words, no places, empty labels and score 0. Repeated rows are kept. Other columns are left out.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -149,7 +150,8 @@ def detections(norm: Column) -> Column:
     every = rules()
     keys = sorted({r.keyword for r in every})
     # keyword -> its rules, as a constant map: what runs at a place is a handful of regexes
-    table_ = F.create_map(*[x for k in keys for x in (F.lit(k), F.array(*[F.struct(F.lit(r.priority).alias("priority"), F.lit(r.label).alias("label"), F.lit(f"^(?:{r.regex})(?= |$)").alias("regex"), F.lit(r.score).alias("score")) for r in every if r.keyword == k]))])
+    by_key = {k: [{"priority": r.priority, "label": r.label, "regex": f"^(?:{r.regex})(?= |$)", "score": r.score} for r in every if r.keyword == k] for k in keys}
+    table_ = F.from_json(F.lit(json.dumps(by_key)), "map<string,array<struct<priority:int,label:string,regex:string,score:double>>>")
     words = F.split(F.trim(norm), " ")
 
     def found(w: Column) -> Column:

@@ -6,17 +6,34 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corpus_pipeline import ORACLE_SQL, run
 from textquarry.llm.bpe import op3_bpe_roundtrip
+from textquarry.llm.cotraining import op2_cotraining_quality
+from textquarry.llm.langid import op7_language_id
 from textquarry.llm.licenses import op5_license_scan
 from textquarry.llm.media import op4_interleaved_media
+from textquarry.llm.neardup import op8_dart_minhash_dedup
 from textquarry.llm.packing import op9_best_fit_packing
 from textquarry.llm.spotsigs import op1_spotsigs_fingerprints
 from textquarry.llm.token_shards import op6_token_index
+from textquarry.llm.toxicity import op10_toxicity_grammar
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_spotsigs_fingerprints, op3_bpe_roundtrip, op4_interleaved_media, op5_license_scan, op6_token_index, op9_best_fit_packing)}
+    ops = (
+        op1_spotsigs_fingerprints,
+        op2_cotraining_quality,
+        op3_bpe_roundtrip,
+        op4_interleaved_media,
+        op5_license_scan,
+        op6_token_index,
+        op7_language_id,
+        op8_dart_minhash_dedup,
+        op9_best_fit_packing,
+        op10_toxicity_grammar,
+    )
+    return {f.__name__: f for f in ops} | {"pipeline": run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"pipeline": ORACLE_SQL} if ORACLE_SQL else {}
