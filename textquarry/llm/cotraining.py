@@ -95,14 +95,24 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def calibrate(o: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Platt scaling: slope and shift for log-odds, from rows the classifier didn't learn from."""
-    a, b = 1.0, 0.0
+    unit = float(np.abs(o).mean()) or 1.0
+    x = np.stack([o / unit, np.ones_like(o)], axis=1)
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
-    for _ in range(30):
-        p = 1 / (1 + np.exp(-np.clip(a * o + b, -30, 30)))
-        g, h = p - t, p * (1 - p) + 1e-6
-        x = np.stack([o, np.ones_like(o)])
-        a, b = np.array([a, b]) - np.linalg.solve((x * h) @ x.T + 1e-2 * np.eye(2), x @ g + 1e-2 * np.array([a - 1, b]))
-    return float(max(a, 0.05)), float(b)
+    w, hold = np.array([1.0, 0.0]), 0.05
+
+    def loss(w):
+        z = x @ w
+        return float(np.sum(np.logaddexp(0, z) - t * z)) + 0.5 * hold * float(w @ w)
+
+    for _ in range(40):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(2), x.T @ (p - t) + hold * w)
+        size = 1.0
+        while size > 1e-4 and loss(w - size * step) > loss(w):
+            size /= 2
+        w = w - size * step
+    a, b = w[0] / unit, w[1]
+    return float(max(a, 1e-3)), float(b)
 
 
 class CoTrained:

@@ -53,7 +53,7 @@ def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int = K) -> np.nd
             over = weights > low  # region [low, high) of each element that reaches into it
             alive, bound = elements[over], weights[over]
             at = np.zeros(len(alive))
-            state = mix64(alive + np.uint64(int(high)) * _GOLD)
+            state = mix64(alive + np.uint64(int(high) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
             while len(alive):
                 state = mix64(state + _GOLD)
                 at = at - np.log(_uniform(state)) / (high - low)  # the next dart of the region

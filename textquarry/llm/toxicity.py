@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import held_out, table, trainable
+from textquarry.llm.common import held_out, shingle_hashes, table, trainable
 
 #: The grammar's word lists (English, German, French, Spanish).
 INSULTS = (
@@ -48,19 +48,29 @@ _WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 
 def learn_lexicon(texts: list[str], toxic: list[int]) -> dict[str, float]:
     """Weights of words (and of word beginnings, written with a final ``*``) by how much surer they make the label."""
-    seen, n = (Counter(), Counter()), [0, 0]
+    seen, n, met = (Counter(), Counter()), [0, 0], set()
     for text, y in zip(texts, toxic, strict=True):
+        # copies of one text, exact or near, count once: most share the least hash of one of four parts of their shingles
+        shingles = shingle_hashes(text)
+        marks = {(k, int(part.min())) for k in range(4) if len(part := shingles[shingles % np.uint64(4) == k])}
+        fresh = not marks & met
+        met |= marks
+        if not fresh:
+            continue
         n[y] += 1
         words = set(_WORD.findall(text.lower()))
         seen[y].update(words | {w[:k] + "*" for w in words for k in PREFIXES if len(w) > k})
     if not n[0] or not n[1]:
         return {}
-    out = {}
+    out, base, least = {}, n[1] / (n[0] + n[1]), math.log(100 * (len(seen[1]) + 1))
     for w, c in seen[1].items():
-        rate, other = (c + 0.1) / (n[1] + 1), (seen[0][w] + 0.5) / (n[0] + 1)
-        least = LEAST + 3 * w.endswith("*")
-        if c >= least and c / n[1] > 20 * seen[0][w] / n[0] and c > 6 * seen[0][w]:
-            out[w] = math.log(rate / other)
+        o = seen[0][w]
+        if c < LEAST or c / n[1] < 10 * o / n[0]:
+            continue
+        # surprise of the counts if the word didn't matter, over all the words tried
+        surprise = c * math.log(c / ((c + o) * base)) + (o * math.log(o / ((c + o) * (1 - base))) if o else 0.0)
+        if surprise >= least:
+            out[w] = math.log((c + 0.1) / (n[1] + 1) * (n[0] + 1) / (o + 0.5))
     # a beginning adds something only where it covers more than its words do alone
     best = sorted(out, key=lambda w: (-out[w] * seen[1][w], w))[:ENTRIES]
     return {w: out[w] for w in best}
