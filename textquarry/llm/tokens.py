@@ -8,13 +8,21 @@ other white space than blanks, tabs and line breaks go to the library whole.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable
 
 import numpy as np
 
 #: White space that the libraries and Python read differently, or that Unicode composition may touch.
 ODD_SPACE = re.compile("[^\\S \n\t\r]|[\x1c-\x1f\x85᠎﻿]")
-PIECES = re.compile(r"[ \n\t\r]*[^ \n\t\r]+|[ \n\t\r]+\Z")
+#: A run of letters also ends before a full stop and the like, so that the memory holds a word once.
+PIECES = re.compile(r"[ \n\t\r]*(?:[^\W\d_]+(?=[.,;!?])|[^ \n\t\r]+)|[ \n\t\r]+\Z")
+_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,;!?])")
+#: Up to here a word's lower case and composition don't depend on what stands around it.
+_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
+
+#: Texts are read in groups of about so many characters.
+GROUP_CHARS = 2_000_000
 
 _LOADED: dict[tuple[str, bool, int], "WordEncoder"] = {}
 
@@ -23,7 +31,7 @@ class WordEncoder:
     """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files)."""
 
     #: Distinct words held per worker; beyond it the memory is emptied and fills anew.
-    HELD = 400_000
+    HELD = 700_000
 
     def __init__(self, path: str, spaced: bool, width: int = 4):
         from tokenizers import Tokenizer
@@ -31,34 +39,56 @@ class WordEncoder:
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
         self.spaced, self.dtype, self.memory = spaced, np.dtype(f"<u{width}"), {}
+        self.code = "H" if width == 2 else "I"
         self.special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD_SPACE.pattern, *self.special]))
+        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+" if spaced else "[a-zà-öø-ÿ]+").fullmatch
+        vocab = self.tok.get_vocab()
+        self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
+        self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
 
     def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=self.dtype).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def pieces(self, text: str) -> list[str]:
         if self.spaced:
             return PIECES.findall(text)
-        return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ")
+        if not _PLAIN.search(text):
+            text = text.lower()
+        return _MARK.sub(" ", text).split()
+
+    def learn(self, words: list[str]) -> None:
+        """Encodes new words: plain ones side by side in one text, whose ids part where a word begins or ends; others each."""
+        plain = [w for w in words if self.simple(w)]
+        ids = np.array(self.tok.encode_batch_fast(["".join(plain) if self.spaced else " ".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+        cuts = np.flatnonzero(self.edge[ids]) + (0 if self.spaced else 1)
+        if len(cuts) == len(plain):
+            raw, width = ids.tobytes(), ids.itemsize
+            at = [*(cuts * width).tolist(), len(raw)] if self.spaced else [0, *(cuts * width).tolist()]
+            self.memory.update((w, raw[i:j]) for w, i, j in zip(plain, at, at[1:], strict=False))
+        rest = [w for w in words if w not in self.memory]
+        self.memory.update(zip(rest, self.whole(rest), strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as bytes."""
-        out = []
+        out, group, size = [], [], 0
         for text in texts:
-            if self.odd.search(text):
-                out.append(self.whole([text])[0])
-                continue
-            words = self.pieces(text)
-            try:
-                out.append(b"".join(map(self.memory.__getitem__, words)))
-            except KeyError:
-                if len(self.memory) > self.HELD:
-                    self.memory.clear()
-                new = [w for w in dict.fromkeys(words) if w not in self.memory]
-                self.memory.update(zip(new, self.whole(new), strict=True))
-                out.append(b"".join(map(self.memory.__getitem__, words)))
-        return out
+            group.append(text)
+            size += len(text)
+            if size > GROUP_CHARS:
+                out += self._group(group)
+                group, size = [], 0
+        return out + self._group(group)
+
+    def _group(self, texts: list[str]) -> list[bytes]:
+        if len(self.memory) > self.HELD:
+            self.memory.clear()
+        cut = [None if self.odd.search(t) else self.pieces(t) for t in texts]
+        new = set().union(*filter(None, cut)).difference(self.memory)
+        if new:
+            self.learn(list(new))
+        get = self.memory.__getitem__
+        return [self.whole([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
 
 
 def encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
