@@ -17,6 +17,7 @@ import numpy as np
 ODD_SPACE = re.compile("[^\\S \n\t\r]|[\x1c-\x1f\x85᠎﻿]")
 #: A run of letters also ends before a full stop and the like, so that the memory holds a word once.
 PIECES = re.compile(r"[ \n\t\r]*(?:[^\W\d_]+(?=[.,;!?])|[^ \n\t\r]+)|[ \n\t\r]+\Z")
+_RUNS = re.compile(r"[ \n\t\r][ \n\t\r]|[\0\t\r]|\A[ \n]")
 _MARK = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,;!?])")
 #: Up to here a word's lower case and composition don't depend on what stands around it.
 _PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
@@ -42,7 +43,7 @@ class WordEncoder:
         self.code = "H" if width == 2 else "I"
         self.special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD_SPACE.pattern, *self.special]))
-        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+" if spaced else "[a-zà-öø-ÿ]+").fullmatch
+        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+[.,;!?]*" if spaced else "[a-zà-öø-ÿ]+").fullmatch
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
@@ -52,7 +53,10 @@ class WordEncoder:
 
     def pieces(self, text: str) -> list[str]:
         if self.spaced:
-            return PIECES.findall(text)
+            if _RUNS.search(text):
+                return PIECES.findall(text)
+            # every space or line break stands alone: cut before each
+            return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
         if not _PLAIN.search(text):
             text = text.lower()
         return _MARK.sub(" ", text).split()
