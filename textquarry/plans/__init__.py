@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ["quality_plans"]
+MODULES = ["quality_plans", "relational_plans"]
 
 
 @dataclass(frozen=True)

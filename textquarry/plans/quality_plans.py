@@ -1,18 +1,97 @@
-"""Quality scoring plans."""
+"""Text, gate and chunk-quality plans over the documents, made dirty where the tables are clean."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textquarry.functions import text as T
+from textquarry.functions.repair import column, merge_soft_breaks, normalise
+from textquarry.operators import quality as Q
+from textquarry.operators.chunking import chunk_documents
 from textquarry.plans import PlanSet
+from textquarry.sources.html import read_pages
 
 plans = PlanSet()
+docs = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet")
 
 
 @plans.add(
     "flagship_quality_bands",
-    "SELECT lang, count(*) AS n FROM documents GROUP BY lang",
+    r"""WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+    s AS (SELECT lang, length(line) n, right(line, 1) IN ('.', '!', '?', ':', '>') AS done FROM lines WHERE trim(line) <> ''),
+    f AS (SELECT lang, n, 0.4 * greatest(0, 1 - 0.15 * ((n < 500)::int + (n > 2000)::int + 1 + (NOT done)::int)) + 0.3 * least(1, n / 1500.0)
+          + 0.1 + CASE WHEN done THEN 0.1 ELSE 0.07 END AS score, n < 500 AS short, NOT done AS frag FROM s)
+    SELECT lang, count(*) AS chunks, count(*) FILTER (score >= 0.85) AS excellent, count(*) FILTER (score >= 0.7 AND score < 0.85) AS good,
+    count(*) FILTER (score < 0.7) AS low, count(*) FILTER (short) AS too_short, count(*) FILTER (frag) AS fragments FROM f GROUP BY lang""",
 )
-def flagship_quality_bands(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+def flagship_quality_bands(spark, d):
+    rows = docs(spark, d).select("lang", F.explode(F.split("text", "\n")).alias("c")).where(F.trim("c") != "")
+    rows = rows.select("lang", Q.flags(F.col("c"), F.lit(False)).alias("f"), Q.raw_score(F.col("c"), F.lit(False)).alias("s"))
+    b = Q.band(F.col("s"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), *[F.count_if(b == x).alias(x) for x in ("excellent", "good", "low")], F.count_if(F.array_contains("f", "TOO_SHORT")).alias("too_short"), F.count_if(F.array_contains("f", "FRAGMENT")).alias("fragments"))
+
+
+@plans.add(
+    "q4_gate_noise",
+    r"""SELECT doc_id, round(length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text), 6) AS noise,
+    CASE WHEN length(regexp_replace(text, '\s', '', 'g')) < 50 THEN 'TEXT_TOO_SHORT'
+    WHEN length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text) > 0.8 THEN 'EXCESSIVE_NOISE'
+    WHEN length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text) > 0.5 THEN 'HIGH_NOISE_RATIO' ELSE 'OK' END AS verdict FROM documents""",
+)
+def q4_gate_noise(spark, d):
+    return docs(spark, d).select("doc_id", F.round(Q.noise_ratio(F.col("text")), 6).alias("noise"), Q.gate(F.col("text")).alias("verdict"))
+
+
+def dirty():
+    return F.concat(F.lit("\x01* "), F.replace(F.col("text"), F.lit("\n"), F.lit("  \r\n\n\n")), F.lit(" \t"))
+
+
+DIRTY_SQL = "concat(chr(1), '* ', replace(text, chr(10), concat('  ', chr(13), chr(10), chr(10), chr(10))), ' ', chr(9))"
+
+
+@plans.add(
+    "t1_t2_clean_text",
+    rf"""SELECT doc_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({DIRTY_SQL}, '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g'),
+    '\r\n?', chr(10), 'g'), '(?m)[ \t]+$', '', 'g'), '(?m)^([ \t]*)[*+] ', '\1- ', 'g'), '\n{{3,}}', concat(chr(10), chr(10)), 'g')) AS digest FROM documents""",
+)
+def t1_t2_clean_text(spark, d):
+    return docs(spark, d).select("doc_id", F.md5(T.squeeze_blank_lines(T.dash_bullets(T.sanitise_basic(dirty())))).alias("digest"))
+
+
+@plans.add("t20_token_estimate", r"SELECT doc_id, least(CAST(floor(len(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')) * 1.3) AS INT), 512) AS tokens FROM documents")
+def t20_token_estimate(spark, d):
+    return docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
+
+
+@plans.add("t9_strip_links", r"SELECT doc_id, md5(regexp_replace(concat('see [', left(text, 20), '](http://x/', doc_id, ') end'), '\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)', '\1', 'g')) AS digest FROM documents")
+def t9_strip_links(spark, d):
+    linked = F.concat(F.lit("see ["), F.substring("text", 1, 20), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") end"))
+    return docs(spark, d).select("doc_id", F.md5(T.strip_links(linked)).alias("digest"))
+
+
+@plans.add("t12_t13_rows", "SELECT o_orderkey, concat('| ', o_orderstatus, ' | ', o_orderpriority, ' |') AS table_row, concat('status is ', o_orderstatus, '. priority is ', o_orderpriority, '.') AS sentence FROM orders")
+def t12_t13_rows(spark, d):
+    cells = [F.col("o_orderstatus"), F.col("o_orderpriority")]
+    return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", T.table_row(cells).alias("table_row"), T.sentence_row(["status", "priority"], cells).alias("sentence"))
+
+
+@plans.add("c5_row_batches", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, (pos // 20)::INT AS batch, count(*) AS n, md5(string_agg(line, concat(chr(10), chr(10)) ORDER BY pos)) AS digest FROM l GROUP BY 1, 2")
+def c5_row_batches(spark, d):
+    lines = F.split("text", "\n")
+    batches = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int")), lambda b: F.struct(b.alias("batch"), F.slice(lines, b * 20 + 1, F.lit(20)).alias("rows")))
+    return docs(spark, d).select("doc_id", F.inline(batches)).select("doc_id", "batch", F.size("rows").cast("long").alias("n"), F.md5(F.array_join("rows", "\n\n")).alias("digest"))
+
+
+@plans.add("c1_c6_document_chunks")
+def c1_c6_document_chunks(spark, d):
+    return chunk_documents(docs(spark, d))
+
+
+@plans.add("s11_html_markdown")
+def s11_html_markdown(spark, d):
+    return read_pages(spark.read.parquet(f"{d}/pages.parquet"))
+
+
+@plans.add("t2_t7_normalise")
+def t2_t7_normalise(spark, d):
+    return docs(spark, d).select("doc_id", column(normalise)(column(merge_soft_breaks)("text")).alias("markdown"))
