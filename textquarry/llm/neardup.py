@@ -8,8 +8,8 @@ Signatures are joined by bands, and every link is verified exactly.
 
 Classes are built over different texts: exact copies are folded first. In each band each text is compared with the least of
 its bucket; then, in buckets whose texts still lie in more than one class, the texts outside the largest class are
-compared with all others. So every pair of a bucket is either compared or already in one class, without all pairs of
-a group. Hot buckets are dealt over salts.
+compared with all others. So every pair of a bucket is either compared or already in one class. Where a large bucket holds
+many classes that last step grows with the square of the bucket: a known weakness. Hot buckets are dealt over salts.
 
 A text without words is alike only to equal texts; null is read as empty. Null keys sort first. Repeated rows fall into one class.
 An empty table gives no rows.
