@@ -133,6 +133,38 @@ def test_neardup(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_neardup_finds_every_link_of_a_large_group(spark):
+    """Many edits of three texts, deletions and substitutions: classes equal those of all pairs."""
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(500)]
+    first = list(rng.choice(words, 150))
+    texts = []
+    for c in range(3):
+        base = list(first)
+        for j in rng.integers(0, 150, 4 * c):
+            base[j] = rng.choice(words)
+        for _ in range(120):
+            x = list(base)
+            for j in rng.integers(0, 140, rng.integers(1, 10)):
+                x[j : j + 1] = [] if rng.random() < 0.2 else [rng.choice(words)]
+            texts.append(" ".join(x))
+    sets = [neardup.weighted_shingles(t) for t in texts]
+    up = list(range(len(texts)))
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD:
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.id: r["class"] for r in got.collect()} == {i: root(i) for i in range(len(texts))}
+
+
 def test_dart_minhash_estimates_weighted_jaccard():
     rng = np.random.default_rng(1)
     e = rng.integers(0, 2**63, 300).astype(np.uint64)

@@ -6,10 +6,14 @@ each with a place on the weight axis and a coordinate. A dart counts if its plac
 coordinate keeps its earliest dart. Two texts agree in a coordinate with the probability of their weighted Jaccard index.
 Signatures are joined by bands, and every link is verified exactly.
 
-Classes are built over different texts: exact copies are folded first. In each band each text is compared with the least of
-its bucket; then, in buckets whose texts still lie in more than one class, the texts outside the largest class are
-compared with all others. So every pair of a bucket is either compared or already in one class. Where a large bucket holds
-many classes that last step grows with the square of the bucket: a known weakness. Hot buckets are dealt over salts.
+Classes are built over different texts: exact copies are folded first. In each band each text is compared with the hub of its
+bucket, the most central text there (that of the most bucket mates over all bands). A hub whose bucket mates still lie in
+more than one class gets a second step, which finds every further link by an exact prefix filter rather than by pairs: all
+bucket mates of a hub order their shingles alike, those outside the hub first. Two texts of similarity 0.8 or more share a
+shingle within the first ninth of the shorter one and, depending on the sizes, the first ninth to fifth of the longer one,
+with enough shingles after it on both sides. A text too far from the hub to be linked to it has more than a ninth of its
+shingles outside the hub, so it meets only those texts that share its own changes (or are shorter by as much as it is
+farther), not the whole group. Joins on a hub are dealt over salts, more for larger buckets.
 
 A text without words is alike only to equal texts; null is read as empty. Null keys sort first. Repeated rows fall into one class.
 An empty table gives no rows.
@@ -30,6 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 SALTS = 16
+PER_SALT = 256  # texts of a bucket that one salt of its hub takes
+BIN = 1.05  # ratio of the size bins of the prefix filter
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1.0 / (1 << 53)
 
@@ -108,22 +114,101 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("t")).mapInPandas(run, "id long, digest binary, bands array<long>")
 
 
+def with_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
+    """``edges`` (a, b, n, ...) with both texts, ta and tb. A ``b`` of many edges is dealt over a salt for each PER_SALT of ``n``."""
+    salts = F.ceil(F.col("n") / PER_SALT).cast("int")
+    hubs = edges.groupBy("b").agg(F.max(salts).alias("salts"))
+    hubs = hubs.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
+    hubs = hubs.select("b", "tb", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"))
+    x = edges.withColumn("salt", F.pmod(F.xxhash64("a"), salts).cast("int"))
+    x = x.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
+    return x.join(hubs, ["b", "salt"]).drop("salt")
+
+
 def verify(edges: DataFrame, texts: DataFrame) -> DataFrame:
-    """Those of ``edges`` (a, b) whose texts reach the threshold. ``texts``: id, t, one row an id."""
+    """Those of ``edges`` (a, b, n) whose texts reach the threshold. ``texts``: id, t, one row an id."""
 
     def run(batches):
         held = (None, None)
-        for b in batches:
+        for x in batches:
             good = []
-            for tb, ib, ta in zip(b["tb"], b["b"], b["ta"], strict=True):
+            for tb, ib, ta in zip(x["tb"], x["b"], x["ta"], strict=True):
                 if held[0] != ib:  # a hub's edges mostly stand together
                     held = (ib, weighted_shingles(tb))
                 good.append(similarity(weighted_shingles(ta), held[1]) >= THRESHOLD)
-            yield b.loc[good, ["a", "b"]]
+            yield x.loc[good, ["a", "b"]]
+
+    return with_texts(edges, texts).select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+
+
+def expanded(text: str) -> np.ndarray:
+    """The weighted set as a plain one: the k-th occurrence of a shingle is an element of its own."""
+    elements, weights = weighted_shingles(text)
+    nth = np.arange(weights.sum()) - np.repeat(np.cumsum(weights) - weights, weights)
+    return mix64(np.repeat(elements, weights) + nth.astype(np.uint64) * _GOLD)
+
 
-    x = edges.join(texts.select(F.col("id").alias("a"), F.col("t").alias("ta")), "a")
-    x = x.join(texts.select(F.col("id").alias("b"), F.col("t").alias("tb")), "b")
-    return x.select("a", "b", "ta", "tb").mapInPandas(run, "a long, b long")
+def prefix_keys(tokens: np.ndarray, hub: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Join keys of one text in the group of ``hub``: key, position, and whether the text stands as the longer of a pair.
+
+    Tokens outside the hub come first, then by value: one order for the whole group. Keys hold the size bin of the shorter text.
+    A pair of sizes m <= n has a common part of at least c(n + m), c = t/(1+t), so its first common token leaves as many in both.
+    """
+    n, c = len(tokens), THRESHOLD / (1 + THRESHOLD)
+    tokens = tokens[np.lexsort((tokens, np.isin(tokens, hub, assume_unique=True)))]
+    bins = range(size_bin(THRESHOLD * n), size_bin(n) + 1)
+    reach = [(size_bin(n), 2 * n, False)] + [(k, n + max(BIN**k, THRESHOLD * n), True) for k in bins]
+    out = [], [], []
+    for k, both, longer in reach:
+        head = tokens[: max(0, int(np.floor(n - c * both + 1e-6)) + 1)]
+        out[0].append(mix64(head + np.uint64((salt * 31 + k) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+        out[1].append(np.arange(len(head)))
+        out[2].append(np.full(len(head), longer))
+    return tuple(map(np.concatenate, out))
+
+
+def size_bin(n: float) -> int:
+    return int(np.floor(np.log(max(n, 1.0)) / np.log(BIN) - 1e-9))
+
+
+def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
+    """(key, longer, pos, size, id, class, odd) for ``mates`` (a, b: the hub, n, class, odd)."""
+
+    def run(batches):
+        held, frames, ready = (None, None), [], 0
+        for x in batches:
+            for r in x.itertuples(index=False):
+                if held[0] != r.b:
+                    held = (r.b, expanded(r.tb))
+                tokens = expanded(r.ta)
+                key, pos, longer = prefix_keys(tokens, held[1], r.b)
+                frames.append({"key": key, "longer": longer, "pos": pos} | {k: np.full(len(key), v) for k, v in (("size", len(tokens)), ("id", r.a), ("class", r.cls), ("odd", r.odd))})
+                ready += len(key)
+                if ready > 50_000:
+                    yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
+                    frames, ready = [], 0
+        if frames:
+            yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
+
+    x = with_texts(mates, texts).select("a", "b", "ta", "tb", F.col("class").alias("cls"), "odd")
+    return x.mapInPandas(run, "key long, longer boolean, pos long, size long, id long, class long, odd boolean")
+
+
+def prefix_pairs(keys: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different classes, one of them at least odd, that the prefix filter can't rule out."""
+    cols = ("pos", "size", "id", "class")
+    short = keys.where("not longer").select("key", "odd", *[F.col(c).alias("s_" + c) for c in cols])
+    long = keys.where("longer").select("key", "odd", *[F.col(c).alias("l_" + c) for c in cols])
+    may = F.expr(
+        "s_class <> l_class and s_size <= l_size and "
+        f"least(s_size - s_pos, l_size - l_pos) + 1e-6 >= (s_size + l_size) * {THRESHOLD / (1 + THRESHOLD)!r}D"
+    )
+    found = None
+    for s, x in ((short.where("odd"), long), (short.where("not odd"), long.where("odd"))):
+        x = s.drop("odd").join(x.drop("odd").withColumnRenamed("key", "l_key"), (F.col("key") == F.col("l_key")) & may)
+        x = x.select(F.greatest("s_id", "l_id").alias("a"), F.least("s_id", "l_id").alias("b"))
+        found = x if found is None else found.unionByName(x)
+    return found.distinct()
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
@@ -157,26 +242,30 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     copies = sig.groupBy("digest").agg(F.min("id").alias("rep"))
     reps = sig.groupBy("digest").agg(F.min("id").alias("id"), F.max("bands").alias("bands"))
     bands = reps.select("id", F.explode("bands").alias("band"))
-    hubs = bands.groupBy("band").agg(F.min("id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    spread = hubs.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).select("band", "salt", "hub")
+    deal = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
-    shared = materialise(salted.join(spread, ["band", "salt"]).select("id", "band", "hub"), "buckets")
-    stars = shared.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
+    sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowded = materialise(salted.join(deal(sizes), ["band", "salt"]), "crowded")  # id, band, salt, n
+    central = crowded.groupBy("id").agg(F.sum("n").alias("score"))
+    scored = crowded.join(central, "id")
+    hubs = scored.groupBy("band").agg(F.max_by("id", F.struct("score", -F.col("id"))).alias("hub"))
+    shared = crowded.join(deal(hubs), ["band", "salt"])
+    mates = materialise(shared.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "mates")
+    stars = mates.where("a <> b")
     # the texts of those that share a bucket
-    ids = shared.select("id").distinct()
+    ids = mates.select(F.col("a").alias("id")).distinct()
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), whole_text(text).alias("t")).join(ids, "id")
     links = materialise(verify(stars, texts), "links")
-    classes = components(links)
-    # buckets with more than one class: all pairs across classes, but none inside the largest
-    named = shared.join(classes, "id", "left").select("id", "band", F.coalesce("class", "id").alias("class"))
-    sizes = named.groupBy("band", "class").agg(F.count(F.lit(1)).alias("n"))
-    mixed = sizes.groupBy("band").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("n", "class")).alias("top")).where("classes > 1")
-    odd = named.join(mixed.select("band", F.col("top.class").alias("top")), "band")
-    odd = materialise(odd, "mixed")
-    few = odd.where("class <> top").select(F.col("id").alias("a"), F.col("class").alias("ca"), "band")
-    rest = odd.select(F.col("id").alias("b"), F.col("class").alias("cb"), "band", "top")
-    across = few.join(rest, "band").where((F.col("ca") != F.col("cb")) & ((F.col("cb") == F.col("top")) | (F.col("a") < F.col("b"))))
-    pairs = across.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().join(stars, ["a", "b"], "left_anti")
+    classes = materialise(components(links), "classes")
+    # hubs whose mates (itself aside, it has met them all) lie in more than one class: all links across, by the prefix filter
+    named = stars.join(classes, stars["a"] == classes["id"], "left").select("a", "b", "n", F.coalesce("class", "a").alias("class"))
+    counts = named.groupBy("b", "class").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
+    mixed = counts.groupBy("b").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("m", "class"))["class"].alias("top"), F.max(F.ceil(F.col("n") / PER_SALT)).alias("salts"))
+    mixed = mixed.where("classes > 1").select("b", "top", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"))
+    odd = named.withColumn("salt", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / PER_SALT).cast("int")).cast("int")).join(mixed, ["b", "salt"])
+    odd = odd.select("a", "b", "n", "class", (F.col("class") != F.col("top")).alias("odd"))
+    keys = materialise(group_keys(odd, texts), "keys")
+    pairs = prefix_pairs(keys).join(stars, ["a", "b"], "left_anti").withColumn("n", F.lit(1))
     more = verify(pairs, texts)
     classes = materialise(components(links.unionByName(more)), "classes")
     named = copies.join(classes, copies["rep"] == classes["id"], "left").select("digest", F.coalesce("class", "rep").alias("class"))
