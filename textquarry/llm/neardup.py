@@ -11,7 +11,7 @@ bucket, the most central text there (that of the most bucket mates over all band
 more than one class gets a second step, which finds every further link by an exact prefix filter rather than by pairs: all
 bucket mates of a hub order their shingles alike, those outside the hub first. Two texts of similarity 0.8 or more share a
 shingle within the first ninth of the shorter one and, depending on the sizes, the first ninth to fifth of the longer one,
-with enough shingles after it on both sides. A text too far from the hub to be linked to it has more than a ninth of its
+with enough shingles from there on, outside and inside the hub, on both sides. A text too far from the hub to be linked to it has more than a ninth of its
 shingles outside the hub, so it meets only those texts that share its own changes (or are shorter by as much as it is
 farther), not the whole group. Joins on a hub are dealt over salts, more for larger buckets.
 
@@ -35,7 +35,7 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 SALTS = 16
 PER_SALT = 256  # texts of a bucket that one salt of its hub takes
-BIN = 1.05  # ratio of the size bins of the prefix filter
+BIN = 1.1  # ratio of the size bins of the prefix filter
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1.0 / (1 << 53)
 
@@ -148,23 +148,29 @@ def expanded(text: str) -> np.ndarray:
     return mix64(np.repeat(elements, weights) + nth.astype(np.uint64) * _GOLD)
 
 
-def prefix_keys(tokens: np.ndarray, hub: np.ndarray, salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Join keys of one text in the group of ``hub``: key, position, and whether the text stands as the longer of a pair.
+def prefix_keys(tokens: np.ndarray, hub: np.ndarray, salt: int) -> dict[str, np.ndarray]:
+    """Join keys of one text in the group of ``hub``: key; longer: whether the text stands as the longer of a pair; new and old: how
+    many of its tokens from this one on lie outside and inside the hub.
 
     Tokens outside the hub come first, then by value: one order for the whole group. Keys hold the size bin of the shorter text.
     A pair of sizes m <= n has a common part of at least c(n + m), c = t/(1+t), so its first common token leaves as many in both.
     """
     n, c = len(tokens), THRESHOLD / (1 + THRESHOLD)
-    tokens = tokens[np.lexsort((tokens, np.isin(tokens, hub, assume_unique=True)))]
+    inside = np.isin(tokens, hub, assume_unique=True)
+    tokens = tokens[np.lexsort((tokens, inside))]
+    at = np.arange(n)
+    new = np.maximum(n - inside.sum() - at, 0)
+    old = n - at - new
     bins = range(size_bin(THRESHOLD * n), size_bin(n) + 1)
     reach = [(size_bin(n), 2 * n, False)] + [(k, n + max(BIN**k, THRESHOLD * n), True) for k in bins]
-    out = [], [], []
+    out = {"key": [], "longer": [], "new": [], "old": []}
     for k, both, longer in reach:
         head = tokens[: max(0, int(np.floor(n - c * both + 1e-6)) + 1)]
-        out[0].append(mix64(head + np.uint64((salt * 31 + k) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
-        out[1].append(np.arange(len(head)))
-        out[2].append(np.full(len(head), longer))
-    return tuple(map(np.concatenate, out))
+        out["key"].append(mix64(head + np.uint64((salt * 31 + k) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF)).view(np.int64))
+        out["longer"].append(np.full(len(head), longer))
+        out["new"].append(new[: len(head)])
+        out["old"].append(old[: len(head)])
+    return {k: np.concatenate(v) for k, v in out.items()}
 
 
 def size_bin(n: float) -> int:
@@ -172,7 +178,7 @@ def size_bin(n: float) -> int:
 
 
 def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, longer, pos, size, id, class, odd) for ``mates`` (a, b: the hub, n, class, odd)."""
+    """(key, longer, new, old, size, id, class, odd) for ``mates`` (a, b: the hub, n, class, odd)."""
 
     def run(batches):
         held, frames, ready = (None, None), [], 0
@@ -181,8 +187,9 @@ def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
                 if held[0] != r.b:
                     held = (r.b, expanded(r.tb))
                 tokens = expanded(r.ta)
-                key, pos, longer = prefix_keys(tokens, held[1], r.b)
-                frames.append({"key": key, "longer": longer, "pos": pos} | {k: np.full(len(key), v) for k, v in (("size", len(tokens)), ("id", r.a), ("class", r.cls), ("odd", r.odd))})
+                keys = prefix_keys(tokens, held[1], r.b)
+                key = keys["key"]
+                frames.append(keys | {k: np.full(len(key), v) for k, v in (("size", len(tokens)), ("id", r.a), ("class", r.cls), ("odd", r.odd))})
                 ready += len(key)
                 if ready > 50_000:
                     yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
@@ -191,17 +198,17 @@ def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
             yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
 
     x = with_texts(mates, texts).select("a", "b", "ta", "tb", F.col("class").alias("cls"), "odd")
-    return x.mapInPandas(run, "key long, longer boolean, pos long, size long, id long, class long, odd boolean")
+    return x.mapInPandas(run, "key long, longer boolean, new int, old int, size int, id long, class long, odd boolean")
 
 
 def prefix_pairs(keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of different classes, one of them at least odd, that the prefix filter can't rule out."""
-    cols = ("pos", "size", "id", "class")
+    cols = ("new", "old", "size", "id", "class")
     short = keys.where("not longer").select("key", "odd", *[F.col(c).alias("s_" + c) for c in cols])
     long = keys.where("longer").select("key", "odd", *[F.col(c).alias("l_" + c) for c in cols])
     may = F.expr(
         "s_class <> l_class and s_size <= l_size and "
-        f"least(s_size - s_pos, l_size - l_pos) + 1e-6 >= (s_size + l_size) * {THRESHOLD / (1 + THRESHOLD)!r}D"
+        f"least(s_new, l_new) + least(s_old, l_old) + 1e-6 >= (s_size + l_size) * {THRESHOLD / (1 + THRESHOLD)!r}D"
     )
     found = None
     for s, x in ((short.where("odd"), long), (short.where("not odd"), long.where("odd"))):
