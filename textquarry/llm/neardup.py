@@ -35,6 +35,7 @@ BANDS, ROWS = 20, 4
 K = BANDS * ROWS
 SALTS = 16
 PER_SALT = 256  # texts of a bucket that one salt of its hub takes
+SIGN_AT_ONCE = 20_000  # shingles that are signed in one sweep
 BIN = 1.1  # ratio of the size bins of the prefix filter
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1.0 / (1 << 53)
@@ -50,40 +51,55 @@ def weighted_shingles(text: str) -> tuple[np.ndarray, np.ndarray]:
 
 def dart_minhash(elements: np.ndarray, weights: np.ndarray, k: int = K) -> np.ndarray:
     """Identity of the earliest dart of each of ``k`` coordinates (uint64); ``elements`` must not be empty."""
-    total = float(weights.sum())
-    reach = k * (np.log(k) + 2) / total  # so far along the rank axis about k(ln k + 2) darts lie under the weights
-    while True:
+    return dart_minhashes([(elements, weights)], k)[0]
+
+
+def dart_minhashes(sets: list[tuple[np.ndarray, np.ndarray]], k: int = K) -> np.ndarray:
+    """One row of ``dart_minhash`` for each weighted set, none empty. A row doesn't depend on the sets beside it."""
+    out = np.empty((len(sets), k), np.uint64)
+    todo = np.arange(len(sets))
+    # so far along the rank axis about k(ln k + 2) darts lie under the weights
+    reaches = np.array([k * (np.log(k) + 2) / float(w.sum()) for _, w in sets])
+    while len(todo):
+        sizes = [len(sets[i][0]) for i in todo]
+        elements, weights = (np.concatenate([sets[i][j] for i in todo]) for j in (0, 1))
+        owner = np.repeat(np.arange(len(todo)), sizes)
+        limit = reaches[todo][owner]
         rank, ident, coord = [], [], []
         low, high = 0.0, 1.0
         while low < weights.max():
             over = weights > low  # region [low, high) of each element that reaches into it
-            alive, bound = elements[over], weights[over]
+            alive, bound, whose, reach = elements[over], weights[over], owner[over], limit[over]
             at = np.zeros(len(alive))
             state = mix64(alive + np.uint64(int(high) * int(_GOLD) & 0xFFFFFFFFFFFFFFFF))
             while len(alive):
                 state = mix64(state + _GOLD)
                 at = at - np.log(_uniform(state)) / (high - low)  # the next dart of the region
-                near = at <= reach
-                state, at, alive, bound = state[near], at[near], alive[near], bound[near]
+                alive = near = np.flatnonzero(at <= reach)
+                state, at, bound, whose, reach = state[near], at[near], bound[near], whose[near], reach[near]
                 place = low + (high - low) * _uniform(mix64(state ^ np.uint64(0xA5A5A5A5A5A5A5A5)))
-                hit = place < bound
+                hit = np.flatnonzero(place < bound)
                 rank.append(at[hit])
                 ident.append(state[hit])
-                coord.append((mix64(state[hit] ^ np.uint64(0x5DEECE66D1CE4E5B)) % np.uint64(k)).astype(np.int64))
+                coord.append(whose[hit] * k + (mix64(state[hit] ^ np.uint64(0x5DEECE66D1CE4E5B)) % np.uint64(k)).astype(np.int64))
             low, high = high, high * 2
         rank, ident, coord = map(np.concatenate, (rank, ident, coord))
         order = np.lexsort((ident, rank, coord))
-        first = np.flatnonzero(np.diff(coord[order], prepend=-1))
-        if len(first) == k:
-            return ident[order[first]]
-        reach *= 2  # some coordinate is empty yet
+        first = order[np.flatnonzero(np.diff(coord[order], prepend=-1))]
+        found = np.bincount(coord[first] // k, minlength=len(todo))
+        whole = found == k
+        out[todo[whole]] = ident[first][np.repeat(whole, found)].reshape(-1, k)
+        todo = todo[~whole]  # some coordinate is empty yet
+        reaches[todo] *= 2
+    return out
 
 
 def band_keys(signature: np.ndarray) -> np.ndarray:
+    """BANDS keys of each signature, along the last axis."""
     out = np.arange(1, BANDS + 1, dtype=np.uint64) * _GOLD
-    rows = signature.reshape(BANDS, ROWS)
+    rows = signature.reshape(*signature.shape[:-1], BANDS, ROWS)
     for r in range(ROWS):
-        out = mix64(out + rows[:, r])
+        out = mix64(out + rows[..., r])
     return out.view(np.int64)
 
 
@@ -100,16 +116,29 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def run(batches):
         kept = {}
         for b in batches:
-            rows = []
+            if len(kept) > 2000:
+                kept.clear()
+            digests, sets, ready = [], {}, 0
+
+            def sign():
+                kept.update(zip(sets, band_keys(dart_minhashes(list(sets.values()))), strict=True) if sets else ())
+                sets.clear()
+
             for t in b["t"]:
                 digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16]
-                if digest not in kept:
-                    if len(kept) > 2000:
-                        kept.clear()
-                    elements, weights = weighted_shingles(t)
-                    kept[digest] = band_keys(dart_minhash(elements, weights)) if len(elements) else np.zeros(0, np.int64)
-                rows.append((digest, kept[digest]))
-            yield pd.DataFrame({"id": b["id"].array, "digest": [r[0] for r in rows], "bands": [r[1] for r in rows]})
+                digests.append(digest)
+                if digest not in kept and digest not in sets:
+                    sets[digest] = weighted_shingles(t)
+                    if not len(sets[digest][0]):
+                        kept[digest] = np.zeros(0, np.int64)
+                        del sets[digest]
+                        continue
+                    ready += len(sets[digest][0])
+                    if ready > SIGN_AT_ONCE:
+                        sign()
+                        ready = 0
+            sign()
+            yield pd.DataFrame({"id": b["id"].array, "digest": digests, "bands": [kept[d] for d in digests]})
 
     return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("t")).mapInPandas(run, "id long, digest binary, bands array<long>")
 
@@ -262,6 +291,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # the texts of those that share a bucket
     ids = mates.select(F.col("a").alias("id")).distinct()
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), whole_text(text).alias("t")).join(ids, "id")
+    texts = materialise(texts, "texts")  # once: the join that picks them is the only one over all texts
     links = materialise(verify(stars, texts), "links")
     classes = materialise(components(links), "classes")
     # hubs whose mates (itself aside, it has met them all) lie in more than one class: all links across, by the prefix filter
