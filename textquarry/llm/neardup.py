@@ -11,9 +11,10 @@ bucket, the most central text there (that of the most bucket mates over all band
 more than one class gets a second step, which finds every further link by an exact prefix filter rather than by pairs: all
 bucket mates of a hub order their shingles alike, those outside the hub first. Two texts of similarity 0.8 or more share a
 shingle within the first ninth of the shorter one and, depending on the sizes, the first ninth to fifth of the longer one,
-with enough shingles from there on, outside and inside the hub, on both sides. A text too far from the hub to be linked to it has more than a ninth of its
-shingles outside the hub, so it meets only those texts that share its own changes (or are shorter by as much as it is
-farther), not the whole group. Joins on a hub are dealt over salts, more for larger buckets.
+with enough shingles from there on, outside and inside the hub, on both sides; and the parities of their shingles on 256 hash
+bits differ in no more bits than their sets may differ in shingles. A text too far from the hub to be linked to it has more
+than a ninth of its shingles outside the hub, so it meets only those texts that share its own changes (or are shorter by as
+much as it is farther), not the whole group. Joins on a hub are dealt over salts, more for larger buckets.
 
 A text without words is alike only to equal texts; null is read as empty. Null keys sort first. Repeated rows fall into one class.
 An empty table gives no rows.
@@ -36,6 +37,7 @@ K = BANDS * ROWS
 SALTS = 16
 PER_SALT = 256  # texts of a bucket that one salt of its hub takes
 SIGN_AT_ONCE = 20_000  # shingles that are signed in one sweep
+PARITY = ("p0", "p1", "p2", "p3")
 BIN = 1.1  # ratio of the size bins of the prefix filter
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _UNIT = 1.0 / (1 << 53)
@@ -202,12 +204,17 @@ def prefix_keys(tokens: np.ndarray, hub: np.ndarray, salt: int) -> dict[str, np.
     return {k: np.concatenate(v) for k, v in out.items()}
 
 
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """Whether an odd number of tokens falls on each of 256 bits, as four longs. Texts differ in at least as many tokens as bits."""
+    return np.packbits((np.bincount((tokens >> np.uint64(56)).astype(np.int64), minlength=256) & 1).astype(np.uint8)).view(np.int64)
+
+
 def size_bin(n: float) -> int:
     return int(np.floor(np.log(max(n, 1.0)) / np.log(BIN) - 1e-9))
 
 
 def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
-    """(key, longer, new, old, size, id, class, odd) for ``mates`` (a, b: the hub, n, class, odd)."""
+    """(key, longer, new, old, size, id, class, odd, parity) for ``mates`` (a, b: the hub, n, class, odd)."""
 
     def run(batches):
         held, frames, ready = (None, None), [], 0
@@ -218,7 +225,7 @@ def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
                 tokens = expanded(r.ta)
                 keys = prefix_keys(tokens, held[1], r.b)
                 key = keys["key"]
-                frames.append(keys | {k: np.full(len(key), v) for k, v in (("size", len(tokens)), ("id", r.a), ("class", r.cls), ("odd", r.odd))})
+                frames.append(keys | {k: np.full(len(key), v) for k, v in (("size", len(tokens)), ("id", r.a), ("class", r.cls), ("odd", r.odd), *zip(PARITY, parity(tokens), strict=True))})
                 ready += len(key)
                 if ready > 50_000:
                     yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
@@ -227,17 +234,20 @@ def group_keys(mates: DataFrame, texts: DataFrame) -> DataFrame:
             yield pd.DataFrame({k: np.concatenate([f[k] for f in frames]) for k in frames[0]})
 
     x = with_texts(mates, texts).select("a", "b", "ta", "tb", F.col("class").alias("cls"), "odd")
-    return x.mapInPandas(run, "key long, longer boolean, new int, old int, size int, id long, class long, odd boolean")
+    return x.mapInPandas(run, "key long, longer boolean, new int, old int, size int, id long, class long, odd boolean, " + ", ".join(f"{p} long" for p in PARITY))
 
 
 def prefix_pairs(keys: DataFrame) -> DataFrame:
     """Pairs (a, b) of different classes, one of them at least odd, that the prefix filter can't rule out."""
-    cols = ("new", "old", "size", "id", "class")
+    cols = ("new", "old", "size", "id", "class", *PARITY)
     short = keys.where("not longer").select("key", "odd", *[F.col(c).alias("s_" + c) for c in cols])
     long = keys.where("longer").select("key", "odd", *[F.col(c).alias("l_" + c) for c in cols])
+    c = THRESHOLD / (1 + THRESHOLD)
+    differ = " + ".join(f"bit_count(s_{p} ^ l_{p})" for p in PARITY)
     may = F.expr(
         "s_class <> l_class and s_size <= l_size and "
-        f"least(s_new, l_new) + least(s_old, l_old) + 1e-6 >= (s_size + l_size) * {THRESHOLD / (1 + THRESHOLD)!r}D"
+        f"least(s_new, l_new) + least(s_old, l_old) + 1e-6 >= (s_size + l_size) * {c!r}D and "
+        f"{differ} <= (s_size + l_size) * {1 - 2 * c!r}D + 1e-6"
     )
     found = None
     for s, x in ((short.where("odd"), long), (short.where("not odd"), long.where("odd"))):
