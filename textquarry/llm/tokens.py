@@ -1,73 +1,115 @@
 """Encoding by the tokenizers library, with each word encoded once per worker.
 
-A text is cut only where a word ends and a space or line break begins. The split patterns of the supported files never
-join characters across such a place, so the ids of the pieces, set side by side, are those of the whole text. Texts with
-other white space than blanks, tabs and line breaks go to the library whole.
+A text is cut only before white space that follows something else, and before a full stop and the like that follows a
+letter from a to z. The split patterns of the supported files never join characters across such a place, so the ids of the pieces, set
+side by side, are those of the whole text. Texts with other white space than blanks, tabs and line breaks, or with the
+string of a special token, go to the library whole.
+
+Pieces are found and numbered as arrays over a group of texts; only those not met before reach Python one by one.
 """
 
 from __future__ import annotations
 
 import re
-from array import array
 from collections.abc import Iterable
 
 import numpy as np
+import pyarrow as pa
 
 #: White space that the libraries and Python read differently, or that Unicode composition may touch.
 ODD_SPACE = re.compile("[^\\S \n\t\r]|[\x1c-\x1f\x85᠎﻿]")
-#: A run of letters also ends before a full stop and the like, so that the memory holds a word once.
-PIECES = re.compile(r"[ \n\t\r]*(?:[^\W\d_]+(?=[.,;!?])|[^ \n\t\r]+)|[ \n\t\r]+\Z")
-_MARK = re.compile(r"(?<=[a-zà-öø-ÿ])(?=[.,;!?])")
-#: Up to here a word's lower case and composition don't depend on what stands around it.
-_PLAIN = re.compile("[^\x00-\u012f\u0131-\u017f]")
 
 #: Texts are read in groups of about so many characters.
-GROUP_CHARS = 2_000_000
+GROUP_CHARS = 12_000_000
+
+
+def _bytes_in(chars: bytes) -> np.ndarray:
+    out = np.zeros(256, dtype=bool)
+    out[list(chars)] = True
+    return out
+
+
+_SPACE = _bytes_in(b" \n\t\r")
+_LETTER = _bytes_in(bytes([*range(65, 91), *range(97, 123)]))
+_STOP = _bytes_in(b".,;!?")
+#: First bytes of odd white space and of special tokens; only texts with one of them are searched.
+_SUSPECT = _bytes_in(bytes([0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF, ord("<")]))
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 _LOADED: dict[tuple[str, bool, int], "WordEncoder"] = {}
 
 
+class Pool:
+    """Ids of known pieces, side by side."""
+
+    def __init__(self, dtype):
+        self.ids, self.used = np.empty(1 << 16, dtype=dtype), 0
+        self.start, self.size, self.known = np.empty(1 << 16, np.int64), np.empty(1 << 16, np.int64), 0
+
+    def add(self, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Appends pieces of ``sizes`` ids each."""
+        while self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
+        while self.known + len(sizes) > len(self.start):
+            self.start, self.size = (np.concatenate([a, np.empty_like(a)]) for a in (self.start, self.size))
+        at = slice(self.known, self.known + len(sizes))
+        self.start[at], self.size[at] = self.used + np.cumsum(sizes) - sizes, sizes
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.known = self.used + len(ids), at.stop
+
+    def spell(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces in order, and where each piece's end."""
+        sizes = self.size[numbers]
+        ends = np.cumsum(sizes)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[numbers] - ends + sizes, sizes)
+        return self.ids[at], ends
+
+
 class WordEncoder:
-    """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files)."""
+    """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files); else case and white
+    space don't count."""
 
-    #: Distinct words held per worker; beyond it the memory is emptied and fills anew.
-    HELD = 700_000
+    #: Distinct pieces held per worker; beyond it the memory is emptied and fills anew.
+    HELD = 1_200_000
 
     def __init__(self, path: str, spaced: bool, width: int = 4):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spaced, self.dtype, self.memory = spaced, np.dtype(f"<u{width}"), {}
-        self.code = "H" if width == 2 else "I"
+        self.spaced, self.dtype = spaced, np.dtype(f"<u{width}")
         self.special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD_SPACE.pattern, *self.special]))
-        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+" if spaced else "[a-zà-öø-ÿ]+").fullmatch
+        self.suspect = _SUSPECT | _bytes_in(bytes(t.content.encode()[0] for t in self.tok.get_added_tokens_decoder().values()))
+        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+" if spaced else " [a-zà-öø-ÿ]+").fullmatch
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
         self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+        self.forget()
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
+    def forget(self) -> None:
+        self.numbers, self.pool = {}, Pool(self.dtype)
 
-    def pieces(self, text: str) -> list[str]:
-        if self.spaced:
-            return PIECES.findall(text)
-        if not _PLAIN.search(text):
-            text = text.lower()
-        return _MARK.sub(" ", text).split()
+    def whole(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes new words: plain ones side by side in one text, whose ids part where a word begins or ends; others each."""
-        plain = [w for w in words if self.simple(w)]
-        ids = np.array(self.tok.encode_batch_fast(["".join(plain) if self.spaced else " ".join(plain)], add_special_tokens=False)[0].ids, dtype=self.dtype)
+    def learn(self, pieces: list[bytes]) -> None:
+        """Encodes new pieces: plain words side by side in one text, whose ids part where a word begins or ends; others each."""
+        words = [p.decode() for p in pieces]
+        plain = list(map(self.simple, words))
+        kept = [w for w, p in zip(words, plain, strict=True) if p]
+        ids = self.whole(["".join(kept)])[0]
         cuts = np.flatnonzero(self.edge[ids]) + (0 if self.spaced else 1)
-        if len(cuts) == len(plain):
-            raw, width = ids.tobytes(), ids.itemsize
-            at = [*(cuts * width).tolist(), len(raw)] if self.spaced else [0, *(cuts * width).tolist()]
-            self.memory.update((w, raw[i:j]) for w, i, j in zip(plain, at, at[1:], strict=False))
-        rest = [w for w in words if w not in self.memory]
-        self.memory.update(zip(rest, self.whole(rest), strict=True))
+        if len(cuts) != len(kept):
+            plain, kept = [None] * len(words), []
+        else:
+            self.pool.add(ids, np.diff(cuts, append=len(ids)) if self.spaced else np.diff(cuts, prepend=0))
+        others = [w for w, p in zip(words, plain, strict=True) if not p]
+        ids = self.whole(others)
+        self.pool.add(np.concatenate(ids) if ids else np.empty(0, self.dtype), np.array(list(map(len, ids)), dtype=np.int64))
+        order = [p for p, q in zip(pieces, plain, strict=True) if q] + [p for p, q in zip(pieces, plain, strict=True) if not q]
+        self.numbers.update(zip(order, range(len(self.numbers), self.pool.known), strict=True))
 
     def encode(self, texts: Iterable[str]) -> list[bytes]:
         """The ids of each text as bytes."""
@@ -81,14 +123,48 @@ class WordEncoder:
         return out + self._group(group)
 
     def _group(self, texts: list[str]) -> list[bytes]:
-        if len(self.memory) > self.HELD:
-            self.memory.clear()
-        cut = [None if self.odd.search(t) else self.pieces(t) for t in texts]
-        new = set().union(*filter(None, cut)).difference(self.memory)
+        raw = [t.encode() for t in texts]
+        ends = np.cumsum([len(r) for r in raw], dtype=np.int64)
+        data = np.frombuffer(b"".join(raw), dtype=np.uint8)
+        seen = np.unique(np.searchsorted(ends, np.flatnonzero(self.suspect[data]), side="right"))
+        odd = [i for i in seen.tolist() if self.odd.search(texts[i])]
+        if odd:
+            out: list = [None] * len(texts)
+            for i, ids in zip(odd, self.whole([texts[i] for i in odd]), strict=True):
+                out[i] = ids.tobytes()
+            even = [i for i, o in enumerate(out) if o is None]
+            raw = [raw[i] for i in even]
+            for i, ids in zip(even, self._even(b"".join(raw), np.cumsum([len(r) for r in raw], dtype=np.int64)), strict=True):
+                out[i] = ids
+            return out
+        return self._even(data, ends)
+
+    def _even(self, data, ends: np.ndarray) -> list[bytes]:
+        data = np.frombuffer(data, dtype=np.uint8)
+        if not len(data):
+            return [b""] * len(ends)
+        if not self.spaced:
+            data = _LOWER[data]
+        space = _SPACE[data]
+        start = np.empty(len(data), dtype=bool)
+        start[0] = True
+        start[1:] = (space[1:] & ~space[:-1]) | (_STOP[data[1:]] & _LETTER[data[:-1]])
+        start[ends[ends < len(data)]] = True
+        at = np.append(np.flatnonzero(start), len(data)).astype(np.int64)
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        if len(self.numbers) > self.HELD:
+            self.forget()
+        get = self.numbers.get
+        new = [p for p in distinct if get(p) is None]
         if new:
-            self.learn(list(new))
-        get = self.memory.__getitem__
-        return [self.whole([t])[0] if words is None else b"".join(map(get, words)) for t, words in zip(texts, cut, strict=True)]
+            self.learn(new)
+        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        ids, upto = self.pool.spell(numbers[pieces.indices.to_numpy()])
+        # a text ends where its last piece does
+        upto = np.concatenate([[0], upto])[np.searchsorted(at, ends)] * self.dtype.itemsize
+        raw = ids.tobytes()
+        return [raw[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
 
 
 def encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
