@@ -28,15 +28,29 @@ def scratch(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+#: Rows and bytes of an Arrow batch: long texts, and pairs of them, mustn't fill a worker. Smaller settings of the session stay.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+
+
+def bound_batches(spark: SparkSession) -> None:
+    for name, most in BATCH.items():
+        now = spark.conf.get(name, None)
+        now = int(now) if now and now.isdigit() else 0
+        if not 0 < now <= most:
+            spark.conf.set(name, str(most))
+
+
 def materialise(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
     spark = df.sparkSession
+    bound_batches(spark)
     at = scratch(spark, label)
     df.write.option("compression", "zstd").parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bound_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
