@@ -70,8 +70,8 @@ class WordEncoder:
     """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files); else case and white
     space don't count."""
 
-    #: Distinct pieces held per worker; beyond it the memory is emptied and fills anew.
-    HELD = 1_200_000
+    #: Distinct pieces held per worker, also between tasks (some 80 MB); beyond it the memory is emptied and fills anew.
+    HELD = 400_000
 
     def __init__(self, path: str, spaced: bool, width: int = 4):
         from tokenizers import Tokenizer
