@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers as P
 import pytest
 
-from textquarry.llm import bpe, cotraining, langid, licenses, media, neardup, packing, spotsigs, token_shards, toxicity
+from textquarry.llm import bpe, cotraining, langid, licenses, media, neardup, packing, spotsigs, token_shards, tokens, toxicity
 
 LONG = "the quick brown fox jumps over lazy dogs and runs, far  away.\n" * 800
 NEAR = " ".join(f"word{i}" for i in range(200))
@@ -59,6 +59,16 @@ def test_token_shards(docs, none):
     assert token_shards.token_index(none, P.path("word_bpe_49k.json"), 1).count() == 0
 
 
+@pytest.mark.parametrize(("name", "spaced", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
+def test_pieces_spell_the_ids_of_whole_texts(name, spaced, width):
+    odd = ["", "   ", "\n", "Hello,  world!\n\n x", "<|endoftext|> hi", "a\u00a0b\u3000c", "\x1c x", "\u0130stanbul ÉCOLE e\u0301.", "WON'T it's, 's", "x.y,z;;; \t\r\n end ", "ΑΣ. οδός", "数学 🙂!!", LONG]
+    enc = tokens.WordEncoder(P.path(name), spaced, width)
+    enc.HELD = 5  # forgets between groups
+    want = [np.array(tok(name).encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in odd]
+    assert enc.encode(odd) == want
+    assert [enc.encode([t])[0] for t in odd] == want
+
+
 def test_perfect_hash_lookup():
     keys = np.arange(0, 30000, 3)
     shard = token_shards.Shard(token_shards.pack_shard(keys, np.ones(len(keys), np.int64), np.arange(len(keys), dtype="<u2").tobytes(), 2))
