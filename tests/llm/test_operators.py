@@ -143,6 +143,20 @@ def test_neardup(docs, none):
     assert neardup.near_duplicates(none).count() == 0
 
 
+def test_neardup_tells_texts_of_null_and_repeated_ids_apart(spark):
+    far = lambda c: " ".join(f"{c}{i}" for i in range(100))
+    rows = [(None, far("a")), (None, far("b")), (None, far("b")), (7, far("c")), (7, far("d")), (7, far("d")), (8, far("d") + " end"), (9, far("b") + " end"), (10, far("e"))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = [tuple(r) for r in neardup.drop_near_duplicates(docs).collect()]
+    assert sorted(kept, key=str) == sorted([rows[0], rows[1], rows[3], rows[4], rows[8]], key=str)
+    got = {(r.id, r.digest): r for r in neardup.near_duplicates(docs).collect()}
+    digest = lambda t: hashlib.sha256(t.encode()).digest()[:16]
+    least = {far("d") + " end": (7, digest(far("d"))), far("b") + " end": (None, digest(far("b")))}
+    for i, t in rows:
+        r = got[i, digest(t)]
+        assert (r["class"], bytes(r.class_digest)) == least.get(t, (i, digest(t))) and r.kept == (t not in least)
+
+
 def test_neardup_finds_every_link_of_a_large_group(spark):
     """Many edits of three texts, deletions and substitutions: classes equal those of all pairs."""
     rng = np.random.default_rng(3)

@@ -17,16 +17,15 @@ than a ninth of its shingles outside the hub, so it meets only those texts that
 much as it is farther), not the whole group. Joins on a hub are dealt over salts, more for larger buckets.
 
 A text without words is alike only to equal texts; null is read as empty. Null keys sort first. Repeated rows fall into one class.
-An empty table gives no rows.
+Different texts, told apart by digest, are the nodes of every step; ids are joined on at the end, so rows of a null or repeated id
+with different texts stand each for themselves. A class is named by its least (id, digest). An empty table gives no rows.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import materialise, mix64, shingle_hashes, table, whole_text
@@ -112,6 +111,11 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return both / (float(a[1].sum() + b[1].sum()) - both) if both else 0.0
 
 
+def text_digest(text: str) -> Column:
+    """First half of the SHA-256 of a text: what tells texts apart."""
+    return F.substring(F.unhex(F.sha2(whole_text(text), 256)), 1, 16)
+
+
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, digest, bands of each document; bands is empty for a text without words."""
 
@@ -120,15 +124,13 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
         for b in batches:
             if len(kept) > 2000:
                 kept.clear()
-            digests, sets, ready = [], {}, 0
+            sets, ready = {}, 0
 
             def sign():
                 kept.update(zip(sets, band_keys(dart_minhashes(list(sets.values()))), strict=True) if sets else ())
                 sets.clear()
 
-            for t in b["t"]:
-                digest = hashlib.sha256(t.encode("utf-8", "surrogatepass")).digest()[:16]
-                digests.append(digest)
+            for digest, t in zip(b["digest"], b["t"], strict=True):
                 if digest not in kept and digest not in sets:
                     sets[digest] = weighted_shingles(t)
                     if not len(sets[digest][0]):
@@ -140,9 +142,10 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         sign()
                         ready = 0
             sign()
-            yield pd.DataFrame({"id": b["id"].array, "digest": digests, "bands": [kept[d] for d in digests]})
+            yield pd.DataFrame({"id": b["id"].array, "digest": b["digest"].array, "bands": [kept[d] for d in b["digest"]]})
 
-    return docs.select(F.col(key).cast("long").alias("id"), whole_text(text).alias("t")).mapInPandas(run, "id long, digest binary, bands array<long>")
+    rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(text).alias("digest"), whole_text(text).alias("t"))
+    return rows.mapInPandas(run, "id long, digest binary, bands array<long>")
 
 
 def with_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -281,13 +284,19 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, class) of every document: class is the least id of its near-duplicate class."""
-    null = -(2**63)
-    sig = materialise(signatures(docs, key, text).withColumn("id", F.coalesce("id", F.lit(null))), "signatures")
-    # exact copies first: one representative a text
-    copies = sig.groupBy("digest").agg(F.min("id").alias("rep"))
-    reps = sig.groupBy("digest").agg(F.min("id").alias("id"), F.max("bands").alias("bands"))
-    bands = reps.select("id", F.explode("bands").alias("band"))
+    """(id, digest, class, class_digest, kept) of every document: class and class_digest are the least (id, digest) of its
+    near-duplicate class, kept says whether the document has them."""
+    return _classified(docs, key, text)[0]
+
+
+def _classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
+    """What near_duplicates gives, and whether any (id, digest) has several rows."""
+    sig = materialise(signatures(docs, key, text), "signatures")
+    repeats = bool(sig.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+    # exact copies first: one node a text, numbered once in what is written; rep is its least id, null first
+    nodes = sig.groupBy("digest").agg(F.min(F.struct("id"))["id"].alias("rep"), F.max("bands").alias("bands"))
+    nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    bands = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("band"))
     deal = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
     sizes = bands.groupBy("band").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -298,10 +307,13 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     shared = crowded.join(deal(hubs), ["band", "salt"])
     mates = materialise(shared.groupBy(F.col("id").alias("a"), F.col("hub").alias("b")).agg(F.max("n").alias("n")), "mates")
     stars = mates.where("a <> b")
-    # the texts of those that share a bucket
-    ids = mates.select(F.col("a").alias("id")).distinct()
-    texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(null)).alias("id"), whole_text(text).alias("t")).join(ids, "id")
-    texts = materialise(texts, "texts")  # once: the join that picks them is the only one over all texts
+    # the texts of those that share a bucket, each from one row
+    ids = mates.select(F.col("a").alias("node")).distinct()
+    ids = nodes.join(ids, "node").select("node", "rep", F.col("digest").alias("of"))
+    rows = docs.select(F.col(key).cast("long").alias("own"), text_digest(text).alias("digest"), whole_text(text).alias("t"))
+    texts = rows.join(ids, (F.col("digest") == F.col("of")) & F.col("own").eqNullSafe(F.col("rep")))
+    texts = texts.dropDuplicates(["digest", "own"]) if repeats else texts
+    texts = materialise(texts.select(F.col("node").alias("id"), "t"), "texts")  # once: the join that picks them is the only one over all texts
     links = materialise(verify(stars, texts), "links")
     classes = materialise(components(links), "classes")
     # hubs whose mates (itself aside, it has met them all) lie in more than one class: all links across, by the prefix filter
@@ -315,24 +327,27 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     pairs = prefix_pairs(keys).join(stars, ["a", "b"], "left_anti").withColumn("n", F.lit(1))
     more = verify(pairs, texts)
     classes = materialise(components(links.unionByName(more)), "classes")
-    named = copies.join(classes, copies["rep"] == classes["id"], "left").select("digest", F.coalesce("class", "rep").alias("class"))
+    # back to ids: the least (id, digest) of each class of several texts, dealt over salts to them
+    found = classes.join(nodes.select("node", "rep", "digest"), F.col("id") == F.col("node")).select("node", "class", "rep", "digest")
+    least = found.groupBy("class").agg(F.min(F.struct("rep", "digest")).alias("least"))
+    found = found.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(deal(least), ["class", "salt"]).select("node", "least")
+    named = nodes.select("node", "rep", "digest").join(found, "node", "left")
+    named = named.select("digest", F.coalesce("least", F.struct("rep", "digest")).alias("least"))
     out = sig.select("id", "digest").join(named, "digest")
-    real = lambda c: F.when(F.col(c) != null, F.col(c)).alias(c)
-    return out.select(real("id"), real("class"))
+    first = F.col("id").eqNullSafe(F.col("least.rep")) & (F.col("digest") == F.col("least.digest"))
+    return out.select("id", "digest", F.col("least.rep").alias("class"), F.col("least.digest").alias("class_digest"), first.alias("kept")), repeats
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One document of each class: that of least doc_id; of repeated rows with it, one."""
-    classes = near_duplicates(docs)
-    gone = classes.where("id <> class").select(F.col("id").alias("doc_id")).distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
-    return kept.dropDuplicates(["doc_id"]) if _repeats(docs) else kept
-
-
-def _repeats(docs: DataFrame) -> bool:
-    return bool(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
+    """One document of each class: that of least (doc_id, digest); of repeated rows with both, one."""
+    classes, repeats = _classified(docs)
+    gone = classes.where("not kept").select(F.col("id").alias("_gone"), F.col("digest").alias("_gone_digest")).distinct()
+    rows = docs.withColumn("_digest", text_digest("text"))
+    kept = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (rows["_digest"] == gone["_gone_digest"]), "left_anti")
+    return (kept.dropDuplicates(["doc_id", "_digest"]) if repeats else kept).drop("_digest")
 
 
 def op8_dart_minhash_dedup(spark, sf_dir: str) -> DataFrame:
+    """``class_id`` alone names a class where doc_ids are unique and not null, with ``class_digest`` always."""
     out = near_duplicates(table(spark, sf_dir, "documents"))
-    return out.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), (F.col("id") == F.col("class")).alias("kept"))
+    return out.select(F.col("id").alias("doc_id"), F.col("class").alias("class_id"), "kept", F.lower(F.hex("class_digest")).alias("class_digest"))
