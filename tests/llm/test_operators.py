@@ -6,6 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers as P
 import pytest
+from pyspark.sql import functions as F
 
 from textquarry.llm import bpe, cotraining, langid, licenses, media, neardup, packing, spotsigs, token_shards, tokens, toxicity
 
@@ -121,6 +122,21 @@ def test_spotsigs(docs, none):
     assert pairs <= {(4, 5)} and spotsigs.neighbours(none).count() == 0
 
 
+def test_spotsigs_cover_texts_without_anchors(spark):
+    words = [f"szó{i}" for i in range(60)]
+    first, other, edited = " ".join(words), " ".join(words[:2] + [w + "x" for w in words[2:]]), " ".join(words[:40] + [w + "x" for w in words[40:]])
+    mixed = "the cat and the dog sat with her " + first
+    texts = [first, other, edited, mixed, mixed[:-1] + "x", "alpha beta gamma delta", "alpha beta gamma omega", "the alpha beta gamma delta", "the alpha beta gamma omega"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", spotsigs.signatures(F.col("t")).alias("s")).collect()
+    sets = {r.k: set(r.s) for r in rows}
+    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
+    assert like(0, 1) < 0.1 and 0.4 < like(0, 2) < 0.8 and len(sets[0]) >= 60
+    assert sets[3] != sets[4] and sets[5] != sets[6] and sets[7] != sets[8]
+    plain = "the cat and the dog sat with her in the old house"
+    got = spark.createDataFrame([(plain,)], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).first().s
+    assert len(got) == 1 + 7  # the start and the chains of the seven anchors
+
+
 def test_media(spark, docs, tmp_path, none):
     store = media.read_media(media.store_media(docs, f"file://{tmp_path}/m"))
     got = {r.digest: r for r in store.collect()}

@@ -2,7 +2,9 @@
 
 A spot signature is a common word (the anchor) with the two content words that follow it, common words passed over. The
 text's start counts as an anchor too, so that any text with words has a signature; a text without words has one of its
-own characters. The fingerprint is the sorted set of 32-bit signature hashes in hex, and likeness is the Jaccard index of two sets.
+own characters. Where common words are missing, in a stretch of more than RUN content words without an anchor or in a text of
+fewer than FEW anchors, every word of the stretch is an anchor itself, so texts of other languages, lists, logs and tables
+are covered to their end. The fingerprint is the sorted set of 32-bit signature hashes in hex, and likeness is the Jaccard index of two sets.
 
 Null texts are read as empty, and two empty texts are alike (1.0). Equal texts have equal fingerprints. Repeated rows are kept.
 Null keys sort after all others. Other columns are left out. An empty table gives no rows.
@@ -28,6 +30,8 @@ ANCHORS = (
     "al como con del desde el ella esta este los las lo más no o para pero por sin su sus una uno y ya"
 ).split()
 CHAIN = 2
+#: A longer stretch of content words without an anchor is chained word by word, and so is a text of fewer anchors.
+RUN, FEW = 6, 3
 
 
 def signatures(text: Column, chain: int = CHAIN) -> Column:
@@ -44,8 +48,14 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
             at = lambda i: F.get(s["content"], i)
             # the k-th anchor stands at word i, so i - k content words come before it
             found = F.transform(s["spots"], lambda i, k: F.hash(F.get(s["words"], i), *[at(i - k + j) for j in range(chain)]))
+            # stretches between anchors, that before the first one too: word i opens one, k anchors stand before it
+            opens = F.concat(F.array(F.lit(0)), F.transform(s["spots"], lambda i: i + 1))
+            ends = lambda k: F.coalesce(F.get(s["spots"], k), F.size(s["words"]))
+            bare = lambda i, k: (ends(k) > i) & ((ends(k) - i > RUN) | (F.size(s["spots"]) < FEW))
+            own = lambda i, k: F.transform(F.sequence(i - k, ends(k) - k - 1), lambda c: F.hash(*[at(c + j) for j in range(chain + 1)]))
+            runs = F.flatten(F.transform(opens, lambda i, k: F.when(bare(i, k), own(i, k)).otherwise(F.array().cast("array<int>"))))
             start = F.hash(F.lit("^"), *[at(F.lit(j)) for j in range(chain)], F.when(F.size(s["content"]) == 0, F.concat_ws(" ", s["words"])))
-            return F.sort_array(F.array_distinct(F.concat(found, F.array(start))))
+            return F.sort_array(F.array_distinct(F.concat(found, runs, F.array(start))))
 
         return let(F.struct(w.alias("words"), content.alias("content"), spots.alias("spots")), joined)
 
