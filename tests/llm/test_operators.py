@@ -112,6 +112,17 @@ def test_licenses(docs, none):
     assert len(licenses.rules()) > 200
 
 
+def test_licenses_find_short_names_with_versions(spark):
+    want = {
+        "GPL v3": "gpl-versioned", "GPLv3": "gpl-versioned", "under GPL-3.0 here": "gpl-versioned", "GPL-2.0-or-later": "gpl-later", "LGPLv2.1": "lgpl-versioned",
+        "AGPLv3 only": "agpl-only", "Apache-2.0": "apache-versioned", "GNU GPLv3": "gpl-versioned", "MPL v2.0": "mpl-versioned", "AFL v3.0": "afl-versioned", "a gpl of sorts": "",
+        "Do What The Fuck You Want To Public License version 2.0 or any later version": "wtfpl-later",
+    }
+    got = {r.t: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(t, t) for t in want], "t string, text string"), "t").collect()}
+    assert {t: x for t, (x, _) in got.items()} == want
+    assert all((s > 0) == bool(x) for x, s in got.values())
+
+
 def test_spotsigs(docs, none):
     sets = {r.k: r for r in spotsigs.neighbours(docs).collect()}
     assert sets[8].next_t == ROWS[8][1] and sets[1].next_t == ""

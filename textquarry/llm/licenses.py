@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, with DataFrame functions only.
 
 A text is lower-cased (A-Z) and read as words. Each rule is a regex over words that begins with a fixed pair of words, its
-keyword. One pass over the text looks for keywords; only texts with one are cut into words, and a rule's regex runs only where its
+keyword, or with a short name that a version follows, in the same word or the next ones (GPL v3, GPLv3, GPL-3.0). One pass over the text looks for keywords; only texts with one are cut into words, and a rule's regex runs only where its
 keyword stands. At one place the rule of highest priority that matches wins, then the longest; a detection that lies inside
 another one is suppressed. Rules are listed by family and form, some hundreds in all.
 
@@ -11,6 +11,7 @@ Null and empty texts have no words, no places, empty labels and score 0. Repeate
 from __future__ import annotations
 
 import json
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -23,8 +24,6 @@ from textquarry.llm.native import let
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrases whose every place counts, and their labels.
 BASE = [("cc by", "cc-by"), ("general public license", "gpl"), ("all rights reserved", "reserved")]
-#: The longest rule, in words.
-REACH = 14
 
 
 @dataclass(frozen=True)
@@ -38,12 +37,12 @@ class Rule:
 
 #: Families: name in words, short names in words, label.
 FAMILIES = [
-    ("gnu general public licen[cs]e", ("gnu gpl", "gpl v", "gplv"), "gpl"),
-    ("gnu lesser general public licen[cs]e", ("gnu lgpl", "lgpl v"), "lgpl"),
+    ("gnu general public licen[cs]e", ("gnu gpl", "gpl v", "gpl 1", "gpl 2", "gpl 3"), "gpl"),
+    ("gnu lesser general public licen[cs]e", ("gnu lgpl", "lgpl v", "lgpl 2", "lgpl 3"), "lgpl"),
     ("gnu library general public licen[cs]e", (), "lgpl"),
-    ("gnu affero general public licen[cs]e", ("gnu agpl", "agpl v"), "agpl"),
-    ("gnu free documentation licen[cs]e", ("gnu fdl", "gfdl v"), "gfdl"),
-    ("apache software licen[cs]e", ("asl v",), "apache"),
+    ("gnu affero general public licen[cs]e", ("gnu agpl", "agpl v", "agpl 1", "agpl 3"), "agpl"),
+    ("gnu free documentation licen[cs]e", ("gnu fdl", "gfdl v", "gfdl 1"), "gfdl"),
+    ("apache software licen[cs]e", ("asl v", "asl 1", "asl 2"), "apache"),
     ("apache licen[cs]e", ("apache v", "apache 2"), "apache"),
     ("mit licen[cs]e", ("mit expat", "expat licen[cs]e"), "mit"),
     ("bsd licen[cs]e", ("bsd 2", "bsd 3", "bsd 4", "new bsd", "simplified bsd", "modified bsd"), "bsd"),
@@ -67,11 +66,11 @@ FAMILIES = [
     ("open government licen[cs]e", ("ogl v", "ogl 3"), "ogl"),
     ("sil open font licen[cs]e", ("ofl 1", "open font licen[cs]e"), "ofl"),
     ("microsoft public licen[cs]e", ("ms pl",), "ms-pl"),
-    ("server side public licen[cs]e", ("sspl v",), "sspl"),
+    ("server side public licen[cs]e", ("sspl v", "sspl 1"), "sspl"),
     ("business source licen[cs]e", ("busl 1",), "busl"),
     ("elastic licen[cs]e", (), "elastic"),
     ("universal permissive licen[cs]e", ("upl 1",), "upl"),
-    ("do what the fuck you want to public licen[cs]e", ("wtfpl v",), "wtfpl"),
+    ("do what the fuck you want to public licen[cs]e", ("wtfpl v", "wtfpl 1", "wtfpl 2"), "wtfpl"),
     ("ibm public licen[cs]e", (), "ipl"),
     ("netscape public licen[cs]e", ("npl 1",), "npl"),
     ("sun public licen[cs]e", (), "spl"),
@@ -79,6 +78,14 @@ FAMILIES = [
     ("latex project public licen[cs]e", ("lppl 1",), "lppl"),
     ("zope public licen[cs]e", ("zpl 2",), "zpl"),
 ]
+#: Short names in which a number isn't a version.
+COUNTED = ("bsd",)
+#: What may follow a short name with its version, label's end, priority, score.
+SHORT_FORMS = [
+    (r"(?: \d+)?(?: or| and)? (?:any )?later(?: version)?", "-later", 50, 1.0),
+    (r"(?: \d+)? only", "-only", 48, 1.0),
+    (r"(?: \d+)?", "-versioned", 40, 0.95),
+]
 #: Forms a family's name takes: what may follow it, priority, score.
 FORMS = [
     (r"(?: v(?:ersion)? ?\d+(?: \d+)?| v\d+(?: \d+)?| \d+(?: \d+)?)(?: or| and)? (?:any )?later(?: version)?", "-later", 50, 1.0),
@@ -94,7 +101,7 @@ PHRASES = [
     ("creative commons", "zero|0|cc0", "cc0", 46, 1.0),
     ("cc0 1", "0", "cc0", 46, 1.0),
     ("public domain", "", "public-domain", 22, 0.7),
-    ("spdx license", r"identifier [\w]+(?: \d+)*(?: only| or later)?", "spdx", 60, 1.0),
+    ("spdx license", r"identifier [\w]+(?: \d+){0,9}(?: only| or later)?", "spdx", 60, 1.0),
     ("permission is", "hereby granted free of charge", "mit", 44, 0.95),
     ("permission to", "use copy modify and or distribute this", "isc", 44, 0.95),
     ("redistribution and", "use in source and binary forms", "bsd", 44, 0.95),
@@ -113,6 +120,42 @@ CC_PARTS = ["by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"]
 CC_NAMES = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
 
 
+def short_names() -> dict[str, tuple[str, str]]:
+    """Short name -> label and the regex of the name with its version: any number after a v if a form ``name v`` is listed, the
+    listed numbers also without one."""
+    out = {}
+    for _, shorts, label in FAMILIES:
+        found: dict[str, list[str]] = {}
+        for name, at in (x.split() for x in shorts if re.fullmatch(r"\w+ (?:v|\d)", x)):
+            if name not in COUNTED:
+                found.setdefault(name, []).append(at)
+        for name, at in found.items():
+            listed = "|".join(x for x in at if x != "v")
+            marked = r"\d+" if "v" in at else f"(?:{listed})"
+            out[name] = (label, f"{name}(?: ?v(?:ersion)? ?{marked}" + (f"| ?(?:{listed}))" if listed else ")"))
+    return out
+
+
+def most_words(regex: str) -> int:
+    """Words of the longest text that a rule's regex matches."""
+
+    def spaces(tree) -> int:
+        n = 0
+        for op, arg in tree:
+            name = str(op)
+            if name == "LITERAL":
+                n += arg == ord(" ")
+            elif name == "SUBPATTERN":
+                n += spaces(arg[-1])
+            elif name == "BRANCH":
+                n += max(map(spaces, arg[1]))
+            elif name in ("MAX_REPEAT", "MIN_REPEAT"):
+                n += spaces(arg[2]) and int(arg[1]) * spaces(arg[2])
+        return n
+
+    return 1 + spaces(re._parser.parse(regex))
+
+
 def rules() -> list[Rule]:
     """All rules, in order of priority."""
     out = [Rule(p, label, key, key + (f" (?:{rest})" if rest else ""), s) for key, rest, label, p, s in PHRASES]
@@ -122,6 +165,8 @@ def rules() -> list[Rule]:
             for spelt in {written.replace("licen[cs]e", x) for x in ("license", "licence")} if "licen[cs]e" in " ".join(written.split()[:2]) else {written}:
                 key = " ".join(spelt.split()[:2])
                 out += [Rule(p + 2 * (written == name), label + tail, key, spelt + form, s) for form, tail, p, s in FORMS]
+    for name, (label, versioned) in short_names().items():
+        out += [Rule(p, label + tail, name, versioned + form, s) for form, tail, p, s in SHORT_FORMS]
     for parts in CC_PARTS:
         names = " ".join(CC_NAMES[x] for x in parts.split())
         for port in (r"(?: v| version)? \d \d(?: (?:international|unported|generic|igo))?", r"(?: international)?"):
@@ -140,34 +185,44 @@ def plain_words(text: Column) -> Column:
 
 def gate() -> str:
     """One regex that finds any keyword or base phrase."""
-    keys = sorted({r.keyword for r in rules()} | {p for p, _ in BASE})
+    keys = sorted(({r.keyword for r in rules()} | {p for p, _ in BASE}) - set(short_names()))
+    keys += [versioned for _, versioned in short_names().values()]
     first = "".join(sorted({k[0] for k in keys}))
     return f" (?=[{first}])(?:{'|'.join(keys)})(?= )"
 
 
+RULE = "struct<priority:int,label:string,regex:string,score:double>"
+
+
 def detections(norm: Column) -> Column:
     """array<struct<at, upto, priority, label, score>> in order of place, suppressed ones left out."""
     every = rules()
+    reach = max(most_words(r.regex) for r in every)  # the longest rule, in words
     keys = sorted({r.keyword for r in every})
+    pairs, short = [k for k in keys if " " in k], f"^({'|'.join(short_names())})(?:v(?:ersion)?)?\\d*$"
     # keyword -> its rules, as a constant map: what runs at a place is a handful of regexes
     by_key = {k: [{"priority": r.priority, "label": r.label, "regex": f"^(?:{r.regex})(?= |$)", "score": r.score} for r in every if r.keyword == k] for k in keys}
-    table_ = F.from_json(F.lit(json.dumps(by_key)), "map<string,array<struct<priority:int,label:string,regex:string,score:double>>>")
+    table_ = F.from_json(F.lit(json.dumps(by_key)), f"map<string,array<{RULE}>>")
     words = F.split(F.trim(norm), " ")
 
     def found(w: Column) -> Column:
         pair = lambda i: F.concat_ws(" ", F.get(w, i), F.get(w, i + 1))
-        places = F.filter(F.transform(w, lambda x, i: F.when(pair(i).isin(keys), i)), lambda i: i.isNotNull())
+        places = F.filter(F.transform(w, lambda x, i: F.when(pair(i).isin(pairs) | x.rlike(short), i)), lambda i: i.isNotNull())
+
+        def rules_at(i: Column) -> Column:
+            named = lambda k: F.coalesce(F.element_at(table_, k), F.from_json(F.lit("[]"), f"array<{RULE}>"))
+            return F.concat(named(pair(i)), named(F.regexp_extract(F.get(w, i), short, 1)))
 
         def at(i: Column) -> Column:
-            context = F.array_join(F.slice(w, i + 1, REACH), " ")
-            tried = let(context, lambda c: F.transform(F.element_at(table_, pair(i)), lambda r: F.struct(r["priority"].alias("priority"), F.call_function("regexp_extract", c, r["regex"], F.lit(0)).alias("match"), r["label"].alias("label"), r["score"].alias("score"))))
+            context = F.array_join(F.slice(w, i + 1, reach), " ")
+            tried = let(context, lambda c: F.transform(rules_at(i), lambda r: F.struct(r["priority"].alias("priority"), F.call_function("regexp_extract", c, r["regex"], F.lit(0)).alias("match"), r["label"].alias("label"), r["score"].alias("score"))))
             hits = F.filter(tried, lambda r: r["match"] != "")
             best = F.array_max(F.transform(hits, lambda r: F.struct(r["priority"].alias("priority"), F.length(r["match"]).alias("chars"), r["label"].alias("label"), r["score"].alias("score"), F.size(F.split(r["match"], " ")).alias("n"))))
             return let(best, lambda b: F.when(b.isNotNull(), F.struct(i.alias("at"), (i + b["n"]).alias("upto"), b["priority"].alias("priority"), b["label"].alias("label"), b["score"].alias("score"))))
 
         raw = F.filter(F.transform(places, at), lambda d: d.isNotNull())
-        # no rule is longer than REACH words, so what holds a detection begins at most so many places earlier
-        return let(raw, lambda ds: F.filter(ds, lambda d, k: ~F.exists(F.slice(ds, F.greatest(k - REACH + 1, F.lit(1)), F.least(k, F.lit(REACH))), lambda e: (e["at"] < d["at"]) & (e["upto"] >= d["upto"]))))
+        # no rule is longer than ``reach`` words, so what holds a detection begins at most so many places earlier
+        return let(raw, lambda ds: F.filter(ds, lambda d, k: ~F.exists(F.slice(ds, F.greatest(k - reach + 1, F.lit(1)), F.least(k, F.lit(reach))), lambda e: (e["at"] < d["at"]) & (e["upto"] >= d["upto"]))))
 
     return let(words, found)
 
