@@ -48,7 +48,8 @@ def drop_junk_fences(c: Column) -> Column:
 
 def strip_links(c: Column) -> Column:
     """``[text](url)`` becomes its text, one nested bracket level."""
-    return F.regexp_replace(c, r"\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)", "$1")
+    # possessive: Java's regexes take a stack frame for each turn of a group, one a character of the text otherwise
+    return F.regexp_replace(c, r"\[((?:[^\[\]]++|\[[^\]]*+\])*+)\]\([^)]*+\)", "$1")
 
 
 def drop_empty_sections(c: Column) -> Column:
