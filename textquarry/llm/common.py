@@ -3,21 +3,29 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zlib
 
+from collections.abc import Callable, Iterable
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset (tests)."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one
+    process (tests). On a cluster a folder of this machine would lose data, so there it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not where:
         where = spark.conf.get("textquarry.scratch", None)
         if not where:
+            if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
             where = "file://" + tempfile.mkdtemp(prefix="textquarry-")
             spark.conf.set("textquarry.scratch", where)
     return where
@@ -29,10 +37,12 @@ def scratch(spark: SparkSession, label: str) -> str:
 
 
 #: Rows and bytes of an Arrow batch: long texts, and pairs of them, mustn't fill a worker. Smaller settings of the session stay.
-BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 16 << 20}
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 2000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
 
 
 def bound_batches(spark: SparkSession) -> None:
+    """Lowers the session's Arrow batch limits to BATCH. Spark has them by session only, so later queries of the session get them too; they
+    change no result."""
     for name, most in BATCH.items():
         now = spark.conf.get(name, None)
         now = int(now) if now and now.isdigit() else 0
@@ -54,6 +64,66 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def discard(spark: SparkSession, *tables: DataFrame) -> None:
+    """Deletes the folders of tables that ``materialise`` wrote, once nothing reads them any more."""
+    for df in tables:
+        for top in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(top)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(columns: Iterable[str], *wanted: str) -> list[str]:
+    """The wanted names, with underscores added until none clashes with ``columns`` (whatever the case)."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def with_columns(df: DataFrame, added: str, make: Callable[[], Callable[[pa.RecordBatch], list]], drop: Iterable[str] = ()) -> DataFrame:
+    """``df`` without ``drop`` and with the columns ``added`` (DDL) at the end, worked out a batch at a time in Python.
+
+    ``make()`` runs once a task; what it gives takes a batch and returns the values of each added column. The other columns pass as
+    Arrow arrays, so nulls and whole numbers beyond 2^53 stay what they are.
+    """
+    from pyspark.sql.pandas.types import to_arrow_type
+
+    kept = [n for n in df.columns if n not in set(drop)]
+    new = T.StructType.fromDDL(added).fields
+    types, names = [to_arrow_type(f.dataType) for f in new], [*kept, *[f.name for f in new]]
+
+    def run(batches):
+        work = make()
+        for b in batches:
+            values = work(b)
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], *[pa.array(v, t) for v, t in zip(values, types, strict=True)]], names=names)
+
+    return df.mapInArrow(run, T.StructType([*[df.schema[n] for n in kept], *new]))
+
+
+#: A key with more rows than HOT_ROWS and than one part in HOT_KEYS of all rows is dealt over HOT_SALTS; so there are fewer than HOT_KEYS.
+HOT_ROWS, HOT_KEYS, HOT_SALTS = 100, 20_000, 64
+
+
+def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
+    """The keys (one column) that hold too many of ``total`` rows for one task; fewer than HOT_KEYS rows."""
+    return counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key)
+
+
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row a key) on ``key``. Rows of ``hot`` keys are dealt over salts by a hash of ``by``, and the table's
+    row is copied to each salt; ``hot`` is broadcast, as hot_keys() bounds it."""
+    salt, mark = fresh({*rows.columns, *table.columns}, "salt", "mark")
+    marked = F.broadcast(hot.select(key, F.lit(True).alias(mark)))
+    left = rows.join(marked, key, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(by), F.lit(HOT_SALTS)).cast("int")).otherwise(0)).drop(mark)
+    copies = F.when(F.col(mark), F.sequence(F.lit(0), F.lit(HOT_SALTS - 1))).otherwise(F.array(F.lit(0)))
+    right = table.join(marked, key, "left").withColumn(salt, F.explode(copies)).drop(mark)
+    return left.join(right, [key, salt], how).drop(salt)
+
+
 def whole_text(col: str | Column = "text") -> Column:
     """The text, null read as empty."""
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
