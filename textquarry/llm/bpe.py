@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding by the tiktoken library from a local rank file.
 
 Long texts are cut by a regex at safe boundaries, so that no call holds a very long text's state; decoding is of raw
-bytes. A null or empty text has no ids and decodes to no bytes. Repeated rows give repeated rows; an empty table gives
+bytes. Only a single run of letters, of digits, of marks or of white space is never cut, as it may be one token's worth of merges. A null or empty text has no ids and decodes to no bytes. Repeated rows give repeated rows; an empty table gives
 none; other columns of the input are left out, whatever their names.
 """
 
@@ -12,15 +12,19 @@ import hashlib
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import table, whole_text
+from textquarry.llm.common import table, whole_text, with_columns
 
-#: A match never runs on from a visible character into white space, and no match that ends in a visible character looks
-#: ahead: the place before such white space is safe whatever stands around it.
-SAFE = re.compile(r"(?<=[!-~])(?=[ \n])")
+#: Fixed value: the split pattern that SAFE was made for; texts under any other pattern go to the library whole.
+KNOWN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Characters that every version of Unicode puts into the same class.
+_LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öА-яぁ-ゖァ-ヺ一-龥가-힣", r"!-&(-/:-@\[-`{-~、。！，：；？"
+#: Places that every match ends at, whatever stands around them. Before white space after a visible character: no match runs on from the
+#: one into the other, and none that ends in the one looks ahead. And, so that texts without white space are cut too, between letters,
+#: digits and marks: they never share a match, but for the apostrophe, which is left out.
+SAFE = re.compile(f"(?<=[!-~])(?=[ \n])|(?<=[{_LETTERS}0-9])(?=[{_MARKS}])|(?<=[{_LETTERS}])(?=[0-9])|(?<=[0-9])(?=[{_LETTERS}])")
 PIECE_CHARS = 20_000
 
 _ENCODINGS: dict = {}
@@ -37,23 +41,28 @@ def load(path: str, pattern: str):
     return _ENCODINGS[path, pattern]
 
 
-def split_safely(text: str, size: int = PIECE_CHARS) -> list[str]:
+def safe_cut(pattern: str):
+    """The regex of safe places under a split pattern; None where none are known."""
+    return SAFE if pattern == KNOWN else None
+
+
+def split_safely(text: str, size: int = PIECE_CHARS, safe=SAFE) -> list[str]:
     """Pieces of about ``size`` characters that encode as they would inside the text; a text without a safe place stays whole."""
     out, at = [], 0
     while len(text) - at > size:
-        if not (cut := SAFE.search(text, at + size)):
+        if safe is None or not (cut := safe.search(text, at + size)):
             break
         out.append(text[at : cut.start()])
         at = cut.start()
     return [*out, text[at:]]
 
 
-def encode(text: str | None, enc) -> np.ndarray:
+def encode(text: str | None, enc, safe=SAFE) -> np.ndarray:
     if not text:
         return np.empty(0, dtype="<u4")
     if len(text) <= PIECE_CHARS:
         return np.array(enc.encode_ordinary(text), dtype="<u4")
-    return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in split_safely(text)])
+    return np.concatenate([np.array(enc.encode_ordinary(p), dtype="<u4") for p in split_safely(text, safe=safe)])
 
 
 def decode(ids: np.ndarray, enc) -> bytes:
@@ -62,22 +71,23 @@ def decode(ids: np.ndarray, enc) -> bytes:
 
 def encode_documents(docs: DataFrame, path: str, pattern: str, key: str = "doc_id", text: str = "text", ids: bool = True) -> DataFrame:
     """key, ids binary (little-endian unsigned 32-bit; left out if not ``ids``), n_tokens, ids_sha256, decoded_sha256."""
-    kind = dict(docs.dtypes)[key]
 
-    def run(batches):
+    def make():
         enc = load(path, pattern)
-        for b in batches:
+        safe = safe_cut(pattern)
+
+        def run(b):
             rows = []
-            for t in b["t"]:
-                x = encode(t, enc)
+            for t in b.column("t").to_pylist():
+                x = encode(t, enc, safe)
                 raw = x.tobytes()
-                rows.append((raw if ids else None, len(x), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode(x, enc)).hexdigest()))
-            out = pd.DataFrame(rows, columns=["ids", "n_tokens", "ids_sha256", "decoded_sha256"])
-            out.insert(0, key, b[key].array)
-            yield out if ids else out.drop(columns="ids")
+                rows.append((*([raw] if ids else []), len(x), hashlib.sha256(raw).hexdigest(), hashlib.sha256(decode(x, enc)).hexdigest()))
+            return list(zip(*rows, strict=True)) if rows else [[] for _ in range(3 + ids)]
+
+        return run
 
-    schema = f"`{key}` {kind}, " + "ids binary, " * ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return docs.select(key, whole_text(text).alias("t")).mapInPandas(run, schema)
+    added = "ids binary, " * ids + "n_tokens long, ids_sha256 string, decoded_sha256 string"
+    return with_columns(docs.select(key, whole_text(text).alias("t")), added, make, drop=("t",))
 
 
 def op3_bpe_roundtrip(spark, sf_dir: str) -> DataFrame:
