@@ -2,10 +2,12 @@
 
 The kernel of two texts is the number of character n-grams (n from 1 to 4, blended) both have, presence only, divided by the root of
 the product of their own numbers. A bounded sample of labelled texts trains it: some serve as Nystroem landmarks, one-versus-
-rest kernel ridge regression is solved over the landmark map, and all texts are scored in batches by one matrix product.
+rest kernel ridge regression is solved over the landmark map, and all texts are scored in batches by one matrix product. A long text
+is read in segments of SEGMENT characters, so that presence never fills up, and its class values are the mean over all of them.
 
-Null texts and texts without a letter are ``und`` with score 0. Repeated rows are kept. With no labelled rows every text is
-``und``. Labels, sources and keys are no inputs of a prediction.
+Null texts and texts without a letter are ``und`` with score 0. Null keys and repeated rows are kept. With no labelled rows every text is
+``und``. Labels, sources and keys are no inputs of a prediction. Every language that has a labelled text can be predicted, however many there
+are; the samples of each are smaller then. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -13,20 +15,28 @@ from __future__ import annotations
 import re
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from textquarry.llm.common import held_out, mix64, table, trainable
+from textquarry.llm.common import held_out, table, trainable, with_columns
 
 #: Width of the hashed presence vectors; n-grams that fall together count once.
 WIDTH = 1 << 14
 SPECTRUM = 4
-#: Bounds of what is learned from: texts a language, landmarks a language, languages.
-TEXTS, LANDMARKS, LANGUAGES = 250, 40, 500
+#: Characters of a text that are compared at once.
+SEGMENT = 8000
+#: Bounds of what is learned from: characters a sampled text, texts a language and in all (but LEAST of each language), landmarks a
+#: language and in all.
+CHARS, TEXTS, ALL_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 4000, 250, 20_000, 5, 40, 1000
 RIDGE = 1e-3
 BATCH = 64
-_LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """Whether any character is a letter; numerals such as fractions, which count as word characters, are none."""
+    return any(m[0].isalpha() for m in _WORD.finditer(text))
 
 
 def presence(text: str, out: np.ndarray) -> None:
@@ -61,7 +71,8 @@ class Model:
         if not classes:
             return cls([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32))
         y = np.array([classes.index(x) for x in langs])
-        chosen = np.concatenate([np.flatnonzero(y == c)[:LANDMARKS] for c in range(len(classes))])
+        each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(classes)))
+        chosen = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(classes))])[:ALL_LANDMARKS]
         marks = kernel_rows([texts[i] for i in chosen])
         k = np.concatenate([kernel_rows(texts[i : i + BATCH]) @ marks.T for i in range(0, len(texts), BATCH)]).astype(np.float64)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
@@ -77,45 +88,48 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         lang, score = ["und"] * len(texts), [0.0] * len(texts)
-        todo = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.classes else []
-        for at in range(0, len(todo), BATCH):
-            part = todo[at : at + BATCH]
-            f = (kernel_rows([texts[i] for i in part]) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
-            best = f.argmax(axis=1)
-            e = np.exp(3 * (f - f.max(axis=1, keepdims=True)).astype(np.float64))
-            sure = 1 / e.sum(axis=1)
-            for i, b, s in zip(part, best.tolist(), sure.tolist(), strict=True):
-                lang[i], score[i] = self.classes[b], s
+        todo = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.classes else []
+        if not todo:
+            return lang, score
+        parts = [(i, at) for i in todo for at in range(0, len(texts[i]), SEGMENT)]
+        total, owner = np.zeros((len(texts), len(self.classes))), np.array([i for i, _ in parts])
+        for at in range(0, len(parts), BATCH):
+            rows = kernel_rows([texts[i][a : a + SEGMENT] for i, a in parts[at : at + BATCH]])
+            values = (rows @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
+            weight = np.array([min(SEGMENT, len(texts[i]) - a) / len(texts[i]) for i, a in parts[at : at + BATCH]])
+            np.add.at(total, owner[at : at + BATCH], values * weight[:, None])
+        f = total[todo]
+        sure = 1 / np.exp(3 * (f - f.max(axis=1, keepdims=True))).sum(axis=1)
+        for i, b, s in zip(todo, f.argmax(axis=1).tolist(), sure.tolist(), strict=True):
+            lang[i], score[i] = self.classes[b], s
         return lang, score
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """From at most TEXTS texts of each of at most LANGUAGES languages, those of least key hash."""
-    rows = docs.where(trainable(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
-    counts = rows.groupBy(lang).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), lang).limit(LANGUAGES).collect()
-    picked = None
-    for r in counts:
-        ids = rows.where(F.col(lang) == r[0]).select(key, F.lit(r[0]).alias("label")).orderBy(F.xxhash64(key), key).limit(TEXTS)
-        picked = ids if picked is None else picked.unionByName(ids)
-    if picked is None:
+    """From a bounded number of texts of each language, those of least key hash, up to CHARS characters of each: one pass over all keys, in
+    which each task keeps as many a language, and one over the texts."""
+    rows = docs.where(trainable(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("label"), F.col(text).alias("t"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    languages = rows.select("label").distinct().count()
+    if not languages:
         return Model.fit([], [])
-    # at most TEXTS x LANGUAGES short rows; the texts come by a broadcast join on them
-    sample = rows.join(F.broadcast(picked.dropDuplicates([key])), key).where(F.col(lang) == F.col("label")).select(F.xxhash64(key).alias("h"), F.col(text).alias("t"), "label").orderBy("h", "t").limit(TEXTS * len(counts))
-    got = sample.collect()
-    return Model.fit([r["t"] for r in got], [r["label"] for r in got])
+    texts = max(LEAST, min(TEXTS, ALL_TEXTS // languages))
+    picked = rows.select("h", "label").withColumn("r", rank).where(F.col("r") <= texts).select("h", "label").distinct()
+    # at most that many short rows; a key with several texts gives one
+    sample = rows.join(F.broadcast(picked), ["h", "label"]).select("h", "label", F.substring("t", 1, CHARS).alias("t"))
+    got = sorted((r["h"], r["label"], r["t"]) for r in sample.groupBy("h", "label").agg(F.min("t").alias("t")).collect())
+    return Model.fit([t for _, _, t in got], [x for _, x, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, lang_pred, score."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH x landmarks numbers, bounded
 
-    def run(batches):
+    def make():
         m = shared.value
-        for b in batches:
-            lang, score = m.predict([t if isinstance(t, str) else None for t in b["t"]])
-            yield pd.DataFrame({key: b[key].array, "lang_pred": lang, "score": score})
+        return lambda b: list(m.predict(b.column("t").to_pylist()))
 
-    return docs.select(key, F.col(text).alias("t")).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, lang_pred string, score double")
+    return with_columns(docs.select(key, F.col(text).alias("t")), "lang_pred string, score double", make, drop=("t",))
 
 
 def op7_language_id(spark, sf_dir: str) -> DataFrame:
