@@ -1,41 +1,60 @@
 """Quality classification by co-training.
 
-Two views of a document: its text content (hashed 3-grams of bytes) and its page metadata (language, length, and how the page is
-laid out: lines, words, character classes, repetition). A logistic classifier of each view learns from labelled rows; over
-rounds each hands its surest judgements of unlabelled rows to the other as labels. Both are then calibrated on labelled rows
-that neither learned from, and a document's score is the mean of the calibrated log-odds.
-
-Null and empty texts have metadata only in effect: their content view is even odds. Without labels of both kinds every document scores 0.5 and
-is kept. Repeated rows are kept; other columns pass through. An empty table gives no rows.
+Two views of a document share no feature. Its text content: hashed 3-grams of its letters alone (case, digits, marks and line ends taken out),
+and how varied its words are. Its page metadata: source, language, length, and how the page is set: lines, capitals, digits, marks and
+symbols, of which the content view sees nothing. A logistic classifier of each view learns from labelled rows; over rounds each hands its
+surest judgements of unlabelled rows to the other as labels. Both are then calibrated on labelled rows that neither learned from, and
+a document's log-odds are the sum of both views' less those of the labels' share, as of two witnesses that don't confer.
+
+Null and empty texts have no content view: the metadata alone decide. Without labels of both kinds every document scores 0.5 and
+is kept. Null keys and repeated rows are kept, as are other columns, whatever their names; of a labelled key with several rows one is
+learned from. A missing source is a value of its own. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import held_out, table, trainable
+from textquarry.llm.common import fresh, held_out, table, trainable, with_columns
 
-WIDTH = 1024
-LANGS = ("en", "de", "fr", "es")
+#: Hashed 3-grams and four numbers of words, each also as one of STEPS steps; hashed sources and languages beside the page's numbers.
+GRAMS, STEPS, SOURCES, LANGS = 512, 8, 32, 8
+CONTENT, META = GRAMS + 4 * (STEPS + 1), SOURCES + LANGS + 12
 #: Bounds: labelled rows of each class, unlabelled rows, and how the co-training goes.
 LABELLED, POOL, ROUNDS, SURE, EACH = 2500, 4000, 3, 0.97, 300
 THRESHOLD = 0.5
-META = 19
-
 
-def content_view(raw: np.ndarray) -> np.ndarray:
-    """Root of the share of each hashed 3-gram of bytes of the whole text, as a unit vector."""
-    if len(raw) < 3:
-        return np.zeros(WIDTH, dtype=np.float32)
-    x = raw.astype(np.uint32)
+_LETTER = np.full(256, 32, dtype=np.uint8)  # a letter's lower case; all else is a blank
+_LETTER[97:123] = _LETTER[65:91] = np.arange(97, 123)
+_LETTER[128:] = np.arange(128, 256)
+
+
+def content_view(data: bytes) -> np.ndarray:
+    """Root of the share of each hashed 3-gram of the whole text's letters, words apart by one blank; then how many of its words differ,
+    how often one stands next to itself, how many are short, and how long they are."""
+    out = np.zeros(CONTENT, dtype=np.float32)
+    x = _LETTER[np.frombuffer(data, dtype=np.uint8)]
+    blank = x == 32
+    x = x[~(blank & np.concatenate([[False], blank[:-1]]))] if len(x) else x
+    if len(x) < 3:
+        return out
+    words = x.tobytes().split()
+    n = max(1, len(words))
+    differ = len(set(words)) / n / max(0.2, min(1.0, 60 / math.sqrt(n + 1)))
+    again = sum(a == b for a, b in zip(words, words[1:], strict=False)) / n
+    numbers = (min(1.0, differ / 2), again, sum(len(w) < 4 for w in words) / n, min(1.0, len(x) / n / 16))
+    for i, v in enumerate(numbers):
+        out[GRAMS + i] = v
+        out[GRAMS + 4 + i * STEPS + min(STEPS - 1, int(v * STEPS))] = 1.0
+    x = x.astype(np.uint32)
     h = (x[:-2] * np.uint32(0x9E3779B1) + x[1:-1] * np.uint32(0x85EBCA77) + x[2:] * np.uint32(0xC2B2AE3D)) * np.uint32(0x27D4EB2F)
-    counts = np.bincount(h >> np.uint32(22), minlength=WIDTH)
-    return np.sqrt(counts / (len(raw) - 2)).astype(np.float32)
+    out[:GRAMS] = np.sqrt(np.bincount(h >> np.uint32(23), minlength=GRAMS) / (len(x) - 2))
+    return out
 
 
 _CLASS = np.zeros(256, dtype=np.uint8)  # 0 other, 1 lower, 2 upper, 3 digit, 4 space, 5 line end, 6 sentence mark, 7 symbol, 8 beyond ASCII
@@ -47,26 +66,24 @@ for _c in b"#$%&*+/<=>@\\^_`{|}~[]":
 _CLASS[128:] = 8
 
 
-def metadata_view(raw: np.ndarray, lang: str | None, words: list[str]) -> np.ndarray:
+def metadata_view(data: bytes, lang: str | None, source: str | None) -> np.ndarray:
     out = np.zeros(META, dtype=np.float32)
+    raw = np.frombuffer(data, dtype=np.uint8)
     n = max(1, len(raw))
-    out[:9] = np.bincount(_CLASS[raw], minlength=9)[:9] / n
-    out[9] = math.log1p(len(raw)) / 10
+    share = np.bincount(_CLASS[raw], minlength=9) / n
+    letters = share[1] + share[2] + share[8]
+    out[:8] = [share[0], share[2] / max(letters, 1e-6), share[3], share[4], share[5], share[6], share[7], letters]
+    out[8] = math.log1p(len(raw)) / 10
     lines = int((raw == 10).sum()) + 1
-    out[10] = math.log1p(n / lines) / 10
-    out[11] = len(set(words)) / max(1, len(words)) / max(0.2, min(1.0, 60 / math.sqrt(len(words) + 1)))
-    out[12] = sum(a == b for a, b in zip(words, words[1:], strict=False)) / max(1, len(words))
-    out[13] = min(1.0, n / max(1, len(words)) / 20)
-    for i, x in enumerate(LANGS):
-        out[14 + i] = lang == x
-    out[18] = 1.0
+    out[9], out[10], out[11] = math.log1p(n / lines) / 10, math.log1p(lines) / 10, 1.0
+    for at, width, value in ((12, SOURCES, source), (12 + SOURCES, LANGS, lang)):
+        out[at + zlib.crc32((value or "").encode("utf-8", "surrogatepass")) % width] = 1.0
     return out
 
 
-def views(text: str | None, lang: str | None) -> tuple[np.ndarray, np.ndarray]:
-    data = (text if isinstance(text, str) else "").encode("utf-8", "surrogatepass")
-    raw = np.frombuffer(data, dtype=np.uint8)
-    return content_view(raw), metadata_view(raw, lang, data.split())
+def views(text: str | None, lang: str | None, source: str | None) -> tuple[np.ndarray, np.ndarray]:
+    data = (text or "").encode("utf-8", "surrogatepass")
+    return content_view(data), metadata_view(data, lang, source)
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
@@ -93,8 +110,8 @@ def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
 
-def calibrate(o: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Platt scaling: slope and shift for log-odds, from rows the classifier didn't learn from."""
+def calibrate(o: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, float]:
+    """Platt scaling: slope and shift for log-odds, from rows the classifier didn't learn from that count ``share`` each."""
     unit = float(np.abs(o).mean()) or 1.0
     x = np.stack([o / unit, np.ones_like(o)], axis=1)
     t = np.where(y == 1, (y.sum() + 1) / (y.sum() + 2), 1 / ((1 - y).sum() + 2))
@@ -102,11 +119,11 @@ def calibrate(o: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
     def loss(w):
         z = x @ w
-        return float(np.sum(np.logaddexp(0, z) - t * z)) + 0.5 * hold * float(w @ w)
+        return float(np.sum(share * (np.logaddexp(0, z) - t * z))) + 0.5 * hold * float(w @ w)
 
     for _ in range(40):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + hold * np.eye(2), x.T @ (p - t) + hold * w)
+        step = np.linalg.solve((x * (share * p * (1 - p))[:, None]).T @ x + hold * np.eye(2), x.T @ (share * (p - t)) + hold * w)
         size = 1.0
         while size > 1e-4 and loss(w - size * step) > loss(w):
             size /= 2
@@ -116,16 +133,18 @@ def calibrate(o: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 
 class CoTrained:
-    def __init__(self, content=None, meta=None, scale=None):
-        self.content, self.meta, self.scale = content, meta, scale
+    def __init__(self, content=None, meta=None, scale=None, prior=0.0):
+        self.content, self.meta, self.scale, self.prior = content, meta, scale, prior
 
     @classmethod
-    def fit(cls, xc: np.ndarray, xm: np.ndarray, y: np.ndarray) -> "CoTrained":
-        """``y``: 0, 1 or -1 for unlabelled. A fifth of the labelled rows is left for calibration."""
+    def fit(cls, xc: np.ndarray, xm: np.ndarray, y: np.ndarray, every: tuple[int, int] | None = None) -> "CoTrained":
+        """``y``: 0, 1 or -1 for unlabelled. A fifth of the labelled rows is left for calibration. ``every``: how many labelled rows of
+        either class there are, where fewer were taken."""
         if (y == 0).sum() < 5 or (y == 1).sum() < 5:
             return cls()
-        at = np.arange(len(y))
-        spare = (y >= 0) & (at % 5 == 4)
+        every = every or (int((y == 0).sum()), int((y == 1).sum()))
+        order = np.cumsum(y >= 0) - 1  # place among the labelled rows
+        spare = (y >= 0) & (order % 5 == 4)
         mine = [np.where(spare, -1, y).copy() for _ in range(2)]  # what each view learns from
         free = (y < 0) & ~spare
         for turn in range(ROUNDS + 1):
@@ -137,67 +156,77 @@ class CoTrained:
                 for label, sure in ((1, p), (0, 1 - p)):
                     able = np.flatnonzero(free & (mine[1 - giver] < 0) & (sure >= SURE))
                     mine[1 - giver][able[np.argsort(-sure[able], kind="stable")[:EACH]]] = label
-        # calibration restores the labelled share of classes that balancing took out
-        scale = [calibrate(odds(x[spare], m), y[spare].astype(float)) for x, m in zip((xc, xm), models, strict=True)]
-        return cls(models[0], models[1], scale)
-
-    def score(self, text, lang) -> tuple[float, float, float]:
+        # calibration restores the share of classes that balancing, and the bound on rows, took out
+        z = y[spare].astype(float)
+        share = np.where(z == 1, every[1] / max(1.0, z.sum()), every[0] / max(1.0, (1 - z).sum()))
+        share *= len(z) / share.sum()
+        scale = [calibrate(odds(x[spare], m), z, share) for x, m in zip((xc, xm), models, strict=True)]
+        return cls(models[0], models[1], scale, math.log(every[1] / every[0]))
+
+    def score(self, text, lang, source) -> tuple[float, float, float]:
         """Probability of good quality by content, by metadata, and by both."""
         if self.content is None:
             return 0.5, 0.5, 0.5
-        c, m = views(text, lang)
+        c, m = views(text, lang, source)
         a, b = (s[0] * float(odds(x, w)) + s[1] for x, w, s in ((c, self.content, self.scale[0]), (m, self.meta, self.scale[1])))
         if not c.any():
-            a = 0.0
-        return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in (a, b, (a + b) / 2))
+            a = self.prior
+        return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in (a, b, a + b - self.prior))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> CoTrained:
-    """From at most LABELLED rows of each class and POOL unlabelled ones, those of least key hash."""
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy(key).agg(F.max(F.col("quality").cast("int")).alias("y"))
-    near = lambda rows, n: rows.orderBy(F.xxhash64(key), key).limit(n)
-    pool = near(docs.select(key).join(known, key, "left_anti").select(key, F.lit(-1).alias("y")).where(F.col(key).isNotNull()), POOL)
-    picked = pool
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> CoTrained:
+    """From at most LABELLED rows of each class and POOL unlabelled ones, those of least key hash, one row a key."""
+    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col("quality").cast("int")).alias("y")).where("k IS NOT NULL")
+    every = {r["y"]: r["n"] for r in known.where(trainable("k")).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    near = lambda rows, n: rows.orderBy(F.xxhash64("k"), "k").limit(n)
+    keys = docs.select(F.col(key).alias("k")).where("k IS NOT NULL")
+    picked = near(keys.join(known, "k", "left_anti").select("k", F.lit(-1).alias("y")).distinct(), POOL)
     for y in (0, 1):
-        picked = picked.unionByName(near(known.where((F.col("y") == y) & trainable(key)), LABELLED))
-    rows = docs.select(key, F.col(text).alias("t"), F.col(lang).alias("l")).join(F.broadcast(picked.dropDuplicates([key])), key)
+        picked = picked.unionByName(near(known.where((F.col("y") == y) & trainable("k")), LABELLED))
+    column = lambda n: F.col(n) if n in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), column(lang).alias("l"), column(source).alias("s")).join(F.broadcast(picked), "k")
+
+    def make():
+        def run(b):
+            both = [views(*r) for r in zip(*(b.column(n).to_pylist() for n in ("t", "l", "s")), strict=True)]
+            return [[c.astype("<f2").tobytes() for c, _ in both], [m.astype("<f4").tobytes() for _, m in both]]
 
-    def run(batches):
-        for b in batches:
-            both = [views(t, x) for t, x in zip(b["t"], b["l"], strict=True)]
-            yield pd.DataFrame({"h": [str(k) for k in b[key]], "y": b["y"], "c": [c.astype("<f2").tobytes() for c, _ in both], "m": [m.tobytes() for _, m in both]})
+        return run
 
-    # bounded: 9,000 rows of 2 kB
-    got = rows.mapInPandas(run, "h string, y int, c binary, m binary").toPandas().sort_values(["h", "y"], kind="stable")
-    if not len(got):
+    seen = with_columns(rows.select(F.xxhash64("k").alias("h"), "y", "t", "l", "s"), "c binary, m binary", make, drop=("t", "l", "s"))
+    # bounded: 9,000 rows of 2 kB, as a repeated key counts once
+    got = sorted(seen.groupBy("h").agg(F.min(F.struct("y", "c", "m")).alias("x")).select("h", "x.*").collect(), key=lambda r: r["h"])
+    if not got or len(every) < 2:
         return CoTrained()
-    xc = np.frombuffer(b"".join(got["c"]), dtype="<f2").reshape(-1, WIDTH).astype(np.float32)
-    xm = np.frombuffer(b"".join(got["m"]), dtype=np.float32).reshape(-1, META)
-    return CoTrained.fit(xc, xm, got["y"].to_numpy())
+    xc = np.frombuffer(b"".join(r["c"] for r in got), dtype="<f2").reshape(-1, CONTENT).astype(np.float32)
+    xm = np.frombuffer(b"".join(r["m"] for r in got), dtype="<f4").reshape(-1, META)
+    return CoTrained.fit(xc, xm, np.array([r["y"] for r in got]), (every[0], every[1]))
 
 
-def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang") -> DataFrame:
-    """``docs`` with content_score, meta_score and quality_score at the end."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH + META numbers
-    names = ("content_score", "meta_score", "quality_score")
-    schema = ", ".join(f"`{n}` {t}" for n, t in docs.dtypes) + "".join(f", {n} double" for n in names)
+def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source", names: tuple[str, str, str] = ("content_score", "meta_score", "quality_score")) -> DataFrame:
+    """``docs`` with three scores at the end: by content, by metadata, by both."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # CONTENT + META numbers
 
-    def run(batches):
+    def make():
         m = shared.value
-        for b in batches:
-            got = [m.score(t, x) for t, x in zip(b[text], b[lang], strict=True)]
-            yield b.assign(**{n: [g[i] for g in got] for i, n in enumerate(names)})
 
-    return docs.mapInPandas(run, schema)
+        def run(b):
+            columns = [b.column(n).to_pylist() if n in b.schema.names else [None] * len(b) for n in (text, lang, source)]
+            rows = [m.score(*r) for r in zip(*columns, strict=True)]
+            return list(zip(*rows, strict=True)) if rows else [[], [], []]
+
+        return run
+
+    return with_columns(docs, ", ".join(f"`{n}` double" for n in names), make)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents at or over the threshold, with their columns."""
-    out = score(docs, learn(docs, labels)).where(F.col("quality_score") >= THRESHOLD)
-    return out.select(*docs.columns)
+    names = tuple(fresh(docs.columns, "content_score", "meta_score", "quality_score"))
+    return score(docs, learn(docs, labels), names=names).where(F.col(names[2]) >= THRESHOLD).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def op2_cotraining_quality(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
     out = score(docs, learn(docs, table(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out().alias("held_out"), "content_score", "meta_score", F.col("quality_score").alias("score"), (F.col("quality_score") >= THRESHOLD).cast("int").alias("predicted"))
