@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import materialise, mix64, shingle_hashes, table, whole_text
+from textquarry.llm.common import dealt_join, discard, fresh, hot_keys, materialise, mix64, shingle_hashes, table, whole_text, with_columns
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -119,18 +119,21 @@ def text_digest(text: str) -> Column:
 def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """id, digest, bands of each document; bands is empty for a text without words."""
 
-    def run(batches):
-        kept = {}
-        for b in batches:
+    def make():
+        kept: dict[bytes, np.ndarray] = {}
+
+        def run(b):
             if len(kept) > 2000:
                 kept.clear()
-            sets, ready = {}, 0
+            sets: dict[bytes, tuple] = {}
+            ready = 0
 
             def sign():
                 kept.update(zip(sets, band_keys(dart_minhashes(list(sets.values()))), strict=True) if sets else ())
                 sets.clear()
 
-            for digest, t in zip(b["digest"], b["t"], strict=True):
+            digests = b.column("digest").to_pylist()
+            for digest, t in zip(digests, b.column("t").to_pylist(), strict=True):
                 if digest not in kept and digest not in sets:
                     sets[digest] = weighted_shingles(t)
                     if not len(sets[digest][0]):
@@ -142,10 +145,12 @@ def signatures(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Data
                         sign()
                         ready = 0
             sign()
-            yield pd.DataFrame({"id": b["id"].array, "digest": b["digest"].array, "bands": [kept[d] for d in b["digest"]]})
+            return [[kept[d] for d in digests]]
+
+        return run
 
     rows = docs.select(F.col(key).cast("long").alias("id"), text_digest(text).alias("digest"), whole_text(text).alias("t"))
-    return rows.mapInPandas(run, "id long, digest binary, bands array<long>")
+    return with_columns(rows, "bands array<long>", make, drop=("t",))
 
 
 def with_texts(edges: DataFrame, texts: DataFrame) -> DataFrame:
@@ -261,41 +266,46 @@ def prefix_pairs(keys: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """(id, class): the least id of each id's component, for ids that have an edge. Each round contracts every node into its least
-    neighbour; maps and edges are written to the shared folder, so no round depends on a lost executor."""
+    """(id, class): one id of each id's component, the same for all of it, for ids that have an edge.
+
+    Each round contracts every node into that of its neighbours and itself whose hash is least. Hashes know nothing of the ids' order, so
+    a chain, too, loses a good part of its nodes a round, and a star all but its centre in two: rounds grow with the logarithm of a component.
+    Maps and edges are written to the shared folder, so no round depends on a lost executor; joins on nodes of many edges are dealt.
+    """
     spark = edges.sparkSession
-    maps = []
-    while True:
-        edges = materialise(edges, label)
-        if edges.isEmpty():
-            break
-        both = edges.select("a", "b").union(edges.select("b", "a"))
-        step = materialise(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("to")), label)
-        maps.append(step)
-        x = edges.join(step.withColumnRenamed("to", "x"), "a").select("b", "x")
-        x = x.join(step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b")
-        edges = x.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    maps, edges, n = [], materialise(edges.select("a", "b"), label), 0
+    while n := edges.count():
+        both = edges.union(edges.select("b", "a"))
+        place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
+        least = both.groupBy("a").agg(F.min(place("b")).alias("m"), F.count(F.lit(1)).alias("n"))
+        step = materialise(least.select("a", F.least("m", place("a"))["id"].alias("to"), "n"), label)
+        hot = hot_keys(step, "a", "n", 2 * n)
+        x = dealt_join(edges, step.select("a", F.col("to").alias("x")), "a", hot, F.col("b")).select("b", "x")
+        hot = hot.withColumnRenamed("a", "b")
+        x = dealt_join(x, step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", hot, F.col("x"))
+        after = materialise(x.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), label)
+        discard(spark, edges)
+        maps.append(step.select("a", "to"))
+        edges = after
     if not maps:
         return spark.createDataFrame([], "id long, class long")
     out = maps[0].select(F.col("a").alias("id"), F.col("to").alias("class"))
     for step in maps[1:]:
+        # a node that later rounds contract further has an edge there: only those move on
         out = out.join(step.select(F.col("a").alias("class"), "to"), "class", "left").select("id", F.coalesce("to", "class").alias("class"))
+    out = materialise(out, label)
+    discard(spark, edges, *maps)
     return out
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, digest, class, class_digest, kept) of every document: class and class_digest are the least (id, digest) of its
     near-duplicate class, kept says whether the document has them."""
-    return _classified(docs, key, text)[0]
-
-
-def _classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, bool]:
-    """What near_duplicates gives, and whether any (id, digest) has several rows."""
     sig = materialise(signatures(docs, key, text), "signatures")
-    repeats = bool(sig.groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count())
     # exact copies first: one node a text, numbered once in what is written; rep is its least id, null first
-    nodes = sig.groupBy("digest").agg(F.min(F.struct("id"))["id"].alias("rep"), F.max("bands").alias("bands"))
+    nodes = sig.groupBy("digest").agg(F.min(F.struct("id"))["id"].alias("rep"), F.max("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    spark, hot = docs.sparkSession, hot_keys(nodes, "digest", "copies", sig.count())
     bands = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("band"))
     deal = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
@@ -309,15 +319,15 @@ def _classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     stars = mates.where("a <> b")
     # the texts of those that share a bucket, each from one row
     ids = mates.select(F.col("a").alias("node")).distinct()
-    ids = nodes.join(ids, "node").select("node", "rep", F.col("digest").alias("of"))
+    ids = nodes.join(ids, "node").select("node", "rep", "digest")
     rows = docs.select(F.col(key).cast("long").alias("own"), text_digest(text).alias("digest"), whole_text(text).alias("t"))
-    texts = rows.join(ids, (F.col("digest") == F.col("of")) & F.col("own").eqNullSafe(F.col("rep")))
-    texts = texts.dropDuplicates(["digest", "own"]) if repeats else texts
+    texts = dealt_join(rows, ids, "digest", hot, F.struct("own", F.spark_partition_id())).where(F.col("own").eqNullSafe(F.col("rep")))
+    texts = texts.groupBy("node").agg(F.first("t").alias("t"))  # repeated rows have the same text
     texts = materialise(texts.select(F.col("node").alias("id"), "t"), "texts")  # once: the join that picks them is the only one over all texts
     links = materialise(verify(stars, texts), "links")
-    classes = materialise(components(links), "classes")
+    first = components(links)
     # hubs whose mates (itself aside, it has met them all) lie in more than one class: all links across, by the prefix filter
-    named = stars.join(classes, stars["a"] == classes["id"], "left").select("a", "b", "n", F.coalesce("class", "a").alias("class"))
+    named = stars.join(first, stars["a"] == first["id"], "left").select("a", "b", "n", F.coalesce("class", "a").alias("class"))
     counts = named.groupBy("b", "class").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n"))
     mixed = counts.groupBy("b").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("m", "class"))["class"].alias("top"), F.max(F.ceil(F.col("n") / PER_SALT)).alias("salts"))
     mixed = mixed.where("classes > 1").select("b", "top", F.explode(F.sequence(F.lit(0), F.col("salts").cast("int") - 1)).alias("salt"))
@@ -326,25 +336,31 @@ def _classified(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tup
     keys = materialise(group_keys(odd, texts), "keys")
     pairs = prefix_pairs(keys).join(stars, ["a", "b"], "left_anti").withColumn("n", F.lit(1))
     more = verify(pairs, texts)
-    classes = materialise(components(links.unionByName(more)), "classes")
+    classes = components(links.unionByName(more))
+    discard(spark, crowded, mates, texts, links, first, keys)
     # back to ids: the least (id, digest) of each class of several texts, dealt over salts to them
     found = classes.join(nodes.select("node", "rep", "digest"), F.col("id") == F.col("node")).select("node", "class", "rep", "digest")
     least = found.groupBy("class").agg(F.min(F.struct("rep", "digest")).alias("least"))
     found = found.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int")).join(deal(least), ["class", "salt"]).select("node", "least")
     named = nodes.select("node", "rep", "digest").join(found, "node", "left")
     named = named.select("digest", F.coalesce("least", F.struct("rep", "digest")).alias("least"))
-    out = sig.select("id", "digest").join(named, "digest")
-    first = F.col("id").eqNullSafe(F.col("least.rep")) & (F.col("digest") == F.col("least.digest"))
-    return out.select("id", "digest", F.col("least.rep").alias("class"), F.col("least.digest").alias("class_digest"), first.alias("kept")), repeats
+    out = dealt_join(sig.select("id", "digest"), named, "digest", hot, F.struct("id", F.spark_partition_id()))
+    kept = F.col("id").eqNullSafe(F.col("least.rep")) & (F.col("digest") == F.col("least.digest"))
+    return out.select("id", "digest", F.col("least.rep").alias("class"), F.col("least.digest").alias("class_digest"), kept.alias("kept"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One document of each class: that of least (doc_id, digest); of repeated rows with both, one."""
-    classes, repeats = _classified(docs)
-    gone = classes.where("not kept").select(F.col("id").alias("_gone"), F.col("digest").alias("_gone_digest")).distinct()
-    rows = docs.withColumn("_digest", text_digest("text"))
-    kept = rows.join(gone, rows["doc_id"].cast("long").eqNullSafe(gone["_gone"]) & (rows["_digest"] == gone["_gone_digest"]), "left_anti")
-    return (kept.dropDuplicates(["doc_id", "_digest"]) if repeats else kept).drop("_digest")
+    classes = materialise(near_duplicates(docs).select("id", "digest", "kept"), "kept")
+    gone = classes.where("not kept").select("id", "digest").distinct()
+    # rows that stand for a class several times over: only they are shuffled by what repeats
+    several = materialise(classes.where("kept").groupBy("id", "digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id", "digest"), "several")
+    mine, own = fresh(docs.columns, "digest", "own")
+    rows = docs.withColumns({mine: text_digest("text"), own: F.col("doc_id").cast("long")})
+    same = lambda x: rows[own].eqNullSafe(x["id"]) & (rows[mine] == x["digest"])
+    once = rows.join(gone.unionByName(several), same(gone), "left_anti")
+    again = rows.join(several, same(several), "left_semi").dropDuplicates([own, mine])
+    return once.unionByName(again).drop(mine, own)
 
 
 def op8_dart_minhash_dedup(spark, sf_dir: str) -> DataFrame:
