@@ -4,7 +4,8 @@ A spot signature is a common word (the anchor) with the two content words that f
 text's start counts as an anchor too, so that any text with words has a signature; a text without words has one of its
 own characters. Where common words are missing, in a stretch of more than RUN content words without an anchor or in a text of
 fewer than FEW anchors, every word of the stretch is an anchor itself, so texts of other languages, lists, logs and tables
-are covered to their end. The fingerprint is the sorted set of 32-bit signature hashes in hex, and likeness is the Jaccard index of two sets.
+are covered to their end. The fingerprint is the sorted set of 32-bit signature hashes in hex. Sets are partitioned by length and compared by a
+pruned Jaccard index: pairs whose partitions or lengths rule the least likeness out aren't intersected (op1: under FLOOR, given as 0).
 
 Null texts are read as empty, and two empty texts are alike (1.0). Equal texts have equal fingerprints. Repeated rows are kept.
 Null keys sort after all others. Other columns are left out. An empty table gives no rows.
@@ -12,11 +13,13 @@ Null keys sort after all others. Other columns are left out. An empty table give
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from textquarry.llm.common import table, whole_text
+from textquarry.llm.common import dealt_join, hot_keys, materialise, table, whole_text
 from textquarry.llm.native import let
 
 #: Common words of English, German, French and Spanish.
@@ -62,11 +65,24 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, chains(w)).otherwise(F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))))
 
 
-def likeness(a: Column, b: Column) -> Column:
-    """Jaccard index of two sets, 1.0 of two empty ones; sizes that rule out any overlap are passed over."""
-    both = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b)
-    return F.when(total == 0, 1.0).when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / (total - both))
+#: Likeness below which op1 compares no further.
+FLOOR = 0.1
+
+
+def length_partition(n: Column, threshold: float) -> Column:
+    """Partition of a set's length: base^p to base^(p+1), base = 1/threshold. Sets that reach the threshold lie in the same or in
+    neighbouring partitions."""
+    return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
+
+
+def likeness(a: Column, b: Column, least: float = FLOOR) -> Column:
+    """Jaccard index of two sets, 1.0 of two empty ones. Pairs whose length partitions, or then lengths, rule ``least`` out are pruned: they
+    get 0.0 and their sets aren't intersected."""
+    na, nb = F.size(a), F.size(b)
+    apart = F.abs(length_partition(na, least) - length_partition(nb, least)) > 1
+    short = F.least(na, nb) < F.greatest(na, nb) * F.lit(least)
+    exact = let(F.size(F.array_intersect(a, b)), lambda both: both / (na + nb - both))
+    return F.when(na + nb == 0, 1.0).when((F.least(na, nb) == 0) | apart | short, 0.0).otherwise(exact)
 
 
 def printed(sigs: Column) -> Column:
@@ -74,61 +90,86 @@ def printed(sigs: Column) -> Column:
 
 
 def matches(docs: DataFrame, threshold: float = 0.8, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Pairs (a, b, likeness) of different fingerprints at or over the threshold, each fingerprint by its least key.
+    """Pairs of different fingerprints at or over the threshold: (a, b, likeness, a_print, b_print), each fingerprint by the least key that
+    has it (null first) and by its MD5. Documents of equal fingerprints are folded, whatever their keys; texts without words aren't compared.
 
     Sets meet only in the same or the next partition of lengths, on a signature among the first of each set in a global order
     by rarity (prefix filter): if two sets share less than that, they can't reach the threshold. Lengths rule out the rest.
     """
-    sets = docs.select(F.col(key).alias("k"), signatures(whole_text(text)).alias("s"))
-    sets = sets.groupBy("s").agg(F.min("k").alias("k")).where(F.size("s") > 0).withColumn("n", F.size("s"))
-    spots = sets.select("k", "n", F.explode("s").alias("sig"))
-    rarity = spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df"))
-    ordered = spots.join(rarity, "sig").withColumn("place", F.row_number().over(Window.partitionBy("k").orderBy("df", "sig")))
-    lead = ordered.where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * threshold) + 1)
-    # lengths in partition p reach from base^p to base^(p+1), base = 1/threshold: a partner is there or in the next
-    part = F.floor(F.log(F.col("n")) / F.lit(-__import__("math").log(threshold))).cast("int")
-    lead = lead.select("k", "n", "sig", part.alias("p"))
-    left = lead.select(F.col("k").alias("a"), F.col("n").alias("na"), "sig", F.explode(F.array("p", F.col("p") + 1)).alias("p"))
-    right = lead.select(F.col("k").alias("b"), F.col("n").alias("nb"), "sig", "p")
-    near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
-    pairs = left.join(right, ["sig", "p"]).where(near & (F.col("na") >= F.col("nb") * threshold)).select("a", "b").distinct()
-    x, y = sets.select(F.col("k").alias("a"), F.col("s").alias("sa")), sets.select(F.col("k").alias("b"), F.col("s").alias("sb"))
-    scored = pairs.join(x, "a").join(y, "b").select("a", "b", likeness(F.col("sa"), F.col("sb")).alias("likeness"))
+    sets = docs.select(F.col(key).alias("k"), signatures(whole_text(text)).alias("s")).where(F.size("s") > 0)
+    sets = sets.groupBy("s").agg(F.min(F.struct("k"))["k"].alias("k")).withColumns({"id": F.md5(printed(F.col("s"))), "n": F.size("s")})
+    sets = materialise(sets, "spot-sets")
+    spots = sets.select("id", "n", F.explode("s").alias("sig"))
+    rarity = materialise(spots.groupBy("sig").agg(F.count(F.lit(1)).alias("df")), "spot-rarity")
+    hot = hot_keys(rarity, "sig", "df", sets.count())
+    ordered = dealt_join(spots, rarity, "sig", hot, F.col("id")).groupBy("id", "n").agg(F.sort_array(F.collect_list(F.struct("df", "sig"))).alias("o"))
+    lead = F.transform(F.slice("o", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold) + 1).cast("int")), lambda x: x["sig"])
+    lead = ordered.select("id", "n", length_partition(F.col("n"), threshold).alias("p"), F.explode(lead).alias("sig"))
+    left = lead.select(F.col("id").alias("ia"), F.col("n").alias("na"), "sig", F.explode(F.array("p", F.col("p") + 1)).alias("p"))
+    right = lead.select(F.col("id").alias("ib"), F.col("n").alias("nb"), "sig", "p")
+    near = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ia") < F.col("ib")))
+    pairs = left.join(right, ["sig", "p"]).where(near & (F.col("na") >= F.col("nb") * threshold)).select("ia", "ib").distinct()
+    x, y = (sets.select(F.col("id").alias("i" + c), F.col("k").alias(c), F.col("s").alias("s" + c)) for c in "ab")
+    scored = pairs.join(x, "ia").join(y, "ib").select("a", "b", likeness(F.col("sa"), F.col("sb"), threshold).alias("likeness"), F.col("ia").alias("a_print"), F.col("ib").alias("b_print"))
     return scored.where(F.col("likeness") >= threshold)
 
 
-#: Documents a bucket of neighbours holds on average, and the most buckets there are (their edges are broadcast: under 4 MB).
+#: Documents a range of neighbours holds on average, and the most ranges there are (their edges are broadcast: under 4 MB).
 BUCKET_ROWS, MOST_BUCKETS = 400, 100_000
 
 
-def with_next(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(k, t, next): each text with the next document's by descending key, the last with the first's.
+def place_in(bounds: list[int], v: Column, upto: bool) -> Column:
+    """How many of the sorted ``bounds`` are less than ``v`` (``upto``: or equal to it), by binary search."""
+    values = F.array(*[F.lit(x) for x in bounds]).cast("array<long>")
+
+    def step(s: Column, _: Column) -> Column:
+        mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
+        at = F.get(values, mid)
+        more = (s["lo"] < s["hi"]) & ((at <= v) if upto else (at < v))
+        return F.struct(F.when(more, mid + 1).otherwise(s["lo"]).alias("lo"), F.when(more | (s["lo"] >= s["hi"]), s["hi"]).otherwise(mid).alias("hi"))
+
+    turns = F.sequence(F.lit(1), F.lit(len(bounds).bit_length() + 1))
+    return F.aggregate(turns, F.struct(F.lit(0).alias("lo"), F.lit(len(bounds)).alias("hi")), step)["lo"]
+
+
+def dealt(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(k, t, h, b, lent): each text with the hash that orders equal keys and its range b; and the last row of each range once more, lent to
+    the range above it, that of the highest to the lowest.
 
-    Keys are dealt into ranges; a range's last document finds its next in a copy of the following range's first one. Only the
-    ranges' edges are gathered, at most MOST_BUCKETS rows.
+    Ranges part the rows by quantiles of the keys, so none depends on how keys are spread; a key with more rows than a range takes
+    (it is several quantiles at once), or null, is parted further by the hash. Only the ranges' edges are gathered, at most MOST_BUCKETS short rows.
     """
     rows = docs.select(F.col(key).cast("long").alias("k"), whole_text("text").alias("t"))
-    low, high, n = rows.agg(F.min("k"), F.max("k"), F.count(F.lit(1))).first()
-    buckets = max(1, min(MOST_BUCKETS, n // BUCKET_ROWS))
-    low, high = (low, high) if low is not None else (0, 0)
-    width = max(1, -(-(high - low + 1) // buckets))
-    bucket = F.coalesce(F.floor((F.col("k") - low) / F.lit(width)), F.lit(-1)).cast("long")
-    rows = rows.withColumn("b", bucket)
-    tops = rows.groupBy("b").agg(F.max("k").alias("top"))
-    every = Window.orderBy(F.col("b").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    # the range above this one in descending order lends its edge from here; the topmost lends to the lowest
-    edges = tops.select("b", "top", F.coalesce(F.lag("b").over(Window.orderBy(F.col("b").desc())), F.last("b").over(every)).alias("to"))
-    edges = F.broadcast(edges)
-    dealt = rows.join(edges, (rows["b"] == edges["b"]) & rows["k"].eqNullSafe(edges["top"]), "left")
-    dealt = dealt.select("k", "t", F.explode(F.when(F.col("to").isNull(), F.array(F.struct(rows["b"].alias("b"), F.lit(0).alias("lent")))).otherwise(F.array(F.struct(rows["b"].alias("b"), F.lit(0).alias("lent")), F.struct(F.col("to").alias("b"), F.lit(1).alias("lent"))))).alias("x"))
-    return dealt.select("k", "t", "x.b", "x.lent")
+    n, known = rows.agg(F.count(F.lit(1)), F.count("k")).first()
+    ranges = max(1, min(MOST_BUCKETS, known // BUCKET_ROWS))
+    blank = max(1, min(MOST_BUCKETS, (n - known) // BUCKET_ROWS))
+    bounds = []
+    if ranges > 1:
+        bounds = list(rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 8 * ranges))).first()[0])
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    share = lambda parts: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts), parts - 1)
+    if bounds:
+        found = F.struct(place_in(bounds, F.col("k"), False).alias("lo"), place_in(bounds, F.col("k"), True).alias("hi"))
+        ranged = let(found, lambda x: x["lo"] + F.when(x["hi"] - x["lo"] > 1, share(x["hi"] - x["lo"])).otherwise(0))
+    else:
+        ranged = F.lit(0)
+    rows = rows.withColumn("b", F.when(F.col("k").isNull(), share(F.lit(blank)) - blank).otherwise(ranged).cast("long"))
+    tops = rows.groupBy("b").agg(F.max(F.struct("k", "h")).alias("top"))
+    # one row a range: a window over all of them is small
+    every = Window.orderBy("b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    edges = F.broadcast(tops.select(F.col("b").alias("eb"), "top", F.coalesce(F.lead("b").over(Window.orderBy("b")), F.first("b").over(every)).alias("to")))
+    met = rows.join(edges, (F.col("b") == F.col("eb")) & F.col("k").eqNullSafe(F.col("top.k")) & (F.col("h") == F.col("top.h")), "left")
+    own = F.struct(F.col("b"), F.lit(0).alias("lent"))
+    places = F.when(F.col("to").isNull(), F.array(own)).otherwise(F.array(own, F.struct(F.col("to").alias("b"), F.lit(1).alias("lent"))))
+    return met.select("k", "t", "h", F.explode(places).alias("x")).select("k", "t", "h", "x.b", "x.lent")
 
 
 def neighbours(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(k, t, s, next_t, next_s): each text and its signatures with those of the next document."""
-    dealt = with_next(docs, key).repartition("b").withColumn("s", signatures(F.col("t")))
-    order = Window.partitionBy("b").orderBy("lent", F.col("k").desc_nulls_last(), F.col("t").desc())
-    out = dealt.withColumn("after", F.lead(F.struct("t", "s")).over(order)).where("lent = 0")
+    """(k, t, s, next_t, next_s): each text and its signatures with those of the next document by descending key (after the last: the first;
+    equal keys by descending hash of their texts, null keys last)."""
+    rows = dealt(docs, key).repartition("b").withColumn("s", signatures(F.col("t")))
+    order = Window.partitionBy("b").orderBy(F.desc("lent"), F.col("k").asc_nulls_first(), "h")
+    out = rows.withColumn("after", F.lag(F.struct("t", "s")).over(order)).where("lent = 0")
     return out.select("k", "t", "s", F.coalesce(F.col("after.t"), F.col("t")).alias("next_t"), F.coalesce(F.col("after.s"), F.col("s")).alias("next_s"))
 
 
