@@ -94,27 +94,192 @@ FORMS = [
     (r"(?: agreement| terms| text| notice)", "", 32, 0.9),
     ("", "", 30, 0.9),
 ]
-#: Fixed phrases: first the two words of the keyword, then the rest as a regex, label, priority, score.
+#: Hand-written signatures: first the two words of the keyword, then the rest as a regex over words, label, priority, score.
 PHRASES = [
-    ("all rights", "reserved", "reserved", 20, 0.6),
-    ("general public", "licen[cs]e", "gpl", 25, 0.9),
-    ("creative commons", "zero|0|cc0", "cc0", 46, 1.0),
-    ("cc0 1", "0", "cc0", 46, 1.0),
-    ("public domain", "", "public-domain", 22, 0.7),
-    ("spdx license", r"identifier [\w]+(?: \d+){0,9}(?: only| or later)?", "spdx", 60, 1.0),
-    ("permission is", "hereby granted free of charge", "mit", 44, 0.95),
-    ("permission to", "use copy modify and or distribute this", "isc", 44, 0.95),
-    ("redistribution and", "use in source and binary forms", "bsd", 44, 0.95),
-    ("without warranty", "of any kind|express or implied", "warranty", 12, 0.5),
-    ("proprietary and", "confidential", "proprietary", 26, 0.9),
-    ("terms of", "service|use", "terms", 8, 0.3),
-    ("dual licensed", "", "dual", 14, 0.5),
+    ("permission is", r"hereby granted free of charge (?:to )?any person obtaining a copy", "mit", 44, 1.0),
+    ("permission is", r"hereby granted free of charge", "mit", 43, 0.95),
+    ("permission is", r"hereby granted without written agreement", "mit", 42, 0.9),
+    ("permission is", r"granted to anyone to use this software for any purpose", "zlib", 44, 1.0),
+    ("permission is", r"granted to copy distribute and or modify this document", "gfdl", 44, 1.0),
+    ("permission is", r"granted to make and distribute verbatim copies", "verbatim", 40, 0.9),
+    ("permission to", r"use copy modify and or distribute this software", "isc", 45, 1.0),
+    ("permission to", r"use copy modify and or distribute this", "isc", 44, 0.95),
+    ("permission to", r"use copy modify (?:and )?distribute and sell this software", "hpnd", 45, 1.0),
+    ("permission to", r"reproduce", "permission", 12, 0.4),
+    ("permission notice", r"shall be included in all copies", "mit", 40, 0.9),
+    ("permission notice", r"appear in all copies", "isc", 40, 0.9),
+    ("redistribution and", r"use in source and binary forms with or without modification", "bsd", 46, 1.0),
+    ("redistribution and", r"use in source and binary forms", "bsd", 44, 0.95),
+    ("redistributions of", r"source code must retain the above copyright notice", "bsd", 45, 1.0),
+    ("redistributions in", r"binary form must reproduce the above copyright notice", "bsd", 45, 1.0),
+    ("redistributions of", r"any form whatsoever must retain the following acknowledg(?:e)?ment", "bsd-advertising", 46, 1.0),
+    ("neither the", r"names? of .{1,80}? may be used to endorse or promote products", "bsd-3-clause", 47, 1.0),
+    ("neither the", r"name of the copyright holder nor the names of its contributors", "bsd-3-clause", 48, 1.0),
+    ("advertising materials", r"mentioning features or use of this software", "bsd-4-clause", 48, 1.0),
+    ("materials mentioning", r"features or use of this software must display", "bsd-4-clause", 47, 1.0),
+    ("licensed under", r"the apache licen[cs]e version 2 0", "apache-2.0", 58, 1.0),
+    ("licensed under", r"the apache licen[cs]e", "apache", 56, 1.0),
+    ("licensed under", r"the mit licen[cs]e", "mit", 56, 1.0),
+    ("licensed under", r"the (?:gnu )?(?:lesser|library) general public licen[cs]e", "lgpl", 57, 1.0),
+    ("licensed under", r"the (?:gnu )?affero general public licen[cs]e", "agpl", 57, 1.0),
+    ("licensed under", r"the (?:gnu )?general public licen[cs]e", "gpl", 56, 1.0),
+    ("licensed under", r"the (?:terms of the )?mozilla public licen[cs]e", "mpl", 56, 1.0),
+    ("licensed under", r"the (?:terms of the )?eclipse public licen[cs]e", "epl", 56, 1.0),
+    ("licensed under", r"(?:a |the )?creative commons", "cc", 23, 0.9),
+    ("licensed under", r"(?:a |the )?(?:modified |simplified |new |\d clause )?bsd", "bsd", 54, 0.95),
+    ("licensed under", r"(?:the )?terms", "licensed", 15, 0.5),
+    ("licensed to", r"the apache software foundation asf under one", "apache", 58, 1.0),
+    ("licensed material", r"under this public licen[cs]e", "cc", 40, 0.9),
+    ("apache org", r"licenses licen[cs]e 2 0", "apache-2.0", 57, 1.0),
+    ("opensource org", r"licenses mit", "mit", 57, 1.0),
+    ("opensource org", r"licenses bsd", "bsd", 57, 1.0),
+    ("opensource org", r"licenses isc", "isc", 57, 1.0),
+    ("opensource org", r"licenses \w+", "osi-link", 52, 0.8),
+    ("gnu org", r"licenses gpl", "gpl", 57, 1.0),
+    ("gnu org", r"licenses lgpl", "lgpl", 57, 1.0),
+    ("gnu org", r"licenses agpl", "agpl", 57, 1.0),
+    ("gnu org", r"licenses fdl", "gfdl", 57, 1.0),
+    ("gnu org", r"copyleft", "copyleft", 50, 0.8),
+    ("mozilla org", r"mpl", "mpl", 57, 1.0),
+    ("eclipse org", r"legal epl", "epl", 57, 1.0),
+    ("creativecommons org", r"publicdomain zero", "cc0", 58, 1.0),
+    ("creativecommons org", r"publicdomain mark", "public-domain", 58, 1.0),
+    ("creativecommons org", r"licenses by nc nd", "cc-by-nc-nd", 59, 1.0),
+    ("creativecommons org", r"licenses by nc sa", "cc-by-nc-sa", 59, 1.0),
+    ("creativecommons org", r"licenses by nc", "cc-by-nc", 58, 1.0),
+    ("creativecommons org", r"licenses by nd", "cc-by-nd", 58, 1.0),
+    ("creativecommons org", r"licenses by sa", "cc-by-sa", 58, 1.0),
+    ("creativecommons org", r"licenses by", "cc-by", 57, 1.0),
+    ("unlicense org", r"", "unlicense", 50, 0.95),
+    ("the unlicense", r"", "unlicense", 50, 0.95),
+    ("released into", r"the public domain", "public-domain", 44, 0.95),
+    ("unencumbered software", r"released into the public domain", "unlicense", 48, 1.0),
+    ("anyone is", r"free to copy modify publish use compile sell or distribute", "unlicense", 48, 1.0),
+    ("relinquishment in", r"perpetuity of all present and future rights", "unlicense", 46, 0.95),
+    ("dedicate any", r"and all copyright interest in the software to the public domain", "unlicense", 48, 1.0),
+    ("waives all", r"(?:of )?(?:his or her |their |its )?rights to the work worldwide", "cc0", 46, 0.95),
+    ("affirmer hereby", r"overtly fully permanently irrevocably and unconditionally waives", "cc0", 48, 1.0),
+    ("public domain", r"dedication", "public-domain", 30, 0.9),
+    ("public domain", r"", "public-domain", 22, 0.7),
+    ("free software", r"you can redistribute it and or modify it under the terms of the gnu (?:lesser|library)", "lgpl", 50, 1.0),
+    ("free software", r"you can redistribute it and or modify it under the terms of the gnu affero", "agpl", 50, 1.0),
+    ("free software", r"you can redistribute it and or modify", "gpl", 46, 0.95),
+    ("free software", r"foundation either version \d", "gpl-versioned", 48, 1.0),
+    ("free software", r"foundation", "fsf", 20, 0.6),
+    ("open source", r"initiative", "osi", 18, 0.5),
+    ("redistribute it", r"and or modify it under the terms of", "gpl", 38, 0.85),
+    ("either version", r"\d(?: \d)? of the licen[cs]e or (?:at your option )?any later version", "gpl-later", 49, 1.0),
+    ("at your", r"option any later version", "later", 36, 0.8),
+    ("without even", r"the implied warranty of merchantability", "gpl", 40, 0.9),
+    ("received a", r"copy of the gnu (?:lesser|library) general public licen[cs]e", "lgpl", 49, 1.0),
+    ("received a", r"copy of the gnu affero general public licen[cs]e", "agpl", 49, 1.0),
+    ("received a", r"copy of the gnu general public licen[cs]e", "gpl", 48, 1.0),
+    ("temple place", r"suite 330 boston", "fsf", 30, 0.7),
+    ("franklin street", r"fifth floor boston", "fsf", 30, 0.7),
+    ("source code", r"form is subject to the terms of the mozilla public licen[cs]e", "mpl-2.0", 52, 1.0),
+    ("incompatible with", r"secondary licenses", "mpl-2.0", 46, 0.95),
+    ("covered software", r"is provided under this licen[cs]e on an as is basis", "mpl-2.0", 48, 1.0),
+    ("initial developer", r"of the original code", "mpl-1.1", 46, 0.95),
+    ("accompanying materials", r"are made available under the terms of the eclipse", "epl", 50, 1.0),
+    ("recipient s", r"exercise of rights under this agreement", "epl", 40, 0.85),
+    ("commercial distributors", r"of software may accept certain responsibilities", "epl", 44, 0.95),
+    ("larger work", r"by combining (?:the )?covered", "cddl", 42, 0.9),
+    ("boost org", r"license 1 0", "boost", 56, 1.0),
+    ("boost software", r"license version 1 0", "boost", 56, 1.0),
+    ("machine executable", r"object code generated by a source language processor", "boost", 48, 1.0),
+    ("altered source", r"versions must be plainly marked as such", "zlib", 48, 1.0),
+    ("origin of", r"this software must not be misrepresented", "zlib", 48, 1.0),
+    ("must not", r"be misrepresented as being the original software", "zlib", 46, 1.0),
+    ("reserved font", r"names?", "ofl", 42, 0.95),
+    ("font software", r"is licensed under the sil open font licen[cs]e", "ofl", 52, 1.0),
+    ("font software", r"may be (?:sold|bundled|redistributed)", "ofl", 44, 0.95),
+    ("standard version", r"of the package", "artistic", 42, 0.9),
+    ("copyright holder", r"maintain some semblance of artistic control", "artistic", 48, 1.0),
+    ("freely available", r"means that no fee is charged for the item", "artistic", 46, 1.0),
+    ("academic free", r"license version 3 0", "afl-3.0", 54, 1.0),
+    ("licensed for", r"educational use only", "educational", 30, 0.8),
+    ("licensed for", r"non ?commercial use only", "noncommercial", 32, 0.85),
+    ("noncommercial use", r"only", "noncommercial", 30, 0.85),
+    ("non commercial", r"use only", "noncommercial", 30, 0.85),
+    ("non commercial", r"purposes only", "noncommercial", 30, 0.85),
+    ("personal use", r"only", "noncommercial", 26, 0.75),
+    ("evaluation purposes", r"only", "evaluation", 26, 0.75),
+    ("free for", r"(?:non ?commercial|personal|academic) use", "noncommercial", 28, 0.7),
+    ("commercial license", r"(?:is )?(?:required|available)", "commercial", 26, 0.75),
+    ("proprietary and", r"confidential", "proprietary", 36, 0.95),
+    ("confidential and", r"proprietary", "proprietary", 36, 0.95),
+    ("trade secret", r"", "proprietary", 18, 0.5),
+    ("unauthorized copying", r"of this (?:file|document|work|software)", "proprietary", 38, 0.95),
+    ("unauthorized reproduction", r"or distribution", "proprietary", 36, 0.9),
+    ("reproduction prohibited", r"", "proprietary", 30, 0.8),
+    ("strictly prohibited", r"without (?:the )?(?:prior )?(?:written )?(?:permission|consent)", "proprietary", 34, 0.85),
+    ("may not", r"be (?:reproduced|redistributed|republished|copied)(?: in whole or in part)?", "proprietary", 28, 0.75),
+    ("not be", r"reproduced or transmitted in any form", "proprietary", 34, 0.9),
+    ("no part", r"of this (?:publication|book|work|document) may be reproduced", "proprietary", 40, 0.95),
+    ("prior written", r"(?:permission|consent) of the (?:publisher|copyright|author|owner)", "proprietary", 30, 0.8),
+    ("reprinted with", r"(?:the )?(?:kind )?permission", "permission", 24, 0.7),
+    ("used with", r"(?:the )?(?:kind )?permission", "permission", 20, 0.6),
+    ("reproduced with", r"(?:the )?(?:kind )?permission", "permission", 24, 0.7),
+    ("courtesy of", r"the (?:author|artist|publisher)", "permission", 14, 0.4),
+    ("all rights", r"reserved", "reserved", 20, 0.6),
+    ("some rights", r"reserved", "some-rights", 20, 0.6),
+    ("no rights", r"reserved", "cc0", 32, 0.9),
+    ("rights reserved", r"worldwide", "reserved", 18, 0.6),
+    ("tous droits", r"r[ée]serv[ée]s", "reserved", 20, 0.6),
+    ("todos los", r"derechos reservados", "reserved", 20, 0.6),
+    ("alle rechte", r"vorbehalten", "reserved", 20, 0.6),
+    ("derechos reservados", r"", "reserved", 16, 0.5),
     ("copyright c", r"\d{4}", "copyright", 10, 0.5),
-    ("used with", "permission", "permission", 10, 0.4),
-    ("do not", "distribute|redistribute", "proprietary", 16, 0.5),
-    ("unlicense org", "", "unlicense", 30, 0.9),
-    ("the unlicense", "", "unlicense", 30, 0.9),
-    ("free for", r"(?:non ?commercial|personal|academic) use", "noncommercial", 18, 0.7),
+    ("copyright notice", r"and this permission notice", "mit", 38, 0.9),
+    ("copyrighted material", r"", "copyright", 12, 0.5),
+    ("copyleft license", r"", "copyleft", 20, 0.7),
+    ("copyleft licence", r"", "copyleft", 20, 0.7),
+    ("general public", r"licen[cs]e", "gpl", 25, 0.9),
+    ("lesser general", r"public licen[cs]e", "lgpl", 36, 0.95),
+    ("affero general", r"public licen[cs]e", "agpl", 36, 0.95),
+    ("creative commons", r"zero|0|cc0", "cc0", 46, 1.0),
+    ("cc0 1", r"0", "cc0", 46, 1.0),
+    ("cc0 license", r"", "cc0", 40, 0.95),
+    ("cc0 licence", r"", "cc0", 40, 0.95),
+    ("spdx license", r"identifier [\w]+(?: \d+){0,9}(?: only| or later)?", "spdx", 60, 1.0),
+    ("spdx filecopyrighttext", r"", "spdx", 50, 0.9),
+    ("without warranty", r"of any kind|express or implied", "warranty", 12, 0.5),
+    ("without warranties", r"or conditions of any kind", "apache", 34, 0.8),
+    ("provided as", r"is without (?:any )?(?:express or implied )?warrant(?:y|ies)", "warranty", 14, 0.5),
+    ("merchantability or", r"fitness for a particular purpose", "warranty", 14, 0.5),
+    ("merchantability fitness", r"for a particular purpose and noninfringement", "mit", 36, 0.85),
+    ("noninfringement in", r"no event shall the authors or copyright holders", "mit", 38, 0.9),
+    ("regents of", r"the university of california", "bsd", 34, 0.85),
+    ("terms of", r"service|use", "terms", 8, 0.3),
+    ("end user", r"licen[cs]e agreement", "eula", 30, 0.9),
+    ("software license", r"agreement", "eula", 24, 0.8),
+    ("license agreement", r"between you and", "eula", 28, 0.85),
+    ("dual licensed", r"", "dual", 14, 0.5),
+    ("dual license", r"", "dual", 14, 0.5),
+    ("multi licensed", r"", "dual", 14, 0.5),
+    ("do not", r"distribute|redistribute|copy or distribute", "proprietary", 16, 0.5),
+    ("not for", r"redistribution|resale|distribution", "proprietary", 20, 0.6),
+    ("open government", r"licen[cs]e v3 0", "ogl-3.0", 56, 1.0),
+    ("crown copyright", r"", "crown", 20, 0.7),
+    ("contains public", r"sector information licensed under", "ogl", 50, 1.0),
+    ("open database", r"licen[cs]e odbl", "odbl", 50, 1.0),
+    ("openstreetmap contributors", r"", "odbl", 30, 0.8),
+    ("community data", r"licen[cs]e agreement", "cdla", 44, 1.0),
+    ("etalab open", r"licen[cs]e", "etalab", 44, 1.0),
+    ("licence ouverte", r"", "etalab", 40, 0.95),
+    ("data licence", r"germany", "dl-de", 44, 1.0),
+    ("european union", r"public licen[cs]e", "eupl", 36, 0.95),
+    ("responsible ai", r"licen[cs]e", "rail", 40, 0.95),
+    ("openrail m", r"", "rail", 40, 0.95),
+    ("community license", r"agreement", "community", 30, 0.8),
+    ("commons clause", r"licen[cs]e condition", "commons-clause", 46, 1.0),
+    ("commons clause", r"", "commons-clause", 30, 0.8),
+    ("polyform noncommercial", r"licen[cs]e", "polyform", 44, 1.0),
+    ("polyform shield", r"licen[cs]e", "polyform", 44, 1.0),
+    ("beerware license", r"", "beerware", 40, 0.95),
+    ("buy me", r"a beer in return", "beerware", 40, 0.95),
+    ("share alike", r"", "sharealike", 14, 0.5),
+    ("share and", r"share alike", "sharealike", 18, 0.5),
 ]
 CC_PARTS = ["by nc nd", "by nc sa", "by nc", "by nd", "by sa", "by"]
 CC_NAMES = {"by": "attribution", "nc": "non ?commercial", "nd": "no ?deriv(?:ative)?s?(?: works)?", "sa": "share ?alike"}
@@ -183,11 +348,25 @@ def plain_words(text: Column) -> Column:
     return F.regexp_replace(F.concat(F.lit(" "), lowered, F.lit(" ")), NOT_WORD, " ")
 
 
+def branches(keys: list[str]) -> str:
+    """One regex for any of the strings, in which common beginnings stand once."""
+    heads: dict[str, list[str]] = {}
+    for k in sorted(set(keys)):
+        heads.setdefault(k[:1], []).append(k[1:])
+    parts = []
+    for head, rests in heads.items():
+        while head and len({r[:1] for r in rests}) == 1 and rests[0]:
+            head, rests = head + rests[0][:1], [r[1:] for r in rests]
+        parts.append(re.escape(head) + (branches(rests) if any(rests) else ""))
+    return f"(?:{'|'.join(p for p in parts if p)})" + ("?" if "" in heads else "") if len(parts) > 1 else parts[0]
+
+
 def gate() -> str:
     """One regex that finds any keyword or base phrase."""
-    keys = sorted(({r.keyword for r in rules()} | {p for p, _ in BASE}) - set(short_names()))
+    plain = ({r.keyword for r in rules()} | {p for p, _ in BASE}) - set(short_names())
+    keys = [branches([k for k in plain if re.fullmatch(r"[\w ]+", k)]), *sorted(k for k in plain if not re.fullmatch(r"[\w ]+", k))]
     keys += [versioned for _, versioned in short_names().values()]
-    first = "".join(sorted({k[0] for k in keys}))
+    first = "".join(sorted({k[0] for k in plain} | {k[0] for k in short_names()}))
     return f" (?=[{first}])(?:{'|'.join(keys)})(?= )"
 
 
