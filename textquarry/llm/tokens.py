@@ -19,8 +19,10 @@ import pyarrow as pa
 #: White space that the libraries and Python read differently, or that Unicode composition may touch.
 ODD_SPACE = re.compile("[^\\S \n\t\r]|[\x1c-\x1f\x85᠎﻿]")
 
-#: Texts are read in groups of about so many characters.
-GROUP_CHARS = 12_000_000
+#: Texts are read in groups of about so many characters, and pieces in slices of so many.
+GROUP_CHARS, SLICE = 4_000_000, 400_000
+#: New pieces go to the library so many at a time: what it builds for a call is some hundreds of bytes a token.
+LEARN = 16384
 
 
 def _bytes_in(chars: bytes) -> np.ndarray:
@@ -70,8 +72,9 @@ class WordEncoder:
     """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files); else case and white
     space don't count."""
 
-    #: Distinct pieces held per worker, also between tasks (some 80 MB); beyond it the memory is emptied and fills anew.
-    HELD = 400_000
+    #: Distinct pieces held per worker, also between tasks (some 200 bytes each). Before a slice would pass it, all are forgotten but those
+    #: of the slice; as a slice has fewer pieces, no more are ever held. Their ids count too, as a piece may be long.
+    HELD, HELD_IDS = 600_000, 8_000_000
 
     def __init__(self, path: str, spaced: bool, width: int = 4):
         from tokenizers import Tokenizer
@@ -91,10 +94,22 @@ class WordEncoder:
     def forget(self) -> None:
         self.numbers, self.pool = {}, Pool(self.dtype)
 
+    def keep(self, pieces: list[bytes]) -> None:
+        """Forgets all but ``pieces``, which are known."""
+        at = np.fromiter(map(self.numbers.__getitem__, pieces), dtype=np.int64, count=len(pieces))
+        ids, sizes = self.pool.spell(at)[0], self.pool.size[at]
+        self.forget()
+        self.pool.add(ids, sizes)
+        self.numbers.update(zip(pieces, range(len(pieces)), strict=True))
+
     def whole(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.dtype) for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
 
     def learn(self, pieces: list[bytes]) -> None:
+        for at in range(0, len(pieces), LEARN):
+            self._learn(pieces[at : at + LEARN])
+
+    def _learn(self, pieces: list[bytes]) -> None:
         """Encodes new pieces: plain words side by side in one text, whose ids part where a word begins or ends; others each."""
         words = [p.decode() for p in pieces]
         plain = list(map(self.simple, words))
@@ -151,20 +166,31 @@ class WordEncoder:
         start[1:] = (space[1:] & ~space[:-1]) | (_STOP[data[1:]] & _LETTER[data[:-1]])
         start[ends[ends < len(data)]] = True
         at = np.append(np.flatnonzero(start), len(data)).astype(np.int64)
-        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(data)]).dictionary_encode()
+        ids, upto = [], np.zeros(len(at), dtype=np.int64)
+        for low in range(0, len(at) - 1, SLICE):
+            here = at[low : low + SLICE + 1]
+            held, ends_at = self._spell(data[here[0] : here[-1]], here - here[0])
+            upto[low + 1 : low + len(here)] = ends_at + upto[low]
+            ids.append(held)
+        # a text ends where its last piece does
+        stops = (upto[np.searchsorted(at, ends)] * self.dtype.itemsize).tolist()
+        raw = b"".join(x.tobytes() for x in ids)
+        return [raw[i:j] for i, j in zip([0, *stops[:-1]], stops, strict=True)]
+
+    def _spell(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of the pieces that ``at`` parts, side by side, and where each piece's end."""
+        pieces = pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(np.ascontiguousarray(at)), pa.py_buffer(np.ascontiguousarray(data))]).dictionary_encode()
         distinct = pieces.dictionary.to_pylist()
-        if len(self.numbers) > self.HELD:
-            self.forget()
-        get = self.numbers.get
-        new = [p for p in distinct if get(p) is None]
+        found = list(map(self.numbers.get, distinct))
+        new = [p for p, n in zip(distinct, found, strict=True) if n is None]
         if new:
+            if len(self.numbers) + len(new) > self.HELD or self.pool.used > self.HELD_IDS:
+                self.keep([p for p, n in zip(distinct, found, strict=True) if n is not None])
+                found = list(map(self.numbers.get, distinct))
             self.learn(new)
-        numbers = np.fromiter(map(self.numbers.__getitem__, distinct), dtype=np.int64, count=len(distinct))
-        ids, upto = self.pool.spell(numbers[pieces.indices.to_numpy()])
-        # a text ends where its last piece does
-        upto = np.concatenate([[0], upto])[np.searchsorted(at, ends)] * self.dtype.itemsize
-        raw = ids.tobytes()
-        return [raw[i:j] for i, j in zip([0, *upto[:-1].tolist()], upto.tolist(), strict=True)]
+            number = self.numbers.__getitem__
+            found = [number(p) if n is None else n for p, n in zip(distinct, found, strict=True)]
+        return self.pool.spell(np.array(found, dtype=np.int64)[pieces.indices.to_numpy()])
 
 
 def encoder(path: str, spaced: bool, width: int = 4) -> WordEncoder:
