@@ -1,160 +1,242 @@
 """Token-id shards with a minimal perfect hash index.
 
-File format of a shard (little-endian), ids of its documents in ascending key order:
+File format of a shard (little-endian), ids of its documents in ascending key order, null keys first:
 
-    magic 8 bytes | header length u64 | header JSON {name: [dtype, count, offset]} | arrays, in the header's order
+    magic 8 bytes | ids (raw payload) | arrays, each at a multiple of 8 | footer JSON | footer length u64 | magic 8 bytes
 
-Arrays: ``keys`` (order kept), ``first`` (id offset of each slot's document), ``count`` (its ids), ``print`` (32-bit
-fingerprint of its key), ``bits`` and ``rank`` (the levels of the perfect hash), ``ids`` (raw payload, 16 bits an id where the
-vocabulary allows, else 32). A key is looked up in constant time: level by level its bit is tested, the rank of the
-first set bit is its slot, and the stored fingerprint turns strangers away.
+Footer: width (bytes an id: 2 where the vocabulary has at most 65,536 ids, else 4), docs, nulls, and for each array its dtype, count and
+offset. Arrays: ``keys`` (order kept), ``slot`` (of each key in order), ``first`` (id offset of each slot's document), ``count`` (its
+ids), ``print`` (32-bit fingerprint of its key), ``bits`` (64-bit words of the perfect hash's levels), ``rank`` (set bits before each
+word), ``levels`` (bits of each level).
 
-A null key sorts first. A key that occurs more than once is stored as often, as (key, occurrence). A null text has no ids
-but the end id. An empty table gives no shard. Other columns of the input are left out.
+A key is looked up in constant time, and with a few short reads of the file, whatever its size: level by level one word of ``bits`` is
+read, the rank of the first set bit is the slot, the stored fingerprint turns strangers away, and one read gives the ids. ``TokenIndex``
+finds the shard first, by the least key of each. A shard is written as its ids come; only its keys and counts are held.
+
+A null key sorts first. A key that occurs more than once is stored as often, as (key, occurrence), equal keys in the order of a hash of
+their texts; a key of very many rows is dealt over several shards. A null text has no ids but the end id. An empty table gives no shard. Other columns of
+the input are left out.
 """
 
 from __future__ import annotations
 
+import bisect
 import json
 import uuid
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import crc, mix64, num_tasks, open_fs, scratch, table, whole_text
+from textquarry.llm.common import crc, mix64, open_fs, scratch, table, whole_text
 from textquarry.llm.tokens import encoder
 
-MAGIC = b"TQSHARD1"
+MAGIC = b"TQSHARD2"
 GAMMA = 1.7
-NULL_KEY = -(2**63)
+#: Text a shard takes, in bytes; so their number grows with the data.
+SHARD_BYTES = 32 << 20
+#: Documents read back at a time.
+READ_DOCS = 4096
+_GOLD = np.uint64(0x9E3779B97F4A7C15)
+_NULL = np.uint64(0x6E756C6C6B657921)  # what stands for a null key's hash; no key's place depends on it
 
 
-def key_hashes(keys: np.ndarray) -> np.ndarray:
-    """64-bit hash of each (key, occurrence); keys ascend, so equal ones stand together."""
+def key_hashes(keys: np.ndarray, nulls: int = 0) -> np.ndarray:
+    """64-bit hash of each (key, occurrence); the first ``nulls`` keys are null, the others ascend."""
     keys = np.asarray(keys, dtype=np.int64)
-    same = np.concatenate([[False], keys[1:] == keys[:-1]]) if len(keys) else np.zeros(0, bool)
     at = np.arange(len(keys))
-    occurrence = at - np.maximum.accumulate(np.where(same, 0, at)) if len(keys) else at
-    return hash_of(keys, occurrence)
+    new = np.ones(len(keys), dtype=bool)
+    new[1:] = keys[1:] != keys[:-1]
+    new[1:nulls] = False
+    new[nulls : nulls + 1] = True
+    return hash_of(keys, at - np.maximum.accumulate(np.where(new, at, 0)), at < nulls)
 
 
-def hash_of(keys, occurrence=0) -> np.ndarray:
+def hash_of(keys, occurrence=0, null=False) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return mix64(mix64(np.asarray(keys, dtype=np.int64).view(np.uint64)) + np.asarray(occurrence, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-
-
-class PerfectHash:
-    """Levelled bit arrays: a key takes its bit at the first level where no other key claims it."""
-
-    def __init__(self, bits: np.ndarray, levels: np.ndarray):
-        self.bits, self.levels = bits, levels
-        flags = np.unpackbits(bits, bitorder="little") if len(bits) else np.zeros(0, np.uint8)
-        self.flags, self.rank = flags, np.concatenate([[0], np.cumsum(flags, dtype=np.int64)])
-
-    @staticmethod
-    def place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
-        with np.errstate(over="ignore"):
-            return (mix64(hashes ^ np.uint64((level + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
-
-    @classmethod
-    def build(cls, hashes: np.ndarray) -> "PerfectHash":
-        """``hashes`` must differ."""
-        parts, sizes, left = [], [], np.asarray(hashes, dtype=np.uint64)
-        while len(left):
-            size = max(64, -(-int(len(left) * GAMMA) // 64) * 64)
-            at = cls.place(left, len(sizes), size)
-            alone = np.bincount(at, minlength=size) == 1
-            parts.append(np.packbits(alone, bitorder="little"))
-            sizes.append(size)
-            left = left[~alone[at]]
-        return cls(np.concatenate(parts) if parts else np.zeros(0, np.uint8), np.array(sizes, dtype=np.int64))
-
-    def slots(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash; -1 where no level has its bit."""
-        out, start, todo = np.full(len(hashes), -1, dtype=np.int64), 0, np.arange(len(hashes))
-        for level, size in enumerate(self.levels.tolist()):
-            if not len(todo):
-                break
-            at = start + self.place(hashes[todo], level, size)
-            hit = self.flags[at] == 1
-            out[todo[hit]] = self.rank[at[hit]]
-            todo, start = todo[~hit], start + size
-        return out
-
-
-def pack_shard(keys: np.ndarray, counts: np.ndarray, payload: bytes, width: int) -> bytes:
-    hashes = key_hashes(keys)
-    index = PerfectHash.build(hashes)
-    slots = index.slots(hashes)
-    first, count, prints = (np.zeros(len(keys), dtype=t) for t in ("<i8", "<i8", "<u4"))
-    first[slots] = np.cumsum(counts) - counts
-    count[slots] = counts
-    prints[slots] = (hashes >> np.uint64(32)).astype("<u4")
-    arrays = {"keys": keys.astype("<i8"), "first": first, "count": count, "print": prints, "bits": index.bits, "levels": index.levels.astype("<i8"), "ids": np.frombuffer(payload, dtype=f"<u{width}")}
-    offset, header = 0, {}
-    for name, a in arrays.items():
-        header[name] = [a.dtype.str, len(a), offset]
-        offset += a.nbytes
-    head = json.dumps(header).encode()
-    return b"".join([MAGIC, len(head).to_bytes(8, "little"), head, *(a.tobytes() for a in arrays.values())])
-
-
-class Shard:
-    """Reads a shard; ``get(key)`` gives a document's ids."""
+        first = np.where(null, _NULL, mix64(np.asarray(keys, dtype=np.int64).view(np.uint64)))
+        return mix64(first + np.asarray(occurrence, dtype=np.uint64) * _GOLD)
 
-    def __init__(self, raw: bytes):
-        if raw[:8] != MAGIC:
-            raise ValueError("not a token shard")
-        n = int.from_bytes(raw[8:16], "little")
-        self.a = {name: np.frombuffer(raw, dtype=t, count=c, offset=16 + n + o) for name, (t, c, o) in json.loads(raw[16 : 16 + n]).items()}
-        self.index = PerfectHash(self.a["bits"], self.a["levels"])
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash; -1 for keys the shard doesn't hold."""
-        slots = self.index.slots(hashes)
-        known = slots >= 0
-        known[known] = self.a["print"][slots[known]] == (hashes[known] >> np.uint64(32)).astype("<u4")
-        return np.where(known, slots, -1)
 
-    def ids_at(self, slot: int) -> np.ndarray:
-        first = int(self.a["first"][slot])
-        return self.a["ids"][first : first + int(self.a["count"][slot])]
+def place(hashes: np.ndarray, level: int, size: int) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return (mix64(hashes ^ np.uint64((level + 1) * 0xD1B54A32D192ED03 & 0xFFFFFFFFFFFFFFFF)) % np.uint64(size)).astype(np.int64)
+
+
+def build_hash(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(words, rank, levels, slot of each hash) of a minimal perfect hash of differing hashes: a key takes its bit at the first level
+    where no other key claims it."""
+    parts, sizes, left, who = [], [], np.asarray(hashes, dtype=np.uint64), np.arange(len(hashes))
+    bit, start = np.zeros(len(hashes), dtype=np.int64), 0
+    while len(left):
+        size = max(64, -(-int(len(left) * GAMMA) // 64) * 64)
+        at = place(left, len(sizes), size)
+        alone = np.bincount(at, minlength=size) == 1
+        mine = alone[at]
+        bit[who[mine]] = start + at[mine]
+        parts.append(np.packbits(alone, bitorder="little").view("<u8"))
+        sizes.append(size)
+        start += size
+        left, who = left[~mine], who[~mine]
+    words = np.concatenate(parts) if parts else np.zeros(0, "<u8")
+    rank = np.cumsum(np.bitwise_count(words), dtype=np.int64) - np.bitwise_count(words)
+    below = words[bit >> 6] & ((np.uint64(1) << (bit & 63).astype(np.uint64)) - np.uint64(1))
+    return words, rank.astype("<i8"), np.array(sizes, dtype="<i8"), rank[bit >> 6] + np.bitwise_count(below)
+
+
+class ShardWriter:
+    """Writes one shard to an output stream, ids first."""
+
+    def __init__(self, out, width: int):
+        self.out, self.width, self.at = out, width, 0
+        self._put(MAGIC)
+
+    def _put(self, raw: bytes) -> None:
+        self.out.write(raw)
+        self.at += len(raw)
+
+    def ids(self, raw: bytes) -> None:
+        self._put(raw)
+
+    def close(self, keys: np.ndarray, counts: np.ndarray, nulls: int) -> None:
+        hashes = key_hashes(keys, nulls)
+        words, rank, levels, slots = build_hash(hashes)
+        first, count, prints = (np.zeros(len(keys), dtype=t) for t in ("<i8", "<i8", "<u4"))
+        first[slots] = np.cumsum(counts) - counts
+        count[slots] = counts
+        prints[slots] = (hashes >> np.uint64(32)).astype("<u4")
+        arrays = {"keys": keys.astype("<i8"), "slot": slots.astype("<i8"), "first": first, "count": count, "print": prints, "bits": words, "rank": rank, "levels": levels}
+        where = {}
+        for name, a in arrays.items():
+            self._put(bytes(-self.at % 8))
+            where[name] = [a.dtype.str, len(a), self.at]
+            self._put(a.tobytes())
+        foot = json.dumps({"width": self.width, "docs": len(keys), "nulls": nulls, "arrays": where}).encode()
+        self._put(foot + len(foot).to_bytes(8, "little") + MAGIC)
 
-    def get(self, key: int, occurrence: int = 0) -> np.ndarray | None:
-        slot = int(self.find(np.atleast_1d(hash_of([key], [occurrence])))[0])
-        return None if slot < 0 else self.ids_at(slot)
 
+class Shard:
+    """Reads a shard from a file that can seek; nothing but the footer and the levels' sizes is held."""
 
-def write_shards(docs: DataFrame, where: str, path: str, end_id: int, shards: int, key: str = "doc_id", text: str = "text", width: int = 2) -> DataFrame:
-    """Writes one shard per range of keys under ``where``; returns shard, file, n_docs, n_ids. A task that runs again writes a file of
-    its own and only the one it reports is read, so lost executors do no harm."""
+    def __init__(self, file):
+        self.file = file
+        size = file.size()
+        tail = file.read_at(16, size - 16)
+        if tail[8:] != MAGIC:
+            raise ValueError("not a token shard")
+        n = int.from_bytes(tail[:8], "little")
+        foot = json.loads(file.read_at(n, size - 16 - n))
+        self.width, self.docs, self.nulls, self.where = foot["width"], foot["docs"], foot["nulls"], foot["arrays"]
+        self.levels = self.read("levels", 0, self.where["levels"][1]).tolist()
+
+    def read(self, name: str, at: int, n: int) -> np.ndarray:
+        kind, _, offset = self.where[name]
+        size = np.dtype(kind).itemsize
+        return np.frombuffer(self.file.read_at(n * size, offset + at * size), dtype=kind)
+
+    def ids(self, first: int, count: int) -> np.ndarray:
+        return np.frombuffer(self.file.read_at(count * self.width, len(MAGIC) + first * self.width), dtype=f"<u{self.width}")
+
+    def slot(self, h: np.uint64) -> int:
+        """The slot of a key's hash; -1 for a key the shard doesn't hold."""
+        start = 0
+        for level, size in enumerate(self.levels):
+            at = start + int(place(np.array([h]), level, size)[0])
+            word = int(self.read("bits", at >> 6, 1)[0])
+            if word >> (at & 63) & 1:
+                found = int(self.read("rank", at >> 6, 1)[0]) + (word & ((1 << (at & 63)) - 1)).bit_count()
+                return found if int(self.read("print", found, 1)[0]) == int(h) >> 32 else -1
+            start += size
+        return -1
+
+    def get(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a document, by a fixed number of reads; None for a key the shard doesn't hold."""
+        found = self.slot(hash_of([key or 0], [occurrence], [key is None])[0])
+        return None if found < 0 else self.ids(int(self.read("first", found, 1)[0]), int(self.read("count", found, 1)[0]))
+
+    def documents(self):
+        """(keys, are they null, first, count) of READ_DOCS documents at a time in order, by the index."""
+        first, count = self.read("first", 0, self.docs), self.read("count", 0, self.docs)
+        for at in range(0, self.docs, READ_DOCS):
+            n = min(READ_DOCS, self.docs - at)
+            slots = self.read("slot", at, n)
+            yield self.read("keys", at, n), np.arange(at, at + n) < self.nulls, first[slots], count[slots]
+
+
+class TokenIndex:
+    """Keyed access over all shards of a manifest: the shard by the least key of each, the document by the shard's hash."""
+
+    def __init__(self, where: str, manifest: list):
+        self.fs, self.top = open_fs(where)
+        self.rows = sorted((r for r in manifest), key=lambda r: r["shard"])
+        self.low = [(r["low"] is not None, r["low"] or 0) for r in self.rows]
+        self.high = [(r["high"] is not None, r["high"] or 0) for r in self.rows]
+        self.open: dict[int, Shard] = {}
+
+    def get(self, key: int | None, occurrence: int = 0) -> np.ndarray | None:
+        """The ids of a key's document (its ``occurrence``-th, where a key has several); None for a key that isn't there."""
+        at = (key is not None, key or 0)
+        i = max(0, bisect.bisect_left(self.low, at) - 1)
+        while i < len(self.rows) and self.low[i] <= at:
+            if self.high[i] >= at:
+                if i not in self.open:
+                    self.open[i] = Shard(self.fs.open_input_file(f"{self.top}/{self.rows[i]['file']}"))
+                if (ids := self.open[i].get(key, occurrence)) is not None:
+                    return ids
+                occurrence -= self.rows[i]["n_high"] if self.high[i] == at else 0  # the key goes on in the next shard
+            i += 1
+        return None
+
+
+MANIFEST = "shard int, file string, n_docs long, n_ids long, low long, high long, n_high long"
+
+
+def write_shards(docs: DataFrame, where: str, path: str, end_id: int, shards: int, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """Writes one shard per range of keys under ``where``; returns MANIFEST rows: least and greatest key, and how many documents have the
+    greatest. A task that runs again writes a file of its own and only the one it reports is read, so lost executors do no harm."""
 
     def run(batches):
-        enc = encoder(path, spaced=False, width=width)
-        end = np.array([end_id], dtype=enc.dtype).tobytes()
-        keys, counts, payload = [], [], []
+        enc, writer, out = None, None, None
+        keys, counts, nulls = [], [], 0
         for b in batches:
-            keys.append(b["k"].fillna(NULL_KEY).to_numpy(dtype=np.int64))
-            for ids in enc.encode(b["t"]):
-                payload += (ids, end)
-                counts.append(len(ids) // width + 1)
-        if not keys:
+            if writer is None:
+                width = 2 if vocabulary(path) <= 1 << 16 else 4
+                enc = encoder(path, spaced=False, width=width)
+                end = np.array([end_id], dtype=enc.dtype).tobytes()
+                fs, base = open_fs(where)
+                fs.create_dir(base, recursive=True)
+                name = f"shard-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.tqs"
+                out = fs.open_output_stream(f"{base}/{name}")
+                writer = ShardWriter(out, width)
+            nulls += b.column("k").null_count
+            keys.append(b.column("k").fill_null(0).to_numpy())
+            found = enc.encode(b.column("t").to_pylist())
+            counts += [len(ids) // width + 1 for ids in found]
+            for ids in found:
+                writer.ids(ids + end)
+        if writer is None:
             return
-        keys = np.concatenate(keys)
-        raw = pack_shard(keys, np.array(counts, dtype=np.int64), b"".join(payload), width)
-        at = TaskContext.get().partitionId()
-        fs, base = open_fs(where)
-        fs.create_dir(base, recursive=True)
-        name = f"shard-{at:06d}-{uuid.uuid4().hex}.tqs"
-        with fs.open_output_stream(f"{base}/{name}") as f:
-            f.write(raw)
-        yield pd.DataFrame({"shard": [at], "file": [name], "n_docs": [len(keys)], "n_ids": [int(sum(counts))]})
+        keys, counts = np.concatenate(keys), np.array(counts, dtype=np.int64)
+        writer.close(keys, counts, nulls)
+        out.close()
+        low, high = (None if i < nulls else int(keys[i]) for i in (0, len(keys) - 1))
+        last = nulls if high is None else int((keys[nulls:] == high).sum())
+        row = (TaskContext.get().partitionId(), name, len(keys), int(counts.sum()), low, high, last)
+        yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, (pa.int32(), pa.string(), *[pa.int64()] * 5), strict=True)], names=[x.split()[0] for x in MANIFEST.split(", ")])
 
     rows = docs.select(F.col(key).cast("long").alias("k"), whole_text(text).alias("t"))
-    return rows.repartitionByRange(shards, F.col("k").asc_nulls_first()).sortWithinPartitions(F.col("k").asc_nulls_first()).mapInPandas(run, "shard int, file string, n_docs long, n_ids long")
+    rows = rows.withColumn("h", F.xxhash64("t"))
+    order = (F.col("k").asc_nulls_first(), F.col("h").asc())
+    return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("k", "t").mapInArrow(run, MANIFEST)
+
+
+def vocabulary(path: str) -> int:
+    """The number of ids of a tokenizer's file."""
+    from tokenizers import Tokenizer
+
+    return max(Tokenizer.from_file(path).get_vocab().values()) + 1
 
 
 def read_documents(spark, where: str, manifest: list) -> DataFrame:
@@ -163,25 +245,32 @@ def read_documents(spark, where: str, manifest: list) -> DataFrame:
     for r in sorted(manifest, key=lambda r: r["shard"]):
         rows.append((r["shard"], r["file"], base))
         base += r["n_ids"]
+    kinds = (pa.int64(),) * 4
 
     def run(batches):
         fs, top = open_fs(where)
         for b in batches:
-            for name, start in zip(b["file"], b["base"], strict=True):
-                with fs.open_input_stream(f"{top}/{name}") as f:
-                    shard = Shard(f.read())
-                keys = shard.a["keys"]
-                slots = shard.find(key_hashes(keys))
-                ids = shard.a["ids"]
-                first, count = shard.a["first"][slots], shard.a["count"][slots]
-                sums = [crc(ids[f : f + c].astype("<u4").tobytes()) for f, c in zip(first.tolist(), count.tolist(), strict=True)]
-                yield pd.DataFrame({"k": keys, "start": first + start, "n_tokens": count, "ids_crc32": sums})
-
+            for name, start in zip(b.column("file").to_pylist(), b.column("base").to_pylist(), strict=True):
+                with fs.open_input_file(f"{top}/{name}") as f:
+                    shard = Shard(f)
+                    for keys, null, first, count in shard.documents():
+                        ids = shard.ids(int(first[0]), int(count.sum())).astype("<u4", copy=False)
+                        ends = np.cumsum(count).tolist()
+                        sums = [crc(ids[i:j].tobytes()) for i, j in zip([0, *ends[:-1]], ends, strict=True)]
+                        columns = (pa.array(keys, mask=null), first + start, count, sums)
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=["k", "start", "n_tokens", "ids_crc32"])
+
+    schema = "k long, start long, n_tokens long, ids_crc32 long"
     if not rows:
-        return spark.createDataFrame([], "k long, start long, n_tokens long, ids_crc32 long")
+        return spark.createDataFrame([], schema)
     plan = spark.createDataFrame(rows, "shard int, file string, base long").repartition(len(rows), "shard")
-    out = plan.mapInPandas(run, "k long, start long, n_tokens long, ids_crc32 long")
-    return out.withColumn("k", F.when(F.col("k") != NULL_KEY, F.col("k")))
+    return plan.mapInArrow(run, schema)
+
+
+def shard_count(docs: DataFrame, text: str = "text") -> int:
+    """One shard for each SHARD_BYTES of text."""
+    size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
+    return max(1, -(-size // SHARD_BYTES))
 
 
 def token_index(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -189,7 +278,7 @@ def token_index(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", te
     spark = docs.sparkSession
     where = scratch(spark, "token-shards")
     # the manifest is one short row per shard
-    manifest = write_shards(docs, where, path, end_id, num_tasks(spark), key, text).collect()
+    manifest = write_shards(docs, where, path, end_id, shard_count(docs, text), key, text).collect()
     return read_documents(spark, where, manifest).withColumnRenamed("k", key)
 
 
