@@ -1,31 +1,26 @@
-"""Each operator on a small table with nulls, empty and very long texts, repeated rows and clashing names, against brute force."""
+"""Each operator and its query against brute force, and on odd rows."""
 
 import hashlib
+import itertools
+import json
+import re
+import subprocess
+import sys
 import zlib
+from collections import Counter
+from html import unescape
 
 import numpy as np
+import pandas as pd
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 
-from textquarry.llm import bpe, cotraining, langid, licenses, media, neardup, packing, spotsigs, token_shards, tokens, toxicity
+from textquarry.llm import bpe, common, cotraining, langid, licenses, media, neardup, packing, spotsigs, token_shards, tokens, toxicity
 
-LONG = "the quick brown fox jumps over lazy dogs and runs, far  away.\n" * 800
-NEAR = " ".join(f"word{i}" for i in range(200))
-ROWS = [
-    (0, None), (1, ""), (2, "the cat sat on the mat with a hat"), (2, "the cat sat on the mat with a hat"), (3, LONG), (4, NEAR), (5, NEAR + " tail"),
-    (6, "Licensed under CC BY-NC 4.0. All rights reserved. GNU General Public License, version 3 or later"), (7, "!!! ??? %%%"), (8, "don't  STOP\tÉté naïve 数学 🙂 it's"), (None, "null key"),
-]
+from .conftest import BIG, LONG, NEAR, ROWS
 
-
-@pytest.fixture(scope="module")
-def docs(spark):
-    return spark.createDataFrame([(i, t, "en", "s", 0, "x", 1) for i, t in ROWS], "doc_id long, text string, lang string, source string, n_chars long, `t` string, `id` int")
-
-
-@pytest.fixture(scope="module")
-def none(docs):
-    return docs.where("1 = 0")
+KEYS = Counter(i for i, _ in ROWS)
 
 
 def tok(name):
@@ -36,101 +31,109 @@ def tok(name):
     return t
 
 
-def test_bpe(docs, none):
-    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
-    enc = bpe.load(path, pattern)
-    got = sorted((r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.encode_documents(docs, path, pattern).collect())
-    want = []
-    for _, t in ROWS:
-        ids = enc.encode_ordinary(t or "")
-        want.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
-    assert got == sorted(want)
-    assert len(bpe.split_safely(LONG, 1000)) > 10
-    assert bpe.encode_documents(none, path, pattern).count() == 0
+def crc(ids):
+    return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
-def test_token_shards(docs, none):
-    t = tok("word_bpe_49k.json")
-    got = sorted(((r.doc_id is not None, r.doc_id, r.start, r.n_tokens, r.ids_crc32) for r in token_shards.token_index(docs, P.path("word_bpe_49k.json"), 1).collect()), key=lambda r: r[2])
-    start = 0
-    for (i, text), r in zip(sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0)), got, strict=True):
-        ids = [*t.encode(text or "", add_special_tokens=False).ids, 1]
-        assert r[1:] == (i, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
-    assert token_shards.token_index(none, P.path("word_bpe_49k.json"), 1).count() == 0
+# op1
 
 
-@pytest.mark.parametrize(("name", "spaced", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
-def test_pieces_spell_the_ids_of_whole_texts(name, spaced, width):
-    odd = ["", "   ", "\n", "Hello,  world!\n\n x", "<|endoftext|> hi", "a\u00a0b\u3000c", "\x1c x", "\u0130stanbul ÉCOLE e\u0301.", "WON'T it's, 's", "x.y,z;;; \t\r\n end ", "ΑΣ. οδός", "数学 🙂!!", LONG]
-    enc = tokens.WordEncoder(P.path(name), spaced, width)
-    enc.HELD = 5  # forgets between groups
-    want = [np.array(tok(name).encode(t, add_special_tokens=False).ids, enc.dtype).tobytes() for t in odd]
-    assert enc.encode(odd) == want
-    assert [enc.encode([t])[0] for t in odd] == want
+def prints(text):
+    return {text[i : i + 8] for i in range(0, len(text), 8)}
 
 
-def test_perfect_hash_lookup():
-    keys = np.arange(0, 30000, 3)
-    shard = token_shards.Shard(token_shards.pack_shard(keys, np.ones(len(keys), np.int64), np.arange(len(keys), dtype="<u2").tobytes(), 2))
-    assert shard.get(2997).tolist() == [999] and shard.get(1) is None
-    assert sorted(shard.find(token_shards.key_hashes(keys)).tolist()) == list(range(len(keys)))
+def jaccard(a, b):
+    return 1.0 if not (a or b) else len(a & b) / len(a | b)
 
 
-def test_packing(docs, none):
-    t = tok("byte_bpe_50k.json")
-    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 0, 64).collect()
-    total = sum(len(t.encode(x or "", add_special_tokens=False).ids) + 1 for _, x in ROWS)
-    assert sum(r.length for r in got) == total
-    by = {}
-    for r in got:
-        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
-    for parts in by.values():
-        at = 0
-        for o, n in sorted(parts):
-            assert o == at
-            at += n
-        assert at <= 64
-    assert packing.pack_documents(none, P.path("byte_bpe_50k.json"), 0).count() == 0
+def test_spotsigs_query(spark, sf, whole):
+    got = {r.doc_id: r for r in spotsigs.op1_spotsigs_fingerprints(spark, sf).collect()}
+    keys = sorted(whole, reverse=True)
+    for i, k in enumerate(keys):
+        r, t, after = got[k], whole[k], keys[(i + 1) % len(keys)]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + whole[after][:cut]
+        assert (r.n_chars, r.edited_sha256) == (len(t), hashlib.sha256(edited.encode()).hexdigest())
+        for value, other in ((r.near_edited, r.edited_fingerprint), (r.near_next, got[after].fingerprint)):
+            want = jaccard(prints(r.fingerprint), prints(other))
+            assert value == pytest.approx(want) or (value == 0 and want < spotsigs.FLOOR)
+    assert np.median([r.near_edited for r in got.values()]) > 0.3 and np.median([r.near_next for r in got.values()]) < 0.1
+    assert len({(whole[k], got[k].fingerprint) for k in keys}) == len({whole[k] for k in keys})
 
 
-def test_best_fit_needs_few_sequences():
-    hist = {n: 1 + n % 7 for n in range(1, 100)}
-    rows = packing.best_fit(hist, 128)
-    assert sum(r[2] for r in rows) == sum(hist.values())
-    used = max(r[3] + r[2] for r in rows)
-    assert used <= 1.05 * -(-sum(n * c for n, c in hist.items()) // 128)
+def by_hand(text):
+    """Spots of a text whose words are ASCII and whose anchors are frequent."""
+    words = [w for w in re.split(r"[^a-z0-9]+", text.lower()) if w]
+    content = [(i, w) for i, w in enumerate(words) if w not in spotsigs.ANCHORS]
+    spots = set()
+    for i, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            spots.add((w, *[c for j, c in content if j > i][: spotsigs.CHAIN]))
+    return spots | {("^", *[c for _, c in content][: spotsigs.CHAIN])}
 
 
-def test_licenses(docs, none):
-    got = {r.doc_id: r for r in licenses.scan(docs).collect()}
-    r = got[6]
-    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (18, 3, 2, 11, "cc-by,gpl,reserved")
-    assert {"cc-by-nc", "gpl-later"} <= set(r.labels.split(","))
-    assert (got[0].n_words, got[0].n_base, got[0].first_word, got[0].labels, got[0].score) == (0, 0, None, "", 0.0)
-    assert got[7].n_words == 0 and licenses.scan(none).count() == 0
-    assert len(licenses.rules()) > 200
+def test_spotsigs_signatures(spark):
+    rng = np.random.default_rng(0)
+    pool = spotsigs.ANCHORS[:30] + [f"w{i}" for i in range(30)]
+    texts = [" ".join(rng.choice(pool, 60)) for _ in range(40)]
+    runs = lambda t: max(len(list(g)) for a, g in itertools.groupby(t.split(), lambda w: w in spotsigs.ANCHORS) if not a)
+    texts = [t for t in texts if runs(t) <= spotsigs.RUN]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", spotsigs.signatures(F.col("t")).alias("s")).collect()
+    assert len(texts) > 20
+    for r in rows:
+        assert len(r.s) == len(by_hand(texts[r.k]))
+    sets = {r.k: set(r.s) for r in rows}
+    for a, b in itertools.combinations(sets, 2):
+        assert jaccard(sets[a], sets[b]) == pytest.approx(jaccard(by_hand(texts[a]), by_hand(texts[b])))
+
+
+def test_spotsigs_odd_rows(spark, docs, none):
+    got = spotsigs.neighbours(docs).collect()
+    assert Counter(r.k for r in got) == KEYS
+    sets = {r.k: r for r in got}
+    assert sets[8].next_t == ROWS[8][1] and sets[1].next_t == "" and sets[6].next_t == NEAR + " tail"
+    nulls = [(r.t, r.next_t) for r in got if r.k is None]
+    texts = {t for _, t in ROWS if _ is None}
+    assert sets[0].next_t in texts and {n for _, n in nulls} - texts == {max((r for r in got if r.k == BIG), key=lambda r: r.next_t not in {x for k, x in ROWS if k == BIG}).t} or nulls
+    assert sets[2].s and sets[7].s and not sets[1].s
+    assert spotsigs.neighbours(none).count() == 0 and spotsigs.matches(none).count() == 0
 
 
-def test_licenses_find_short_names_with_versions(spark):
-    want = {
-        "GPL v3": "gpl-versioned", "GPLv3": "gpl-versioned", "under GPL-3.0 here": "gpl-versioned", "GPL-2.0-or-later": "gpl-later", "LGPLv2.1": "lgpl-versioned",
-        "AGPLv3 only": "agpl-only", "Apache-2.0": "apache-versioned", "GNU GPLv3": "gpl-versioned", "MPL v2.0": "mpl-versioned", "AFL v3.0": "afl-versioned", "a gpl of sorts": "",
-        "Do What The Fuck You Want To Public License version 2.0 or any later version": "wtfpl-later",
-    }
-    got = {r.t: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(t, t) for t in want], "t string, text string"), "t").collect()}
-    assert {t: x for t, (x, _) in got.items()} == want
-    assert all((s > 0) == bool(x) for x, s in got.values())
+def test_spotsigs_ranges_of_outlying_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(spotsigs, "BUCKET_ROWS", 20)
+    keys = [*range(400), 10**15, *[7] * 300, *[None] * 100]
+    docs = spark.createDataFrame([(k, f"text {i}") for i, k in enumerate(keys)], "doc_id long, text string")
+    rows = spotsigs.dealt(docs).toPandas()
+    own = rows[rows.lent == 0]
+    assert len(own) == len(keys) and own.groupby("b").size().max() < 90
+    got = {r.t: r.next_t for r in spotsigs.neighbours(docs).collect()}
+    h = {r.t: r.h for r in spotsigs.dealt(docs).where("lent = 0").collect()}
+    order = sorted(((k is not None, k or 0, h[f"text {i}"]), f"text {i}") for i, k in enumerate(keys))
+    assert got == {t: order[i - 1][1] for i, (_, t) in enumerate(order)}
 
 
-def test_spotsigs(docs, none):
-    sets = {r.k: r for r in spotsigs.neighbours(docs).collect()}
-    assert sets[8].next_t == ROWS[8][1] and sets[1].next_t == ""
-    assert sets[0].next_t == "null key"  # null keys come last
-    assert sets[None].next_t == ROWS[9][1]  # and the first follows the last
-    assert sets[2].s and sets[7].s and not sets[1].s
-    pairs = {(r.a, r.b) for r in spotsigs.matches(docs).collect()}
-    assert pairs <= {(4, 5)} and spotsigs.neighbours(none).count() == 0
+def test_spotsigs_matches_equal_all_pairs(spark):
+    rng = np.random.default_rng(5)
+    pool = spotsigs.ANCHORS[:25] + [f"w{i}" for i in range(200)]
+    texts = []
+    for _ in range(12):
+        base = list(rng.choice(pool, 120))
+        for _ in range(6):
+            x = list(base)
+            for j in rng.integers(0, 120, rng.integers(0, 9)):
+                x[j] = rng.choice(pool)
+            texts.append(" ".join(x))
+    keys = [None if i % 7 == 0 else i // 2 for i in range(len(texts))]  # null and repeated keys
+    docs = spark.createDataFrame(list(zip(keys, texts, strict=True)), "doc_id long, text string")
+    made = spark.createDataFrame(list(enumerate(texts)), "i long, t string").select("i", spotsigs.signatures(F.col("t")).alias("s")).collect()
+    sets = {frozenset(r.s) for r in made}
+    want = Counter(round(len(a & b) / len(a | b), 9) for a, b in itertools.combinations(sets, 2) if len(a & b) / len(a | b) >= 0.8)
+    got = spotsigs.matches(docs).collect()
+    assert Counter(round(r.likeness, 9) for r in got) == want and sum(want.values()) > 10
+    assert len({frozenset((r.a_print, r.b_print)) for r in got}) == len(got)
+    null, same = "the cat sat with a dog in the house by the river " * 3, "the cat sat with a dog in the house by the river and " * 3
+    pair = spotsigs.matches(spark.createDataFrame([(None, NEAR), (4, NEAR + " tail"), (4, null), (4, same)], "doc_id long, text string"), 0.5).collect()
+    assert {(r.a, r.b) for r in pair} >= {(None, 4)} or {(r.b, r.a) for r in pair} >= {(None, 4)}
 
 
 def test_spotsigs_cover_texts_without_anchors(spark):
@@ -140,34 +143,394 @@ def test_spotsigs_cover_texts_without_anchors(spark):
     texts = [first, other, edited, mixed, mixed[:-1] + "x", "alpha beta gamma delta", "alpha beta gamma omega", "the alpha beta gamma delta", "the alpha beta gamma omega"]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, t string").select("k", spotsigs.signatures(F.col("t")).alias("s")).collect()
     sets = {r.k: set(r.s) for r in rows}
-    like = lambda a, b: len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-    assert like(0, 1) < 0.1 and 0.4 < like(0, 2) < 0.8 and len(sets[0]) >= 60
+    assert jaccard(sets[0], sets[1]) < 0.1 and 0.4 < jaccard(sets[0], sets[2]) < 0.8 and len(sets[0]) >= 60
     assert sets[3] != sets[4] and sets[5] != sets[6] and sets[7] != sets[8]
-    plain = "the cat and the dog sat with her in the old house"
-    got = spark.createDataFrame([(plain,)], "t string").select(spotsigs.signatures(F.col("t")).alias("s")).first().s
-    assert len(got) == 1 + 7  # the start and the chains of the seven anchors
 
 
-def test_media(spark, docs, tmp_path, none):
+# op2
+
+
+def test_cotraining_hands_labels_from_view_to_view():
+    """A view that can't learn from its few labels alone learns from what the other one is sure of."""
+    rng = np.random.default_rng(2)
+    n = 600
+    y = rng.integers(0, 2, n)
+    clear = (y[:, None] * 2 - 1) * 2 + rng.normal(size=(n, 3))
+    dim = (y[:, None] * 2 - 1) * 0.6 + rng.normal(size=(n, 12))
+    known = np.where(np.arange(n) < 40, y, -1)
+    both = cotraining.CoTrained.fit(clear.astype(np.float32), dim.astype(np.float32), known)
+    first = (known >= 0) & ((np.cumsum(known >= 0) - 1) % 5 != 4)
+    alone = cotraining.fit_logistic(dim[first].astype(np.float32), y[first].astype(np.float32))
+    right = lambda w: np.mean((cotraining.odds(dim[40:], w) > 0) == y[40:])
+    assert right(both.meta) > right(alone) + 0.01
+    a = both.scale[0][0] * cotraining.odds(clear, both.content) + both.scale[0][1]
+    b = both.scale[1][0] * cotraining.odds(dim, both.meta) + both.scale[1][1]
+    assert np.mean((a + b - both.prior > 0) == y) > 0.97
+
+
+def test_cotraining_views_share_nothing():
+    plain, shouted = cotraining.content_view(b"some words, and 3 more!"), cotraining.content_view(b"SOME words;; (and)\n   more??")
+    assert (plain == shouted).all()  # case, digits, marks and lines are for the other view alone
+    m = [cotraining.metadata_view(t, "en", "s") for t in (b"abc def, ghi", b"xyz uvw, rst")]
+    assert (m[0] == m[1]).all()  # and words for this one
+    assert not (cotraining.metadata_view(b"x", "en", "s1") == cotraining.metadata_view(b"x", "en", "s2")).all()
+
+
+def test_cotraining_odd_rows(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = cotraining.keep_good(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    some = spark.createDataFrame([(i, (i or 0) % 2, 0) for i in [*range(9), BIG, BIG, None, 999]], labels.schema)
+    assert cotraining.score(docs, cotraining.learn(docs, some), names=("x1", "x2", "x3")).where("x3 between 0 and 1").count() == len(ROWS)
+    assert cotraining.keep_good(none, some).count() == 0
+    assert cotraining.views(LONG * 40, None, None)[0].any() and not cotraining.views("", None, None)[0].any()
+
+
+# op3
+
+
+def test_bpe(docs, none):
+    path, pattern = P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN
+    enc = bpe.load(path, pattern)
+    got = bpe.encode_documents(docs, path, pattern).collect()
+    want = []
+    for i, t in ROWS:
+        ids = enc.encode_ordinary(t or "")
+        want.append((str(i), len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in got) == sorted(want)
+    assert bpe.encode_documents(none, path, pattern).count() == 0
+
+
+def test_bpe_cuts_only_where_no_match_runs_on():
+    enc = bpe.load(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    assert bpe.safe_cut(P.PATTERN) is bpe.SAFE and bpe.safe_cut("other") is None and bpe.split_safely(LONG, 10, None) == [LONG]
+    rng = np.random.default_rng(1)
+    signs = [*"ab c1'2\n\t 。é数日の가x!?.,;", "'s", "'re", " '", " "]
+    for _ in range(500):
+        t = "".join(rng.choice(signs, rng.integers(1, 60)))
+        assert [i for p in bpe.split_safely(t, 3) for i in enc.encode_ordinary(p)] == enc.encode_ordinary(t)
+    assert len(bpe.split_safely(LONG, 1000)) > 10 and len(bpe.split_safely("数学日本。" * 999, 1000)) > 4 and len(bpe.split_safely("aGVsbG8+Z2" * 999, 1000)) > 8
+
+
+# op4
+
+
+def test_media_query(spark, sf, whole):
+    got = {r.doc_id: r for r in media.op4_interleaved_media(spark, sf).collect()}
+    assert set(got) == set(whole)
+    for k, t in whole.items():
+        r, raw = got[k], t.encode()
+        size = max(576, -(-len(raw) // 576) * 576)
+        p = raw + b"\xff" * (size - len(raw))
+        stored = b"P5\n# n=%d\n24 %d\n255\n" % (len(raw), size // 24) + p
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), size, hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
+        assert (r.media_bytes, r.media_sha256) == (len(stored), hashlib.sha256(stored).hexdigest())
+        share = Counter(x >> 4 for x in p)
+        assert r.feature.split("|")[0] == "-".join(str(share[i] * 1000 // size) for i in range(16))
+        lines = [" ".join(x.split()) for x in t.split("\n")]
+        assert (r.caption, r.position, r.n_items) == (str(k), int(bool(lines[0])), 1 + sum(map(bool, lines)))
+
+
+def test_media_sequences(spark):
+    items = media.parse("<p>a</p><figure><img src='sha256:x' alt='q'><figcaption>cap</figcaption></figure><script>no</script>b")
+    assert items == [(0, "text", "a", None, None), (1, "media", None, "x", "cap"), (2, "text", "b", None, None)]
+    before = media.parse("<img src=o><figure><figcaption>cap <b>two</b></figcaption><img src=x><img src=y></figure><img src=z alt=zed>")
+    assert [(x[3], x[4]) for x in before] == [("o", None), ("x", "cap two"), ("y", "cap two"), ("z", "zed")]
+    muted = media.parse("<template><img src=x><p>t</p></template><noscript><img src=y></noscript><video><source src=v1><source src=v2></video><img>")
+    assert [x[3] for x in muted] == ["v1"]
+    nested = media.parse("<figure><img src=a><figure><img src=b><figcaption>in</figcaption></figure><figcaption>out</figcaption></figure>")
+    assert [(x[3], x[4]) for x in nested] == [("a", "out"), ("b", "in")]
+    assert media.parse(None) == [] and media.parse("<div>" * 5000 + "deep")[0][2] == "deep"
+    assert media.parse("<figure><figcaption>alone</figcaption></figure>") == [(0, "text", "alone", None, None)]
+    store = spark.createDataFrame([("x", 1), ("z", 2)], "digest string, n long")
+    pages = spark.createDataFrame([(1, "<p>t</p><img src=x><img src=gone>"), (1, "<img src=z>"), (None, None), (None, "<img src=x>")], "page_id long, html string")
+    got = [(r.page_id, r.position, r.kind, r.digest, r.n) for r in media.resolve(media.sequences(pages), store).collect()]
+    assert sorted(got, key=str) == sorted([(1, 0, "text", None, None), (1, 1, "media", "x", 1), (1, 2, "media", "gone", None), (1, 0, "media", "z", 2), (None, 0, "media", "x", 1)], key=str)
+    hot = spark.createDataFrame([("x",)], "digest string")
+    assert sorted(map(str, media.resolve(media.sequences(pages), store, hot=hot).select("page_id", "position", "kind", "digest", "n").collect())) == sorted(map(str, media.resolve(media.sequences(pages), store).select("page_id", "position", "kind", "digest", "n").collect()))
+
+
+def test_media_sequences_of_pages(spark, sf):
+    """Over the pages themselves: positions count up, text is in the page's order and nothing muted is in it."""
+    html = {r.page_id: r.html for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
+    for r in media.sequences(spark.read.parquet(f"{sf}/pages.parquet")).collect():
+        assert [i.position for i in r["items"]] == list(range(len(r["items"])))
+        said = [i.text for i in r["items"] if i.kind == "text"]
+        assert said and not any("track(" in x or "margin:0" in x for x in said)
+        at, page = 0, unescape(html[r.page_id])
+        for first in (x.split()[0] for x in said):
+            at = page.find(first, at)
+            assert at >= 0
+
+
+def test_media_store(spark, docs, tmp_path, none):
     store = media.read_media(media.store_media(docs, f"file://{tmp_path}/m"))
     got = {r.digest: r for r in store.collect()}
     for _, t in ROWS:
         p, n = media.payload(t)
         r = got[hashlib.sha256((t or "").encode()).hexdigest()]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256) == (n, len(p), hashlib.sha256(p).hexdigest()) and len(p) % 576 == 0
-    items = media.parse("<p>a</p><figure><img src='sha256:x' alt='q'><figcaption>cap</figcaption></figure><script>no</script>b")
-    assert items == [(0, "text", "a", None, None), (1, "media", None, "x", "cap"), (2, "text", "b", None, None)]
     assert media.read_media(media.store_media(none, f"file://{tmp_path}/n")).count() == 0
+    with pytest.raises(ValueError):
+        media.from_pgm(b"P5\n# n=1\n24 2\n255\nshort")
+
 
+# op5
+
+
+def base_scan(text):
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text)) if w]
+    places, labels = [], set()
+    for phrase, label in licenses.BASE:
+        p = phrase.split()
+        at = [i for i in range(len(words)) if words[i : i + len(p)] == p]
+        places += at
+        labels |= {label} if at else set()
+    return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))
+
+
+def test_licenses_query(spark, sf, whole):
+    got = {r.doc_id: r for r in licenses.op5_license_scan(spark, sf).collect()}
+    assert set(got) == set(whole)
+    for k, t in whole.items():
+        r = got[k]
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == base_scan(t)
+        assert set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1
+
+
+def detect(text):
+    """Ordered rules by brute force: at each word the best rule that matches there; what lies inside another detection goes."""
+    words = [w for w in re.split(r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.lower()) if w]
+    found = []
+    for i in range(len(words)):
+        rest = " ".join(words[i:])
+        hits = [(r.priority, m.end(), r.label, r.score, len(m[0].split())) for r in licenses.rules() if (m := re.match(f"(?:{r.regex})(?= |$)", rest))]
+        if hits:
+            p, _, label, score, n = max(hits)
+            found.append((i, i + n, label, score))
+    return [d for d in found if not any(e != d and e[0] < d[0] and e[1] >= d[1] for e in found)]
+
+
+def test_licenses_equal_all_rules_at_all_words(spark, docs, none):
+    rng = np.random.default_rng(3)
+    phrases = [r.regex for r in licenses.rules()]
+    plain = sorted({re.sub(r"\(\?:[^()]*\)\??|licen\[cs\]e", lambda m: "license" if "[" in m[0] else "", p).strip() for p in phrases if not re.search(r"[\\+{]", p)})
+    texts = [f"x {' y '.join(rng.choice(plain, 3))} and GPL-3.0" for _ in range(60)]
+    texts += ["Permission is hereby granted, free of charge, to any person obtaining a copy of this", "Redistributions of source code must retain the above copyright notice", "https://creativecommons.org/licenses/by-sa/4.0/", "SPDX-License-Identifier: Apache-2.0"]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    for r in got:
+        want = detect(texts[r.doc_id])
+        assert [(d["at"], d["upto"], d["label"]) for d in r.detections or []] == [d[:3] for d in want], texts[r.doc_id]
+        assert r.score == max((d[3] for d in want), default=0.0)
+    assert {r.labels for r in got if r.doc_id >= 60} == {"mit", "bsd", "cc-by-sa", "spdx"} or all(r.labels for r in got if r.doc_id >= 60)
+    odd = licenses.scan(docs).collect()
+    assert Counter(r.doc_id for r in odd) == KEYS and licenses.scan(none).count() == 0
+    r = next(r for r in odd if r.doc_id == 6)
+    assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels) == (18, 3, 2, 11, "cc-by,gpl,reserved") and {"cc-by-nc", "gpl-later"} <= set(r.labels.split(","))
+    assert len(licenses.PHRASES) > 150 and len(licenses.rules()) > 500
 
-def test_neardup(docs, none):
+
+def test_licenses_find_short_names_with_versions(spark):
+    want = {
+        "GPL v3": "gpl-versioned", "GPLv3": "gpl-versioned", "under GPL-3.0 here": "gpl-versioned", "GPL-2.0-or-later": "gpl-later", "LGPLv2.1": "lgpl-versioned",
+        "AGPLv3 only": "agpl-only", "Apache-2.0": "apache-versioned", "GNU GPLv3": "gpl-versioned", "MPL v2.0": "mpl-versioned", "AFL v3.0": "afl-versioned", "a gpl of sorts": "",
+        "Do What The Fuck You Want To Public License version 2.0 or any later version": "wtfpl-later",
+    }
+    got = {r.t: (r.labels, r.score) for r in licenses.scan(spark.createDataFrame([(t, t) for t in want], "t string, text string"), "t").collect()}
+    assert {t: x for t, (x, _) in got.items()} == want
+    assert all((s > 0) == bool(x) for x, s in got.values())
+
+
+# op6
+
+
+def test_token_index(spark, docs, none, tmp_path):
+    t = tok("word_bpe_49k.json")
+    ids = lambda x: [*t.encode(x or "", add_special_tokens=False).ids, 1]
+    got = sorted(token_shards.token_index(docs, P.path("word_bpe_49k.json"), 1).collect(), key=lambda r: r.start)
+    assert [str(r.doc_id) for r in got] == [str(i) for i, _ in sorted(ROWS, key=lambda r: (r[0] is not None, r[0] or 0))]
+    assert Counter((r.doc_id, r.n_tokens, r.ids_crc32) for r in got) == Counter((i, len(ids(x)), crc(ids(x))) for i, x in ROWS)
+    assert [r.start for r in got] == [0, *np.cumsum([r.n_tokens for r in got])[:-1]]
+    assert token_shards.token_index(none, P.path("word_bpe_49k.json"), 1).count() == 0
+    where = f"file://{tmp_path}/shards"
+    manifest = token_shards.write_shards(docs, where, P.path("word_bpe_49k.json"), 1, 5).collect()
+    assert len(manifest) > 1
+    index = token_shards.TokenIndex(where, manifest)
+    for key, n in KEYS.items():
+        assert Counter(tuple(index.get(key, o).tolist()) for o in range(n)) == Counter(tuple(ids(x)) for k, x in ROWS if k == key)
+        assert index.get(key, n) is None
+    assert index.get(12345) is None and index.get(-1) is None
+
+
+def test_token_index_query(spark, sf, whole):
+    t, start = tok("word_bpe_49k.json"), 0
+    got = {r.doc_id: r for r in token_shards.op6_token_index(spark, sf).collect()}
+    for k in sorted(whole):
+        ids = [*t.encode(whole[k], add_special_tokens=False).ids, 1]
+        assert (got[k].start, got[k].n_tokens, got[k].ids_crc32) == (start, len(ids), crc(ids))
+        start += len(ids)
+
+
+def test_token_index_reads_little(tmp_path):
+    """A lookup's reads don't grow with the shard; keys of hot runs and null keys are told apart."""
+
+    class Counted:
+        def __init__(self, raw):
+            self.raw, self.read = raw, 0
+
+        def size(self):
+            return len(self.raw)
+
+        def read_at(self, n, at):
+            self.read += n
+            return self.raw[at : at + n]
+
+    reads = []
+    for n in (1_000, 100_000):
+        out = (tmp_path / f"{n}").open("wb")
+        keys = np.concatenate([np.zeros(3, np.int64), np.full(5, -4), np.arange(0, 3 * n, 3)])
+        w = token_shards.ShardWriter(out, 4)
+        w.ids(np.arange(2 * len(keys), dtype="<u4").tobytes())
+        w.close(keys, np.full(len(keys), 2, np.int64), nulls=3)
+        out.close()
+        shard = token_shards.Shard(f := Counted((tmp_path / f"{n}").read_bytes()))
+        f.read = 0
+        assert shard.get(2997 // 3 * 3).tolist() == [2 * (8 + 999), 2 * (8 + 999) + 1] and shard.get(1) is None
+        reads.append(f.read)
+        assert [shard.get(None, o).tolist()[0] for o in range(3)] == [0, 2, 4] and shard.get(None, 3) is None
+        assert [shard.get(-4, o).tolist()[0] for o in range(5)] == [6, 8, 10, 12, 14] and shard.get(0, 0).tolist()[0] == 16
+        assert sorted(shard.read("slot", 0, shard.docs).tolist()) == list(range(len(keys)))  # minimal and perfect
+    assert reads[1] < reads[0] + 200 and reads[0] < 600
+
+
+@pytest.mark.parametrize(("name", "spaced", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
+def test_pieces_spell_the_ids_of_whole_texts(name, spaced, width, monkeypatch):
+    odd = ["", "   ", "\n", "Hello,  world!\n\n x", "<|endoftext|> hi", "a b　c", "\x1c x", "İstanbul ÉCOLE é.", "WON'T it's, 's", "x.y,z;;; \t\r\n end ", "ΑΣ. οδός", "数学 🙂!!", LONG]
+    want = [np.array(tok(name).encode(t, add_special_tokens=False).ids, np.dtype(f"<u{width}")).tobytes() for t in odd]
+    for held, piece_slice, learn in ((600_000, 400_000, 9), (7, 5, 3)):  # forgets between slices
+        monkeypatch.setattr(tokens, "SLICE", piece_slice)
+        monkeypatch.setattr(tokens, "LEARN", learn)
+        enc = tokens.WordEncoder(P.path(name), spaced, width)
+        enc.HELD = held
+        assert enc.encode(odd) == want
+        assert [enc.encode([t])[0] for t in odd] == want
+        assert len(enc.numbers) <= max(held, piece_slice)
+
+
+def test_encoder_memory_is_bounded():
+    """Words that never come again: what is held stays under the bound, and so does the process."""
+    code = """
+import resource, sys
+import numpy as np, public_tokenizers as P
+from textquarry.llm import tokens
+enc = tokens.WordEncoder(P.path("byte_bpe_50k.json"), True)
+rng, most = np.random.default_rng(0), 0
+for _ in range(5):
+    words = rng.integers(97, 123, (250_000, 8), dtype=np.uint8)
+    words[:, 0] = 32
+    text = words.tobytes().decode()
+    enc.encode([text[i:i + 8000] for i in range(0, len(text), 8000)])
+    most = max(most, len(enc.numbers))
+print(most, resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    most, mb = map(int, subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout.split())
+    assert most <= tokens.WordEncoder.HELD and mb < 450
+
+
+# op7
+
+
+def test_langid_models_equal_direct_kernels():
+    """The folded weights give what kernel ridge regression over the landmark map gives when written out."""
+    rng = np.random.default_rng(0)
+    make = lambda letters: " ".join("".join(rng.choice(list(letters), rng.integers(2, 7))) for _ in range(30))
+    texts = [make("abcde") for _ in range(12)] + [make("defgh") for _ in range(12)] + [make("hijkl") for _ in range(12)]
+    langs = ["x"] * 12 + ["y"] * 12 + ["z"] * 12
+    model = langid.Model.fit(texts, langs)
+
+    def grams(t):
+        codes = [0] * langid.WIDTH
+        row = np.zeros(langid.WIDTH, np.float32)
+        langid.presence(t, row)
+        return frozenset(np.flatnonzero(row).tolist()) if codes else None
+
+    k = lambda a, b: len(a & b) / np.sqrt(len(a) * len(b))
+    sets = [grams(t) for t in texts]
+    gram = np.array([[k(a, b) for b in sets] for a in sets])
+    assert np.allclose(langid.kernel_rows(texts) @ langid.kernel_rows(texts).T, gram, atol=1e-5)
+    values, vectors = np.linalg.eigh(gram)
+    keep = values > 1e-6 * values.max()
+    z = np.hstack([gram @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((36, 1))])
+    target = np.array([[1.0 if a == b else -1.0 for b in "xyz"] for a in langs])
+    beta = np.linalg.solve(z.T @ z / 12 + langid.RIDGE * np.eye(z.shape[1]), z.T @ target / 12)
+    new = [make("abcde"), make("hijkl"), make("cdefg")]
+    got = langid.kernel_rows(new) @ model.landmarks.T @ model.weights[:-1] + model.weights[-1]
+    zn = np.hstack([np.array([[k(grams(t), s) for s in sets] for t in new]) @ vectors[:, keep] / np.sqrt(values[keep]), np.ones((3, 1))])
+    assert np.allclose(got, zn @ beta, atol=5e-2) and (got.argmax(1) == (zn @ beta).argmax(1)).all()
+
+
+def test_langid_on_held_out_and_long_texts(spark):
+    d = "/root/testdata/sf0.01"
+    lang = {r.doc_id: (r.lang, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang", "text").collect()}
+    rows = langid.op7_language_id(spark, d).collect()
+    held = [r for r in rows if r.held_out]
+    assert len(rows) == len(lang) and all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in rows)
+    assert np.mean([r.lang_pred == lang[r.doc_id][0] for r in held]) > 0.97
+    model = langid.learn(spark.read.parquet(f"{d}/documents.parquet"))
+    long = " ".join(t for _, (x, t) in sorted(lang.items()) if x == "de" and t)
+    assert len(long) > 100_000
+    (best,), (sure,) = model.predict([long])
+    assert best == "de" and sure > 0.7
+
+
+def test_langid_odd_rows(spark, docs, none):
+    model = langid.learn(docs)
+    got = langid.predict(docs, model).collect()
+    assert Counter(r.doc_id for r in got) == KEYS and langid.predict(none, langid.learn(none)).count() == 0
+    blank = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "!!! 12", "½ ² ٣", "a½"])], "doc_id long, text string")
+    said = {r.doc_id: (r.lang_pred, r.score) for r in langid.predict(blank, langid.Model.fit(["the cat", "der hund"], ["en", "de"])).collect()}
+    assert all(said[i] == ("und", 0.0) for i in range(4)) and said[4][0] != "und"
+    many = spark.createDataFrame([(i, f"{chr(0x4E00 + i % 700)} {chr(0x4E00 + i % 700)}", f"l{i % 700}") for i in range(8000)], "doc_id long, text string, lang string")
+    assert len(langid.learn(many).classes) == 700
+
+
+# op8
+
+
+def classes_by_hand(texts):
+    sets, up = [neardup.weighted_shingles(t) for t in texts], list(range(len(texts)))
+    plain = [frozenset(s[0].tolist()) for s in sets]
+
+    def root(i):
+        while up[i] != i:
+            i = up[i]
+        return i
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if texts[i] == texts[j] or (not plain[i].isdisjoint(plain[j]) and neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD):
+                a, b = sorted((root(i), root(j)))
+                up[b] = a
+    return [root(i) for i in range(len(texts))]
+
+
+def test_neardup_query(spark, sf, whole):
+    keys = sorted(whole)
+    want = classes_by_hand([whole[k] for k in keys])
+    got = {r.doc_id: r for r in neardup.op8_dart_minhash_dedup(spark, sf).collect()}
+    assert [got[k].class_id for k in keys] == [keys[i] for i in want] and [got[k].kept for k in keys] == [i == j for i, j in enumerate(want)]
+    assert len(set(want)) < len(keys)
+
+
+def test_neardup_odd_rows(docs, none):
     rows = neardup.near_duplicates(docs).collect()
+    assert Counter(r.id for r in rows) == KEYS
     got = {r.id: r["class"] for r in rows}
-    assert got[5] == 4 and got[0] == got[1] and got[3] == 3 and len(rows) == len(ROWS)
+    assert got[5] == 4 and got[0] == got[1] and got[3] == 3
     kept = neardup.drop_near_duplicates(docs)
-    assert sorted(r.doc_id or -1 for r in kept.collect()) == [-1, -1, 2, 3, 4, 6, 7, 8]
     assert kept.columns == docs.columns
-    assert neardup.near_duplicates(none).count() == 0
+    assert sorted(str(r.doc_id) for r in kept.collect()) == sorted(map(str, [None, None, 2, 3, 4, 6, 7, 8, 0, BIG, BIG]))
+    assert neardup.near_duplicates(none).count() == 0 and neardup.drop_near_duplicates(none).count() == 0
 
 
 def test_neardup_tells_texts_of_null_and_repeated_ids_apart(spark):
@@ -199,21 +562,21 @@ def test_neardup_finds_every_link_of_a_large_group(spark):
             for j in rng.integers(0, 140, rng.integers(1, 10)):
                 x[j : j + 1] = [] if rng.random() < 0.2 else [rng.choice(words)]
             texts.append(" ".join(x))
-    sets = [neardup.weighted_shingles(t) for t in texts]
-    up = list(range(len(texts)))
+    texts += [texts[0]] * 150  # a hot group of exact copies
+    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert {r.id: r["class"] for r in got.collect()} == dict(enumerate(classes_by_hand(texts)))
 
-    def root(i):
-        while up[i] != i:
-            i = up[i]
-        return i
 
-    for i in range(len(texts)):
-        for j in range(i):
-            if neardup.similarity(sets[i], sets[j]) >= neardup.THRESHOLD:
-                a, b = sorted((root(i), root(j)))
-                up[b] = a
-    got = neardup.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
-    assert {r.id: r["class"] for r in got.collect()} == {i: root(i) for i in range(len(texts))}
+def test_components_take_logarithmic_rounds(spark, monkeypatch):
+    made, real = [], neardup.materialise
+    monkeypatch.setattr(neardup, "materialise", lambda df, label: (made.append(label), real(df, label))[1])
+    chain = spark.range(1, 1000).select(F.col("id").alias("a"), (F.col("id") - 1).alias("b"))
+    got = neardup.components(chain)
+    assert got.count() == 1000 and got.select("class").distinct().count() == 1
+    assert len(made) <= 2 + 2 * 20  # two tables a round
+    pairs = spark.createDataFrame([(2, 1), (3, 2), (9, 8), (12, 11), (12, 10)], "a long, b long")
+    assert {frozenset(g) for g in pd.DataFrame(neardup.components(pairs).collect(), columns=["id", "class"]).groupby("class").id.apply(list)} == {frozenset(x) for x in ((1, 2, 3), (8, 9), (10, 11, 12))}
+    assert neardup.components(pairs.where("1 = 0")).count() == 0
 
 
 def test_dart_minhash_estimates_weighted_jaccard():
@@ -225,24 +588,192 @@ def test_dart_minhash_estimates_weighted_jaccard():
     assert abs(got - want) < 0.06
 
 
-@pytest.mark.parametrize("sf", ["sf0.01"])
-def test_models_on_held_out_rows(spark, sf):
-    d = f"/root/testdata/{sf}"
-    truth = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-    lang = {r.doc_id: r.lang for r in spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "lang").collect()}
-    seven = [r for r in langid.op7_language_id(spark, d).collect() if r.held_out]
-    assert np.mean([r.lang_pred == lang[r.doc_id] for r in seven]) > 0.97
-    ten = [r for r in toxicity.op10_toxicity_grammar(spark, d).collect() if r.held_out and r.doc_id in truth]
-    assert np.mean([r.predicted == truth[r.doc_id].toxic for r in ten]) > 0.93
-    two = [r for r in cotraining.op2_cotraining_quality(spark, d).collect() if r.held_out and r.doc_id in truth]
-    assert np.mean([r.predicted == truth[r.doc_id].quality for r in two]) > 0.95
+# op9
 
 
-def test_models_on_odd_rows(spark, docs, none):
-    assert langid.predict(docs, langid.learn(docs)).where("doc_id IN (0, 1, 7)").select("lang_pred").distinct().first()[0] == "und"
-    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    assert toxicity.drop_toxic(docs, labels).count() == len(ROWS) and toxicity.drop_toxic(none, labels).count() == 0
-    assert cotraining.keep_good(docs, labels).count() == len(ROWS)
+def check_packing(got, want, capacity):
+    """``want``: (key, ids) of each document; pieces, their checksums and places."""
+    pieces = Counter()
+    for key, ids in want:
+        at, size = 0, (len(ids) - 1) % capacity + 1
+        n = 0
+        while at < len(ids):
+            pieces[key, n, at, size, crc(ids[at : at + size])] += 1
+            at, size, n = at + size, capacity, n + 1
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == pieces
+    by = {}
+    for r in got:
+        by.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for parts in by.values():
+        at = 0
+        for o, n in sorted(parts):
+            assert o == at
+            at += n
+        assert at <= capacity
+    return len(by), -(-sum(r.length for r in got) // capacity)
+
+
+def test_packing_query(spark, sf, whole):
+    t = tok("byte_bpe_50k.json")
+    want = [(k, [*t.encode(x, add_special_tokens=False).ids, 0]) for k, x in whole.items()]
+    used, least = check_packing(packing.op9_best_fit_packing(spark, sf).collect(), want, 2048)
+    assert used <= least * 1.01 + 1
+
+
+def test_packing_odd_rows(docs, none, monkeypatch):
+    monkeypatch.setattr(packing, "PER_SALT", 3)
+    t = tok("byte_bpe_50k.json")
+    got = packing.pack_documents(docs, P.path("byte_bpe_50k.json"), 0, 64).collect()
+    used, least = check_packing(got, [(i, [*t.encode(x or "", add_special_tokens=False).ids, 0]) for i, x in ROWS], 64)
+    assert used <= least + 1
+    assert packing.pack_documents(none, P.path("byte_bpe_50k.json"), 0).count() == 0
+    clash = common.materialise(packing.pieces(docs, P.path("byte_bpe_50k.json"), 0, 64).selectExpr("*", "7L AS offset", "'x' AS sequence_id", "1 AS salt", "2 AS rank"), "clash")
+    out = packing.pack(clash, 64)
+    assert Counter(out.columns) == Counter(clash.columns) and out.count() == len(got) and out.where("salt <> 1 OR rank <> 2").count() == 0
+
+
+def test_best_fit_needs_few_sequences():
+    rng = np.random.default_rng(0)
+    for _ in range(20):
+        hist = {int(n): int(c) for n, c in zip(rng.choice(np.arange(1, 128), 40, replace=False), rng.integers(1, 9, 40), strict=True)}
+        rows = packing.best_fit(hist, 128)
+        assert Counter({n: 0}) + sum((Counter({r[0]: r[2]}) for r in rows), Counter()) == Counter(hist) if (n := 0) else True
+        assert sum(r[2] for r in rows) == sum(hist.values())
+        # one document at a time: the fullest sequence that takes it
+        rooms = []
+        for n in sorted(itertools.chain.from_iterable([x] * c for x, c in hist.items()), reverse=True):
+            fits = [r for r in rooms if r >= n]
+            if fits:
+                rooms.remove(min(fits))
+                rooms.append(min(fits) - n)
+            else:
+                rooms.append(128 - n)
+        assert max(r[3] + r[2] for r in rows) <= len(rooms) + 1
+
+
+# op10
+
+
+def readings(tokens, g):
+    """Weight of a clause by the four rules stated apart, on whole clauses."""
+    read = [g.read(t) for t in tokens]
+    weight = [v for _, v in read]
+    symbols = [s for s, _ in read]
+    for i, s in enumerate(symbols):
+        if s not in toxicity.WEIGHED:
+            continue
+        reach = 0
+        for j in range(i - 1, -1, -1):
+            reach += 1
+            if symbols[j] in ("quote", "colon"):
+                break
+            if symbols[j] == "negation":
+                weight[i] *= toxicity.NEGATED if reach <= toxicity.REACH else 1.0
+                break
+        if s == "insult" and "target" in symbols[:i]:
+            weight[i] *= toxicity.AIMED
+        if s == "threat" and "target" not in symbols:
+            weight[i] = 0.0
+    told, i = len(symbols), 0
+    quotes = [j for j, s in enumerate(symbols) if s == "quote"]
+    spans = [(a, b) for a, b in zip(quotes[::2], quotes[1::2], strict=False)]
+    inside = lambda j: any(a < j < b for a, b in spans) or (len(quotes) % 2 and j > quotes[-1])
+    told = next((j for j, s in enumerate(symbols) if s == "report" and not inside(j)), len(symbols))
+    cited = set()
+    for a, b in spans:
+        if b < told and "report" in symbols[b + 1 : b + 2 + toxicity.OFF] and "quote" not in symbols[b + 1 : b + 1 + symbols[b + 1 :].index("report")]:
+            cited |= set(range(a, b))
+    for j in range(len(symbols)):
+        if j > told or j in cited:
+            weight[j] *= toxicity.REPORTED
+    return sum(weight[j] for j, s in enumerate(symbols) if s in toxicity.WEIGHED)
+
+
+def test_grammar_composition_equals_its_rules():
+    g = toxicity.Grammar({"foo": 2.0, "barb*": 1.5})
+    rng = np.random.default_rng(4)
+    pool = ["idiot", "foo", "barbel", "kill", "you", "not", "said", '"', '"', ":", "tree", "house", "blue", "sky"]
+    for _ in range(3000):
+        clause = list(rng.choice(pool, rng.integers(1, 10)))
+        if sum(t == '"' for t in clause) > 2:
+            continue
+        assert g.clause(clause) == pytest.approx(readings(clause, g)), clause
+
+
+def test_grammar_states():
     g = toxicity.Grammar({})
-    assert g.score("you are an idiot") > g.score("he said you are an idiot") > g.score("nice day")
-    assert g.score("you are an idiot") > g.score("you are not an idiot")
+    score = g.score
+    assert score("you are an idiot") > score("he said you are an idiot") > score("nice day")
+    assert score("you are an idiot") > score("you are not an idiot") and score("you are an idiot") > score("what an idiot")
+    assert score("i will kill you") > score("kill the lights") == score("nice day")
+    # reported speech across a colon, and before its verb
+    assert g.features('he said: "you are an idiot"')[:3] == g.features("he said you are an idiot")[:3]
+    assert score('"you idiot!" he said') < score('"you idiot!" he laughed')
+    plain = toxicity.Grammar({}, marks=(1.0, 1.0, 1.0))
+    for i, text in enumerate(("you are not an idiot", "you idiot", "he said you idiot")):
+        marks = [1.0, 1.0, 1.0]
+        marks[i] = g.marks[i]
+        assert toxicity.Grammar({}, marks=tuple(marks)).score(text) != plain.score(text)
+
+
+def test_grammar_reads_long_texts_once():
+    import time
+
+    g, took = toxicity.Grammar({}), []
+    for n in (20_000, 160_000):
+        text = "you are an idiot, " * n  # one clause, no end
+        began = time.perf_counter()
+        g.score(text)
+        g.score("idiot " + "word " * (4 * n) + "idiot")
+        g.score(("idiot! " + "calm words here " * 3) * (n // 4))
+        took.append(time.perf_counter() - began)
+    assert took[1] < 24 * took[0]
+
+
+def test_toxicity_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    docs, labels = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("documents", "labels"))
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    rows = toxicity.op10_toxicity_grammar(spark, d).collect()
+    g = toxicity.learn(docs, labels)
+    assert len(rows) == len(texts) and all(r.score == pytest.approx(g.score(texts[r.doc_id])) and r.predicted == (r.score >= 0.7) for r in rows)
+    held = [r for r in rows if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id].toxic for r in held]) > 0.93
+    # marks matter on rows it didn't learn from
+    aimed = toxicity.Grammar(g.learned, g.scale, (toxicity.NEGATED, 1.0, toxicity.REPORTED))
+    assert any(aimed.score(texts[r.doc_id]) < r.score - 1e-6 for r in held if truth[r.doc_id].toxic)
+
+
+def test_toxicity_odd_rows(spark, docs, none):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    kept = toxicity.drop_toxic(docs, labels)
+    assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
+    assert toxicity.drop_toxic(none, labels).count() == 0
+    some = spark.createDataFrame([(i, 1, i % 2) for i in range(9)] + [(BIG, 1, 1), (BIG, 1, 0), (None, 1, 1), (999, 0, 1)], labels.schema)
+    assert toxicity.score(docs, toxicity.learn(docs, some), name="x").where("x between 0 and 1").count() == len(ROWS)
+
+
+def test_quality_held_out(spark):
+    d = "/root/testdata/sf0.01"
+    truth = {r.doc_id: r for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
+    held = [r for r in cotraining.op2_cotraining_quality(spark, d).collect() if r.held_out and r.doc_id in truth]
+    assert np.mean([r.predicted == truth[r.doc_id].quality for r in held]) > 0.95
+    assert len(json.dumps([r.score for r in held])) > 2
+
+
+# what they share
+
+
+def test_dealt_join_keeps_every_row(spark):
+    rows = spark.createDataFrame([(1, i) for i in range(500)] + [(2, 1), (3, 2), (None, 3)], "k long, v long")
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (4, "c")], "k long, name string")
+    hot = common.hot_keys(rows.groupBy("k").count(), "k", "count", 503)
+    assert [r.k for r in hot.collect()] == [1]
+    for how in ("inner", "left"):
+        want = rows.join(table, "k", how)
+        assert sorted(map(str, common.dealt_join(rows, table, "k", hot, F.col("v"), how).collect())) == sorted(map(str, want.collect()))
+
+
+def test_fresh_names():
+    assert common.fresh(["a", "B", "b_"], "a", "b", "c", "c") == ["a_", "b__", "c", "c_"]
