@@ -4,7 +4,7 @@ Texts become pieces of at most ``capacity`` tokens; only longer ones are cut, an
 A piece of ``capacity`` tokens is a sequence by itself. The histogram of the other lengths (fewer than ``capacity`` numbers) goes to the
 driver, where best-fit-decreasing places counts, not pieces. The plan says for each length which ranks take which place of which
 sequences; a piece learns its rank within its length from salted counts and takes its slot by joining on it. A length has a
-salt for each PER_SALT of its pieces, so none gathers in one task at any size.
+salt for each PER_SALT of its pieces, so none gathers in one task.
 
 A null or empty text is one piece: the end id. Null and repeated keys are packed like any others, each row by itself. Input columns
 named sequence_id or offset are replaced in ``pack``; others pass. An empty table gives no rows.
@@ -24,8 +24,8 @@ from textquarry.llm.common import crc, fresh, materialise, table, whole_text, wi
 from textquarry.llm.tokens import encoder
 
 CAPACITY = 2048
-#: Pieces of a length that one salt takes.
-PER_SALT = 200_000
+#: Pieces of a length that one salt takes, or more where that made over MOST_SALTS in all.
+PER_SALT, MOST_SALTS = 500, 100_000
 
 
 def cut(ids: bytes, capacity: int = CAPACITY) -> list[tuple[int, int, int, int]]:
@@ -93,11 +93,12 @@ def pack(items: DataFrame, capacity: int = CAPACITY, length: str = "length", ord
     """``items`` with sequence_id and offset. ``items`` must give the same rows each time it is read (a written table)."""
     items = items.drop("sequence_id", "offset")
     salts, salt, rank = fresh(items.columns, "salts", "salt", "rank")
-    sizes = items.where(F.col(length) < capacity).groupBy(length).agg(F.count(F.lit(1)).alias("n"))
     # fewer than ``capacity`` rows, here and in the join
-    sizes = F.broadcast(sizes.select(length, F.ceil(F.col("n") / PER_SALT).cast("int").alias(salts)))
+    sizes = [tuple(r) for r in items.where(F.col(length) < capacity).groupBy(length).agg(F.count(F.lit(1)).alias("n")).collect()]
+    each = max(PER_SALT, sum(n for _, n in sizes) // MOST_SALTS)
+    sizes = F.broadcast(items.sparkSession.createDataFrame([(k, -(-n // each)) for k, n in sizes], f"`{length}` long, `{salts}` int"))
     part = items.where(F.col(length) < capacity).join(sizes, length).withColumn(salt, F.pmod(F.xxhash64(*order), F.col(salts)).cast("int")).drop(salts)
-    # a row for each PER_SALT pieces of a length, and at least one a length
+    # at most MOST_SALTS rows, and one a length
     cells = sorted(tuple(r) for r in part.groupBy(length, salt).agg(F.count(F.lit(1)).alias("n")).collect())
     histogram: dict[int, int] = defaultdict(int)
     base = {}
