@@ -8,8 +8,17 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
-_FENCED = re.compile(r"^```.*?^```[^\n]*$", re.M | re.S)
-_BLOCKED = re.compile(r"\s*(?:#{1,6}\s|[-*+]\s|\d+[.)]\s|>|\|)")
+# The patterns that define a fence, a fence line, a bullet, an empty section, a page number and an empty fence.
+FENCED = re.compile(r"```[^\n]*\n.*?```", re.S)
+FENCE_LINE = re.compile(r"^\s*```", re.M)
+BULLET = re.compile(r"^(\s*)[*+](\s)", re.M)
+EMPTY_SECTION = re.compile(r"^(#{1,6})[ \t]+[^\n]+\n+(?=\1(?!#)\s+)", re.M)
+PAGE_NUMBER = re.compile(r"(?:[Pp]age\s+)?[1-9]\d{0,2}|[-–—]\s*[1-9]\d{0,2}\s*[-–—]")
+JUNK_FENCES = (re.compile(r"\n*```[^\n]*\n\s*```\n*"), re.compile(r"\n*```[^\n]*\n[\s|]*[1-9]\d{0,2}[\s|]*\n```\n*"))
+SLIDE = "<!-- slide -->"
+RULE = re.compile(r"\n\s*---\s*\n")
+LINK = re.compile(r"\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)")
+
 _MOJIBAKE = re.compile("[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+")
 
 
@@ -34,60 +43,107 @@ def sanitise(text: str | None) -> str:
     return re.sub(r"[ \t]+$", "", text, flags=re.M)
 
 
-def _outside_fences(text: str, change) -> str:
-    """``change`` applied to what isn't fenced; fences stay as they are."""
-    kept: list[str] = []
+class _Fences:
+    """Takes fenced blocks out of a text and puts them back."""
+
+    def __init__(self):
+        self.kept: list[str] = []
+
+    def out(self, text: str) -> str:
+        def hold(m):
+            self.kept.append(m[0])
+            return f"\x00{len(self.kept) - 1}\x00"
 
-    def hold(m):
-        kept.append(m[0])
-        return f"\x00{len(kept) - 1}\x00"
+        return FENCED.sub(hold, text)
 
-    changed = change(_FENCED.sub(hold, text))
-    return re.sub("\x00(\\d+)\x00", lambda m: kept[int(m[1])], changed)
+    def back(self, text: str) -> str:
+        return re.sub("\x00(\\d+)\x00", lambda m: self.kept[int(m[1])], text)
 
 
-def _drop_empty_sections(text: str) -> str:
+def drop_empty_sections(text: str) -> str:
+    """A header that only another of its level follows goes; ten passes at most."""
     for _ in range(10):
-        new = re.sub(r"^(#{1,6}) [^\n]*\n+(?=\1 )", "", text, flags=re.M)
-        if new == text:
+        text, n = EMPTY_SECTION.subn("", text)
+        if not n:
             break
-        text = new
+    return text
+
+
+def close_fence(text: str) -> str:
+    """Appends a fence where the number of fence lines is odd; white space may stand before a fence."""
+    if len(FENCE_LINE.findall(text)) % 2:
+        return text + ("```" if text.endswith("\n") else "\n```")
     return text
 
 
 def normalise(text: str | None) -> str:
-    """Markdown with ``-`` bullets, single blank lines, closed fences and no empty sections."""
+    """Markdown with ``-`` bullets, single blank lines, closed fences and no empty sections; fenced blocks stay as they are."""
     if not text:
         return ""
-    text = text.replace("\r\n", "\n").replace("\r", "\n")
-    if len(re.findall("^```", text, re.M)) % 2:
-        text = text.rstrip("\n") + "\n```"
-
-    def change(t):
-        t = re.sub(r"^([ \t]*)[*+] ", r"\1- ", t, flags=re.M)
-        t = re.sub("\n{3,}", "\n\n", t)
-        return _drop_empty_sections(t).strip() + "\n"
-
-    return _outside_fences(text, change)
-
-
-def merge_soft_breaks(text: str) -> str:
-    """Joins a line to a next one that begins in lower case, also across one blank line after an unfinished sentence."""
-
-    def change(t):
-        lines, i = t.split("\n"), 0
-        while i < len(lines) - 1:
-            now, nxt = lines[i].rstrip(), lines[i + 1]
-            open_ = bool(now) and now[-1] not in "])"
-            if open_ and re.match("[a-z]", nxt) and not _BLOCKED.match(nxt):
-                lines[i : i + 2] = [f"{now} {nxt.lstrip()}"]
-            elif open_ and not nxt.strip() and i + 2 < len(lines) and re.match("[a-z]", lines[i + 2]) and now[-1] not in ".!?:":
-                lines[i : i + 3] = [f"{now} {lines[i + 2].lstrip()}"]
-            else:
-                i += 1
-        return "\n".join(lines)
-
-    return _outside_fences(text, change)
+    fences = _Fences()
+    text = fences.out(text.replace("\r\n", "\n").replace("\r", "\n"))
+    text = fences.out(close_fence(text))
+    text = re.sub("\n{3,}", "\n\n", BULLET.sub(r"\1-\2", text))
+    return fences.back(drop_empty_sections(text).strip() + "\n")
+
+
+def merge_soft_breaks(text: str | None) -> str:
+    """Joins a line to a next one that begins with a-z, whatever the next one's indent, unless it ends in a bracket; also across one blank line
+    if it ends no sentence either. A blank line joins nothing; fenced blocks stay as they are."""
+    if not text:
+        return ""
+    fences = _Fences()
+    todo = fences.out(text).split("\n")[::-1]
+    out: list[str] = []
+    while todo:
+        line = todo.pop()
+        now = line.rstrip()
+        ahead = [x.lstrip() for x in reversed(todo[-2:])]
+        gap = 1 if len(ahead) > 1 and not ahead[0] else 0
+        goes_on = len(ahead) > gap and "a" <= ahead[gap][:1] <= "z"
+        if now and goes_on and now[-1] not in ("])" if not gap else "]).!?:"):
+            del todo[-1 - gap :]
+            todo.append(f"{now} {ahead[gap]}")
+        else:
+            out.append(line)
+    return fences.back("\n".join(out))
+
+
+def drop_page_numbers(text: str | None) -> str:
+    """Drops one-line paragraphs that hold a page number from 1 to 999; the others are parted by one blank line."""
+    return "\n\n".join(p for p in re.split(r"\n\s*\n", text or "") if not PAGE_NUMBER.fullmatch(p.strip()))
+
+
+def drop_junk_fences(text: str | None) -> str:
+    """Drops fences that are empty or hold a page number alone."""
+    text = text or ""
+    for pattern in JUNK_FENCES:
+        text = pattern.sub("\n\n", text)
+    return text
+
+
+def post_process(text: str | None, parser: str = "") -> str:
+    """What follows a reader: ``quality`` and ``fast`` name the two kinds of PDF parser, everything else is only normalised."""
+    text = normalise(text)
+    if parser == "fast":
+        text = merge_soft_breaks(text)
+    return drop_junk_fences(drop_page_numbers(text)) if parser else text
+
+
+def strip_links(text: str | None) -> str:
+    return LINK.sub(r"\1", text or "")
+
+
+def slide_markers(text: str | None) -> str:
+    """Keeps slide markers; else rules become markers; else one goes before each top header but the first."""
+    text = text or ""
+    if SLIDE in text:
+        return text
+    marker = f"\n\n{SLIDE}\n\n"
+    if RULE.search(text):
+        return RULE.sub(marker, text)
+    first = re.search(r"^# ", text, re.M)
+    return text if not first else text[: first.end()] + text[first.end() :].replace("\n# ", f"{marker}# ")
 
 
 def column(function):
