@@ -36,10 +36,27 @@ def category(fmt: Column) -> Column:
     return F.coalesce(_lookup(CATEGORY, F.lower(fmt)), F.lit("document"))
 
 
+def name_error(filename: Column) -> Column:
+    """INVALID_FILENAME for a name that is missing, empty, longer than 255 characters or holds a path; else null."""
+    base = F.element_at(F.split(filename, "/"), -1)
+    good = (base == filename) & F.length(filename).between(1, 255)
+    return F.when(~F.coalesce(good, F.lit(False)), "INVALID_FILENAME")
+
+
 def upload_error(size: Column, mime: Column, filename: Column, max_mb: int = 50) -> Column:
-    base = F.element_at(F.split(filename, "[/\\\\]"), -1)
-    bad_name = (base != filename) | ~F.length(filename).between(1, 255)
-    return F.when(size > max_mb * 1024 * 1024, "FILE_TOO_LARGE").when(detect_format(mime, filename).isNull(), "INVALID_FORMAT").when(bad_name, "INVALID_FILENAME")
+    """FILE_TOO_LARGE, else INVALID_FORMAT, else what name_error says, else null. Both lists are looked at: a known ending makes up for an
+    unknown media type, and the other way round."""
+    return F.when(size > max_mb * 1024 * 1024, "FILE_TOO_LARGE").when(detect_format(mime, filename).isNull(), "INVALID_FORMAT").otherwise(name_error(filename))
+
+
+def ocr_applied(mode: Column, chars: Column, pages: Column) -> Column:
+    """Whether text was recognised: always if forced, and in auto mode where a page has under 50 characters."""
+    return (mode == "force") | ((mode == "auto") & (chars / F.greatest(F.lit(1), F.coalesce(pages, F.lit(0))) < 50))
+
+
+def needs_password(content: Column) -> Column:
+    """Whether a PDF's bytes name an encryption dictionary; false for null."""
+    return F.coalesce(F.contains(content, F.lit(b"/Encrypt")), F.lit(False))
 
 
 def conversion_error(markdown: Column, error: Column, chunks: Column) -> Column:
