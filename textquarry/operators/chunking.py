@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from textquarry.operators.quality import Profile
+from textquarry.functions.text import token_estimate
+from textquarry.operators.quality import Profile, completeness, flags, has_title, score
 
 _BREADCRUMB = re.compile(r"\A>[^\n]*\n?(?:[ \t]*\n)*")
 
@@ -89,23 +91,89 @@ def document_chunks(text: str, p: Profile = Profile()) -> list[tuple[str, list[s
     return out
 
 
-def slide_chunks(text: str, least: int = 200) -> list[tuple[str, list[int]]]:
-    """(content, slide numbers): slides gather until they are long enough; blank ones only count."""
+def first_title(text: str) -> str | None:
+    m = re.search(r"^#\s+(.+)$", text, re.M)
+    return m[1].strip() if m else None
+
+
+def slide_chunks(text: str, least: int = 200) -> list[tuple[str, dict]]:
+    """(content, {slide_numbers, title}): slides gather until they are long enough; blank ones only count."""
     out, held, numbers, size = [], [], [], 0
+
+    def emit():
+        content = "\n\n".join(held)
+        out.append((content, {"slide_numbers": list(numbers), "title": first_title(content)}))
+        held.clear()
+        numbers.clear()
+
     for i, slide in enumerate(text.split("<!-- slide -->"), 1):
         if slide := slide.strip():
             held.append(slide)
             numbers.append(i)
             size += len(slide)
         if held and size >= least:
-            out.append(("\n\n".join(held), numbers))
-            held, numbers, size = [], [], 0
+            emit()
+            size = 0
     if held:
-        out.append(("\n\n".join(held), numbers))
+        emit()
+    return out
+
+
+def tabular_chunks(text: str, rows: int = 20) -> list[tuple[str, dict]]:
+    """(content, {breadcrumbs}): a section a sheet, under its header; a section that reads as a table stays whole, others are parted into
+    batches of ``rows`` paragraphs, each under the header."""
+    out = []
+    for section in filter(None, map(str.strip, text.split("\n\n---\n\n"))):
+        head, _, body = section.partition("\n") if section.startswith("# ") else ("", "", section)
+        path, body = ([head[2:].strip()] if head else []), body.strip()
+        if "\n|-" in body and body.count("|") > 2:
+            out.append((section, {"breadcrumbs": path}))
+            continue
+        lines = list(filter(None, map(str.strip, body.split("\n\n"))))
+        lead = f"# {path[0]}\n\n" if path else ""
+        out += [(lead + "\n\n".join(lines[i : i + rows]), {"breadcrumbs": path}) for i in range(0, len(lines), rows)]
+    return out
+
+
+#: Fixed values of the auto-fixer, which takes none from the profile.
+FIX_MOST, FIX_LEAST, FIX_PASSES = 2000, 50, 2
+
+
+def split_long(content: str, most: int = FIX_MOST) -> list[str]:
+    """A chunk by paragraphs, or by sentences if it has but one, gathered up to ``most``; a part that is longer by itself stays."""
+    parts = content.split("\n\n")
+    if len(parts) == 1:
+        parts = [p if p.endswith(".") else p + "." for p in content.split(". ") if p.strip()]
+    out, held = [], ""
+    for p in parts:
+        if held and len(held) + 2 + len(p) > most:
+            out.append(held.strip())
+            held = p
+        else:
+            held = f"{held}\n\n{p}" if held else p
+    return [*out, held.strip()] if held.strip() else out or [content]
+
+
+def merge_pairs(chunks: list[tuple[str, list]], least: int = FIX_LEAST) -> list[tuple[str, list]]:
+    """A chunk under ``least`` takes in the next one, whatever its length, and keeps its own breadcrumbs."""
+    out, todo = [], list(chunks)[::-1]
+    while todo:
+        content, path = todo.pop()
+        if len(content.strip()) < least and todo:
+            content = f"{content}\n\n{todo.pop()[0]}"
+        out.append((content, path))
     return out
 
 
-def merge_small(chunks: list[tuple[str, list[str]]], least: int = 500, most: int = 2000) -> list[tuple[str, list[str]]]:
+def auto_fix(chunks: list[tuple[str, list]]) -> list[tuple[str, list]]:
+    """Blank chunks go, long ones are split, short ones merged; twice."""
+    for _ in range(FIX_PASSES):
+        split = [(part, path) for c, path in chunks if c.strip() for part in (split_long(c) if len(c.strip()) > FIX_MOST else [c])]
+        chunks = merge_pairs(split)
+    return chunks
+
+
+def merge_small(chunks: list[tuple[str, object]], least: int = 500, most: int = 2000) -> list[tuple[str, object]]:
     """Gathers chunks under ``least`` without passing ``most``. One chunk or none stays as it is."""
     if len(chunks) <= 1:
         return chunks
@@ -144,16 +212,51 @@ def merge_small(chunks: list[tuple[str, list[str]]], least: int = 500, most: int
     return [(c, m) for c, m in done]
 
 
-def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Profile = Profile()) -> DataFrame:
-    """key, chunk_index, content, breadcrumbs."""
+def chunks_of(text: str | None, kind: str | None, p: Profile = Profile()) -> list[tuple[str, dict]]:
+    """(content, metadata) of a document by its category: presentation, tabular, anything else as a document; small ones merged if the
+    profile says so."""
+    if not text or not text.strip():
+        return []
+    if kind == "presentation":
+        chunks = slide_chunks(text, p.min_slide)
+    elif kind == "tabular":
+        chunks = tabular_chunks(text, p.rows_per_chunk)
+    else:
+        chunks = [(c, {"breadcrumbs": path}) for c, path in document_chunks(text, p)]
+    return merge_small(chunks, p.quality_min, p.quality_max) if p.auto_fix else chunks
+
+
+CHUNK = "chunk_index int, content string, breadcrumbs array<string>, chunk_type string, slide_number int, slide_numbers array<int>, title string"
+
+
+def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Profile = Profile(), kind: str | None = None) -> DataFrame:
+    """key and CHUNK of each chunk. ``kind``: the column of the category; without one every text is a document. One row in, its chunks out, no
+    shuffle. Null and blank texts have no chunks."""
+    names = [x.split()[0] for x in CHUNK.split(", ")]
+    types = (pa.int32(), pa.string(), pa.list_(pa.string()), pa.string(), pa.int32(), pa.list_(pa.int32()), pa.string())
 
     def run(batches):
         for b in batches:
-            rows = []
-            for k, t in zip(b[key], b[text], strict=True):
-                chunks = document_chunks(t or "", p)
-                for i, (c, path) in enumerate(merge_small(chunks, p.quality_min, p.quality_max) if p.auto_fix else chunks):
-                    rows.append((k, i, c, path))
-            yield pd.DataFrame(rows, columns=[key, "chunk_index", "content", "breadcrumbs"])
-
-    return docs.select(key, text).mapInPandas(run, f"`{key}` {dict(docs.dtypes)[key]}, chunk_index int, content string, breadcrumbs array<string>")
+            at, rows = [], []
+            for i, (t, k) in enumerate(zip(b.column("t").to_pylist(), b.column("c").to_pylist(), strict=True)):
+                for n, (content, meta) in enumerate(chunks_of(t, k, p)):
+                    at.append(i)
+                    slides = meta.get("slide_numbers")
+                    rows.append((n, content, meta.get("breadcrumbs", []), k, slides[0] if slides else None, slides, meta.get("title")))
+            columns = list(zip(*rows, strict=True)) if rows else [[] for _ in names]
+            yield pa.RecordBatch.from_arrays([b.column("k").take(pa.array(at, pa.int64())), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], names=["k", *names])
+
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), (F.col(kind) if kind else F.lit("document")).alias("c"))
+    return rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, {CHUNK}").withColumnRenamed("k", key)
+
+
+def process(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Profile = Profile(), kind: str | None = None) -> DataFrame:
+    """The whole way from Markdown to scored chunks: chunk, merge, flags, score, completeness, tokens."""
+    rows = chunk_documents(docs, key, text, p, kind)
+    found = flags(F.col("content"), F.size("breadcrumbs") > 0, p)
+    return rows.withColumn("quality_flags", found).withColumns({
+        "quality_score": score(F.col("content"), F.size("breadcrumbs") > 0, p),
+        "has_title": has_title(F.col("content")),
+        "completeness": completeness(F.col("quality_flags")),
+        "token_count": token_estimate(F.col("content")),
+    })

@@ -7,6 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from textquarry.functions.numbers import round_python
 from textquarry.functions.text import strip
 
 
@@ -34,17 +35,32 @@ def flags(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> C
     return F.when(n == 0, F.array(F.lit("EMPTY"))).otherwise(found)
 
 
+def has_title(content: Column) -> Column:
+    c = strip(F.coalesce(content, F.lit("")))
+    return c.startswith("#") | c.startswith(">")
+
+
 def raw_score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
-    """The score before rounding; 0 for an empty chunk."""
-    f, c = flags(content, has_breadcrumbs, p), strip(F.coalesce(content, F.lit("")))
-    titled = has_breadcrumbs | c.startswith("#") | c.startswith(">")
-    total = (
-        F.greatest(F.lit(0.0), 1 - F.lit(p.penalty) * F.size(f)) * 0.4
-        + F.least(F.lit(1.0), F.length(c) / F.lit(float(p.chunk_size))) * 0.3
-        + F.when(titled, 0.2).otherwise(0.1)
-        + F.when(F.array_contains(f, "FRAGMENT"), 0.07).otherwise(0.1)
-    )
-    return F.when(F.array_contains(f, "EMPTY"), 0.0).otherwise(total)
+    """The score before rounding; 0 for an empty chunk. The stripped text and its flags are worked out once a row."""
+
+    def total(x: Column) -> Column:
+        c, f = x["c"], x["f"]
+        titled = has_breadcrumbs | c.startswith("#") | c.startswith(">")
+        sum_ = (
+            F.greatest(F.lit(0.0), 1 - F.lit(p.penalty) * F.size(f)) * 0.4
+            + F.least(F.lit(1.0), F.length(c) / F.lit(float(p.chunk_size))) * 0.3
+            + F.when(titled, 1.0).otherwise(0.5) * 0.2
+            + F.when(F.array_contains(f, "FRAGMENT"), 0.7).otherwise(1.0) * 0.1
+        )
+        return F.when(F.length(c) == 0, 0.0).otherwise(sum_)
+
+    once = F.array(F.struct(strip(F.coalesce(content, F.lit(""))).alias("c"), flags(content, has_breadcrumbs, p).alias("f")))
+    return F.element_at(F.transform(once, total), 1)
+
+
+def score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
+    """The stored score: two decimals, rounded as Python does."""
+    return round_python(raw_score(content, has_breadcrumbs, p), 2)
 
 
 def completeness(f: Column) -> Column:
@@ -58,15 +74,30 @@ def noise_ratio(text: Column) -> Column:
 
 
 def gate(text: Column) -> Column:
+    """The verdict on a whole document; its noise is worked out once a row."""
     visible = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", ""))
-    noise = noise_ratio(text)
-    return F.when(visible < 50, "TEXT_TOO_SHORT").when(noise > 0.8, "EXCESSIVE_NOISE").when(noise > 0.5, "HIGH_NOISE_RATIO").otherwise("OK")
+
+    def verdict(x: Column) -> Column:
+        return F.when(x["visible"] < 50, "TEXT_TOO_SHORT").when(x["noise"] > 0.8, "EXCESSIVE_NOISE").when(x["noise"] > 0.5, "HIGH_NOISE_RATIO").otherwise("OK")
+
+    return F.element_at(F.transform(F.array(F.struct(visible.alias("visible"), noise_ratio(text).alias("noise"))), verdict), 1)
 
 
 def band(score: Column) -> Column:
     return F.when(score >= 0.85, "excellent").when(score >= 0.70, "good").when(score < 0.70, "low")
 
 
+#: The bands' lower and upper bounds.
+BANDS = {"excellent": (0.85, None), "good": (0.70, 0.85), "low": (None, 0.70)}
+
+
+def in_band(score: Column, name: str) -> Column:
+    """Whether a score lies in a band; null scores lie in none."""
+    low, high = BANDS[name]
+    inside = F.lit(True) if low is None else score >= low
+    return F.coalesce(inside if high is None else inside & (score < high), F.lit(False))
+
+
 def coerce_falsy(df, columns: tuple[str, ...] = ("quality_score", "has_title", "token_count")):
     """Stores 0 and false as null, as the chunk table does."""
     kinds = dict(df.dtypes)
