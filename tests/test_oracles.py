@@ -21,7 +21,7 @@ def test_agrees_with_sql(spark, name):
     got = registry.queries()[name](spark, D).toPandas()
     assert sorted(want.columns) == sorted(got.columns)
     cols = sorted(want.columns)
-    key = lambda f: sorted(tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False))
+    key = lambda f: sorted((tuple(None if pd.isna(v) else round(float(v), 5) if isinstance(v, (int, float)) and not isinstance(v, bool) else str(v) for v in r) for r in f[cols].astype(object).itertuples(index=False)), key=repr)
     assert repr(key(got)) == repr(key(want))
 
 

@@ -7,28 +7,33 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.repair import column, merge_soft_breaks, normalise
 from textquarry.operators import quality as Q
-from textquarry.operators.chunking import chunk_documents
+from textquarry.operators.chunking import auto_fix, chunk_documents, process
+from textquarry.operators.quality import Profile
 from textquarry.plans import PlanSet
+from textquarry.plans.base import exact_sql
 from textquarry.sources.html import read_pages
 
 plans = PlanSet()
 docs = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet")
 
 
+_SCORE = "greatest(0, 1 - 0.15::DOUBLE * ((n < 500)::INT + (n > 2000)::INT + 1 + (NOT done)::INT)) * 0.4::DOUBLE + least(1::DOUBLE, n / 1500::DOUBLE) * 0.3::DOUBLE + 0.5::DOUBLE * 0.2::DOUBLE + CASE WHEN done THEN 1::DOUBLE ELSE 0.7::DOUBLE END * 0.1::DOUBLE"
+
+
 @plans.add(
     "flagship_quality_bands",
-    r"""WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
+    rf"""WITH lines AS (SELECT doc_id, lang, unnest(string_split(text, chr(10))) AS line FROM documents),
     s AS (SELECT lang, length(line) n, right(line, 1) IN ('.', '!', '?', ':', '>') AS done FROM lines WHERE trim(line) <> ''),
-    f AS (SELECT lang, n, 0.4 * greatest(0, 1 - 0.15 * ((n < 500)::int + (n > 2000)::int + 1 + (NOT done)::int)) + 0.3 * least(1, n / 1500.0)
-          + 0.1 + CASE WHEN done THEN 0.1 ELSE 0.07 END AS score, n < 500 AS short, NOT done AS frag FROM s)
-    SELECT lang, count(*) AS chunks, count(*) FILTER (score >= 0.85) AS excellent, count(*) FILTER (score >= 0.7 AND score < 0.85) AS good,
+    r AS (SELECT lang, n, done, {_SCORE} AS raw FROM s), f AS (SELECT lang, {exact_sql("raw", 2, True)} AS score, n < 500 AS short, NOT done AS frag FROM r)
+    SELECT lang, count(*) AS chunks, round(avg(score), 6) AS avg_score, count(*) FILTER (score >= 0.85) AS excellent, count(*) FILTER (score >= 0.7 AND score < 0.85) AS good,
     count(*) FILTER (score < 0.7) AS low, count(*) FILTER (short) AS too_short, count(*) FILTER (frag) AS fragments FROM f GROUP BY lang""",
 )
 def flagship_quality_bands(spark, d):
+    """Each line a chunk: its flags and stored score, banded by language."""
     rows = docs(spark, d).select("lang", F.explode(F.split("text", "\n")).alias("c")).where(F.trim("c") != "")
-    rows = rows.select("lang", Q.flags(F.col("c"), F.lit(False)).alias("f"), Q.raw_score(F.col("c"), F.lit(False)).alias("s"))
+    rows = rows.select("lang", Q.flags(F.col("c"), F.lit(False)).alias("f"), Q.score(F.col("c"), F.lit(False)).alias("s"))
     b = Q.band(F.col("s"))
-    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), *[F.count_if(b == x).alias(x) for x in ("excellent", "good", "low")], F.count_if(F.array_contains("f", "TOO_SHORT")).alias("too_short"), F.count_if(F.array_contains("f", "FRAGMENT")).alias("fragments"))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("s"), 6).alias("avg_score"), *[F.count_if(b == x).alias(x) for x in ("excellent", "good", "low")], F.count_if(F.array_contains("f", "TOO_SHORT")).alias("too_short"), F.count_if(F.array_contains("f", "FRAGMENT")).alias("fragments"))
 
 
 @plans.add(
@@ -63,9 +68,14 @@ def t20_token_estimate(spark, d):
     return docs(spark, d).select("doc_id", T.token_estimate(F.col("text")).alias("tokens"))
 
 
-@plans.add("t9_strip_links", r"SELECT doc_id, md5(regexp_replace(concat('see [', left(text, 20), '](http://x/', doc_id, ') end'), '\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)', '\1', 'g')) AS digest FROM documents")
+_LINKED = "concat('see [', regexp_replace(text, '[\\[\\]]', ' ', 'g'), ' [1] z](http://x/', doc_id, ') end [', text, '](y')"
+
+
+@plans.add("t9_strip_links", rf"SELECT doc_id, md5(regexp_replace({_LINKED}, '\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)', '\1', 'g')) AS digest FROM documents")
 def t9_strip_links(spark, d):
-    linked = F.concat(F.lit("see ["), F.substring("text", 1, 20), F.lit("](http://x/"), F.col("doc_id").cast("string"), F.lit(") end"))
+    """Links around whole texts, and one that never closes."""
+    plain = F.regexp_replace("text", r"[\[\]]", " ")
+    linked = F.concat(F.lit("see ["), plain, F.lit(" [1] z](http://x/"), F.col("doc_id").cast("string"), F.lit(") end ["), "text", F.lit("](y"))
     return docs(spark, d).select("doc_id", F.md5(T.strip_links(linked)).alias("digest"))
 
 
@@ -75,11 +85,38 @@ def t12_t13_rows(spark, d):
     return spark.read.parquet(f"{d}/orders.parquet").select("o_orderkey", T.table_row(cells).alias("table_row"), T.sentence_row(["status", "priority"], cells).alias("sentence"))
 
 
-@plans.add("c5_row_batches", "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents) SELECT doc_id, (pos // 20)::INT AS batch, count(*) AS n, md5(string_agg(line, concat(chr(10), chr(10)) ORDER BY pos)) AS digest FROM l GROUP BY 1, 2")
-def c5_row_batches(spark, d):
-    lines = F.split("text", "\n")
-    batches = F.transform(F.sequence(F.lit(0), F.floor((F.size(lines) - 1) / 20).cast("int")), lambda b: F.struct(b.alias("batch"), F.slice(lines, b * 20 + 1, F.lit(20)).alias("rows")))
-    return docs(spark, d).select("doc_id", F.inline(batches)).select("doc_id", "batch", F.size("rows").cast("long").alias("n"), F.md5(F.array_join("rows", "\n\n")).alias("digest"))
+_ROWS = "WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents), r AS (SELECT doc_id, trim(line, concat(' ', chr(9), chr(13))) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS place FROM l WHERE trim(line, concat(' ', chr(9), chr(13))) <> '')"
+
+
+@plans.add("c5_tabular_chunks", _ROWS + ", b AS (SELECT doc_id, (place // 20)::INT AS batch, concat('# Sheet ', doc_id, chr(10), chr(10), string_agg(line, concat(chr(10), chr(10)) ORDER BY place)) AS content FROM r GROUP BY 1, 2) SELECT doc_id, batch AS chunk_index, md5(content) AS digest, concat('Sheet ', doc_id) AS breadcrumb FROM b UNION ALL SELECT doc_id, 1 + max(batch), md5(concat('# Two', chr(10), '| a |', chr(10), '|-', chr(10), '| b |')), 'Two' FROM b GROUP BY doc_id")
+def c5_tabular_chunks(spark, d):
+    body = F.array_join(F.split("text", "\n"), "\n\n")
+    text = F.concat(F.lit("# Sheet "), "doc_id", F.lit("\n"), body, F.lit("\n\n---\n\n# Two\n| a |\n|-\n| b |"))
+    rows = docs(spark, d).where(F.trim("text") != "").select("doc_id", text.alias("text"), F.lit("tabular").alias("kind"))
+    out = chunk_documents(rows, p=Profile(auto_fix=False), kind="kind")
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.get("breadcrumbs", F.lit(0)).alias("breadcrumb"))
+
+
+@plans.add("c1_c2_header_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN concat('> A', chr(10), chr(10), 'one ', doc_id) WHEN 1 THEN concat('> A > B', chr(10), chr(10), 'two', '  ', chr(10), 'three') WHEN 2 THEN concat('> A > B > C', chr(10), chr(10), '#### D', chr(10), 'deep') ELSE concat('> E', chr(10), chr(10), '```', chr(10), '# no header', chr(10), '```') END AS content, CASE i WHEN 0 THEN 'A' WHEN 1 THEN 'A/B' WHEN 2 THEN 'A/B/C' ELSE 'E' END AS path FROM documents, range(4) t(i)")
+def c1_c2_header_chunks(spark, d):
+    text = F.concat(F.lit("# A\n\none "), "doc_id", F.lit("\n\n## B\ntwo\n\nthree\n\n### C\n#### D\ndeep\n# E\n```\n# no header\n```\n"))
+    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text")), p=Profile(auto_fix=False))
+    return out.select("doc_id", "chunk_index", "content", F.array_join("breadcrumbs", "/").alias("path"))
+
+
+@plans.add("c4_slide_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat('# T ', doc_id, chr(10), chr(10), repeat('x', 250))) WHEN 1 THEN md5(repeat('y', 200)) ELSE md5('end') END AS digest, CASE i WHEN 0 THEN '1,2' WHEN 1 THEN '4' ELSE '5' END AS slides, CASE i WHEN 0 THEN concat('T ', doc_id) END AS title FROM documents, range(3) t(i)")
+def c4_slide_chunks(spark, d):
+    text = F.concat(F.lit("# T "), "doc_id", F.lit("<!-- slide -->"), F.lit("x" * 250), F.lit("\n<!-- slide -->\n \n<!-- slide -->"), F.lit("y" * 200), F.lit("<!-- slide -->end<!-- slide -->"))
+    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text"), F.lit("presentation").alias("kind")), p=Profile(auto_fix=False), kind="kind")
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join(F.col("slide_numbers").cast("array<string>"), ",").alias("slides"), "title")
+
+
+@plans.add("c6_merged_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat(repeat('a', 300), chr(10), chr(10), repeat('b', 250))) WHEN 1 THEN md5(concat(repeat('c', 100), chr(10), chr(10), '> D', chr(10), chr(10), repeat('d', 600))) ELSE md5(concat('> F', chr(10), chr(10), repeat('f', 1400), chr(10), chr(10), repeat('g', 90))) END AS digest, CASE i WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'F' END AS path FROM documents, range(3) t(i)")
+def c6_merged_chunks(spark, d):
+    parts = [("A", "a" * 300), ("B", "b" * 250), ("C", "c" * 100), ("D", "d" * 600), ("F", "f" * 1400), ("G", "g" * 90)]
+    text = "".join(f"# {h}\n\n{body}\n\n" for h, body in parts)
+    out = chunk_documents(docs(spark, d).select("doc_id", F.lit(text).alias("text")))
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join("breadcrumbs", "/").alias("path"))
 
 
 @plans.add("c1_c6_document_chunks")
@@ -87,6 +124,28 @@ def c1_c6_document_chunks(spark, d):
     return chunk_documents(docs(spark, d))
 
 
+_SCORED = "greatest(0, 1 - 0.15::DOUBLE * ((n < 500)::INT + (n > 2000)::INT + (NOT done)::INT)) * 0.4::DOUBLE + least(1::DOUBLE, n / 1500::DOUBLE) * 0.3::DOUBLE + 0.2::DOUBLE + CASE WHEN done THEN 1::DOUBLE ELSE 0.7::DOUBLE END * 0.1::DOUBLE"
+
+
+@plans.add(
+    "c10_c11_processed_chunks",
+    rf"""WITH c AS (SELECT doc_id, concat('> H ', doc_id, chr(10), chr(10), 'body ', left(md5(text), doc_id % 20 + 1), CASE doc_id % 3 WHEN 0 THEN '.' ELSE '' END) AS content FROM documents), s AS (SELECT *, length(content) AS n, doc_id % 3 = 0 AS done FROM c)
+    SELECT doc_id, 0 AS chunk_index, content, CASE WHEN done THEN 'TOO_SHORT' ELSE 'TOO_SHORT,FRAGMENT' END AS flags, {exact_sql(_SCORED, 2, True)} AS quality_score, true AS has_title, CASE WHEN done THEN 'complete' ELSE 'partial' END AS completeness, least(CAST(floor(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) * 1.3) AS INT), 512) AS token_count, 'document' AS chunk_type FROM s""",
+)
+def c10_c11_processed_chunks(spark, d):
+    body = F.substring(F.md5("text"), F.lit(1), (F.col("doc_id") % 20 + 1).cast("int"))
+    text = F.concat(F.lit("# H "), "doc_id", F.lit("\n\nbody "), body, F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""))
+    out = process(docs(spark, d).select("doc_id", text.alias("text")))
+    return out.select("doc_id", "chunk_index", "content", F.array_join("quality_flags", ",").alias("flags"), "quality_score", "has_title", "completeness", "token_count", "chunk_type")
+
+
+@plans.add("c7_c9_auto_fix", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat(repeat('a', 1500), chr(10), chr(10), repeat('b', 400))) WHEN 1 THEN md5(repeat('c', 1800)) ELSE md5(concat('tiny ', doc_id, chr(10), chr(10), repeat('d', 100))) END AS digest FROM documents, range(3) t(i)")
+def c7_c9_auto_fix(spark, d):
+    fix = F.udf(lambda i: [c for c, _ in auto_fix([("\n\n".join(["a" * 1500, "b" * 400, "c" * 1800]), []), ("  ", []), (f"tiny {i}", []), ("d" * 100, [])])], "array<string>")
+    rows = docs(spark, d).select("doc_id", F.posexplode(fix("doc_id")).alias("chunk_index", "content"))
+    return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
+
+
 @plans.add("s11_html_markdown")
 def s11_html_markdown(spark, d):
     return read_pages(spark.read.parquet(f"{d}/pages.parquet"))
@@ -95,3 +154,50 @@ def s11_html_markdown(spark, d):
 @plans.add("t2_t7_normalise")
 def t2_t7_normalise(spark, d):
     return docs(spark, d).select("doc_id", column(normalise)(column(merge_soft_breaks)("text")).alias("markdown"))
+
+
+@plans.add("t2_t4_fences", "SELECT doc_id, concat('- a', chr(10), CASE doc_id % 3 WHEN 0 THEN concat('```py', chr(10), '* kept', chr(10), chr(10), chr(10), chr(10), 'x', chr(10), '```') WHEN 1 THEN concat('  ```', chr(10), '* kept ', doc_id, chr(10), '```') ELSE 'plain' END, chr(10)) AS python, CASE doc_id % 3 WHEN 1 THEN concat('* a', chr(10), '  ```', chr(10), '* kept ', doc_id, chr(10), '```') END AS closed FROM documents")
+def t2_t4_fences(spark, d):
+    body = F.when(F.col("doc_id") % 3 == 0, "```py\n* kept\n\n\n\nx\n```").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("  ```\n* kept "), "doc_id")).otherwise("plain")
+    rows = docs(spark, d).select("doc_id", F.concat(F.lit("* a\n"), body).alias("x"))
+    return rows.select("doc_id", column(normalise)("x").alias("python"), F.when(F.col("doc_id") % 3 == 1, T.close_fence(F.col("x"))).alias("closed"))
+
+
+@plans.add("t3_empty_sections", "SELECT doc_id, md5(concat('## B', chr(10), 'x', chr(10), '### C', chr(10), '## D', chr(10), chr(10), '# E', chr(10), text)) AS digest FROM documents")
+def t3_empty_sections(spark, d):
+    x = F.concat(F.lit("## A\n\n##\tA2\n## B\nx\n### C\n## D\n\n# E\n"), "text")
+    return docs(spark, d).select("doc_id", F.md5(T.drop_empty_sections(x)).alias("digest"))
+
+
+_PARAGRAPHS = r"regexp_replace(text, '\n\s*\n', concat(chr(10), chr(10)), 'g')"
+
+
+@plans.add("t5_t6_page_artefacts", f"SELECT doc_id, md5(concat('a', chr(10), chr(10), 'page 1000', chr(10), chr(10), '- 1000 -', chr(10), chr(10), '0', chr(10), chr(10), {_PARAGRAPHS}, chr(10), chr(10), 'z')) AS digest FROM documents")
+def t5_t6_page_artefacts(spark, d):
+    x = F.concat(F.lit("a\n\n12\n \npage 1000\n\nPage 7\n\n— 5 —\n\n- 1000 -\n\n0\n\n"), "text", F.lit("\n\n```js\n\n```\n\n```\n| 12 |\n```\n\nz"))
+    return docs(spark, d).select("doc_id", F.md5(T.drop_page_numbers(T.drop_junk_fences(x))).alias("digest"))
+
+
+@plans.add("t10_slide_markers", "SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN concat('a', chr(10), '<!-- slide -->', chr(10), '---', chr(10), 'b') WHEN 1 THEN concat('a', chr(10), chr(10), '<!-- slide -->', chr(10), chr(10), 'b', doc_id) ELSE concat('x', chr(10), '# A', chr(10), '## B', chr(10), chr(10), '<!-- slide -->', chr(10), chr(10), '# C ', doc_id) END AS marked FROM documents")
+def t10_slide_markers(spark, d):
+    x = F.when(F.col("doc_id") % 3 == 0, "a\n<!-- slide -->\n---\nb").when(F.col("doc_id") % 3 == 1, F.concat(F.lit("a\n  ---  \nb"), "doc_id")).otherwise(F.concat(F.lit("x\n# A\n## B\n# C "), "doc_id"))
+    return docs(spark, d).select("doc_id", T.slide_markers(x).alias("marked"))
+
+
+@plans.add("t11_smart_values", "SELECT doc_id, concat('$', format('{:,.2f}', v)) AS money, CASE WHEN r < 1 THEN concat(format('{:.1f}', r * 100), '%') ELSE concat(CAST(r AS VARCHAR), '%') END AS share, CASE WHEN v > 999 THEN CASE WHEN v = floor(v) THEN format('{:,}', CAST(v AS BIGINT)) ELSE format('{:,.2f}', v) END ELSE s END AS plain, s AS id FROM (SELECT doc_id, doc_id * 25 / 4.0::DOUBLE AS v, CAST(CAST(doc_id * 25 AS DECIMAL(18, 2)) / 4 AS DECIMAL(18, 2))::VARCHAR AS s, (doc_id % 8) / 4.0::DOUBLE AS r FROM documents)")
+def t11_smart_values(spark, d):
+    s = (F.col("doc_id") * 25 / F.lit(4)).cast("decimal(18,2)").cast("string")
+    r = (F.col("doc_id") % 8 / F.lit(4.0)).cast("string")
+    return docs(spark, d).select("doc_id", T.smart_value("Unit Price", s).alias("money"), T.smart_value("rate", r).alias("share"), T.smart_value("Size", s).alias("plain"), T.smart_value("Paid", F.concat(F.lit(" "), s)).alias("id"))
+
+
+@plans.add("t18_t19_t21_small_rules", "SELECT doc_id, md5(concat('x', text)) AS stripped, concat('T ', doc_id) AS title, 'en,vi' AS langs FROM documents")
+def t18_t19_t21_small_rules(spark, d):
+    x = F.concat(F.lit("> a > b\n \n\nx"), "text")
+    title = F.concat(F.lit("## no\n#  T "), "doc_id", F.lit("\n# U"))
+    return docs(spark, d).select("doc_id", F.md5(T.strip_breadcrumb(x)).alias("stripped"), T.first_title(title).alias("title"), F.array_join(T.parse_list(F.lit(" en, ,vi,")), ",").alias("langs"))
+
+
+@plans.add("t12_table_head", "SELECT '| a&#124;b | c d |' || chr(10) || '| --- | --- |' AS head")
+def t12_table_head(spark, d):
+    return spark.createDataFrame([(T.table_head(["a|b", "c\nd"]),)], "head string")

@@ -1,14 +1,13 @@
-"""Filter, join, aggregate, search, sync and event plans."""
+"""Filter, join, aggregate, sync and event plans."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from textquarry.operators import relational as R
-from textquarry.operators import search as S
 from textquarry.plans import PlanSet
-from textquarry.sources.detect import category, detect_format
-from textquarry.streaming.windows import over_limit, sessions
+from textquarry.plans.base import exact_sql
+from textquarry.streaming.windows import over_limit, sessions, threshold_alerts
 
 plans = PlanSet()
 
@@ -17,15 +16,6 @@ def t(spark, d, name):
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-@plans.add("s1_s5_format_router", "SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'pdf' WHEN 1 THEN 'html' WHEN 2 THEN 'xlsx' END AS format, CASE doc_id % 4 WHEN 2 THEN 'tabular' ELSE 'document' END AS category FROM documents")
-def s1_s5_format_router(spark, d):
-    kind = F.col("doc_id") % 4
-    mime = F.when(kind == 0, "application/pdf").otherwise("x/unknown")
-    name = F.concat(F.lit("a.b"), F.when(kind == 1, ".HTM").when(kind == 2, ".xlsx").otherwise(".zip"))
-    rows = t(spark, d, "documents").select("doc_id", detect_format(mime, name).alias("format"))
-    return rows.withColumn("category", category(F.col("format")))
-
-
 @plans.add("s4_exact_duplicates", "SELECT doc_id, md5(text) AS md5, min(doc_id) OVER (PARTITION BY md5(text)) AS first_id, doc_id = min(doc_id) OVER (PARTITION BY md5(text)) AS is_first FROM documents")
 def s4_exact_duplicates(spark, d):
     return R.first_by_hash(t(spark, d, "documents"), "text", "doc_id").select("doc_id", "md5", "first_id", "is_first")
@@ -49,10 +39,13 @@ def j1_a5_stage_totals(spark, d):
     return rows.groupBy("o_orderpriority").agg(F.round(F.avg("l_quantity"), 6).alias("avg_qty"), F.round(F.sum("l_extendedprice") / F.sum("l_quantity"), 6).alias("price_per_unit"), F.count(F.lit(1)).alias("n"))
 
 
-@plans.add("a2_success_rate", "SELECT o_orderpriority, round(count(*) FILTER (o_orderstatus = 'F') * 100.0 / nullif(count(*) FILTER (o_orderstatus IN ('F', 'P')), 0), 4) AS success_rate, count(*) AS n FROM orders GROUP BY 1")
+_RATE = exact_sql("CAST(count(*) FILTER (o_orderstatus = 'F') AS DOUBLE) / nullif(count(*) FILTER (o_orderstatus IN ('F', 'P')), 0) * 100", 2, False)
+
+
+@plans.add("a2_success_rate", f"SELECT o_custkey % 500 AS k, coalesce({_RATE}, 0) AS success_rate, count(*) AS n FROM orders GROUP BY 1")
 def a2_success_rate(spark, d):
     s = F.col("o_orderstatus")
-    return t(spark, d, "orders").groupBy("o_orderpriority").agg(F.round(R.success_rate(s == "F", s == "P"), 4).alias("success_rate"), F.count(F.lit(1)).alias("n"))
+    return t(spark, d, "orders").groupBy((F.col("o_custkey") % 500).alias("k")).agg(R.success_rate(s == "F", s == "P").alias("success_rate"), F.count(F.lit(1)).alias("n"))
 
 
 @plans.add("a8_hour_trend", "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS bucket, count(*) AS n, round(avg(value), 6) AS avg_value FROM events GROUP BY 1")
@@ -97,24 +90,8 @@ def st_session_windows(spark, d):
     return sessions(t(spark, d, "events"), "user_id", "ts").select("user_id", "n")
 
 
-QUERY = [((i * 37) % 11 - 5) / 5.0 for i in range(64)]
-_Q = "[" + ",".join(map(str, QUERY)) + "]::DOUBLE[64]"
-
-
-@plans.add("v6_dense_top_k", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
-def v6_dense_top_k(spark, d):
-    return S.dense_top_k(t(spark, d, "embeddings"), QUERY, 10)
-
-
-_BM = "WITH w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1), bm AS (SELECT doc_id, sum(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256))) AS sparse FROM tf JOIN n USING (doc_id) WHERE term IN ('license', 'the', 'idiot') GROUP BY 1)"
-
-
-@plans.add("v2_bm25_scores", _BM + " SELECT doc_id, round(sparse, 6) AS sparse FROM bm")
-def v2_bm25_scores(spark, d):
-    return S.sparse_scores(S.bm25_weights(t(spark, d, "documents")), ["license", "the", "idiot"]).select("doc_id", F.round("sparse", 6).alias("sparse"))
-
-
-@plans.add("v7_two_stage", _BM + f", f AS (SELECT doc_id AS vec_id FROM bm ORDER BY round(sparse, 6) DESC, doc_id LIMIT 20) SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}::DOUBLE[]), 6) AS score FROM embeddings JOIN f USING (vec_id) ORDER BY score DESC, vec_id LIMIT 10")
-def v7_two_stage(spark, d):
-    sparse = S.sparse_scores(S.bm25_weights(t(spark, d, "documents")), ["license", "the", "idiot"]).withColumnRenamed("doc_id", "vec_id")
-    return S.two_stage(sparse, t(spark, d, "embeddings"), QUERY, 10, "vec_id")
+@plans.add("st6_threshold_alerts", """WITH RECURSIVE e AS (SELECT event_type AS kind, epoch_us(ts) AS us, row_number() OVER (PARTITION BY event_type ORDER BY ts) AS r FROM events),
+    s AS (SELECT kind, us, r, 1 AS n, us AS start FROM e WHERE r = 1 UNION ALL SELECT e.kind, e.us, e.r, CASE WHEN e.us - start > 3600000000 THEN 1 ELSE n + 1 END, CASE WHEN e.us - start > 3600000000 THEN e.us ELSE start END FROM s JOIN e ON e.kind = s.kind AND e.r = s.r + 1)
+    SELECT kind, us AS "at", n FROM s WHERE n = 3""")
+def st6_threshold_alerts(spark, d):
+    return threshold_alerts(t(spark, d, "events"), "event_type", "ts", 3)
