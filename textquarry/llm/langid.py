@@ -3,7 +3,8 @@
 The kernel of two texts is the number of character n-grams (n from 1 to 4, blended) both have, presence only, divided by the root of
 the product of their own numbers. A bounded sample of labelled texts trains it: some serve as Nystroem landmarks, one-versus-
 rest kernel ridge regression is solved over the landmark map, and all texts are scored in batches by one matrix product. A long text
-is read in segments of SEGMENT characters, so that presence never fills up, and its class values are the mean over all of them.
+is read in segments of SEGMENT characters, so that presence never fills up, and stands in the kernel as the mean of all of them, in learning as
+in prediction.
 
 Null texts and texts without a letter are ``und`` with score 0. Null keys and repeated rows are kept. With no labelled rows every text is
 ``und``. Labels, sources and keys are no inputs of a prediction. Every language that has a labelled text can be predicted, however many there
@@ -12,7 +13,9 @@ are; the samples of each are smaller then. An empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 import re
+import zlib
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,9 +29,8 @@ WIDTH = 1 << 14
 SPECTRUM = 4
 #: Characters of a text that are compared at once.
 SEGMENT = 8000
-#: Bounds of what is learned from: characters a sampled text, texts a language and in all (but LEAST of each language), landmarks a
-#: language and in all.
-CHARS, TEXTS, ALL_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 4000, 250, 20_000, 5, 40, 1000
+#: Bounds of what is learned from: texts a language and in all (but LEAST of each language), landmarks a language and in all.
+TEXTS, ALL_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 250, 4000, 2, 40, 1000
 RIDGE = 1e-3
 BATCH = 64
 _WORD = re.compile(r"[^\W\d_]")
@@ -52,12 +54,14 @@ def presence(text: str, out: np.ndarray) -> None:
 
 
 def kernel_rows(texts: list[str]) -> np.ndarray:
-    """One unit row a text, so that the kernel is a plain matrix product."""
+    """One row a text, so that the kernel is a plain matrix product: unit length, and of a long text the mean of its segments' rows."""
     x = np.zeros((len(texts), WIDTH), dtype=np.float32)
     for i, t in enumerate(texts):
-        presence(t, x[i])
-    norms = np.sqrt(x.sum(axis=1, keepdims=True))
-    x /= np.where(norms > 0, norms, 1)
+        for at in range(0, len(t), SEGMENT):
+            part = t[at : at + SEGMENT]
+            row = np.zeros(WIDTH, dtype=np.float32)
+            presence(part, row)
+            x[i] += row * np.float32(len(part) / len(t) / max(1.0, math.sqrt(row.sum())))
     return x
 
 
@@ -67,14 +71,18 @@ class Model:
 
     @classmethod
     def fit(cls, texts: list[str], langs: list[str]) -> "Model":
+        return cls.fit_rows(kernel_rows(texts), langs)
+
+    @classmethod
+    def fit_rows(cls, x: np.ndarray, langs: list[str]) -> "Model":
         classes = sorted(set(langs))
         if not classes:
             return cls([], np.zeros((0, WIDTH), np.float32), np.zeros((0, 0), np.float32))
-        y = np.array([classes.index(x) for x in langs])
+        y = np.array([classes.index(c) for c in langs])
         each = max(1, min(LANDMARKS, ALL_LANDMARKS // len(classes)))
         chosen = np.concatenate([np.flatnonzero(y == c)[:each] for c in range(len(classes))])[:ALL_LANDMARKS]
-        marks = kernel_rows([texts[i] for i in chosen])
-        k = np.concatenate([kernel_rows(texts[i : i + BATCH]) @ marks.T for i in range(0, len(texts), BATCH)]).astype(np.float64)
+        marks = x[chosen]
+        k = (x @ marks.T).astype(np.float64)
         values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])  # landmark map: z = k @ root
@@ -91,14 +99,8 @@ class Model:
         todo = [i for i, t in enumerate(texts) if t and has_letter(t)] if self.classes else []
         if not todo:
             return lang, score
-        parts = [(i, at) for i in todo for at in range(0, len(texts[i]), SEGMENT)]
-        total, owner = np.zeros((len(texts), len(self.classes))), np.array([i for i, _ in parts])
-        for at in range(0, len(parts), BATCH):
-            rows = kernel_rows([texts[i][a : a + SEGMENT] for i, a in parts[at : at + BATCH]])
-            values = (rows @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
-            weight = np.array([min(SEGMENT, len(texts[i]) - a) / len(texts[i]) for i, a in parts[at : at + BATCH]])
-            np.add.at(total, owner[at : at + BATCH], values * weight[:, None])
-        f = total[todo]
+        values = lambda part: (kernel_rows([texts[i] for i in part]) @ self.landmarks.T) @ self.weights[:-1] + self.weights[-1]
+        f = np.concatenate([values(todo[at : at + BATCH]) for at in range(0, len(todo), BATCH)]).astype(np.float64)
         sure = 1 / np.exp(3 * (f - f.max(axis=1, keepdims=True))).sum(axis=1)
         for i, b, s in zip(todo, f.argmax(axis=1).tolist(), sure.tolist(), strict=True):
             lang[i], score[i] = self.classes[b], s
@@ -106,8 +108,8 @@ class Model:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """From a bounded number of texts of each language, those of least key hash, up to CHARS characters of each: one pass over all keys, in
-    which each task keeps as many a language, and one over the texts."""
+    """From a bounded number of texts of each language, those of least key hash: one pass over all keys, in which each task keeps as many a
+    language, and one over the texts. Their kernel rows come to the driver, at most ALL_TEXTS (or LEAST a language) of 32 kB."""
     rows = docs.where(trainable(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("label"), F.col(text).alias("t"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     languages = rows.select("label").distinct().count()
@@ -115,10 +117,15 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return Model.fit([], [])
     texts = max(LEAST, min(TEXTS, ALL_TEXTS // languages))
     picked = rows.select("h", "label").withColumn("r", rank).where(F.col("r") <= texts).select("h", "label").distinct()
-    # at most that many short rows; a key with several texts gives one
-    sample = rows.join(F.broadcast(picked), ["h", "label"]).select("h", "label", F.substring("t", 1, CHARS).alias("t"))
-    got = sorted((r["h"], r["label"], r["t"]) for r in sample.groupBy("h", "label").agg(F.min("t").alias("t")).collect())
-    return Model.fit([t for _, _, t in got], [x for _, x, _ in got])
+
+    def make():
+        return lambda b: [[zlib.compress(r.astype("<f2").tobytes(), 1) for t in b.column("t").to_pylist() for r in kernel_rows([t])]]
+
+    # the join is with at most that many short rows; a key with several texts gives one
+    seen = with_columns(rows.join(F.broadcast(picked), ["h", "label"]).select("h", "label", "t"), "x binary", make, drop=("t",))
+    got = sorted((r["h"], r["label"], bytes(r["x"])) for r in seen.groupBy("h", "label").agg(F.min("x").alias("x")).collect())
+    x = np.stack([np.frombuffer(zlib.decompress(z), dtype="<f2").astype(np.float32) for _, _, z in got])
+    return Model.fit_rows(x, [c for _, c, _ in got])
 
 
 def predict(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text") -> DataFrame:
