@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from textquarry.functions import terms
 from textquarry.operators import analytics, chunking, lifecycle, quality, relational, search
 from textquarry.plans import base
 from textquarry.sinks import tables
@@ -107,7 +108,7 @@ def test_embeddings(spark):
     assert len(got[0].dense) == 384 and got[1].dense is None
     same = spark.createDataFrame([(1, "a b a"), (2, None), (3, "")], "doc_id long, text string")
     rows = {(r.doc_id, r.term): r.weight for r in search.postings(same).collect()}
-    assert rows == pytest.approx({(r.doc_id, k): w for r in search.sparse_vectors(same).collect() for k, w in r.weights.items()}) and set(rows) == {(1, "a"), (1, "b")}
+    assert rows == pytest.approx({(1, "a"): 2 * 2.2 / (2 + 1.2 * (0.25 + 0.75 * 3 / 256)), (1, "b"): 2.2 / (1 + 1.2 * (0.25 + 0.75 * 3 / 256))})
 
 
 def test_duplicates_and_matches(spark):
@@ -156,3 +157,25 @@ def test_transitions(spark):
     rows = [(1, "PENDING", 1), (1, "PROCESSING", 2), (1, "COMPLETED", 3), (1, "FAILED", 4), (2, "COMPLETED", 1)]
     got = lifecycle.transitions(spark.createDataFrame(rows, "k int, s string, at int"), "k", "s", "at").collect()
     assert {(r.k, r.at): r.allowed for r in got} == {(1, 1): True, (1, 2): True, (1, 3): True, (1, 4): False, (2, 1): False}
+
+
+def test_terms(spark):
+    stems = "running:run generously:generous national:nation consistency:consist knightly:knight hopping:hop hoping:hope ties:tie cries:cri gas:gas kiwis:kiwi agreed:agre feed:feed relational:relat electricity:electr adoption:adopt controlling:control skies:sky news:news succeeding:succeed communism:communism flying:fli say:say licenses:licens"
+    for pair in stems.split():
+        word, want = pair.split(":")
+        assert terms.stem(word) == want
+    assert [terms.murmur3(x) for x in (b"", b"hello", b"hello, world", b"The quick brown fox jumps over the lazy dog")] == [0, 0x248BFA47, 0x149BBB7F, 0x2E4FF723]
+    assert terms.terms("The licenses' RUNNING costs, and a " + "x" * 41) == ["licens", "run", "cost"] and terms.bm25_embedding(None) == {}
+    texts = ["the licenses run", "license costs and running", "nothing alike", None, ""]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    stored = search.embed_sparse(rows)
+    query = terms.bm25_embedding("running a license")
+    want = {}
+    for i, t in enumerate(texts):
+        found = terms.bm25_embedding(t)
+        if set(found) & set(query):
+            want[i] = sum(query[k] * w for k, w in found.items() if k in query)
+    got = {r.id: r.sparse for r in search.stored_scores(stored, "running a license").collect()}
+    assert got == pytest.approx(want, rel=1e-6) and set(got) == {0, 1} and search.stored_scores(stored, "the").count() == 0
+    dense = stored.withColumns({"dense_vector": F.expr("array(CAST(id AS FLOAT), 1.0F)"), "document_id": F.lit(1), "quality_score": F.lit(0.5), "quality_flags": F.expr("array('x')"), "chunk_type": F.lit("document"), "chunk_index": F.lit(0), "breadcrumbs": F.expr("array('x')"), "token_count": F.lit(1)})
+    assert [r.id for r in search.search(dense, "running license", 5, "hybrid", make=lambda: lambda t: [[1.0, 0.0] for _ in t], stored=True).collect()] == [1, 0]

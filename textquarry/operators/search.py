@@ -14,9 +14,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.functions.terms import AVERAGE, B, K, bm25_embedding
+
 SIZE = 384
-#: BM25's k and b, and the mean length it assumes.
-K, B, AVERAGE = 1.2, 0.75, 256.0
 MODES = ("semantic", "hybrid", "rrf")
 
 
@@ -68,14 +68,6 @@ def weight(tf: Column, n: Column) -> Column:
     return tf * (K + 1) / (tf + K * (1 - B + B * n / AVERAGE))
 
 
-def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, term, weight) of every word of every text: a posting table, to be written by term. Counted row by row, so nothing is shuffled."""
-    w = words(F.col(text))
-    rows = docs.select(key, F.size(w).alias("n"), F.explode(F.array_distinct(w)).alias("term"), w.alias("w"))
-    tf = F.size(F.filter("w", lambda x: x == F.col("term")))
-    return rows.select(key, "term", weight(tf, F.col("n")).alias("weight"))
-
-
 def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, weights: map from term to weight) of every text, row by row."""
 
@@ -93,6 +85,11 @@ def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, weights map<string,double>").withColumnRenamed("k", key)
 
 
+def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, term, weight) of every word of every text: a posting table, to be written by term. Counted row by row, so nothing is shuffled."""
+    return sparse_vectors(docs, key, text).select(key, F.explode("weights").alias("term", "weight"))
+
+
 def query_scores(docs: DataFrame, terms: list[str], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, sparse): the sum of a text's weights for the query's terms; texts with none of them are left out. One pass, no shuffle."""
     wanted = sorted({t for t in terms if t})
@@ -156,6 +153,32 @@ def embed(df: DataFrame, text: str = "content", name: str = "dense", make: Calla
     return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{name}` array<float>")
 
 
+def embed_sparse(df: DataFrame, text: str = "content", indices: str = "sparse_indices", values: str = "sparse_values") -> DataFrame:
+    """``df`` with each text's BM25 terms as parallel arrays of term ids (ascending) and weights; empty ones for null texts."""
+    names = [*df.columns, indices, values]
+
+    def run(batches):
+        for b in batches:
+            made = [sorted(bm25_embedding(t).items()) for t in b.column(text).to_pylist()]
+            arrays = [pa.array([[x[i] for x in m] for m in made], pa.list_(t)) for i, t in ((0, pa.int64()), (1, pa.float32()))]
+            yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=names)
+
+    return df.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in df.dtypes) + f", `{indices}` array<bigint>, `{values}` array<float>")
+
+
+def stored_scores(chunks: DataFrame, text: str, key: str = "id", indices: str = "sparse_indices", values: str = "sparse_values") -> DataFrame:
+    """(key, sparse): dot product of stored sparse vectors and the query's, which is encoded like a document; rows that share no term are left
+    out."""
+    query = bm25_embedding(text)
+    if not query:
+        return chunks.where("1 = 0").select(key, F.lit(0.0).alias("sparse"))
+    ids = F.array(*[F.lit(i).cast("long") for i in query])
+    weights = F.create_map(*[F.lit(x) for i, w in query.items() for x in (i, float(w))])
+    each = F.zip_with(F.col(indices).cast("array<bigint>"), F.col(values), lambda i, v: F.when(F.array_contains(ids, i), v.cast("double") * F.element_at(weights, i)).otherwise(0.0))
+    hit = F.arrays_overlap(F.col(indices).cast("array<bigint>"), ids)
+    return chunks.where(hit).select(key, F.aggregate(each, F.lit(0.0), lambda s, x: s + x).alias("sparse"))
+
+
 def embed_query(text: str, make: Callable[[], Embedder] = lambda: mock_embedder) -> tuple[list[float], list[str]]:
     """(dense, terms) of a query, by the documents' encoder."""
     text, *_ = check_query(text)
@@ -174,9 +197,10 @@ def empty_points(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], f"id bigint, dense array<float>, sparse_indices array<int>, sparse_values array<float>, payload {payload}")
 
 
-def search(chunks: DataFrame | None, text: str, k: int = 5, mode: str = "semantic", document_id=None, make: Callable[[], Embedder] = lambda: mock_embedder, vector: str = "dense_vector") -> DataFrame:
+def search(chunks: DataFrame | None, text: str, k: int = 5, mode: str = "semantic", document_id=None, make: Callable[[], Embedder] = lambda: mock_embedder, vector: str = "dense_vector", stored: bool = False) -> DataFrame:
     """Top k chunks of a query with what is shown of them: by dense score; ``hybrid``: the 2k best by words, ranked by dense score; ``rrf``: both
-    ranks fused. ``document_id`` keeps one document's chunks, before anything is scored."""
+    ranks fused. ``document_id`` keeps one document's chunks, before anything is scored. ``stored``: words by
+    the stored sparse vectors (stems without stop words) instead of the texts."""
     text, k, mode = check_query(text, k, mode)
     if chunks is None:
         raise SearchUnavailable("no vector table")
@@ -185,7 +209,8 @@ def search(chunks: DataFrame | None, text: str, k: int = 5, mode: str = "semanti
     if mode == "semantic":
         hits = dense_top_k(rows, dense, k, "id", vector)
     elif mode == "hybrid":
-        hits = two_stage(query_scores(rows, terms, "id", "content"), rows, dense, k, "id", vector)
+        sparse = stored_scores(rows, text) if stored else query_scores(rows, terms, "id", "content")
+        hits = two_stage(sparse, rows, dense, k, "id", vector)
     else:
         ranked = lambda x: x.withColumn("rank", F.row_number().over(Window.orderBy(F.desc(x.columns[1]), "id"))).select("id", "rank")
         best = query_scores(rows, terms, "id", "content").orderBy(F.desc("sparse"), "id").limit(2 * k)

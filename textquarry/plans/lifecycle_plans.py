@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from textquarry.functions.secrets import seal, unseal
 from textquarry.operators import lifecycle as L
 from textquarry.operators import relational as R
 from textquarry.plans import PlanSet
@@ -242,6 +243,5 @@ def f15_s20_remote_listing(spark, d):
 @plans.add("h2_encryption", "SELECT doc_id, md5(text) AS digest, 12 + octet_length(encode(text)) + 16 AS size FROM documents")
 def h2_encryption(spark, d):
     key = F.lit("0123456789abcdef0123456789abcdef")
-    sealed = F.aes_encrypt("text", key, F.lit("GCM"))
-    rows = B.table(spark, d, "documents").select("doc_id", sealed.alias("sealed"))
-    return rows.select("doc_id", F.md5(F.aes_decrypt("sealed", key, F.lit("GCM"))).alias("digest"), F.octet_length("sealed").cast("long").alias("size"))
+    rows = B.table(spark, d, "documents").select("doc_id", seal(F.col("text"), key).alias("sealed"))
+    return rows.select("doc_id", F.md5(unseal(F.col("sealed"), key)).alias("digest"), F.octet_length("sealed").cast("long").alias("size"))

@@ -46,8 +46,7 @@ def v2_sparse_vectors(spark, d):
 
 @plans.add("j12_posting_scores", f"WITH {_BM} SELECT doc_id, round(sparse, 6) AS sparse FROM bm")
 def j12_posting_scores(spark, d):
-    rows = S.sparse_vectors(table(spark, d, "documents")).select("doc_id", F.explode("weights").alias("term", "weight"))
-    return S.posting_scores(rows, TERMS).select("doc_id", F.round("sparse", 6).alias("sparse"))
+    return S.posting_scores(S.postings(table(spark, d, "documents")), TERMS).select("doc_id", F.round("sparse", 6).alias("sparse"))
 
 
 _DENSE = f"round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score"
