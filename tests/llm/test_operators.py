@@ -751,6 +751,7 @@ def test_toxicity_odd_rows(spark, docs, none):
     assert kept.columns == docs.columns and sorted(map(str, kept.collect())) == sorted(map(str, docs.collect()))
     assert toxicity.drop_toxic(none, labels).count() == 0
     some = spark.createDataFrame([(i, 1, i % 2) for i in range(9)] + [(BIG, 1, 1), (BIG, 1, 0), (None, 1, 1), (999, 0, 1)], labels.schema)
+    assert toxicity.drop_toxic(none, some).count() == 0 and toxicity.learn(docs.where("doc_id = 7"), some).learned == {}
     assert toxicity.score(docs, toxicity.learn(docs, some), name="x").where("x between 0 and 1").count() == len(ROWS)
 
 

@@ -307,6 +307,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     counts = new.select("t", "y", "half").mapInArrow(count, "entry string, o1 long, c1 long, o long, c long")
     counts = materialise(counts.groupBy("entry").agg(*[F.sum(n).alias(n) for n in ("o1", "c1", "o", "c")]), "toxic-counts")
     total = counts.where("entry = ''").first()
+    if total is None:  # no text of a labelled key
+        return Grammar({})
     words = counts.where("entry <> ''")
     half = Grammar(lexicon(words, "c1", "o1", (total["o1"], total["c1"])))
     whole = lexicon(words, "c", "o", (total["o"], total["c"]))
