@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import token_estimate
-from textquarry.operators.quality import Profile, completeness, flags, has_title, score
+from textquarry.operators.quality import Profile, scored
 
 _BREADCRUMB = re.compile(r"\A>[^\n]*\n?(?:[ \t]*\n)*")
 
@@ -252,11 +252,5 @@ def chunk_documents(docs: DataFrame, key: str = "doc_id", text: str = "text", p:
 
 def process(docs: DataFrame, key: str = "doc_id", text: str = "text", p: Profile = Profile(), kind: str | None = None) -> DataFrame:
     """The whole way from Markdown to scored chunks: chunk, merge, flags, score, completeness, tokens."""
-    rows = chunk_documents(docs, key, text, p, kind)
-    found = flags(F.col("content"), F.size("breadcrumbs") > 0, p)
-    return rows.withColumn("quality_flags", found).withColumns({
-        "quality_score": score(F.col("content"), F.size("breadcrumbs") > 0, p),
-        "has_title": has_title(F.col("content")),
-        "completeness": completeness(F.col("quality_flags")),
-        "token_count": token_estimate(F.col("content")),
-    })
+    rows = scored(chunk_documents(docs, key, text, p, kind), "content", F.size("breadcrumbs") > 0, p)
+    return rows.withColumn("token_count", token_estimate(F.col("content")))

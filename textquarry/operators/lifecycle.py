@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 
 from textquarry.functions.numbers import next_version
 from textquarry.functions.repair import sanitise
-from textquarry.operators.quality import Profile, gate
+from textquarry.operators.quality import Profile, gated
 from textquarry.operators.relational import among, bulk_outcome
 from textquarry.sources.detect import detect_format, upload_error
 
@@ -133,9 +133,9 @@ def reprocess(documents: DataFrame, chunks: DataFrame, changed: DataFrame) -> tu
 
 def gate_result(results: DataFrame) -> DataFrame:
     """Callback rows (document_id, success, content, error_code) with the state they lead to and its reason."""
-    verdict = gate(F.col("content"))
-    passed = verdict.isin("OK", "HIGH_NOISE_RATIO")
-    return results.withColumns({"status": F.when(F.col("success") & passed, "COMPLETED").otherwise("FAILED"), "fail_reason": F.when(~F.col("success"), F.col("error_code")).when(~passed, verdict)})
+    passed = F.col("verdict").isin("OK", "HIGH_NOISE_RATIO")
+    out = gated(results, "content").withColumns({"status": F.when(F.col("success") & passed, "COMPLETED").otherwise("FAILED"), "fail_reason": F.when(~F.col("success"), F.col("error_code")).when(~passed, F.col("verdict"))})
+    return out.drop("noise", "verdict")
 
 
 def result_payload(results: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.numbers import round_python
@@ -26,36 +26,43 @@ class Profile:
     auto_fix: bool = True
 
 
-def flags(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
-    c = strip(F.coalesce(content, F.lit("")))
+def _stripped(content: Column) -> Column:
+    return strip(F.coalesce(content, F.lit("")))
+
+
+def _titled(c: Column) -> Column:
+    return c.startswith("#") | c.startswith(">")
+
+
+def _flags(c: Column, has_breadcrumbs: Column, p: Profile) -> Column:
     n = F.length(c)
     ends = F.right(c, F.lit(1)).isin(".", "!", "?", ":", ">") | c.endswith("```")
-    context = c.startswith("#") | c.startswith(">") | has_breadcrumbs
-    found = F.array_compact(F.array(F.when(n < p.quality_min, "TOO_SHORT"), F.when(n > p.quality_max, "TOO_LONG"), F.when(~context, "NO_CONTEXT"), F.when(~ends, "FRAGMENT")))
+    raised = (("TOO_SHORT", n < p.quality_min), ("TOO_LONG", n > p.quality_max), ("NO_CONTEXT", ~(_titled(c) | has_breadcrumbs)), ("FRAGMENT", ~ends))
+    found = F.array_remove(F.array(*[F.when(condition, name).otherwise("") for name, condition in raised]), "")
     return F.when(n == 0, F.array(F.lit("EMPTY"))).otherwise(found)
 
 
-def has_title(content: Column) -> Column:
-    c = strip(F.coalesce(content, F.lit("")))
-    return c.startswith("#") | c.startswith(">")
+def _raw(c: Column, found: Column, has_breadcrumbs: Column, p: Profile) -> Column:
+    total = (
+        F.greatest(F.lit(0.0), 1 - F.lit(p.penalty) * F.size(found)) * 0.4
+        + F.least(F.lit(1.0), F.length(c) / F.lit(float(p.chunk_size))) * 0.3
+        + F.when(_titled(c) | has_breadcrumbs, 1.0).otherwise(0.5) * 0.2
+        + F.when(F.array_contains(found, "FRAGMENT"), 0.7).otherwise(1.0) * 0.1
+    )
+    return F.when(F.length(c) == 0, 0.0).otherwise(total)
 
 
-def raw_score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
-    """The score before rounding; 0 for an empty chunk. The stripped text and its flags are worked out once a row."""
+def flags(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
+    return _flags(_stripped(content), has_breadcrumbs, p)
 
-    def total(x: Column) -> Column:
-        c, f = x["c"], x["f"]
-        titled = has_breadcrumbs | c.startswith("#") | c.startswith(">")
-        sum_ = (
-            F.greatest(F.lit(0.0), 1 - F.lit(p.penalty) * F.size(f)) * 0.4
-            + F.least(F.lit(1.0), F.length(c) / F.lit(float(p.chunk_size))) * 0.3
-            + F.when(titled, 1.0).otherwise(0.5) * 0.2
-            + F.when(F.array_contains(f, "FRAGMENT"), 0.7).otherwise(1.0) * 0.1
-        )
-        return F.when(F.length(c) == 0, 0.0).otherwise(sum_)
 
-    once = F.array(F.struct(strip(F.coalesce(content, F.lit(""))).alias("c"), flags(content, has_breadcrumbs, p).alias("f")))
-    return F.element_at(F.transform(once, total), 1)
+def has_title(content: Column) -> Column:
+    return _titled(_stripped(content))
+
+
+def raw_score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
+    """The score before rounding; 0 for an empty chunk."""
+    return _raw(_stripped(content), flags(content, has_breadcrumbs, p), has_breadcrumbs, p)
 
 
 def score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> Column:
@@ -63,6 +70,16 @@ def score(content: Column, has_breadcrumbs: Column, p: Profile = Profile()) -> C
     return round_python(raw_score(content, has_breadcrumbs, p), 2)
 
 
+def scored(df: DataFrame, content: str = "content", has_breadcrumbs: Column | None = None, p: Profile = Profile()) -> DataFrame:
+    """``df`` with quality_flags, quality_score, has_title and completeness. The stripped text, its flags and the raw score are columns on the way, so
+    each is worked out once a row."""
+    c, raw, has_breadcrumbs = "__stripped", "__raw", F.lit(False) if has_breadcrumbs is None else has_breadcrumbs
+    out = df.withColumn(c, _stripped(F.col(content)))
+    out = out.withColumns({"quality_flags": _flags(F.col(c), has_breadcrumbs, p), "has_title": _titled(F.col(c))})
+    out = out.withColumns({raw: _raw(F.col(c), F.col("quality_flags"), has_breadcrumbs, p), "completeness": completeness(F.col("quality_flags"))})
+    return out.withColumn("quality_score", round_python(F.col(raw), 2)).drop(c, raw)
+
+
 def completeness(f: Column) -> Column:
     return F.when(F.array_contains(f, "EMPTY"), "empty").when(F.array_contains(f, "FRAGMENT"), "partial").otherwise("complete")
 
@@ -73,14 +90,23 @@ def noise_ratio(text: Column) -> Column:
     return F.when(units > 0, F.length(F.regexp_replace(text, r"(?U)[a-zA-Z0-9\s]", "")) / units).otherwise(0.0)
 
 
+def _verdict(visible: Column, noise: Column) -> Column:
+    return F.when(visible < 50, "TEXT_TOO_SHORT").when(noise > 0.8, "EXCESSIVE_NOISE").when(noise > 0.5, "HIGH_NOISE_RATIO").otherwise("OK")
+
+
+def _visible(text: Column) -> Column:
+    return F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", ""))
+
+
 def gate(text: Column) -> Column:
-    """The verdict on a whole document; its noise is worked out once a row."""
-    visible = F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"(?U)\s", ""))
+    """The verdict on a whole document."""
+    return _verdict(_visible(text), noise_ratio(text))
 
-    def verdict(x: Column) -> Column:
-        return F.when(x["visible"] < 50, "TEXT_TOO_SHORT").when(x["noise"] > 0.8, "EXCESSIVE_NOISE").when(x["noise"] > 0.5, "HIGH_NOISE_RATIO").otherwise("OK")
 
-    return F.element_at(F.transform(F.array(F.struct(visible.alias("visible"), noise_ratio(text).alias("noise"))), verdict), 1)
+def gated(df: DataFrame, text: str = "text") -> DataFrame:
+    """``df`` with noise and verdict; both regexes run once a row."""
+    out = df.withColumns({"noise": noise_ratio(F.col(text)), "__visible": _visible(F.col(text))})
+    return out.withColumn("verdict", _verdict(F.col("__visible"), F.col("noise"))).drop("__visible")
 
 
 def band(score: Column) -> Column:

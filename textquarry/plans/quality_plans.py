@@ -31,7 +31,7 @@ _SCORE = "greatest(0, 1 - 0.15::DOUBLE * ((n < 500)::INT + (n > 2000)::INT + 1 +
 def flagship_quality_bands(spark, d):
     """Each line a chunk: its flags and stored score, banded by language."""
     rows = docs(spark, d).select("lang", F.explode(F.split("text", "\n")).alias("c")).where(F.trim("c") != "")
-    rows = rows.select("lang", Q.flags(F.col("c"), F.lit(False)).alias("f"), Q.score(F.col("c"), F.lit(False)).alias("s"))
+    rows = Q.scored(rows, "c").select("lang", F.col("quality_flags").alias("f"), F.col("quality_score").alias("s"))
     b = Q.band(F.col("s"))
     return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("chunks"), F.round(F.avg("s"), 6).alias("avg_score"), *[F.count_if(b == x).alias(x) for x in ("excellent", "good", "low")], F.count_if(F.array_contains("f", "TOO_SHORT")).alias("too_short"), F.count_if(F.array_contains("f", "FRAGMENT")).alias("fragments"))
 
@@ -44,7 +44,7 @@ def flagship_quality_bands(spark, d):
     WHEN length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text) > 0.5 THEN 'HIGH_NOISE_RATIO' ELSE 'OK' END AS verdict FROM documents""",
 )
 def q4_gate_noise(spark, d):
-    return docs(spark, d).select("doc_id", F.round(Q.noise_ratio(F.col("text")), 6).alias("noise"), Q.gate(F.col("text")).alias("verdict"))
+    return Q.gated(docs(spark, d).select("doc_id", "text")).select("doc_id", F.round("noise", 6).alias("noise"), "verdict")
 
 
 def dirty():
