@@ -123,6 +123,17 @@ def with_document(chunks: DataFrame, documents: DataFrame) -> DataFrame:
     return chunks.join(d, "document_id")
 
 
+def chunk_detail(chunks: DataFrame, documents: DataFrame, key) -> DataFrame:
+    """One chunk with all it has and its document, or no row."""
+    return with_document(chunks.where(F.col("id") == F.lit(key)), documents)
+
+
+def document_chunks(chunks: DataFrame, documents: DataFrame, key, limit: int = 20, page_number: int = 1) -> DataFrame:
+    """One page of a document's chunks in their order, with its name; no row for an unknown document."""
+    rows = page(chunks.where(F.col("document_id") == F.lit(key)), [F.col("chunk_index")], limit, (page_number - 1) * limit)
+    return with_document(rows, documents)
+
+
 def list_runs(metrics: DataFrame, documents: DataFrame, period: Period = None, sort: str = "created_at", descending: bool = True, limit: int = 20, page_number: int = 1) -> DataFrame:
     """One page of run metrics, each with its document."""
     if sort not in METRIC_SORTS:

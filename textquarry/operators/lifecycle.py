@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 from textquarry.functions.numbers import next_version
 from textquarry.functions.repair import sanitise
 from textquarry.operators.quality import Profile, gated
-from textquarry.operators.relational import among, bulk_outcome
+from textquarry.operators.relational import among, bulk_outcome, cascade_match, snapshot_diff
+from textquarry.sinks.tables import merged, metric_rows, store_chunks
 from textquarry.sources.detect import detect_format, upload_error
 
 #: Reason of documents that vanished from their remote folder, outcomes after which nothing is tried again.
@@ -115,6 +116,58 @@ def apply_changes(stored: DataFrame, changes: DataFrame) -> tuple[DataFrame, Dat
     return y.withColumns(changed).select(*stored.columns), actions
 
 
+def full_sync(remote: DataFrame, documents: DataFrame, folder: int) -> tuple[DataFrame, DataFrame]:
+    """(documents, actions) after a whole listing (file_id, name, mime_type, md5) of a folder.
+
+    Files the folder doesn't know are added: a document with that remote id or content anywhere is linked (restored if it had vanished, put back to
+    waiting if its content changed), else there is a new one. Known ones whose content changed wait anew; documents whose file is gone fail.
+    Files of formats that nobody reads are errors; the others go on.
+    """
+    own = F.coalesce(F.col("drive_folder_id") == folder, F.lit(False))
+    fmt = detect_format(F.col("mime_type"), F.col("name"))
+    files = remote.withColumn("format", fmt)
+    mine = documents.where(own).select(F.col("drive_file_id").alias("file_id"), F.col("md5_hash").alias("md5"))
+    diff = snapshot_diff(files.where("format IS NOT NULL").select("file_id", "md5"), mine, "file_id", "md5").where("action <> 'skip'")
+    named = diff.join(files.select("file_id", "name", "mime_type", "md5", "format"), "file_id", "left")
+    matched = cascade_match(named.where("action = 'add'").select("file_id", "md5"), documents).select("file_id", F.col("document_id").alias("found"), F.col("action").alias("how"))
+    known = documents.where(own).groupBy(F.col("drive_file_id").alias("file_id")).agg(F.min("id").alias("known"))
+    actions = named.join(matched, "file_id", "left").join(known, "file_id", "left").select("file_id", "name", "mime_type", "md5", "format", F.coalesce("how", "action").alias("how"), F.coalesce("found", "known").alias("id"))
+    x = documents.join(actions.where("id IS NOT NULL").groupBy("id").agg(F.min(F.struct("file_id", "name", "md5", "how")).alias("a")), "id", "left")
+    how, anew = F.col("a.how"), F.col("a.how").isin("update", "reprocess")
+    linked = how.isin("update", "reprocess", "restore", "relink")
+    changed = {
+        "status": F.when(anew, "PENDING").when(how == "remove", "FAILED").when(how == "restore", "COMPLETED").otherwise(F.col("status")),
+        "fail_reason": F.when(how == "remove", REMOVED).when(~F.coalesce(anew | (how == "restore"), F.lit(False)), F.col("fail_reason")),
+        "filename": F.when(anew, F.col("a.name")).otherwise(F.col("filename")),
+        "md5_hash": F.when(anew & F.col("a.md5").isNotNull(), F.col("a.md5")).otherwise(F.col("md5_hash")),
+        "processed_content": F.when(~F.coalesce(anew, F.lit(False)), F.col("processed_content")),
+        "drive_file_id": F.when(linked, F.col("a.file_id")).otherwise(F.col("drive_file_id")),
+        "drive_folder_id": F.when(linked, F.lit(folder).cast(dict(documents.dtypes)["drive_folder_id"])).otherwise(F.col("drive_folder_id")),
+        "connection_state": F.when(linked, "LINKED").otherwise(F.col("connection_state")),
+    }
+    new = actions.where("how = 'insert'").select(F.xxhash64("file_id").alias("id"), F.col("name").alias("filename"), "format", F.lit("PENDING").alias("status"), F.col("md5").alias("md5_hash"), F.col("file_id").alias("drive_file_id"), F.lit(folder).cast("long").alias("drive_folder_id"), F.lit("LINKED").alias("connection_state"), F.lit("DRIVE").alias("source_type"))
+    bad = files.where("format IS NULL").select("file_id", F.lit("error").alias("action"), F.concat("name", F.lit(": Unsupported format: "), F.coalesce("mime_type", F.lit(""))).alias("message"))
+    counted = F.when(F.col("how") == "update", "updated").when(F.col("how") == "remove", "removed").otherwise("added")
+    done = actions.select("file_id", counted.alias("action"), F.lit(None).cast("string").alias("message"))
+    return x.withColumns(changed).select(*documents.columns).unionByName(new, allowMissingColumns=True), done.unionByName(bad)
+
+
+def apply_callbacks(results: DataFrame, documents: DataFrame, chunks: DataFrame, metrics: DataFrame, new_chunks: DataFrame, runs: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents, chunks, metrics) after results came back: the gate decides; chunks and metrics of those that pass are stored, the others' are not."""
+    done = gate_result(results).select(F.col("document_id").alias("id"), F.col("status").alias("new_status"), F.col("fail_reason").alias("new_reason"), F.col("content").alias("new_content"))
+    good = done.where("new_status = 'COMPLETED'").select(F.col("id").alias("document_id"))
+    passed = lambda df: df.join(good, "document_id", "left_semi")
+    x, hit = documents.join(done, "id", "left"), F.col("new_status").isNotNull()
+    changed = {
+        "status": F.coalesce("new_status", "status"),
+        "fail_reason": F.when(hit, F.col("new_reason")).otherwise(F.col("fail_reason")),
+        "processed_content": F.when(F.col("new_status") == "COMPLETED", F.col("new_content")).otherwise(F.col("processed_content")),
+    }
+    stored = store_chunks(chunks, passed(new_chunks))
+    rows = metric_rows(passed(runs), documents)
+    return x.withColumns(changed).select(*documents.columns), stored, merged(metrics, rows.select(*[c for c in rows.columns if c in metrics.columns]), "document_id")
+
+
 def run_result(actions: DataFrame) -> DataFrame:
     """One row: added, updated, removed, and errors in order, joined by semicolons."""
     n = lambda a: F.count_if(F.col("action") == a).alias(a)

@@ -152,3 +152,10 @@ def n2_clamped_settings(spark, d):
 @plans.add("created_range", sql("d", f"SELECT {text_of('min(created_at)')} AS first, {text_of('max(created_at)')} AS last FROM d"))
 def created_range(spark, d):
     return B.documents(spark, d).agg(B.show(F.min("created_at")).alias("first"), B.show(F.max("created_at")).alias("last"))
+
+
+@plans.add("m9_m10_chunk_details", sql("cd", f"SELECT 'one' AS kind, {_CHUNK} FROM c JOIN (SELECT id AS i, filename, format, format_category FROM d) ON i = document_id WHERE id = 300001 UNION ALL SELECT 'page', {_CHUNK} FROM (SELECT * FROM c WHERE document_id = 2 ORDER BY chunk_index LIMIT 3 OFFSET 3) JOIN (SELECT id AS i, filename, format, format_category FROM d) ON i = document_id"), text=("token_count",))
+def m9_m10_chunk_details(spark, d):
+    c, docs = B.chunks(spark, d), B.documents(spark, d)
+    rows = [_chunk(D.chunk_detail(c, docs, 300001)).withColumn("kind", F.lit("one")), _chunk(D.document_chunks(c, docs, 2, 3, 2)).withColumn("kind", F.lit("page"))]
+    return rows[0].unionByName(rows[1])

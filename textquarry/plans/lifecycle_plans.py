@@ -245,3 +245,44 @@ def h2_encryption(spark, d):
     key = F.lit("0123456789abcdef0123456789abcdef")
     rows = B.table(spark, d, "documents").select("doc_id", seal(F.col("text"), key).alias("sealed"))
     return rows.select("doc_id", F.md5(unseal(F.col("sealed"), key)).alias("digest"), F.octet_length("sealed").cast("long").alias("size"))
+
+
+_LISTED = """, r AS (SELECT concat('drive-', doc_id) AS file_id, concat('n', doc_id, CASE doc_id % 8 WHEN 5 THEN '.exe' ELSE '.md' END) AS name, doc_id % 8 = 5 AS bad, CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN md5(concat(text, '!')) ELSE md5(text) END AS md5 FROM documents WHERE doc_id % 4 <> 2),
+    g AS (SELECT * FROM r WHERE NOT bad), o AS (SELECT * FROM d WHERE drive_folder_id = 3), h AS (SELECT md5_hash, min(id) AS i2 FROM d GROUP BY 1),
+    f AS (SELECT coalesce(g.file_id, o.drive_file_id) AS file_id, g.name, g.md5, CASE WHEN o.id IS NULL THEN 'add' WHEN g.file_id IS NULL THEN 'remove' WHEN g.md5 IS NOT NULL AND g.md5 <> o.md5_hash THEN 'update' ELSE 'skip' END AS act, o.id AS known FROM g FULL JOIN o ON o.drive_file_id = g.file_id),
+    a AS (SELECT f.*, coalesce(k.id, i2) AS found, CASE WHEN act <> 'add' THEN act WHEN k.id IS NOT NULL AND f.md5 IS NOT NULL AND f.md5 <> k.md5_hash THEN 'reprocess' WHEN k.id IS NOT NULL AND k.status = 'FAILED' AND k.fail_reason = 'REMOVED_FROM_DRIVE' THEN 'restore' WHEN k.id IS NOT NULL OR i2 IS NOT NULL THEN 'relink' ELSE 'insert' END AS how
+    FROM f LEFT JOIN d k ON act = 'add' AND k.drive_file_id = f.file_id LEFT JOIN h ON act = 'add' AND h.md5_hash = f.md5 WHERE act <> 'skip')"""
+
+
+def _listed(spark, d):
+    rows = B.table(spark, d, "documents").where("doc_id % 4 <> 2")
+    md5 = F.expr("CASE doc_id % 7 WHEN 0 THEN NULL WHEN 1 THEN md5(concat(text, '!')) ELSE md5(text) END")
+    return rows.select(F.concat(F.lit("drive-"), "doc_id").alias("file_id"), F.concat(F.lit("n"), "doc_id", F.expr("CASE doc_id % 8 WHEN 5 THEN '.exe' ELSE '.md' END")).alias("name"), F.lit("x/y").alias("mime_type"), md5.alias("md5"))
+
+
+@plans.add("m14_j8_full_sync", sql("d", _LISTED + """ SELECT d.id, CASE WHEN how IN ('update', 'reprocess') THEN 'PENDING' WHEN how = 'remove' THEN 'FAILED' WHEN how = 'restore' THEN 'COMPLETED' ELSE status END AS status, CASE WHEN how = 'remove' THEN 'REMOVED_FROM_DRIVE' WHEN how IN ('update', 'reprocess', 'restore') THEN NULL ELSE fail_reason END AS fail_reason,
+    CASE WHEN how IN ('update', 'reprocess') THEN x.name ELSE filename END AS filename, CASE WHEN how IN ('update', 'reprocess', 'restore', 'relink') THEN 'LINKED' ELSE connection_state END AS connection_state, false AS is_new FROM d LEFT JOIN (SELECT DISTINCT ON (i) * FROM (SELECT coalesce(found, known) AS i, * FROM a WHERE coalesce(found, known) IS NOT NULL) ORDER BY i, file_id) x ON i = d.id
+    UNION ALL SELECT 0, 'PENDING', NULL, name, 'LINKED', true FROM a WHERE how = 'insert'"""))
+def m14_j8_full_sync(spark, d):
+    docs, _ = L.full_sync(_listed(spark, d), B.documents(spark, d), 3)
+    new = F.col("retry_count").isNull()
+    return docs.select(F.when(new, F.lit(0)).otherwise(F.col("id")).alias("id"), "status", "fail_reason", "filename", "connection_state", new.alias("is_new"))
+
+
+@plans.add("m14_st9_full_sync_result", sql("d", _LISTED + " SELECT count(*) FILTER (act = 'add') AS added, count(*) FILTER (act = 'update') AS updated, count(*) FILTER (act = 'remove') AS removed, (SELECT md5(string_agg(concat(name, ': Unsupported format: x/y'), '; ' ORDER BY name)) FROM r WHERE bad) AS errors FROM a"))
+def m14_st9_full_sync_result(spark, d):
+    _, actions = L.full_sync(_listed(spark, d), B.documents(spark, d), 3)
+    return L.run_result(actions).withColumn("errors", F.md5("errors"))
+
+
+@plans.add("m15_k1_k2_callbacks", sql("dcm", r""", v AS (SELECT doc_id, doc_id % 8 <> 0 AND length(regexp_replace(text, '\s', '', 'g')) >= 50 AND length(regexp_replace(text, '[a-zA-Z0-9\s]', '', 'g')) / length(text) <= 0.8 AS ok FROM documents WHERE doc_id % 2 = 0),
+    k AS (SELECT document_id, count(*) FILTER (chunk_index < 2) AS two, count(*) AS n FROM c GROUP BY 1)
+    SELECT d.id, CASE WHEN ok THEN 'COMPLETED' WHEN NOT ok THEN 'FAILED' ELSE status END AS status, CASE WHEN ok THEN md5(text) ELSE md5(processed_content) END AS content, CASE WHEN ok THEN two ELSE n END AS chunks, CASE WHEN ok AND m.document_id IS NOT NULL THEN greatest(0, date_diff('millisecond', d.created_at, TIMESTAMP '2024-01-20 00:00:00')) WHEN m.document_id IS NOT NULL THEN queue_time_ms ELSE -1 END AS queue_time_ms
+    FROM d JOIN documents ON doc_id = d.id LEFT JOIN v ON v.doc_id = d.id LEFT JOIN k ON k.document_id = d.id LEFT JOIN m ON m.document_id = d.id"""))
+def m15_k1_k2_callbacks(spark, d):
+    docs, c, m = B.documents(spark, d), B.chunks(spark, d), B.metrics(spark, d)
+    results = B.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("document_id"), (F.col("doc_id") % 8 != 0).alias("success"), F.col("text").alias("content"), F.lit("CORRUPT_FILE").alias("error_code"))
+    runs = m.select("document_id", "total_time_ms", "total_chunks", F.lit(5).alias("n_chunks"), F.lit("2024-01-20 00:00:00").cast("timestamp").alias("started_at"))
+    docs, c, m = L.apply_callbacks(results, docs, c, m, c.where("chunk_index < 2"), runs)
+    rows = R.with_child_count(docs, c, "id", "document_id", "chunks").join(m.select(F.col("document_id").alias("id"), "queue_time_ms"), "id", "left")
+    return rows.select("id", "status", F.md5("processed_content").alias("content"), "chunks", F.coalesce("queue_time_ms", F.lit(-1)).alias("queue_time_ms"))
