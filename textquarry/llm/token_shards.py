@@ -35,8 +35,8 @@ from textquarry.llm.tokens import encoder
 
 MAGIC = b"TQSHARD2"
 GAMMA = 1.7
-#: Text a shard takes, in bytes; so their number grows with the data.
-SHARD_BYTES = 32 << 20
+#: Text a shard takes, in bytes, or more where that made over MOST_SHARDS; so their number grows with the data, and the manifest is bounded.
+SHARD_BYTES, MOST_SHARDS = 32 << 20, 100_000
 #: Documents read back at a time.
 READ_DOCS = 4096
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
@@ -268,9 +268,9 @@ def read_documents(spark, where: str, manifest: list) -> DataFrame:
 
 
 def shard_count(docs: DataFrame, text: str = "text") -> int:
-    """One shard for each SHARD_BYTES of text."""
+    """One shard for each SHARD_BYTES of text, MOST_SHARDS at most."""
     size = docs.agg(F.sum(F.octet_length(F.col(text))).alias("n")).first()["n"] or 0
-    return max(1, -(-size // SHARD_BYTES))
+    return max(1, min(MOST_SHARDS, -(-size // SHARD_BYTES)))
 
 
 def token_index(docs: DataFrame, path: str, end_id: int, key: str = "doc_id", text: str = "text") -> DataFrame:
