@@ -95,7 +95,7 @@ def test_events(spark, tmp_path):
         raise ValueError("down")
 
     take = lambda name: lambda df: seen.setdefault(name, [r.payload for r in df.collect()])
-    q = queues.run_available(queues.known_events(stream), queues.publish(stream, {"x": (("sync:error",), broken), "a": (("document:created",), take("a")), "b": (queues.EVENT_TYPES, take("b"))}), f"file://{tmp_path}/c1")
+    q = queues.run_available(queues.known_events(stream), queues.publish({"x": (("sync:error",), broken), "a": (("document:created",), take("a")), "b": (queues.EVENT_TYPES, take("b"))}), f"file://{tmp_path}/c1")
     with pytest.raises(Exception, match="x: down"):
         q.awaitTermination()
     assert seen == {"a": ["1"], "b": ["1", "2"]} or sorted(seen["b"]) == ["1", "2"]

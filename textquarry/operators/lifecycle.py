@@ -5,20 +5,24 @@ Each function takes the stored frames and returns new ones; nothing is changed i
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textquarry.functions.numbers import next_version
-from textquarry.functions.repair import sanitise
 from textquarry.operators.quality import Profile, gated
 from textquarry.operators.relational import among, bulk_outcome, cascade_match, snapshot_diff
 from textquarry.sinks.tables import merged, metric_rows, store_chunks
 from textquarry.sources.detect import detect_format, upload_error
 
-#: Reason of documents that vanished from their remote folder, outcomes after which nothing is tried again.
+#: Reason of documents that vanished from their remote folder, errors after which nothing is tried again, signs of an error of the
+#: network (which is tried again whatever else it says), what a reason begins with when those ran out, and its greatest length.
 REMOVED = "REMOVED_FROM_DRIVE"
-PERMANENT = ("PASSWORD_PROTECTED", "CORRUPT_FILE", "UNSUPPORTED_FORMAT", "INVALID_FORMAT", "FILE_TOO_LARGE")
+PERMANENT = ("PASSWORD_PROTECTED", "CORRUPT_FILE", "UNSUPPORTED_FORMAT")
+NETWORK = ("fetch failed", "ECONNREFUSED", "ETIMEDOUT", "AI worker failed: 5")
+UNREACHABLE, REASON_CHARS = "AI_WORKER_UNREACHABLE: ", 500
 ATTEMPTS, BACK_OFF_MS = 3, 5000
 
 
@@ -72,9 +76,33 @@ def affected(outcomes: DataFrame) -> DataFrame:
     return outcomes.agg(F.count_if(F.col("outcome") == "done").alias("affected"), F.transform(bad, lambda x: F.concat_ws(":", x["id"].cast("string"), x["outcome"])).alias("failed"))
 
 
-def next_attempt(status: Column, error: Column, attempts: Column) -> Column:
-    """What follows an attempt: done, failed for good, failed after the last attempt, or another one."""
-    return F.when(status == "COMPLETED", "done").when(error.isin(*PERMANENT), "failed").when(attempts >= ATTEMPTS, "exhausted").otherwise("retry")
+def _says(message: Column, signs: tuple[str, ...]) -> Column:
+    said = F.coalesce(message, F.lit(""))
+    return reduce(lambda a, b: a | b, [said.contains(x) for x in signs])
+
+
+def failed_for_good(message: Column, attempts: Column, most: int = ATTEMPTS) -> Column:
+    """Whether a failed attempt was the last: a permanent error that isn't one of the network, or no attempt left."""
+    return (_says(message, PERMANENT) & ~_says(message, NETWORK)) | (attempts >= most)
+
+
+def fail_reason(message: Column, attempts: Column, most: int = ATTEMPTS) -> Column:
+    """The reason that is stored: the first 500 characters, marked where the network failed to the last."""
+    cut = F.substring(F.coalesce(message, F.lit("")), 1, REASON_CHARS)
+    return F.when(_says(message, NETWORK) & (attempts >= most), F.concat(F.lit(UNREACHABLE), cut)).otherwise(cut)
+
+
+def must_run(status: Column, content: Column) -> Column:
+    """Whether a queued job still has to run: not if its document is completed and has content."""
+    return ~F.coalesce((status == "COMPLETED") & (F.coalesce(content, F.lit("")) != ""), F.lit(False))
+
+
+def after_attempt(documents: DataFrame, attempts: DataFrame) -> DataFrame:
+    """``documents`` after failed attempts (id, message, attempts): those that failed for good, with their reason and number of attempts."""
+    x = documents.join(attempts.select("id", "message", "attempts"), "id", "left")
+    over = F.coalesce(F.col("attempts").isNotNull() & failed_for_good(F.col("message"), F.col("attempts")), F.lit(False))
+    out = x.withColumns({"status": F.when(over, "FAILED").otherwise(F.col("status")), "fail_reason": F.when(over, fail_reason(F.col("message"), F.col("attempts"))).otherwise(F.col("fail_reason")), "retry_count": F.when(over, F.col("attempts")).otherwise(F.col("retry_count")).cast(dict(documents.dtypes)["retry_count"])})
+    return out.select(*documents.columns)
 
 
 def back_off_ms(attempts: Column) -> Column:
@@ -218,13 +246,21 @@ def duplicate_profile(profiles: DataFrame, key: int, new_key: int, name: str | N
     if source is None:
         raise KeyError(key)
     name = name if name and name not in taken else next_version(name or source["name"], taken)
-    copy = profiles.where(F.col("id") == key).withColumns({"id": F.lit(new_key).cast(dict(profiles.dtypes)["id"]), "name": F.lit(sanitise(name)), "is_default": F.lit(False), "is_active": F.lit(False), "is_archived": F.lit(False)})
+    copy = profiles.where(F.col("id") == key).withColumns({"id": F.lit(new_key).cast(dict(profiles.dtypes)["id"]), "name": F.lit(name), "is_default": F.lit(False), "is_active": F.lit(False), "is_archived": F.lit(False)})
     return profiles.unionByName(copy.select(*profiles.columns))
 
 
+def create_profile(profiles: DataFrame, row: DataFrame) -> DataFrame:
+    """The profiles and a new one, neither default nor active; unchanged where the name is taken."""
+    new = row.withColumns({"is_default": F.lit(False), "is_active": F.lit(False), "is_archived": F.lit(False)})
+    return profiles.unionByName(new.join(profiles.select("name"), "name", "left_anti"), allowMissingColumns=True)
+
+
 def activate_profile(profiles: DataFrame, key: int) -> DataFrame:
-    """Exactly one profile is active."""
-    return profiles.withColumn("is_active", F.col("id") == key)
+    """That profile alone is active; unchanged where it is archived or not there."""
+    able = profiles.agg(F.coalesce(F.bool_or((F.col("id") == key) & ~F.col("is_archived")), F.lit(False)).alias("able"))
+    x = profiles.join(F.broadcast(able))  # one row
+    return x.withColumn("is_active", F.when(F.col("able"), F.col("id") == key).otherwise(F.col("is_active"))).drop("able")
 
 
 def archive_profile(profiles: DataFrame, key: int, archived: bool = True) -> DataFrame:
@@ -233,9 +269,11 @@ def archive_profile(profiles: DataFrame, key: int, archived: bool = True) -> Dat
     return profiles.withColumn("is_archived", F.when(hit, F.lit(archived)).otherwise(F.col("is_archived")))
 
 
-def delete_profile(profiles: DataFrame, documents: DataFrame, chunks: DataFrame, key: int) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """An archived profile goes with its documents and their chunks; any other stays."""
-    gone = profiles.where((F.col("id") == key) & F.col("is_archived")).select("id")
+def delete_profile(profiles: DataFrame, documents: DataFrame, chunks: DataFrame, key: int, confirmed: bool = True) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """An archived profile, neither default nor active, goes with its documents and their chunks; without confirmation only if it has no documents."""
+    gone = profiles.where((F.col("id") == key) & F.col("is_archived") & ~F.col("is_default") & ~F.col("is_active")).select("id")
+    if not confirmed:
+        gone = gone.join(documents.select(F.col("processing_profile_id").alias("id")), "id", "left_anti")
     doomed = documents.join(F.broadcast(gone.withColumnRenamed("id", "processing_profile_id")), "processing_profile_id", "left_semi").select("id")
     return profiles.join(F.broadcast(gone), "id", "left_anti"), documents.join(doomed, "id", "left_anti"), delete_chunks_of(chunks, doomed)
 

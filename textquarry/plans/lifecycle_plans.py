@@ -177,10 +177,18 @@ def st2_transitions(spark, d):
     return L.transitions(rows, "user_id", "state", "ts", "event_id").select("event_id", "state", "before", "allowed")
 
 
-@plans.add("st1_attempts", "SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN 'done' WHEN doc_id % 4 = 1 THEN 'failed' WHEN doc_id % 5 >= 3 THEN 'exhausted' ELSE 'retry' END AS next, CAST(5000 * pow(2, doc_id % 5 - 1) AS BIGINT) AS wait FROM documents WHERE doc_id % 5 > 0")
-def st1_attempts(spark, d):
-    rows = B.table(spark, d, "documents").where("doc_id % 5 > 0").select(F.col("doc_id").alias("id"), F.expr("CASE doc_id % 4 WHEN 0 THEN 'COMPLETED' ELSE 'FAILED' END").alias("status"), F.expr("CASE doc_id % 4 WHEN 1 THEN 'CORRUPT_FILE' ELSE 'ECONNRESET' END").alias("error"), (F.col("doc_id") % 5).alias("n"))
-    return rows.select("id", L.next_attempt(F.col("status"), F.col("error"), F.col("n")).alias("next"), L.back_off_ms(F.col("n")).alias("wait"))
+_MESSAGE = "CASE doc_id % 5 WHEN 0 THEN concat('CORRUPT_FILE: ', text) WHEN 1 THEN 'fetch failed' WHEN 2 THEN concat('AI worker failed: 503 - CORRUPT_FILE ', text) WHEN 3 THEN 'AI worker failed: 400' END"
+
+
+@plans.add("st1_st2_attempts", sql("d", f""", a AS (SELECT doc_id, coalesce({_MESSAGE}, '') AS msg, doc_id % 4 + 1 AS n FROM documents WHERE doc_id % 2 = 0),
+    b AS (SELECT *, contains(msg, 'fetch failed') OR contains(msg, 'AI worker failed: 5') AS net FROM a), x AS (SELECT *, (contains(msg, 'CORRUPT_FILE') AND NOT net) OR n >= 3 AS over FROM b)
+    SELECT id, CASE WHEN over THEN 'FAILED' ELSE status END AS status, md5(CASE WHEN over THEN CASE WHEN net AND n >= 3 THEN concat('AI_WORKER_UNREACHABLE: ', left(msg, 500)) ELSE left(msg, 500) END ELSE fail_reason END) AS reason, CASE WHEN over THEN n ELSE retry_count END AS retry_count, CAST(5000 * pow(2, id % 3) AS BIGINT) AS wait,
+    NOT (status = 'COMPLETED' AND coalesce(processed_content, '') <> '') AS must_run FROM d LEFT JOIN x ON doc_id = id"""))
+def st1_st2_attempts(spark, d):
+    docs = B.documents(spark, d)
+    tried = B.table(spark, d, "documents").where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), F.expr(_MESSAGE).alias("message"), (F.col("doc_id") % 4 + 1).alias("attempts"))
+    rows = L.after_attempt(docs, tried).select("id", "status", F.md5("fail_reason").alias("reason"), F.col("retry_count").cast("long").alias("retry_count"), L.back_off_ms(F.col("id") % 3 + 1).alias("wait"))
+    return rows.join(docs.select("id", L.must_run(F.col("status"), F.col("processed_content")).alias("must_run")), "id")
 
 
 @plans.add("st5_event_lines", "SELECT event_id, md5(concat('event: document:', event_type, chr(10), 'data: {\"type\":\"document:', event_type, '\",\"payload\":\"', user_id, '\",\"timestamp\":\"', event_id, '\"}', chr(10), chr(10))) AS line FROM events")
@@ -196,16 +204,21 @@ def st8_cron(spark, d):
     return Q.cron_due(rows, "2024-02-12 12:30:00").select("id")
 
 
-@plans.add("m11_profiles", sql("p", "SELECT id, name, is_active, is_archived FROM (SELECT id, name, id = 5 AS is_active, is_archived OR id = 6 AS is_archived FROM p UNION ALL SELECT 1000, concat(name, ' v2'), false, false FROM p WHERE id = 0)"))
+@plans.add("m11_profiles", sql("p", "SELECT id, name, is_active, is_archived FROM (SELECT id, name, id = 5 AS is_active, is_archived OR id = 6 AS is_archived FROM p UNION ALL SELECT 1000, concat(name, ' v2'), false, false FROM p WHERE id = 0 UNION ALL SELECT 1001, 'brand new', false, false)"))
 def m11_profiles(spark, d):
-    out = L.archive_profile(L.activate_profile(B.profiles(spark, d), 5), 6)
-    return L.duplicate_profile(L.archive_profile(out, 0), 0, 1000).select("id", "name", "is_active", "is_archived")
+    p = L.activate_profile(L.activate_profile(B.profiles(spark, d), 5), 4)  # 4 is archived: nothing changes
+    p = L.archive_profile(L.archive_profile(L.archive_profile(p, 6), 0), 5)  # the default and the active one stay
+    p = L.duplicate_profile(p, 0, 1000)
+    for key, name in ((1001, "brand new"), (1002, "brand new")):  # a name is given once
+        p = L.create_profile(p, spark.createDataFrame([(key, name)], "id long, name string"))
+    return p.select("id", "name", "is_active", "is_archived")
 
 
 @plans.add("m11_delete_profile", sql("pdc", "SELECT (SELECT count(*) FROM p WHERE id <> 4) AS profiles, (SELECT count(*) FROM d WHERE processing_profile_id <> 4) AS documents, (SELECT count(*) FROM c WHERE document_id % 6 <> 4) AS chunks"))
 def m11_delete_profile(spark, d):
     tables = B.profiles(spark, d), B.documents(spark, d), B.chunks(spark, d)
-    tables = L.delete_profile(*L.delete_profile(*tables, 4), 3)  # 3 isn't archived and stays
+    tables = L.delete_profile(*L.delete_profile(*tables, 4, confirmed=False), 3)  # unconfirmed with documents, not archived: both stay
+    tables = L.delete_profile(*tables, 4)
     counts = [df.agg(F.count(F.lit(1)).alias(n)) for df, n in zip(tables, ("profiles", "documents", "chunks"), strict=True)]
     from textquarry.operators.analytics import beside
 

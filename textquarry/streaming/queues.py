@@ -9,13 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
-from textquarry.operators.lifecycle import ATTEMPTS, PERMANENT, apply_changes, back_off_ms
+from textquarry.operators.lifecycle import apply_changes, back_off_ms, failed_for_good
 from textquarry.sinks.tables import KeyedTable, sync_batch, upsert_points, waiting
 
 #: Kinds of events that subscribers may ask for.
 EVENT_TYPES = (
-    "document:created", "document:status", "document:deleted", "document:availability", "sync:start", "sync:complete", "sync:error",
-    "driveConfig:created", "driveConfig:updated", "driveConfig:deleted", "profile:deleted",
+    "document:created", "document:status", "document:availability", "document:deleted", "document:retry", "bulk:completed", "driveFolder:deleted",
+    "sync:start", "sync:complete", "sync:error", "sync:progress",
 )
 
 
@@ -29,7 +29,7 @@ def attempts(jobs: DataFrame, outcomes: DataFrame, now_ms: int) -> tuple[DataFra
     A failure waits exponentially longer, a permanent one or the last is final."""
     x = jobs.join(outcomes, "id", "left")
     n = F.col("attempts") + F.when(F.col("ok").isNotNull(), 1).otherwise(0)
-    final = F.when(F.col("ok"), "completed").when(F.col("error").isin(*PERMANENT) | (F.col("ok").isNotNull() & (n >= ATTEMPTS)), "failed")
+    final = F.when(F.col("ok"), "completed").when(F.col("ok").isNotNull() & failed_for_good(F.col("error"), n), "failed")
     y = x.select("id", n.alias("attempts"), F.when(F.col("ok").isNotNull(), F.lit(now_ms) + back_off_ms(n)).otherwise(F.col("not_before")).alias("not_before"), "error", final.alias("state"))
     return y.where("state IS NULL").select("id", "attempts", "not_before"), y.where("state IS NOT NULL").select("id", "attempts", "state", "error")
 
@@ -75,7 +75,7 @@ def apply_feed(table: KeyedTable) -> Callable[[DataFrame, int], None]:
     return work
 
 
-def publish(events: DataFrame, subscribers: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
+def publish(subscribers: dict[str, tuple[tuple[str, ...], Callable[[DataFrame], None]]]) -> Callable[[DataFrame, int], None]:
     """For ``foreachBatch``: each subscriber gets the events of its kinds; one that fails doesn't keep the others from theirs. Nothing is kept for
     those who come later."""
 
