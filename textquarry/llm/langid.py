@@ -31,6 +31,7 @@ SPECTRUM = 4
 SEGMENT = 8000
 #: Bounds of what is learned from: texts a language and in all (but LEAST of each language), landmarks a language and in all.
 TEXTS, ALL_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 250, 4000, 2, 40, 1000
+OVER = 10
 RIDGE = 1e-3
 BATCH = 64
 _WORD = re.compile(r"[^\W\d_]")
@@ -108,15 +109,17 @@ class Model:
 
 
 def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """From a bounded number of texts of each language, those of least key hash: one pass over all keys, in which each task keeps as many a
-    language, and one over the texts. Their kernel rows come to the driver, at most ALL_TEXTS (or LEAST a language) of 32 kB."""
+    """From a bounded number of texts of each language, those of least key hash: two passes over the keys and one over the texts. Their kernel rows come to the driver, at most ALL_TEXTS (or LEAST a language) of 32 kB."""
     rows = docs.where(trainable(key) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(lang).alias("label"), F.col(text).alias("t"))
-    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
-    languages = rows.select("label").distinct().count()
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    languages = counts.count()
     if not languages:
         return Model.fit([], [])
     texts = max(LEAST, min(TEXTS, ALL_TEXTS // languages))
-    picked = rows.select("h", "label").withColumn("r", rank).where(F.col("r") <= texts).select("h", "label").distinct()
+    # hashes are even, so the least of a language lie in its lowest part: about OVER times as many rows as are taken are ranked
+    low = rows.select("h", "label").join(counts, "label").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(float(OVER * texts)) / F.col("n"))
+    rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
+    picked = low.select("h", "label").withColumn("r", rank).where(F.col("r") <= texts).select("h", "label").distinct()
 
     def make():
         return lambda b: [[zlib.compress(r.astype("<f2").tobytes(), 1) for t in b.column("t").to_pylist() for r in kernel_rows([t])]]
