@@ -23,6 +23,7 @@ from __future__ import annotations
 import bisect
 import json
 import uuid
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -232,6 +233,7 @@ def write_shards(docs: DataFrame, where: str, path: str, end_id: int, shards: in
     return rows.repartitionByRange(shards, *order).sortWithinPartitions(*order).select("k", "t").mapInArrow(run, MANIFEST)
 
 
+@cache
 def vocabulary(path: str) -> int:
     """The number of ids of a tokenizer's file."""
     from tokenizers import Tokenizer
