@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textquarry.plans import source_plans as S
-from textquarry.sources import detect, listing, office, readers, tables
+from textquarry.sources import detect, listing, office, pdf, readers, tables
 from textquarry.sources.html import to_markdown
 
 
@@ -106,3 +106,15 @@ def test_odd_rows(spark):
     assert got == sorted([(None, "", "Unsupported format: None"), (1, "", None), (1, "", "Unsupported format: nope"), (2, "# \n\nt\n", None)], key=str)
     assert readers.read_files(rows.where("1 = 0"), key="k").count() == 0
     assert spark.createDataFrame([(None,), (bytearray(b"x/Encrypty"),)], "c binary").select(detect.needs_password(F.col("c"))).collect() == [(False,), (True,)]
+
+
+def test_pdf():
+    text, facts = pdf.read_pdf(S.make_pdf([[("Hello (world) [x] \\", 14), ("second line", 30), ("Next é", 14)], [("Two", 14)]]))
+    assert text == "Hello (world) [x] \\\nsecond line\n\nNext é\n\nTwo" and facts == {"page_count": 2}
+    assert pdf.read_pdf(b"junk") == ("", {"page_count": 0}) and pdf.page_text(b"BT [(a) -250 (b) -20 (c)] TJ T* <64> Tj (\\101\\n) ' ET", {}) == "a bc\nd\nA"
+    cmap = b"1 beginbfrange <0001> <0003> <0041> endbfrange 1 beginbfchar <0009> <00e9> endbfchar"
+    assert pdf.page_text(b"/F2 9 Tf <00010002> Tj <0009> Tj", {b"/F2": pdf._unicode_map(cmap)}) == "ABé"
+    read = lambda c, **o: readers.convert(c, "x.pdf", "pdf", readers.Options(**o), {"pdf": readers.pdf_reader(pdf.read_pdf)})
+    one = S.make_pdf([[("It ends", 14), ("here.", 30), ("7", 14)]])
+    assert read(one) == ("It ends here.", {"page_count": 1, "ocr_applied": False}) and read(one, pdf_parser="quality")[1]["ocr_applied"] and read(one, ocr_mode="force")[1]["ocr_applied"]
+    assert read(one + b"/Encrypt 9 0 R")[1]["error"] == "PASSWORD_PROTECTED"

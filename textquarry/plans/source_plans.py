@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
+import zlib
 from xml.sax.saxutils import escape
 
 import pyarrow as pa
@@ -213,6 +215,25 @@ def s16_pptx_reader(spark, d):
     return _read(_made(rows, make, "doc_id", "t"), "pptx", F.lit("x.pptx"), "slide_count")
 
 
+def make_pdf(pages: list[list[tuple[str, int]]]) -> bytes:
+    """Pages of (line, move down after it), in one Latin font, deflated."""
+    safe = lambda t: re.sub(rb"[\\()]", lambda m: b"\\" + m[0], t.encode("cp1252", "replace"))
+    kids = " ".join(f"{3 + 2 * i} 0 R" for i in range(len(pages)))
+    parts = [b"%PDF-1.4", b"1 0 obj << /Type /Catalog /Pages 2 0 R >> endobj", f"2 0 obj << /Type /Pages /Kids [{kids}] /Count {len(pages)} >> endobj".encode()]
+    for i, lines in enumerate(pages):
+        drawn = zlib.compress(b"BT /F1 12 Tf 72 700 Td " + b" ".join(b"(%s) Tj 0 -%d Td" % (safe(t), down) for t, down in lines) + b" ET")
+        parts.append(f"{3 + 2 * i} 0 obj << /Type /Page /Parent 2 0 R /Contents {4 + 2 * i} 0 R >> endobj".encode())
+        parts.append(f"{4 + 2 * i} 0 obj << /Filter /FlateDecode /Length {len(drawn)} >> stream\n".encode() + drawn + b"\nendstream endobj")
+    return b"\n".join([*parts, b"trailer << /Root 1 0 R >>"])
+
+
+@plans.add("s13_pdf_text", f"SELECT doc_id, md5(concat('Head ', doc_id, chr(10), chr(10), 'Text: ', trim(t), chr(10), chr(10), 'Second (page)', chr(10))) AS digest, 2 AS pages, false AS ocr_applied FROM (SELECT doc_id, {_LINE} AS t FROM documents)")
+def s13_pdf_text(spark, d):
+    make = lambda i, t: make_pdf([[(f"Head {i}", 30), (f"Text: {t.strip()}", 30), ("12", 14)], [("Second (page)", 14)]])
+    rows = table(spark, d, "documents").select("doc_id", F.regexp_replace("text", r"\s+", " ").alias("t"))
+    return _read(_made(rows, make, "doc_id", "t"), "pdf", F.lit("x.pdf"), "pages", "ocr_applied")
+
+
 @plans.add("s13_t8_pdf_reader", r"SELECT doc_id, doc_id % 4 <> 0 AS ok, CASE doc_id % 4 WHEN 0 THEN 'PASSWORD_PROTECTED' END AS error, CASE WHEN doc_id % 4 <> 0 THEN concat('see link and so on', chr(10), chr(10), 'End ', doc_id, '.', chr(10), chr(10), 'Next.') ELSE '' END AS markdown, CASE doc_id % 4 WHEN 0 THEN 1 ELSE 3 END AS pages FROM documents")
 def s13_t8_pdf_reader(spark, d):
     """The parser is a plug-in; what comes before and after it is here."""

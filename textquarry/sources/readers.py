@@ -1,7 +1,7 @@
 """Files to Markdown: one row a file in, one row out, errors as columns.
 
 Nothing is collected and no task holds more than its batch: files come as ``binaryFile`` rows, or any frame of (name, format, content).
-Formats without a parser here (PDF) are plugged in: a function from bytes to (markdown, metadata).
+A parser can be plugged in for any format: a function from bytes to (markdown, metadata). PDF has a plain one by default.
 """
 
 from __future__ import annotations
@@ -18,6 +18,7 @@ from textquarry.functions.repair import SLIDE, post_process, sanitise, slide_mar
 from textquarry.sources import office
 from textquarry.sources.detect import category, detect_format, page_count
 from textquarry.sources.html import to_markdown
+from textquarry.sources.pdf import read_pdf
 from textquarry.sources.tables import MOST_COLUMNS, MOST_ROWS, as_markdown, delimiter_of, parse_csv
 
 Parser = Callable[[bytes], tuple[str, dict]]
@@ -154,6 +155,14 @@ def pdf_reader(parser: Parser):
     return read
 
 
+def _plain_reader(parser: Parser):
+    def read(content: bytes, name: str, o: Options) -> tuple[str, dict]:
+        markdown, facts = parser(content)
+        return post_process(sanitise(markdown)), facts
+
+    return read
+
+
 FACTS = "error string, message string, encoding string, delimiter string, strategy string, title string, description string, author string, row_count long, column_count long, total_rows long, page_count int, slide_count int, sheet_count int, chapter_count int, ocr_applied boolean"
 _KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32(), "boolean": pa.bool_()}
 
@@ -174,9 +183,9 @@ def convert(content: bytes | None, name: str | None, fmt: str | None, o: Options
 
 
 def read_files(files: DataFrame, key: str = "path", name: str = "name", fmt: str = "format", content: str = "content", options: Options = Options(), parsers: dict[str, Parser] | None = None) -> DataFrame:
-    """key, name, format, category, markdown, pages (the first count there is, else 1), and FACTS. ``parsers``: what PDF (or any other format)
-    is parsed by. Rows with null content or an unknown format come out with empty Markdown."""
-    extra = {f: pdf_reader(p) if f == "pdf" else (lambda c, n, o, p=p: (post_process(sanitise(p(c)[0])), p(c)[1])) for f, p in (parsers or {}).items()}
+    """key, name, format, category, markdown, pages (the first count there is, else 1), and FACTS. ``parsers``: what a format is parsed
+    by instead of the default. Rows with null content or an unknown format come out with empty Markdown."""
+    extra = {f: pdf_reader(p) if f == "pdf" else _plain_reader(p) for f, p in ({"pdf": read_pdf} | (parsers or {})).items()}
     facts = [tuple(x.split()) for x in FACTS.split(", ")]
     names = ["k", "n", "f", "markdown", *[n for n, _ in facts]]
 
