@@ -417,6 +417,17 @@ def test_pieces_spell_the_ids_of_whole_texts(name, spaced, width, monkeypatch):
         assert len(enc.numbers) <= max(held, piece_slice)
 
 
+@pytest.mark.parametrize(("name", "spaced", "width"), [("byte_bpe_50k.json", True, 4), ("word_bpe_49k.json", False, 2)])
+def test_pieces_of_marks_and_lines_spell_whole_texts(name, spaced, width):
+    rng = np.random.default_rng(7)
+    signs = [*"aZßéÉ1 \n\t.,;!?$%&*#|'-_/<>()[]{}\"\\^`~@=+:¿、́", " word", "\nLine", "'s", "$$$", "<|", "|>", "  ", "\n\n"]
+    texts = ["".join(rng.choice(signs, rng.integers(1, 60))) for _ in range(1500)]
+    enc, whole = tokens.WordEncoder(P.path(name), spaced, width), tok(name)
+    want = [np.array(whole.encode(t, add_special_tokens=False).ids, np.dtype(f"<u{width}")).tobytes() for t in texts]
+    got = enc.encode(texts)
+    assert [t for t, a, b in zip(texts, got, want, strict=True) if a != b] == []
+
+
 def test_encoder_memory_is_bounded():
     """Words that never come again: what is held stays under the bound, and so does the process."""
     code = """

@@ -1,6 +1,6 @@
 """Encoding by the tokenizers library, with each word encoded once per worker.
 
-A text is cut only before white space that follows something else, and before a full stop and the like that follows a
+A text is cut only before white space that follows something else, and before an ASCII mark, but for the apostrophe, that follows a
 letter from a to z. The split patterns of the supported files never join characters across such a place, so the ids of the pieces, set
 side by side, are those of the whole text. Texts with other white space than blanks, tabs and line breaks, or with the
 string of a special token, go to the library whole.
@@ -33,7 +33,7 @@ def _bytes_in(chars: bytes) -> np.ndarray:
 
 _SPACE = _bytes_in(b" \n\t\r")
 _LETTER = _bytes_in(bytes([*range(65, 91), *range(97, 123)]))
-_STOP = _bytes_in(b".,;!?")
+_STOP = _bytes_in(bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"))
 #: First bytes of odd white space and of special tokens; only texts with one of them are searched.
 _SUSPECT = _bytes_in(bytes([0x0B, 0x0C, *range(0x1C, 0x20), 0xC2, 0xE1, 0xE2, 0xE3, 0xEF, ord("<")]))
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -85,10 +85,10 @@ class WordEncoder:
         self.special = [re.escape(t.content) for t in self.tok.get_added_tokens_decoder().values()]
         self.odd = re.compile("|".join([ODD_SPACE.pattern, *self.special]))
         self.suspect = _SUSPECT | _bytes_in(bytes(t.content.encode()[0] for t in self.tok.get_added_tokens_decoder().values()))
-        self.simple = re.compile(" [A-Za-zà-öø-ÿ]+" if spaced else " [a-zà-öø-ÿ]+").fullmatch
+        self.simple = re.compile("[ \n][A-Za-zÀ-ÖØ-öø-ÿ]+" if spaced else "[ \n][a-zß-öø-ÿ]+").fullmatch
         vocab = self.tok.get_vocab()
         self.edge = np.zeros(max(vocab.values()) + 1, dtype=bool)  # ids that begin (spaced) or end a word
-        self.edge[[i for t, i in vocab.items() if (t.startswith("Ġ") if spaced else t.endswith("</w>"))]] = True
+        self.edge[[i for t, i in vocab.items() if (t.startswith(("Ġ", "Ċ")) if spaced else t.endswith("</w>"))]] = True
         self.forget()
 
     def forget(self) -> None:
