@@ -108,14 +108,21 @@ def with_columns(df: DataFrame, added: str, make: Callable[[], Callable[[pa.Reco
 HOT_ROWS, HOT_KEYS, HOT_SALTS = 100, 20_000, 64
 
 
+def some(df: DataFrame) -> DataFrame | None:
+    """``df``, or None if it has no row."""
+    return None if df.isEmpty() else df
+
+
 def hot_keys(counts: DataFrame, key: str, n: str, total: int) -> DataFrame:
     """The keys (one column) that hold too many of ``total`` rows for one task; fewer than HOT_KEYS rows."""
     return counts.where(F.col(n) > max(HOT_ROWS, total // HOT_KEYS)).select(key)
 
 
-def dealt_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame, by: Column, how: str = "inner") -> DataFrame:
+def dealt_join(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame | None, by: Column, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` (one row a key) on ``key``. Rows of ``hot`` keys are dealt over salts by a hash of ``by``, and the table's
-    row is copied to each salt; ``hot`` is broadcast, as hot_keys() bounds it."""
+    row is copied to each salt; ``hot`` is broadcast, as hot_keys() bounds it. None: no key is hot, and the join is a plain one."""
+    if hot is None:
+        return rows.join(table, key, how)
     salt, mark = fresh({*rows.columns, *table.columns}, "salt", "mark")
     marked = F.broadcast(hot.select(key, F.lit(True).alias(mark)))
     left = rows.join(marked, key, "left").withColumn(salt, F.when(F.col(mark), F.pmod(F.xxhash64(by), F.lit(HOT_SALTS)).cast("int")).otherwise(0)).drop(mark)

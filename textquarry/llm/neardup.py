@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import dealt_join, discard, fresh, hot_keys, materialise, mix64, shingle_hashes, table, whole_text, with_columns
+from textquarry.llm.common import dealt_join, discard, fresh, hot_keys, materialise, mix64, shingle_hashes, some, table, whole_text, with_columns
 
 SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 20, 4
@@ -279,9 +279,9 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         place = lambda c: F.struct(F.xxhash64(c).alias("h"), F.col(c).alias("id"))
         least = both.groupBy("a").agg(F.min(place("b")).alias("m"), F.count(F.lit(1)).alias("n"))
         step = materialise(least.select("a", F.least("m", place("a"))["id"].alias("to"), "n"), label)
-        hot = hot_keys(step, "a", "n", 2 * n)
+        hot = some(hot_keys(step, "a", "n", 2 * n))
         x = dealt_join(edges, step.select("a", F.col("to").alias("x")), "a", hot, F.col("b")).select("b", "x")
-        hot = hot.withColumnRenamed("a", "b")
+        hot = None if hot is None else hot.withColumnRenamed("a", "b")
         x = dealt_join(x, step.select(F.col("a").alias("b"), F.col("to").alias("y")), "b", hot, F.col("x"))
         after = materialise(x.where("x <> y").select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), label)
         discard(spark, edges)
@@ -305,7 +305,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     # exact copies first: one node a text, numbered once in what is written; rep is its least id, null first
     nodes = sig.groupBy("digest").agg(F.min(F.struct("id"))["id"].alias("rep"), F.max("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
     nodes = materialise(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    spark, hot = docs.sparkSession, hot_keys(nodes, "digest", "copies", sig.count())
+    spark, hot = docs.sparkSession, some(hot_keys(nodes, "digest", "copies", sig.count()))
     bands = nodes.select(F.col("node").alias("id"), F.explode("bands").alias("band"))
     deal = lambda x: x.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     salted = bands.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
