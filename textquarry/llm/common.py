@@ -145,15 +145,6 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(~trainable(doc_id), F.lit(False))
 
 
-def hashed_sample(ids: DataFrame, bound: int, *keys: str) -> DataFrame:
-    """At most ``bound`` rows, those of least key hash: the same rows however the input is dealt out."""
-    return ids.orderBy(F.xxhash64(*keys), *keys).limit(bound)
-
-
-def num_tasks(spark: SparkSession) -> int:
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-
-
 def open_fs(uri: str):
     """A pyarrow file system and path for a Hadoop-style address, so that Python tasks reach the same store as Spark."""
     from pyarrow import fs

@@ -11,7 +11,3 @@ from pyspark.sql import functions as F
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, with ``value`` evaluated once a row even where the body uses it inside a loop over an array."""
     return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def constants(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
