@@ -16,7 +16,9 @@ def test_strip_links_takes_long_texts(spark):
 
 
 @pytest.mark.parametrize(("text", "want"), [
-    ("a\x00b\x0bc\x7f", "abc"), ("﻿﻿x", "x"), ("a\r\nb\rc", "a\nb\nc"), ("a \t\nb ", "a\nb"), ("é", "é"), ("cafÃ©", "café"), ("donâ€™t", "don’t"), (None, ""), ("naïve Ã", "naïve Ã"),
+    ("a\x00b\x0bc\x7f", "abc"), ("﻿﻿x", "x"), ("a\r\nb\rc", "a\nb\nc"), ("a \t\nb ", "a\nb"), ("é", "é"), ("cafÃ©", "café"), ("donâ€™t", "don't"), (None, ""), ("naïve Ã", "naïve Ã"),
+    ("â€œHello Worldâ€\x9d", '"Hello World"'), ("“a” ‘b’", "\"a\" 'b'"), ("ﬁne ﬂow", "fine flow"), ("ＡＢ１　x", "AB1 x"), ("a &amp; b", "a &amp; b"), ("wait\x85", "wait…"), ("caf\u0065\u0301", "café"),
+    ("\ufeffHello\x00\x01World\r\n  trailing  \r\n", "HelloWorld\n  trailing\n"), ("Line1\n\tIndented\nLine3", "Line1\n\tIndented\nLine3"),
 ])
 def test_sanitise(text, want):
     assert P.sanitise(text) == want

@@ -19,25 +19,51 @@ SLIDE = "<!-- slide -->"
 RULE = re.compile(r"\n\s*---\s*\n")
 LINK = re.compile(r"\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)")
 
+# What stands for what in plain text.
+QUOTES = {**dict.fromkeys("\u02bc\u2018\u2019\u201a\u201b", "'"), **dict.fromkeys("\u201c\u201d\u201e\u201f", '"')}
+LIGATURES = dict(zip("ĲĳŉǱǲǳǄǅǆǇǈǉǊǋǌﬀﬁﬂﬃﬄﬅﬆ", "IJ ij ʼn DZ Dz dz DŽ Dž dž LJ Lj lj NJ Nj nj ff fi fl ffi ffl ſt st".split(), strict=True))
+WIDTHS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (0x3000, *range(0xFF01, 0xFFF0)) if unicodedata.normalize("NFKC", chr(c)) != chr(c)}
+_PLAIN = str.maketrans(LIGATURES | WIDTHS | QUOTES)
 _MOJIBAKE = re.compile("[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+")
 
 
+def _windows_byte(c: str) -> bytes:
+    """The byte a character was read from under Windows-1252; those it leaves open stand for themselves."""
+    try:
+        return c.encode("cp1252")
+    except UnicodeEncodeError:
+        return c.encode("latin-1")
+
+
+def _windows_char(c: str) -> str:
+    try:
+        return c.encode("latin-1").decode("cp1252")
+    except UnicodeDecodeError:
+        return c
+
+
 def repair_mojibake(text: str) -> str:
-    """UTF-8 that was read as cp1252 is read anew, run by run, where it decodes cleanly."""
+    """UTF-8 that was read as Windows-1252 is read anew, run by run, where it decodes cleanly."""
 
     def fix(m):
         try:
-            return m[0].encode("cp1252").decode("utf-8")
+            return b"".join(map(_windows_byte, m[0])).decode("utf-8")
         except UnicodeError:
             return m[0]
 
     return _MOJIBAKE.sub(fix, text)
 
 
+def plain_characters(text: str) -> str:
+    """Mojibake, quotes, ligatures, full and half widths, and Windows characters that stand as control codes. Entities stay, as tables need them."""
+    text = repair_mojibake(text).translate(_PLAIN)
+    return re.sub("[\x80-\x9f]", lambda m: _windows_char(m[0]), text)
+
+
 def sanitise(text: str | None) -> str:
     if not text:
         return ""
-    text = unicodedata.normalize("NFC", repair_mojibake(text).lstrip("﻿"))
+    text = unicodedata.normalize("NFC", plain_characters(text).lstrip("\ufeff"))
     text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     return re.sub(r"[ \t]+$", "", text, flags=re.M)
