@@ -32,6 +32,8 @@ SEGMENT = 8000
 #: Bounds of what is learned from: texts a language and in all (but LEAST of each language), landmarks a language and in all.
 TEXTS, ALL_TEXTS, LEAST, LANDMARKS, ALL_LANDMARKS = 250, 4000, 2, 40, 1000
 OVER = 10
+#: Languages whose counts are broadcast; beyond it they are joined by a shuffle.
+BROADCAST = 100_000
 RIDGE = 1e-3
 BATCH = 64
 _WORD = re.compile(r"[^\W\d_]")
@@ -117,7 +119,8 @@ def learn(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str =
         return Model.fit([], [])
     texts = max(LEAST, min(TEXTS, ALL_TEXTS // languages))
     # hashes are even, so the least of a language lie in its lowest part: about OVER times as many rows as are taken are ranked
-    low = rows.select("h", "label").join(counts, "label").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(float(OVER * texts)) / F.col("n"))
+    few = F.broadcast(counts) if languages <= BROADCAST else counts
+    low = rows.select("h", "label").join(few, "label").where(F.col("h") / F.lit(2.0**64) + 0.5 <= F.lit(float(OVER * texts)) / F.col("n"))
     rank = F.row_number().over(Window.partitionBy("label").orderBy("h"))
     picked = low.select("h", "label").withColumn("r", rank).where(F.col("r") <= texts).select("h", "label").distinct()
 
