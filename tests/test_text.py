@@ -84,3 +84,16 @@ def test_names_and_settings(spark):
     assert [N.least_one(v) for v in (None, "", "3", "0", "-2", "4 jobs", "x", 7)] == [1, 1, 3, 1, 1, 4, 1, 7]
     got = spark.createDataFrame([("X",), ("X v9",), ("v3",)], "n string").select(N.next_version_column(F.col("n"))).collect()
     assert [r[0] for r in got] == ["X v2", "X v10", "v3 v2"]
+
+
+def test_rounding_near_ties(spark):
+    import math
+    import random
+    from decimal import ROUND_HALF_UP, Decimal
+
+    rng = random.Random(3)
+    ties = [(rng.randint(0, 10**6) + 0.5) / 100 for _ in range(2000)]
+    values = [v for m in ties for v in (m, math.nextafter(m, 0), math.nextafter(m, math.inf))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.round_python(F.col("x")).alias("p"), N.to_fixed(F.col("x")).alias("f")).collect()
+    assert [r.p for r in rows] == [round(v, 2) for v in values]
+    assert [r.f for r in rows] == [float(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)) for v in values]
