@@ -13,6 +13,7 @@ Null keys sort after all others. Other columns are left out. An empty table give
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -120,7 +121,7 @@ BUCKET_ROWS, MOST_BUCKETS = 400, 100_000
 
 def place_in(bounds: list[int], v: Column, upto: bool) -> Column:
     """How many of the sorted ``bounds`` are less than ``v`` (``upto``: or equal to it), by binary search."""
-    values = F.array(*[F.lit(x) for x in bounds]).cast("array<long>")
+    values = F.from_json(F.lit(json.dumps(bounds)), "array<bigint>")  # one constant, however many there are
 
     def step(s: Column, _: Column) -> Column:
         mid = F.floor((s["lo"] + s["hi"]) / 2).cast("int")
@@ -145,7 +146,7 @@ def dealt(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     blank = max(1, min(MOST_BUCKETS, (n - known) // BUCKET_ROWS))
     bounds = []
     if ranges > 1:
-        bounds = list(rows.agg(F.percentile_approx("k", [i / ranges for i in range(1, ranges)], max(10_000, 8 * ranges))).first()[0])
+        bounds = list(rows.agg(F.percentile_approx("k", F.from_json(F.lit(json.dumps([i / ranges for i in range(1, ranges)])), "array<double>"), max(10_000, 8 * ranges))).first()[0])
     rows = rows.withColumn("h", F.xxhash64("t"))
     share = lambda parts: F.least(F.floor((F.col("h") / F.lit(2.0**64) + 0.5) * parts), parts - 1)
     if bounds:
