@@ -44,11 +44,14 @@ def pieces(docs: DataFrame, path: str, end_id: int, capacity: int = CAPACITY, ke
 
     def run(batches):
         enc = encoder(path, spaced=True)
-        for b in batches:
-            cuts = [cut(ids + end, capacity) for ids in enc.encode(b.column("t").to_pylist())]
-            keys = b.column(key).take(pa.array(np.repeat(np.arange(len(cuts)), list(map(len, cuts)))))
-            parts = zip(*[p for c in cuts for p in c], strict=True) if cuts else [()] * 4
-            yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, t) for x, t in zip(parts, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=[key, "piece", "start", "length", "ids_crc32"])
+        try:
+            for b in batches:
+                cuts = [cut(ids + end, capacity) for ids in enc.encode(b.column("t").to_pylist())]
+                keys = b.column(key).take(pa.array(np.repeat(np.arange(len(cuts)), list(map(len, cuts)))))
+                parts = zip(*[p for c in cuts for p in c], strict=True) if cuts else [()] * 4
+                yield pa.RecordBatch.from_arrays([keys, *(pa.array(x, t) for x, t in zip(parts, (pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True))], names=[key, "piece", "start", "length", "ids_crc32"])
+        finally:
+            enc.release()
 
     return docs.select(key, whole_text(text).alias("t")).mapInArrow(run, f"`{key}` {dict(docs.dtypes)[key]}, piece int, start long, length long, ids_crc32 long")
 

@@ -219,6 +219,7 @@ def write_shards(docs: DataFrame, where: str, path: str, end_id: int, shards: in
                 writer.ids(ids + end)
         if writer is None:
             return
+        enc.release()
         keys, counts = np.concatenate(keys), np.array(counts, dtype=np.int64)
         writer.close(keys, counts, nulls)
         out.close()
