@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import re
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.functions.text import token_estimate
@@ -173,6 +174,16 @@ def auto_fix(chunks: list[tuple[str, list]]) -> list[tuple[str, list]]:
     return chunks
 
 
+def auto_fixed(chunks: Column) -> Column:
+    """``auto_fix`` of a document's chunks (array<string>) that share their breadcrumbs, in Arrow batches."""
+
+    def batch(s: pd.Series) -> pd.Series:
+        return s.map(lambda found: [c for c, _ in auto_fix([(x, []) for x in found])])
+
+    batch.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return F.pandas_udf(batch, "array<string>")(F.coalesce(chunks, F.array().cast("array<string>")))
+
+
 def merge_small(chunks: list[tuple[str, object]], least: int = 500, most: int = 2000) -> list[tuple[str, object]]:
     """Gathers chunks under ``least`` without passing ``most``. One chunk or none stays as it is."""
     if len(chunks) <= 1:

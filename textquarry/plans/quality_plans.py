@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from textquarry.functions import text as T
 from textquarry.functions.repair import column, merge_soft_breaks, normalise
 from textquarry.operators import quality as Q
-from textquarry.operators.chunking import auto_fix, chunk_documents, process
+from textquarry.operators.chunking import auto_fixed, chunk_documents, process
 from textquarry.operators.quality import Profile
 from textquarry.plans import PlanSet
 from textquarry.plans.base import exact_sql
@@ -141,8 +141,9 @@ def c10_c11_processed_chunks(spark, d):
 
 @plans.add("c7_c9_auto_fix", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat(repeat('a', 1500), chr(10), chr(10), repeat('b', 400))) WHEN 1 THEN md5(repeat('c', 1800)) ELSE md5(concat('tiny ', doc_id, chr(10), chr(10), repeat('d', 100))) END AS digest FROM documents, range(3) t(i)")
 def c7_c9_auto_fix(spark, d):
-    fix = F.udf(lambda i: [c for c, _ in auto_fix([("\n\n".join(["a" * 1500, "b" * 400, "c" * 1800]), []), ("  ", []), (f"tiny {i}", []), ("d" * 100, [])])], "array<string>")
-    rows = docs(spark, d).select("doc_id", F.posexplode(fix("doc_id")).alias("chunk_index", "content"))
+    parts = ["\n\n".join(["a" * 1500, "b" * 400, "c" * 1800]), "  "]
+    chunks = F.array(*[F.lit(x) for x in parts], F.concat(F.lit("tiny "), "doc_id"), F.lit("d" * 100))
+    rows = docs(spark, d).select("doc_id", F.posexplode(auto_fixed(chunks)).alias("chunk_index", "content"))
     return rows.select("doc_id", "chunk_index", F.md5("content").alias("digest"))
 
 
