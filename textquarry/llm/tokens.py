@@ -1,4 +1,4 @@
-"""Encoding by the tokenizers library, with each word encoded once per task, as far as a bounded memory goes.
+"""Encoding by the tokenizers library, with each word encoded once per worker, as far as a bounded memory goes.
 
 A text is cut only before white space that follows something else, and before an ASCII mark, but for the apostrophe, that follows a
 letter from a to z. The split patterns of the supported files never join characters across such a place, so the ids of the pieces, set
@@ -73,7 +73,7 @@ class WordEncoder:
     """Ids as little-endian bytes. ``spaced``: a word's leading space belongs to it (byte-level files); else case and white
     space don't count."""
 
-    #: Distinct pieces held per task (some 200 bytes each). Before a slice would pass it, all are forgotten but those
+    #: Distinct pieces held per worker, also between tasks (some 200 bytes each). Before a slice would pass it, all are forgotten but those
     #: of the slice; as a slice has fewer pieces, no more are ever held. Their ids count too, as a piece may be long.
     HELD, HELD_IDS = 600_000, 8_000_000
 
@@ -96,8 +96,7 @@ class WordEncoder:
         self.numbers, self.pool = {}, Pool(self.dtype)
 
     def release(self) -> None:
-        """Forgets all at the end of a task, and hands the memory back: idle workers of other stages live on the same machine."""
-        self.forget()
+        """Hands free memory back at the end of a task, as idle workers go on living; known pieces stay for the next task."""
         try:
             ctypes.CDLL(None).malloc_trim(0)
         except (AttributeError, OSError):  # another C library
