@@ -399,7 +399,10 @@ def test_token_index_reads_little(tmp_path):
         reads.append(f.read)
         assert [shard.get(None, o).tolist()[0] for o in range(3)] == [0, 2, 4] and shard.get(None, 3) is None
         assert [shard.get(-4, o).tolist()[0] for o in range(5)] == [6, 8, 10, 12, 14] and shard.get(0, 0).tolist()[0] == 16
-        assert sorted(shard.read("slot", 0, shard.docs).tolist()) == list(range(len(keys)))  # minimal and perfect
+        found = shard.find(token_shards.key_hashes(keys, 3))
+        assert sorted(found.tolist()) == list(range(len(keys)))  # minimal and perfect
+        assert found.tolist()[8:40] == [shard.slot(h) for h in token_shards.key_hashes(keys, 3)[8:40]]
+        assert (shard.find(token_shards.hash_of(np.arange(1, 3000, 3))) == -1).all()
     assert reads[1] < reads[0] + 200 and reads[0] < 600
 
 

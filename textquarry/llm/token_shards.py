@@ -5,8 +5,7 @@ File format of a shard (little-endian), ids of its documents in ascending key or
     magic 8 bytes | ids (raw payload) | arrays, each at a multiple of 8 | footer JSON | footer length u64 | magic 8 bytes
 
 Footer: width (bytes an id: 2 where the vocabulary has at most 65,536 ids, else 4), docs, nulls, and for each array its dtype, count and
-offset. Arrays: ``keys`` (order kept), ``slot`` (of each key in order), ``first`` (id offset of each slot's document), ``count`` (its
-ids), ``print`` (32-bit fingerprint of its key), ``bits`` (64-bit words of the perfect hash's levels), ``rank`` (set bits before each
+offset. Arrays: ``keys`` (order kept), ``first`` (id offset of each slot's document), ``count`` (its ids), ``print`` (32-bit fingerprint of its key), ``bits`` (64-bit words of the perfect hash's levels), ``rank`` (set bits before each
 word), ``levels`` (bits of each level).
 
 A key is looked up in constant time, and with a few short reads of the file, whatever its size: level by level one word of ``bits`` is
@@ -108,7 +107,7 @@ class ShardWriter:
         first[slots] = np.cumsum(counts) - counts
         count[slots] = counts
         prints[slots] = (hashes >> np.uint64(32)).astype("<u4")
-        arrays = {"keys": keys.astype("<i8"), "slot": slots.astype("<i8"), "first": first, "count": count, "print": prints, "bits": words, "rank": rank, "levels": levels}
+        arrays = {"keys": keys.astype("<i8"), "first": first, "count": count, "print": prints, "bits": words, "rank": rank, "levels": levels}
         where = {}
         for name, a in arrays.items():
             self._put(bytes(-self.at % 8))
@@ -157,13 +156,33 @@ class Shard:
         found = self.slot(hash_of([key or 0], [occurrence], [key is None])[0])
         return None if found < 0 else self.ids(int(self.read("first", found, 1)[0]), int(self.read("count", found, 1)[0]))
 
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each of many hashes, by the same levels; -1 for keys the shard doesn't hold. Reads the index, not the ids."""
+        words, rank, prints = (self.read(n, 0, self.where[n][1]) for n in ("bits", "rank", "print"))
+        out, start, todo = np.full(len(hashes), -1, dtype=np.int64), 0, np.arange(len(hashes))
+        for level, size in enumerate(self.levels):
+            if not len(todo):
+                break
+            at = start + place(hashes[todo], level, size)
+            word, bit = words[at >> 6], (at & 63).astype(np.uint64)
+            hit = (word >> bit & np.uint64(1)).astype(bool)
+            below = word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1))
+            out[todo[hit]] = rank[at[hit] >> 6] + np.bitwise_count(below)
+            todo, start = todo[~hit], start + size
+        known = np.flatnonzero(out >= 0)
+        strangers = prints[out[known]] != (hashes[known] >> np.uint64(32)).astype("<u4")
+        out[known[strangers]] = -1
+        return out
+
     def documents(self):
-        """(keys, are they null, first, count) of READ_DOCS documents at a time in order, by the index."""
-        first, count = self.read("first", 0, self.docs), self.read("count", 0, self.docs)
+        """(keys, are they null, first, count) of READ_DOCS documents at a time in order; each is looked up by its key."""
+        keys, first, count = (self.read(n, 0, self.docs) for n in ("keys", "first", "count"))
+        slots = self.find(key_hashes(keys, self.nulls))
+        if (slots < 0).any():
+            raise ValueError("a key of the shard isn't in its index")
         for at in range(0, self.docs, READ_DOCS):
-            n = min(READ_DOCS, self.docs - at)
-            slots = self.read("slot", at, n)
-            yield self.read("keys", at, n), np.arange(at, at + n) < self.nulls, first[slots], count[slots]
+            here = slice(at, at + READ_DOCS)
+            yield keys[here], np.arange(self.docs)[here] < self.nulls, first[slots[here]], count[slots[here]]
 
 
 class TokenIndex:
