@@ -63,7 +63,8 @@ def plain_characters(text: str) -> str:
 def sanitise(text: str | None) -> str:
     if not text:
         return ""
-    text = unicodedata.normalize("NFC", plain_characters(text).lstrip("\ufeff"))
+    if not text.isascii():
+        text = unicodedata.normalize("NFC", plain_characters(text).lstrip("\ufeff"))
     text = re.sub(r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]", "", text)
     text = text.replace("\r\n", "\n").replace("\r", "\n")
     return re.sub(r"[ \t]+$", "", text, flags=re.M)

@@ -95,7 +95,9 @@ def query_scores(docs: DataFrame, terms: list[str], key: str = "doc_id", text: s
     wanted = sorted({t for t in terms if t})
     w = words(F.col(text))
     found = F.filter("w", lambda x: F.array_contains(F.array(*[F.lit(t) for t in wanted]), x))
-    rows = docs.select(key, w.alias("w")).select(key, F.size("w").alias("n"), found.alias("f")).where(F.size("f") > 0)
+    counted = docs.select(key, w.alias("w")).select(key, F.struct(F.size("w").alias("n"), found.alias("f")).alias("x"))
+    # by a generator, as a plain filter would be pushed below and read every text twice
+    rows = counted.select(key, F.explode(F.filter(F.array("x"), lambda x: F.size(x["f"]) > 0)).alias("x")).select(key, "x.n", "x.f")
     count = lambda t: F.size(F.filter("f", lambda x: x == F.lit(t)))
     each = [count(t) for t in wanted]
     total = sum((F.when(tf > 0, weight(tf, F.col("n"))).otherwise(0.0) for tf in each), F.lit(0.0))
