@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textquarry.plans import source_plans as S
 from textquarry.sources import detect, listing, office, pdf, readers, tables
-from textquarry.sources.html import to_markdown
+from textquarry.sources.html import read_pages, to_markdown
 
 
 @pytest.mark.parametrize(("html", "want"), [
@@ -118,3 +118,10 @@ def test_pdf():
     one = S.make_pdf([[("It ends", 14), ("here.", 30), ("7", 14)]])
     assert read(one) == ("It ends here.", {"page_count": 1, "ocr_applied": False}) and read(one, pdf_parser="quality")[1]["ocr_applied"] and read(one, ocr_mode="force")[1]["ocr_applied"]
     assert read(one + b"/Encrypt 9 0 R")[1]["error"] == "PASSWORD_PROTECTED"
+
+
+@pytest.mark.parametrize("odd", ["<![foo[ x ]]>", "<![ x ]>", "<![endif]>", "<![if !ie]>", "<![CDATA[x]]>", "<!DOCTYPE [", "<![", "<![[", "<!>", "<!x", "<?x", "</ >", "<![cdata", "<![include[", "<!-->", "<!--"])
+def test_odd_markup_harms_no_page(spark, odd):
+    pages = spark.createDataFrame([(i, f"<h1>one</h1><p>two {odd}</p><p>three</p>" * i) for i in range(3)], "page_id long, html string")
+    got = {r.page_id: r.markdown for r in read_pages(pages).collect()}
+    assert got[0] == "" and got[1].startswith("# one") and "two" in got[2]

@@ -97,3 +97,17 @@ def test_rounding_near_ties(spark):
     rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", N.round_python(F.col("x")).alias("p"), N.to_fixed(F.col("x")).alias("f")).collect()
     assert [r.p for r in rows] == [round(v, 2) for v in values]
     assert [r.f for r in rows] == [float(Decimal(v).quantize(Decimal("0.01"), ROUND_HALF_UP)) for v in values]
+
+
+def test_marks_of_held_blocks():
+    for t in ("a \x007\x00 b\n", "\x000\x00\n```\nq\n```\n\x00\x001\x01\x00\x00", "\x00\x01\x000\x01\x00```x\ny\n```\x00", "\x00" * 9 + "```\n1\n```"):
+        assert P.merge_soft_breaks(t) == t
+        assert P.normalise(t).strip() == t.strip() or "```" in t
+    assert P.normalise("\x0012\x00").strip() == "\x0012\x00"
+
+
+def test_page_numbers_on_several_lines(spark):
+    t = "a\n\nPage\n12\n\nPage 3\n\n- 4 -\n\n12\n13\n\n0\n\n1000\n\nb"
+    want = "a\n\nPage\n12\n\n12\n13\n\n0\n\n1000\n\nb"
+    assert P.drop_page_numbers(t) == want
+    assert spark.createDataFrame([(t,)], "t string").select(T.drop_page_numbers(F.col("t"))).first()[0] == want

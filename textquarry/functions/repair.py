@@ -71,20 +71,21 @@ def sanitise(text: str | None) -> str:
 
 
 class _Fences:
-    """Takes fenced blocks out of a text and puts them back."""
+    """Takes fenced blocks out of a text and puts them back. What stands for a block is a number between marks that the text doesn't hold."""
 
-    def __init__(self):
+    def __init__(self, text: str):
         self.kept: list[str] = []
+        self.mark = "\x00" * (1 + max(map(len, re.findall("\x00+", text)), default=0))
 
     def out(self, text: str) -> str:
         def hold(m):
             self.kept.append(m[0])
-            return f"\x00{len(self.kept) - 1}\x00"
+            return f"{self.mark}{len(self.kept) - 1}\x01{self.mark}"
 
         return FENCED.sub(hold, text)
 
     def back(self, text: str) -> str:
-        return re.sub("\x00(\\d+)\x00", lambda m: self.kept[int(m[1])], text)
+        return re.sub(f"{self.mark}([0-9]+)\x01{self.mark}", lambda m: self.kept[int(m[1])], text)
 
 
 def drop_empty_sections(text: str) -> str:
@@ -107,7 +108,7 @@ def normalise(text: str | None) -> str:
     """Markdown with ``-`` bullets, single blank lines, closed fences and no empty sections; fenced blocks stay as they are."""
     if not text:
         return ""
-    fences = _Fences()
+    fences = _Fences(text)
     text = fences.out(text.replace("\r\n", "\n").replace("\r", "\n"))
     text = fences.out(close_fence(text))
     text = re.sub("\n{3,}", "\n\n", BULLET.sub(r"\1-\2", text))
@@ -119,7 +120,7 @@ def merge_soft_breaks(text: str | None) -> str:
     if it ends no sentence either. A blank line joins nothing; fenced blocks stay as they are."""
     if not text:
         return ""
-    fences = _Fences()
+    fences = _Fences(text)
     todo = fences.out(text).split("\n")[::-1]
     out: list[str] = []
     while todo:
@@ -137,8 +138,8 @@ def merge_soft_breaks(text: str | None) -> str:
 
 
 def drop_page_numbers(text: str | None) -> str:
-    """Drops one-line paragraphs that hold a page number from 1 to 999; the others are parted by one blank line."""
-    return "\n\n".join(p for p in re.split(r"\n\s*\n", text or "") if not PAGE_NUMBER.fullmatch(p.strip()))
+    """Drops one-line paragraphs that hold a page number from 1 to 999; the others, those of several lines too, are parted by one blank line."""
+    return "\n\n".join(p for p in re.split(r"\n\s*\n", text or "") if "\n" in p.strip() or not PAGE_NUMBER.fullmatch(p.strip()))
 
 
 def drop_junk_fences(text: str | None) -> str:

@@ -39,7 +39,7 @@ def close_fence(c: Column) -> Column:
 
 def drop_page_numbers(c: Column) -> Column:
     """Drops one-line paragraphs that hold a page number from 1 to 999."""
-    kept = F.filter(F.split(c, r"(?U)\n\s*\n"), lambda p: ~F.rlike(strip(p), F.lit(PAGE_NUMBER)))
+    kept = F.filter(F.split(c, r"(?U)\n\s*\n"), lambda p: strip(p).contains("\n") | ~F.rlike(strip(p), F.lit(PAGE_NUMBER)))
     return F.array_join(kept, "\n\n")
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import deque
 
 import pandas as pd
 import pyarrow as pa
@@ -33,7 +34,9 @@ def sections(text: str, levels: int = 3) -> list[tuple[tuple[str, ...], str]]:
             out.append((path, body))
 
     for line in text.split("\n"):
-        bare = "".join(c for c in line.strip() if c.isprintable())
+        bare = line.strip()
+        if not bare.isprintable():
+            bare = "".join(c for c in bare if c.isprintable())
         if not fence and bare[:3] in ("```", "~~~"):
             fence = bare[:3]
         elif fence and bare.startswith(fence):
@@ -62,7 +65,8 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     else:
         parts = list(text)
     out: list[str] = []
-    held: list[str] = []
+    held: deque[str] = deque()
+    size_held = 0
 
     def emit():
         if joined := "".join(held).strip():
@@ -71,14 +75,16 @@ def split_recursively(text: str, size: int, overlap: int, separators: tuple[str,
     for p in parts:
         if len(p) >= size and rest:
             emit()
-            held = []
+            held.clear()
+            size_held = 0
             out += split_recursively(p, size, overlap, rest)
             continue
-        if held and sum(map(len, held)) + len(p) > size:
+        if held and size_held + len(p) > size:
             emit()
-            while held and (sum(map(len, held)) > overlap or sum(map(len, held)) + len(p) > size):
-                held.pop(0)
+            while held and (size_held > overlap or size_held + len(p) > size):
+                size_held -= len(held.popleft())
         held.append(p)
+        size_held += len(p)
     emit()
     return out
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 from pyspark.sql import DataFrame
@@ -38,7 +39,22 @@ class _Node:
             self.text.append(part)
 
 
-class _Markdown(HTMLParser):
+class TolerantParser(HTMLParser):
+    """The library's parser, which raises on marked sections it doesn't know: here they are comments up to the next ``>``."""
+
+    #: The kinds that the library reads itself.
+    MARKED = re.compile(r"<!\[(?:temp|cdata|ignore|include|rcdata|if|else|endif)(?![-_.a-z0-9])", re.I)
+
+    def parse_marked_section(self, i, report=1):
+        if not self.MARKED.match(self.rawdata, i):
+            return self.parse_bogus_comment(i)
+        try:
+            return super().parse_marked_section(i, report)
+        except AssertionError:
+            return self.parse_bogus_comment(i)
+
+
+class _Markdown(TolerantParser):
     def __init__(self, forms: dict[str, str], dropped: frozenset[str]):
         super().__init__(convert_charrefs=True)
         self.forms, self.dropped = forms, dropped
