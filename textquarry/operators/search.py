@@ -188,6 +188,14 @@ def embed_query(text: str, make: Callable[[], Embedder] = lambda: mock_embedder)
     return make()([text])[0], found
 
 
+def embed_queries(queries: DataFrame, text: str = "text", make: Callable[[], Embedder] = lambda: mock_embedder) -> DataFrame:
+    """``queries`` with ``dense`` and ``terms`` of each, by the documents' encoder. The texts are trimmed; those that ``query_error`` refuses
+    should be left out before."""
+    trimmed = queries.withColumn(text, F.regexp_replace(text, r"(?U)^\s+|\s+$", ""))
+    plain = F.split(F.regexp_replace(F.lower(text), "[^a-z0-9]", " "), " ")
+    return embed(trimmed, text, "dense", make).withColumn("terms", F.filter(plain, lambda w: w != ""))
+
+
 def table_info(points: DataFrame, vector: str = "dense") -> DataFrame:
     """(points, size, status) of a vector table."""
     return points.agg(F.count(F.lit(1)).alias("points"), F.max(F.size(vector)).alias("size")).withColumn("status", F.when(F.col("points") > 0, "green").otherwise("empty"))

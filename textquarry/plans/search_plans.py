@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquarry.operators import search as S
+from textquarry.operators.vector_index import VectorIndex
 from textquarry.plans import PlanSet
 from textquarry.plans import base as B
 from textquarry.plans.base import sql, table
+from textquarry.sinks.scratch import scratch
 
 plans = PlanSet()
 QUERY = [((i * 37) % 11 - 5) / 5.0 for i in range(64)]
@@ -28,6 +30,44 @@ def v6_dense_top_k(spark, d):
     return S.dense_top_k(rows.unionByName(zero).unionByName(short), QUERY, 10)
 
 
+_NEAR = "SELECT a.vec_id AS query_id, b.vec_id, round(list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS score FROM embeddings a JOIN embeddings b ON a.vec_id % 100 = 0"
+
+
+def _index(spark, d):
+    return VectorIndex(spark, scratch(spark, "vector-index")).build(table(spark, d, "embeddings"))
+
+
+@plans.add("v6_index_top_k", f"SELECT vec_id, round(list_cosine_similarity(embedding::DOUBLE[], {_Q}), 6) AS score FROM embeddings ORDER BY score DESC, vec_id LIMIT 10")
+def v6_index_top_k(spark, d):
+    """Exact through the index: probed lists first, then those whose radius doesn't rule them out."""
+    return _index(spark, d).search(QUERY, 10, exact=True)
+
+
+@plans.add("v6_index_many", f"SELECT query_id, vec_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM ({_NEAR}) QUALIFY rank <= 10")
+def v6_index_many(spark, d):
+    """Many queries by matrix products a list, all lists probed."""
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 100 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    index = _index(spark, d)
+    return index.search_many(queries, 10, probes=index.load()[0]["lists"])
+
+
+@plans.add("v6_index_recall")
+def v6_index_recall(spark, d):
+    """Share of the exact ten best of each query that the default probes find."""
+    vectors = table(spark, d, "embeddings")
+    queries = vectors.where("vec_id % 20 = 0").selectExpr("vec_id AS query_id", "embedding AS query")
+    index = _index(spark, d)
+    all_of, some = index.search_many(queries, 10, probes=index.load()[0]["lists"]), index.search_many(queries, 10)
+    hit = some.select("query_id", "vec_id", F.lit(1).alias("hit"))
+    return all_of.join(hit, ["query_id", "vec_id"], "left").groupBy("query_id").agg((F.count("hit") / F.count(F.lit(1))).alias("recall"))
+
+
+@plans.add("v12_index_info", "SELECT count(*) AS points, 64 AS size, floor(sqrt(count(*)))::INTEGER AS lists, 'green' AS status FROM embeddings")
+def v12_index_info(spark, d):
+    return _index(spark, d).info()
+
+
 _W = "w AS (SELECT doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) AS term FROM documents), tf AS (SELECT doc_id, term, count(*) AS tf FROM w GROUP BY 1, 2), n AS (SELECT doc_id, sum(tf) AS n FROM tf GROUP BY 1), p AS (SELECT doc_id, term, tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / 256)) AS weight FROM tf JOIN n USING (doc_id))"
 _BM = f"{_W}, bm AS (SELECT doc_id, sum(weight) AS sparse FROM p WHERE term IN ('license', 'the', 'idiot') GROUP BY 1)"
 
@@ -112,7 +152,12 @@ def v1_v4_v5_embeddings(spark, d):
     return rows.select("doc_id", F.size("dense").alias("size"), F.round(F.get("dense", F.lit(0)).cast("double"), 5).alias("first"), F.round(F.get("dense", F.lit(383)).cast("double"), 5).alias("last"))
 
 
-@plans.add("v3_query_embedding", "SELECT 384 AS size, 'the license of 2' AS terms")
+_TERMS = "array_to_string(list_filter(string_split(regexp_replace(lower(coalesce(text, '')), '[^a-z0-9]', ' ', 'g'), ' '), lambda x: x <> ''), ' ')"
+_SIZED = "text IS NOT NULL AND length(trim(text)) BETWEEN 1 AND 1000"
+
+
+@plans.add("v3_query_embedding", f"SELECT conv_id, turn, 384 AS size, round((sin(CASE WHEN h >= 2147483648 THEN h - 4294967296 ELSE h END) * 0.5)::FLOAT::DOUBLE, 5) AS first, {_TERMS} AS terms FROM (SELECT conv_id, turn, trim(text, ' ' || chr(9) || chr(10) || chr(13)) AS text, {_HASH.replace('(text', "(trim(text, ' ' || chr(9) || chr(10) || chr(13))")} AS h FROM conversations WHERE {_SIZED})")
 def v3_query_embedding(spark, d):
-    dense, terms = S.embed_query(" The license, of 2! ")
-    return spark.createDataFrame([(len(dense), " ".join(terms))], "size int, terms string")
+    """Each turn of a conversation as a query: trimmed, checked, embedded, and cut into words."""
+    rows = table(spark, d, "conversations").where(S.query_error(F.col("text"), F.lit(5)).isNull())
+    return S.embed_queries(rows, "text").select("conv_id", "turn", F.size("dense").alias("size"), F.round(F.get("dense", F.lit(0)).cast("double"), 5).alias("first"), F.array_join("terms", " ").alias("terms"))
