@@ -5,7 +5,8 @@ text's start counts as an anchor too, so that any text with words has a signatur
 own characters. Where common words are missing, in a stretch of more than RUN content words without an anchor or in a text of
 fewer than FEW anchors, every word of the stretch is an anchor itself, so texts of other languages, lists, logs and tables
 are covered to their end. The fingerprint is the sorted set of 32-bit signature hashes in hex. Sets are partitioned by length and compared by a
-pruned Jaccard index: pairs whose partitions or lengths rule the least likeness out aren't intersected (op1: under FLOOR, given as 0).
+pruned Jaccard index where pairs over a threshold are searched: those that their partitions or lengths rule out aren't intersected. op1 searches none:
+its pairs are given, so each gets its exact index, whatever the lengths.
 
 Null texts are read as empty, and two empty texts are alike (1.0). Equal texts have equal fingerprints. Repeated rows are kept.
 Null keys sort after all others. Other columns are left out. An empty table gives no rows.
@@ -66,24 +67,25 @@ def signatures(text: Column, chain: int = CHAIN) -> Column:
     return let(words, lambda w: F.when(F.size(w) > 0, chains(w)).otherwise(F.when(F.length(text) > 0, F.array(F.hash(text))).otherwise(F.array().cast("array<int>"))))
 
 
-#: Likeness below which op1 compares no further.
-FLOOR = 0.1
-
-
 def length_partition(n: Column, threshold: float) -> Column:
     """Partition of a set's length: base^p to base^(p+1), base = 1/threshold. Sets that reach the threshold lie in the same or in
     neighbouring partitions."""
     return F.floor(F.log(F.greatest(n, F.lit(1))) / F.lit(-math.log(threshold)) + F.lit(1e-9)).cast("int")
 
 
-def likeness(a: Column, b: Column, least: float = FLOOR) -> Column:
-    """Jaccard index of two sets, 1.0 of two empty ones. Pairs whose length partitions, or then lengths, rule ``least`` out are pruned: they
-    get 0.0 and their sets aren't intersected."""
+def jaccard(a: Column, b: Column) -> Column:
+    """Exact Jaccard index of two sets, 1.0 of two empty ones."""
+    exact = let(F.size(F.array_intersect(a, b)), lambda both: both / (F.size(a) + F.size(b) - both))
+    return F.when(F.size(a) + F.size(b) == 0, 1.0).otherwise(exact)
+
+
+def likeness(a: Column, b: Column, least: float) -> Column:
+    """``jaccard`` for a search of pairs of at least ``least``: those whose length partitions, or then lengths, rule that out are pruned. They get
+    0.0 and their sets aren't intersected."""
     na, nb = F.size(a), F.size(b)
     apart = F.abs(length_partition(na, least) - length_partition(nb, least)) > 1
     short = F.least(na, nb) < F.greatest(na, nb) * F.lit(least)
-    exact = let(F.size(F.array_intersect(a, b)), lambda both: both / (na + nb - both))
-    return F.when(na + nb == 0, 1.0).when((F.least(na, nb) == 0) | apart | short, 0.0).otherwise(exact)
+    return F.when((na + nb > 0) & ((F.least(na, nb) == 0) | apart | short), 0.0).otherwise(jaccard(a, b))
 
 
 def printed(sigs: Column) -> Column:
@@ -185,9 +187,9 @@ def op1_spotsigs_fingerprints(spark, sf_dir: str) -> DataFrame:
         n.cast("long").alias("n_chars"),
         "s",
         "next_s",
-        let(pair, lambda x: F.struct(F.sha2(x["e"], 256).alias("sha"), printed(x["s"]).alias("print"), likeness(F.col("s"), x["s"]).alias("near"))).alias("x"),
+        let(pair, lambda x: F.struct(F.sha2(x["e"], 256).alias("sha"), printed(x["s"]).alias("print"), jaccard(F.col("s"), x["s"]).alias("near"))).alias("x"),
     )
     return rows.select(
         "doc_id", "n_chars", F.col("x.sha").alias("edited_sha256"), printed(F.col("s")).alias("fingerprint"), F.col("x.print").alias("edited_fingerprint"),
-        F.col("x.near").alias("near_edited"), likeness(F.col("s"), F.col("next_s")).alias("near_next"),
+        F.col("x.near").alias("near_edited"), jaccard(F.col("s"), F.col("next_s")).alias("near_next"),
     )
