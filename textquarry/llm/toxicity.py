@@ -38,8 +38,8 @@ TARGETS = "you your yours he his him she her they them their du dein dich euch i
 NEGATIONS = "not no never n't don't isn't aren't won't kein keine nicht nie niemals ne pas jamais nunca jamás ni".split()
 REPORTS = "said says say told claimed claims quoted wrote reported according sagte sagt schrieb dit disait écrit dijo dice escribió".split()
 
-#: Bounds: labelled rows of each class to learn from, learned entries.
-ROWS, ENTRIES = 6000, 4000
+#: Bound: labelled rows of each class to learn from.
+ROWS = 6000
 PREFIXES = (4, 5, 6)
 LEAST = 3
 #: The grammar's weights: of what is negated, reported, aimed; and how many words a negation reaches and a verb of report may stand off.
@@ -236,7 +236,7 @@ def entries(text: str) -> set[str]:
 
 
 def lexicon(counts: DataFrame, toxic: str, clean: str, n: tuple[int, int]) -> dict[str, float]:
-    """Weights of at most ENTRIES entries by how much surer they make the label; ``counts``: entry, and documents of either label with it;
+    """Weights of the entries whose counts are too surprising to be chance, all of them; they come from the sample's words, which ROWS bounds. ``counts``: entry, and documents of either label with it;
     ``n``: clean and toxic documents."""
     if not n[0] or not n[1]:
         return {}
@@ -245,8 +245,8 @@ def lexicon(counts: DataFrame, toxic: str, clean: str, n: tuple[int, int]) -> di
     # surprise of the counts if the entry didn't matter, over all that were tried
     surprise = c * F.log(c / ((c + o) * base)) + F.when(o > 0, o * F.log(o / ((c + o) * (1 - base)))).otherwise(0.0)
     weight = F.log((c + 0.1) / (n[1] + 1) * (n[0] + 1) / (o + 0.5))
-    rows = counts.where((c >= LEAST) & (c / n[1] >= 10 * o / n[0])).where(surprise >= math.log(100 * (tried + 1))).select("entry", weight.alias("weight"), (weight * c).alias("gain"))
-    return {r["entry"]: r["weight"] for r in rows.orderBy(F.desc("gain"), "entry").limit(ENTRIES).collect()}
+    rows = counts.where((c >= LEAST) & (c / n[1] >= 10 * o / n[0])).where(surprise >= math.log(100 * (tried + 1))).select("entry", weight.alias("weight"))
+    return {r["entry"]: r["weight"] for r in rows.collect()}
 
 
 def sample_rows(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str) -> tuple[DataFrame, dict[int, int]]:
@@ -329,7 +329,7 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 def score(docs: DataFrame, grammar: Grammar, text: str = "text", name: str = "tox_score") -> DataFrame:
     """``docs`` with a score at the end, under ``name``."""
-    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by ENTRIES
+    shared = docs.sparkSession.sparkContext.broadcast(grammar)  # bounded by the sample of labelled rows
 
     def make():
         g = shared.value
