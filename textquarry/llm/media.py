@@ -12,7 +12,6 @@ sources the first counts. Other columns are left out.
 from __future__ import annotations
 
 import hashlib
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textquarry.llm.common import crc, dealt_join, hot_keys, scratch, table, whole_text, with_columns
+from textquarry.sources.html import TolerantParser
 
 BLOCK, SIDE, PAD = 576, 24, 255
 ITEM = "struct<position:int,kind:string,text:string,digest:string,caption:string>"
@@ -29,7 +29,7 @@ MEDIA = {"img", "video", "audio", "source", "embed"}
 PLAYERS = {"video", "audio"}
 
 
-class _Sequence(HTMLParser):
+class _Sequence(TolerantParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.items, self.words, self.muted = [], [], 0
