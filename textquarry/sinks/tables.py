@@ -109,11 +109,20 @@ def sync_batch(chunks: DataFrame, batch: DataFrame, size: int = 384) -> tuple[Da
     any_ok = marked.agg(F.coalesce(F.bool_or("ok"), F.lit(False)).alias("any_ok"))
     x = chunks.join(F.broadcast(marked.join(F.broadcast(any_ok))), "id", "left")  # a batch of at most some hundreds
     done = F.coalesce(F.col("ok") | ~F.col("any_ok"), F.lit(False))
-    clear = F.coalesce("ok", F.lit(False))
+    return _cleared(x, done, F.coalesce("ok", F.lit(False)), chunks), batch.where(ok)
+
+
+def synchronised(chunks: DataFrame, marked: DataFrame) -> DataFrame:
+    """``chunks`` after those of ``marked`` (id, _ok) were synchronised; the vectors of those that are ok are cleared."""
+    x = chunks.join(marked, "id", "left")
+    return _cleared(x, F.col("_ok").isNotNull(), F.coalesce("_ok", F.lit(False)), chunks)
+
+
+def _cleared(x: DataFrame, done: Column, clear: Column, chunks: DataFrame) -> DataFrame:
     out = x.withColumn("sync_status", F.when(done, "SYNCED").otherwise(F.col("sync_status")))
     for c in ("dense_vector", "sparse_indices", "sparse_values"):
         out = out.withColumn(c, F.when(clear, F.array().cast(dict(chunks.dtypes)[c])).otherwise(F.col(c)))
-    return out.select(*chunks.columns), batch.where(ok)
+    return out.select(*chunks.columns)
 
 
 def waiting(chunks: DataFrame, size: int = 100, document_id=None) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -10,7 +11,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 from textquarry.operators.lifecycle import apply_changes, back_off_ms, failed_for_good
-from textquarry.sinks.tables import KeyedTable, sync_batch, upsert_points, waiting
+from textquarry.sinks.buckets import BucketTable
+from textquarry.sinks.tables import KeyedTable, synchronised, upsert_points, valid_vector
 
 #: Kinds of events that subscribers may ask for.
 EVENT_TYPES = (
@@ -45,32 +47,81 @@ def retain(done: DataFrame, now_ms: int, most: int = 1000) -> DataFrame:
     return kept.unionByName(done.where((F.col("state") == "failed") & (age <= 86_400_000)))
 
 
-def drain_outbox(chunks: KeyedTable, points: KeyedTable, size: int = 100, dense: int = 384, document_id=None) -> int:
-    """Puts waiting chunks into the vector table, batch after batch, until none waits or a batch had nothing valid. Points are keyed by chunk, so a
-    batch that ran halfway does no harm when it runs again. Returns the number of batches."""
-    done = 0
-    while True:
-        stored = chunks.read()
-        batch = waiting(stored, size, document_id)
-        if batch.isEmpty():
-            return done
-        after, valid = sync_batch(stored, batch, dense)
-        some = not valid.isEmpty()
-        if some:
-            points.write(upsert_points(points.read(), valid))
-        chunks.write(after)
-        done += 1
-        if not some:
-            return done
-
-
-def apply_feed(table: KeyedTable) -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch`` over a change feed: the document table after each batch."""
+def outbox_end(invalid: list[int], waiting_rows: int, size: int) -> tuple[int, int, int]:
+    """(batches, end, given up): how far batches of ``size`` waiting chunks come. ``invalid``: places of the first invalid ones among the waiting, in order, at
+    least ``size`` of them or all. Each batch takes the invalid ones that are left from before and as many of the next as it has room
+    for; one without a valid chunk is the last, and all of it counts as done. Chunks up to ``end`` were taken, ``given up`` invalid ones."""
+    batches = end = left = 0
+    while left or end < waiting_rows:
+        room = min(size - left, waiting_rows - end)
+        bad = bisect_left(invalid, end + room) - bisect_left(invalid, end)
+        batches += 1
+        if bad == room:
+            return batches, end + room, left + room
+        nxt = bisect_left(invalid, end)
+        clear = ((invalid[nxt] if nxt < len(invalid) else waiting_rows) - end) // room  # whole batches up to the next invalid one
+        if clear > 1:
+            batches += clear - 1
+            end += clear * room
+        else:
+            left += bad
+            end += room
+    return batches, end, 0
+
+
+def drain_outbox(chunks: KeyedTable | BucketTable, points: KeyedTable | BucketTable, size: int = 100, dense: int = 384, document_id=None) -> int:
+    """Puts waiting chunks into the vector table until none waits or a batch of ``size`` had nothing valid, as if batch after batch; returns the number of
+    batches. All of them are one pass: where it ends follows from the places of the first invalid chunks, ``size`` at most. One
+    write of either table, in the buckets of those chunks only. Points are keyed by chunk and written first, so a pass that ran halfway does
+    no harm when it runs again."""
+    stored = chunks.read()
+    if stored is None:
+        return 0
+    rows = stored.where(F.col("sync_status") == "PENDING")
+    rows = rows if document_id is None else rows.where(F.col("document_id") == F.lit(document_id))
+    ok = valid_vector(F.col("dense_vector"), F.col("sparse_indices"), F.col("sparse_values"), dense)
+    bad = [r["id"] for r in rows.where(~ok).select("id").orderBy("id").limit(size).collect()]
+    below = [F.count_if(F.col("id") < F.lit(i)).alias(str(j)) for j, i in enumerate(bad)]  # the place of each
+    n, *places = rows.agg(F.count(F.lit(1)).alias("n"), *below).first()
+    batches, end, given_up = outbox_end(list(places), n, size)
+    if not batches:
+        return 0
+    taken = rows
+    if end < n:
+        # chunks behind the end: it lies less than a batch behind the last invalid one that counts
+        lead = max((j for j, at in enumerate(places) if at < end), default=0)
+        edge = rows.where(F.col("id") >= F.lit(bad[lead])).select("id").orderBy("id").limit(end - places[lead] + 1).collect()[-1]["id"]
+        taken = rows.where(F.col("id") < F.lit(edge))
+    valid = taken.where(ok)
+    last = F.col("id") <= F.lit(bad[given_up - 1]) if given_up else F.lit(False)
+    done = valid.select("id", chunks_by(chunks), F.lit(True).alias("_ok")).unionByName(taken.where(~ok & last).select("id", chunks_by(chunks), F.lit(False).alias("_ok")))
+    if not valid.isEmpty():
+        change(points, upsert_points(None, valid), lambda old: upsert_points(old, valid))
+    change(chunks, done, lambda old: synchronised(old, done.select("id", "_ok")))
+    return batches
+
+
+def chunks_by(table: KeyedTable | BucketTable) -> Column:
+    """The column that deals a chunk table over buckets; any, where there are none."""
+    return F.col(getattr(table, "by", "document_id")) if getattr(table, "by", "") != "id" else F.col("document_id")
+
+
+def change(table: KeyedTable | BucketTable, keys: DataFrame, make: Callable[[DataFrame | None], DataFrame]) -> None:
+    """A change of the buckets of ``keys``, or of a whole table without buckets."""
+    if isinstance(table, BucketTable):
+        table.change(keys, make)
+    else:
+        table.write(make(table.read()))
+
+
+def apply_feed(table: KeyedTable | BucketTable) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch`` over a change feed: the document table after each batch. In a table with buckets by ``drive_file_id`` only those of the
+    batch's files are read and written."""
 
     def work(changes: DataFrame, _: int) -> None:
-        stored = table.read()
-        if stored is not None and not changes.isEmpty():
-            table.write(apply_changes(stored, changes)[0])
+        if changes.isEmpty() or table.read() is None:
+            return
+        change(table, changes.select(F.col("file_id").alias("drive_file_id")), lambda stored: apply_changes(stored, changes)[0])
 
     return work
 
