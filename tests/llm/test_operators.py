@@ -152,21 +152,58 @@ def test_spotsigs_cover_texts_without_anchors(spark):
 def test_cotraining_hands_labels_from_view_to_view():
     """A view that can't learn from its few labels alone learns from what the other one is sure of."""
     rng = np.random.default_rng(2)
-    n = 600
+    n = 1200
     y = rng.integers(0, 2, n)
     clear = (y[:, None] * 2 - 1) * 2 + rng.normal(size=(n, 3))
     dim = (y[:, None] * 2 - 1) * 0.6 + rng.normal(size=(n, 12))
-    known = np.where(np.arange(n) < 40, y, -1)
-    both = cotraining.CoTrained.fit(clear.astype(np.float32), dim.astype(np.float32), known)
-    first = (known >= 0) & ((np.cumsum(known >= 0) - 1) % 5 != 4)
-    alone = cotraining.fit_logistic(dim[first].astype(np.float32), y[first].astype(np.float32))
-    right = lambda w: np.mean((cotraining.odds(dim[40:], w) > 0) == y[40:])
-    assert right(both.meta) > right(alone) + 0.01
+    both = cotraining.CoTrained.fit(clear[:60], dim[:60], y[:60], lambda views: cotraining.judged(clear[60:], dim[60:], views))
+    alone = cotraining.CoTrained.fit(clear[:60], dim[:60], y[:60], lambda views: cotraining.judged(clear[:0], dim[:0], views))
+    right = lambda w: np.mean((cotraining.odds(dim[60:], w) > 0) == y[60:])
+    assert right(both.meta) > right(alone.meta) + 0.01
     a = both.scale[0][0] * cotraining.odds(clear, both.content) + both.scale[0][1]
     b = both.scale[1][0] * cotraining.odds(dim, both.meta) + both.scale[1][1]
     assert np.mean((a + b - both.prior > 0) == y) > 0.97
 
 
+def test_newton_steps_reach_the_least_loss():
+    rng = np.random.default_rng(5)
+    x, y = rng.normal(size=(200, 6)), rng.integers(0, 2, 200).astype(float)
+    v = cotraining.View(x, y)
+    p = 1 / (1 + np.exp(-v.z @ v.w))
+    assert np.abs(v.z.T @ (v.share * (p - y)) + v.hold * v.w).max() < 1e-8
+    assert np.allclose(cotraining.odds(x, v.raw()), v.z @ v.w)
+    # sums of rows under a label are the slope and curvature of their loss
+    more = rng.normal(size=(50, 6))
+    n, slope, bend = cotraining.sums(more, v, 1)
+    z, at = v.scaled(more), v.w.copy()
+    loss = lambda w: np.logaddexp(0, -z @ w).sum()
+    for j in range(7):
+        e = np.eye(7)[j] * 1e-4
+        assert n == 50 and slope[j] == pytest.approx((loss(at + e) - loss(at - e)) / 2e-4, abs=1e-4)
+        assert bend[j, j] == pytest.approx((loss(at + e) - 2 * loss(at) + loss(at - e)) / 1e-8, abs=1e-2)
+
+
+def test_every_unlabelled_row_is_judged(spark, sf):
+    """What the tasks add up equals one sum over all rows, however they are dealt; and the query scores as its model by hand."""
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs.orderBy("doc_id").collect()
+    xc, xm = (np.stack(v) for v in zip(*[cotraining.views(r.text, r.lang, r.source) for r in rows], strict=True))
+    xc = xc.astype("<f2").astype(np.float32)
+    y = np.array([i % 2 for i in range(len(rows))], float)
+    views = tuple(cotraining.View(x[:80].astype(float), y[:80]) for x in (xc, xm))
+    for v in views:  # far from even, so some rows are sure
+        v.w = v.w * 5
+    pool = cotraining.viewed(docs.select(F.col("text").alias("t"), F.col("lang").alias("l"), F.col("source").alias("s")).repartition(7))
+    want, got = cotraining.judged(xc, xm, views), cotraining.exchanged(pool, views)
+    assert sum(n for n, *_ in want.values()) > 50
+    for key, (n, g, h) in want.items():
+        assert got[key][0] == n and np.allclose(got[key][1], g, atol=1e-6) and np.allclose(got[key][2], h, atol=1e-6)
+    model = cotraining.learn(docs, labels)
+    by_hand = {r.doc_id: model.score(r.text, r.lang, r.source)[2] for r in rows}
+    for r in cotraining.op2_cotraining_quality(spark, sf).collect():
+        assert r.score == pytest.approx(by_hand[r.doc_id], abs=1e-9) and r.predicted == int(r.score >= cotraining.THRESHOLD)
+
+
 def test_cotraining_views_share_nothing():
     plain, shouted = cotraining.content_view(b"some words, and 3 more!"), cotraining.content_view(b"SOME words;; (and)\n   more??")
     assert (plain == shouted).all()  # case, digits, marks and lines are for the other view alone

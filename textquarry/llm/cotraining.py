@@ -2,8 +2,9 @@
 
 Two views of a document share no feature. Its text content: hashed 3-grams of its letters alone (case, digits, marks and line ends taken out),
 and how varied its words are. Its page metadata: source, language, length, and how the page is set: lines, capitals, digits, marks and
-symbols, of which the content view sees nothing. A logistic classifier of each view learns from labelled rows; over rounds each hands its
-surest judgements of unlabelled rows to the other as labels. Both are then calibrated on labelled rows that neither learned from, and
+symbols, of which the content view sees nothing. A logistic classifier of each view learns from labelled rows; over rounds each hands those
+judgements of unlabelled rows that it is sure of (SURE or more) to the other as labels, of all rows, whatever their number: the tasks add up what these
+labels say of the other's loss, its slope and curvature, and the other takes Newton's steps on it. Both are then calibrated on labelled rows that neither learned from, and
 a document's log-odds are the sum of both views' less those of the labels' share, as of two witnesses that don't confer.
 
 Null and empty texts have no content view: the metadata alone decide. Without labels of both kinds every document scores 0.5 and
@@ -15,18 +16,21 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import fresh, held_out, table, trainable, with_columns
+from textquarry.llm.common import discard, fresh, held_out, materialise, table, trainable, with_columns
 
 #: Hashed 3-grams and four numbers of words, each also as one of STEPS steps; hashed sources and languages beside the page's numbers.
 GRAMS, STEPS, SOURCES, LANGS = 512, 8, 32, 8
 CONTENT, META = GRAMS + 4 * (STEPS + 1), SOURCES + LANGS + 12
-#: Bounds: labelled rows of each class, unlabelled rows, and how the co-training goes.
-LABELLED, POOL, ROUNDS, SURE, EACH = 2500, 4000, 3, 0.97, 300
+#: Bound: labelled rows of each class. Then how the co-training goes: rounds, how sure a judgement must be, what all pseudo-labels weigh beside the
+#: labels, and of how few of a class nothing is learned.
+LABELLED, ROUNDS, SURE, PSEUDO, FEWEST = 2500, 3, 0.97, 0.3, 5
 THRESHOLD = 0.5
 
 _LETTER = np.full(256, 32, dtype=np.uint8)  # a letter's lower case; all else is a blank
@@ -86,26 +90,6 @@ def views(text: str | None, lang: str | None, source: str | None) -> tuple[np.nd
     return content_view(data), metadata_view(data, lang, source)
 
 
-def fit_logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, steps: int = 60) -> np.ndarray:
-    """Weights and intercept of a class-balanced logistic fit, by accelerated gradient steps; each column is scaled first."""
-    mean, dev = x.mean(axis=0), x.std(axis=0) + 1e-3
-    z = np.hstack([(x - mean) / dev, np.ones((len(x), 1), np.float32)]).astype(np.float32)
-    share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())).astype(np.float32)
-    v = np.random.default_rng(0).normal(size=z.shape[1]).astype(np.float32)
-    for _ in range(12):  # largest curvature, for the step
-        v = z.T @ (share * (z @ v))
-        top = float(np.linalg.norm(v))
-        v /= top or 1.0
-    rate, hold = 1 / (0.25 * top + ridge / len(x)), ridge / len(x)
-    w = look = np.zeros(z.shape[1], dtype=np.float32)
-    for k in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(z @ look, -30, 30)))
-        new = look - rate * (z.T @ (share * (p - y)) + hold * look)
-        look = new + (k / (k + 3)) * (new - w)
-        w = new
-    return np.append(w[:-1] / dev, w[-1] - float(np.dot(w[:-1] / dev, mean))).astype(np.float64)
-
-
 def odds(x: np.ndarray, w: np.ndarray) -> np.ndarray:
     return x @ w[:-1] + w[-1]
 
@@ -132,30 +116,91 @@ def calibrate(o: np.ndarray, y: np.ndarray, share: np.ndarray) -> tuple[float, f
     return float(max(a, 1e-3)), float(b)
 
 
+class View:
+    """A logistic classifier of one view: columns are scaled by the labelled rows it began with."""
+
+    def __init__(self, x: np.ndarray, y: np.ndarray):
+        self.mean, self.dev = x.mean(axis=0), x.std(axis=0) + 1e-3
+        self.z, self.y = self.scaled(x), y
+        self.share = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum()))
+        self.hold, self.w = 1.0 / len(x), np.zeros(self.z.shape[1])
+        self.fit()
+
+    def scaled(self, x: np.ndarray) -> np.ndarray:
+        return np.hstack([(x - self.mean) / self.dev, np.ones((len(x), 1))])
+
+    def raw(self) -> np.ndarray:
+        """Weights and intercept for features as they are."""
+        return np.append(self.w[:-1] / self.dev, self.w[-1] - float(np.dot(self.w[:-1] / self.dev, self.mean)))
+
+    def fit(self, slope: np.ndarray | None = None, bend: np.ndarray | None = None) -> None:
+        """Newton's steps on the labelled rows' class-balanced loss, and on that of pseudo-labelled rows as its ``slope`` and ``bend`` at the weights
+        before say it (its expansion to second order)."""
+        start, n = self.w, len(self.w)
+        slope, bend = (np.zeros(n), np.zeros((n, n))) if slope is None else (slope, bend)
+
+        def loss(w):
+            o, d = self.z @ w, w - start
+            return float(self.share @ (np.logaddexp(0, o) - self.y * o)) + 0.5 * self.hold * float(w @ w) + float(slope @ d) + 0.5 * float(d @ bend @ d)
+
+        w = start
+        for _ in range(12):
+            p = 1 / (1 + np.exp(-np.clip(self.z @ w, -30, 30)))
+            down = self.z.T @ (self.share * (p - self.y)) + self.hold * w + slope + bend @ (w - start)
+            curve = (self.z * (self.share * p * (1 - p))[:, None]).T @ self.z + bend + self.hold * np.eye(n)
+            step, size, now = np.linalg.solve(curve, down), 1.0, loss(w)
+            while size > 1e-4 and loss(w - size * step) > now:
+                size /= 2
+            w = w - size * step
+            if float(np.abs(step).max()) * size < 1e-6:
+                break
+        self.w = w
+
+
+def sums(x: np.ndarray, view: View, label: int) -> tuple[int, np.ndarray, np.ndarray]:
+    """(rows, slope, bend) of the logistic loss of rows under one label, at the view's weights."""
+    z = view.scaled(x)
+    p = 1 / (1 + np.exp(-np.clip(z @ view.w, -30, 30)))
+    return len(x), z.T @ (p - label), (z * (p * (1 - p))[:, None]).T @ z
+
+
+def judged(xc: np.ndarray, xm: np.ndarray, views: tuple[View, View]) -> dict[tuple[int, int], tuple[int, np.ndarray, np.ndarray]]:
+    """By (view that learns, label): the sums of the rows that the other view is sure of."""
+    out, xs = {}, (xc, xm)
+    for giver in (0, 1):
+        p = 1 / (1 + np.exp(-np.clip(odds(xs[giver], views[giver].raw()), -30, 30)))
+        some = xc.any(axis=1)  # a text without content judges nothing and teaches the content view nothing
+        for label, sure in ((1, p), (0, 1 - p)):
+            out[1 - giver, label] = sums(xs[1 - giver][some & (sure >= SURE)], views[1 - giver], label)
+    return out
+
+
+Exchange = Callable[[tuple[View, View]], dict]
+
+
 class CoTrained:
     def __init__(self, content=None, meta=None, scale=None, prior=0.0):
         self.content, self.meta, self.scale, self.prior = content, meta, scale, prior
 
     @classmethod
-    def fit(cls, xc: np.ndarray, xm: np.ndarray, y: np.ndarray, every: tuple[int, int] | None = None) -> "CoTrained":
-        """``y``: 0, 1 or -1 for unlabelled. A fifth of the labelled rows is left for calibration. ``every``: how many labelled rows of
-        either class there are, where fewer were taken."""
+    def fit(cls, xc: np.ndarray, xm: np.ndarray, y: np.ndarray, exchange: Exchange, every: tuple[int, int] | None = None) -> "CoTrained":
+        """``y``: 0 or 1. A fifth of the rows is left for calibration. ``exchange`` gives ``judged`` of all unlabelled rows. ``every``: how many
+        labelled rows of either class there are, where fewer were taken."""
         if (y == 0).sum() < 5 or (y == 1).sum() < 5:
             return cls()
         every = every or (int((y == 0).sum()), int((y == 1).sum()))
-        order = np.cumsum(y >= 0) - 1  # place among the labelled rows
-        spare = (y >= 0) & (order % 5 == 4)
-        mine = [np.where(spare, -1, y).copy() for _ in range(2)]  # what each view learns from
-        free = (y < 0) & ~spare
-        for turn in range(ROUNDS + 1):
-            models = [fit_logistic(x[m >= 0], m[m >= 0].astype(np.float32)) for x, m in zip((xc, xm), mine, strict=True)]
-            if turn == ROUNDS:
-                break
-            for giver, x in ((0, xc), (1, xm)):
-                p = 1 / (1 + np.exp(-np.clip(odds(x, models[giver]), -30, 30)))
-                for label, sure in ((1, p), (0, 1 - p)):
-                    able = np.flatnonzero(free & (mine[1 - giver] < 0) & (sure >= SURE))
-                    mine[1 - giver][able[np.argsort(-sure[able], kind="stable")[:EACH]]] = label
+        spare = np.arange(len(y)) % 5 == 4
+        views = tuple(View(x[~spare].astype(np.float64), y[~spare].astype(np.float64)) for x in (xc, xm))
+        for _ in range(ROUNDS):
+            found = exchange(views)
+            for i, view in enumerate(views):
+                slope, bend = np.zeros(len(view.w)), np.zeros((len(view.w),) * 2)
+                for label in (0, 1):
+                    n, g, h = found[i, label]
+                    if n >= FEWEST:
+                        slope, bend = slope + 0.5 * PSEUDO / n * g, bend + 0.5 * PSEUDO / n * h
+                view.fit(slope, bend)
+        models = [v.raw() for v in views]
         # calibration restores the share of classes that balancing, and the bound on rows, took out
         z = y[spare].astype(float)
         share = np.where(z == 1, every[1] / max(1.0, z.sum()), every[0] / max(1.0, (1 - z).sum()))
@@ -174,17 +219,12 @@ class CoTrained:
         return tuple(1 / (1 + math.exp(-max(-30.0, min(30.0, v)))) for v in (a, b, a + b - self.prior))
 
 
-def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> CoTrained:
-    """From at most LABELLED rows of each class and POOL unlabelled ones, those of least key hash, one row a key."""
-    known = labels.where(F.col("quality").isin(0, 1)).groupBy(F.col(key).alias("k")).agg(F.max(F.col("quality").cast("int")).alias("y")).where("k IS NOT NULL")
-    every = {r["y"]: r["n"] for r in known.where(trainable("k")).groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
-    near = lambda rows, n: rows.orderBy(F.xxhash64("k"), "k").limit(n)
-    keys = docs.select(F.col(key).alias("k")).where("k IS NOT NULL")
-    picked = near(keys.join(known, "k", "left_anti").select("k", F.lit(-1).alias("y")).distinct(), POOL)
-    for y in (0, 1):
-        picked = picked.unionByName(near(known.where((F.col("y") == y) & trainable("k")), LABELLED))
-    column = lambda n: F.col(n) if n in docs.columns else F.lit(None).cast("string")
-    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), column(lang).alias("l"), column(source).alias("s")).join(F.broadcast(picked), "k")
+def unpacked(c: list[bytes], m: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(c), "<f2").reshape(-1, CONTENT).astype(np.float32), np.frombuffer(b"".join(m), "<f4").reshape(-1, META)
+
+
+def viewed(rows: DataFrame) -> DataFrame:
+    """``rows`` (k, t, l, s, ...) with both views in place of t, l and s."""
 
     def make():
         def run(b):
@@ -193,14 +233,76 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
         return run
 
-    seen = with_columns(rows.select(F.xxhash64("k").alias("h"), "y", "t", "l", "s"), "c binary, m binary", make, drop=("t", "l", "s"))
-    # bounded: 9,000 rows of 2 kB, as a repeated key counts once
+    return with_columns(rows, "c binary, m binary", make, drop=("t", "l", "s"))
+
+
+def exchanged(pool: DataFrame, models: tuple[View, View]) -> dict:
+    """``judged`` of all rows of ``pool`` (c, m). Each task sums its own rows, two steps add the tasks' sums up, and two of them reach the driver."""
+    bare = []
+    for v in models:  # the labelled rows stay where they are
+        x = View.__new__(View)
+        x.mean, x.dev, x.w = v.mean, v.dev, v.w
+        bare.append(x)
+    shared = pool.sparkSession.sparkContext.broadcast(tuple(bare))
+    names = ["at", "view", "label", "n", "g", "h"]
+
+    def rows(total, at):
+        for (view, label), (n, g, h) in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([view]), pa.array([label]), pa.array([n]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=names)
+
+    def add(total, key, part):
+        total[key] = part if key not in total else tuple(a + b for a, b in zip(total[key], part, strict=True))
+
+    def each(batches):
+        from pyspark import TaskContext
+
+        total = {}
+        for b in batches:
+            for key, part in judged(*unpacked(b.column("c").to_pylist(), b.column("m").to_pylist()), shared.value).items():
+                add(total, key, part)
+        yield from rows(total, TaskContext.get().partitionId())
+
+    def together(batches):
+        total, at = {}, 0
+        for b in batches:
+            for r in b.to_pylist():
+                at = r["at"]
+                g = np.frombuffer(r["g"])
+                add(total, (r["view"], r["label"]), (r["n"], g, np.frombuffer(r["h"]).reshape(len(g), len(g))))
+        yield from rows(total, at)
+
+    kind = "at long, view long, label long, n long, g binary, h binary"
+    parts = pool.select("c", "m").mapInArrow(each, kind)
+    for n in (16, 2):
+        parts = parts.repartition(n, F.pmod("at", F.lit(n))).mapInArrow(together, kind)
+    total = {(i, y): (0, np.zeros(w + 1), np.zeros((w + 1, w + 1))) for i, w in enumerate((CONTENT, META)) for y in (0, 1)}
+    for r in sorted(parts.collect(), key=lambda r: r["at"]):
+        g = np.frombuffer(r["g"])
+        add(total, (r["view"], r["label"]), (r["n"], g, np.frombuffer(r["h"]).reshape(len(g), len(g))))
+    return total
+
+
+def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> CoTrained:
+    """From at most LABELLED rows of each class, those of least key hash, one row a key, and from all other rows as unlabelled ones, each as often as it
+    occurs: their views are written once, and each round is one pass over these."""
+    known = labels.where(F.col("quality").isin(0, 1) & trainable(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col("quality").cast("int")).alias("y")).where("k IS NOT NULL")
+    every = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    if len(every) < 2:
+        return CoTrained()
+    near = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(LABELLED)
+    picked = materialise(near(0).unionByName(near(1)), "labelled")
+    column = lambda n: F.col(n) if n in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), column(lang).alias("l"), column(source).alias("s"))
+    seen = viewed(rows.join(F.broadcast(picked), "k").select(F.xxhash64("k").alias("h"), "y", "t", "l", "s"))
+    # bounded: 5,000 rows of 2 kB, as a repeated key counts once
     got = sorted(seen.groupBy("h").agg(F.min(F.struct("y", "c", "m")).alias("x")).select("h", "x.*").collect(), key=lambda r: r["h"])
-    if not got or len(every) < 2:
+    y = np.array([r["y"] for r in got])
+    if (y == 0).sum() < 5 or (y == 1).sum() < 5:
         return CoTrained()
-    xc = np.frombuffer(b"".join(r["c"] for r in got), dtype="<f2").reshape(-1, CONTENT).astype(np.float32)
-    xm = np.frombuffer(b"".join(r["m"] for r in got), dtype="<f4").reshape(-1, META)
-    return CoTrained.fit(xc, xm, np.array([r["y"] for r in got]), (every[0], every[1]))
+    pool = materialise(viewed(rows.join(F.broadcast(picked), "k", "left_anti").select("t", "l", "s")), "views")
+    model = CoTrained.fit(*unpacked([r["c"] for r in got], [r["m"] for r in got]), y, lambda models: exchanged(pool, models), (every[0], every[1]))
+    discard(docs.sparkSession, pool, picked)
+    return model
 
 
 def score(docs: DataFrame, model: CoTrained, text: str = "text", lang: str = "lang", source: str = "source", names: tuple[str, str, str] = ("content_score", "meta_score", "quality_score")) -> DataFrame:
