@@ -8,6 +8,8 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 
+from textquarry.functions.encodings import repair_mojibake
+
 # The patterns that define a fence, a fence line, a bullet, an empty section, a page number and an empty fence.
 FENCED = re.compile(r"```[^\n]*\n.*?```", re.S)
 FENCE_LINE = re.compile(r"^\s*```", re.M)
@@ -24,15 +26,6 @@ QUOTES = {**dict.fromkeys("\u02bc\u2018\u2019\u201a\u201b", "'"), **dict.fromkey
 LIGATURES = dict(zip("ĲĳŉǱǲǳǄǅǆǇǈǉǊǋǌﬀﬁﬂﬃﬄﬅﬆ", "IJ ij ʼn DZ Dz dz DŽ Dž dž LJ Lj lj NJ Nj nj ff fi fl ffi ffl ſt st".split(), strict=True))
 WIDTHS = {chr(c): unicodedata.normalize("NFKC", chr(c)) for c in (0x3000, *range(0xFF01, 0xFFF0)) if unicodedata.normalize("NFKC", chr(c)) != chr(c)}
 _PLAIN = str.maketrans(LIGATURES | WIDTHS | QUOTES)
-_MOJIBAKE = re.compile("[ÂÃâ][\x80-\xff€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]+")
-
-
-def _windows_byte(c: str) -> bytes:
-    """The byte a character was read from under Windows-1252; those it leaves open stand for themselves."""
-    try:
-        return c.encode("cp1252")
-    except UnicodeEncodeError:
-        return c.encode("latin-1")
 
 
 def _windows_char(c: str) -> str:
@@ -42,18 +35,6 @@ def _windows_char(c: str) -> str:
         return c
 
 
-def repair_mojibake(text: str) -> str:
-    """UTF-8 that was read as Windows-1252 is read anew, run by run, where it decodes cleanly."""
-
-    def fix(m):
-        try:
-            return b"".join(map(_windows_byte, m[0])).decode("utf-8")
-        except UnicodeError:
-            return m[0]
-
-    return _MOJIBAKE.sub(fix, text)
-
-
 def plain_characters(text: str) -> str:
     """Mojibake, quotes, ligatures, full and half widths, and Windows characters that stand as control codes. Entities stay, as tables need them."""
     text = repair_mojibake(text).translate(_PLAIN)

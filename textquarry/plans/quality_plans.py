@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from textquarry.functions import text as T
+from textquarry.functions.encodings import repair_mojibake
 from textquarry.functions.repair import column, merge_soft_breaks, normalise
 from textquarry.operators import quality as Q
 from textquarry.operators.chunking import auto_fixed, chunk_documents, process
@@ -12,6 +13,7 @@ from textquarry.operators.quality import Profile
 from textquarry.plans import PlanSet
 from textquarry.plans.base import exact_sql
 from textquarry.sources.html import read_pages
+from textquarry.sources.readers import read_text
 
 plans = PlanSet()
 docs = lambda spark, d: spark.read.parquet(f"{d}/documents.parquet")
@@ -71,6 +73,24 @@ def t20_token_estimate(spark, d):
 _LINKED = "concat('see [', regexp_replace(text, '[\\[\\]]', ' ', 'g'), ' [1] z](http://x/', doc_id, ') end [', text, '](y')"
 
 
+@plans.add("t1_mojibake", "SELECT doc_id, md5(text) AS text FROM documents")
+def t1_mojibake(spark, d):
+    """Texts whose UTF-8 was read as Latin-1, once, twice or not at all, come back as they were."""
+    wrong = lambda c: F.decode(F.encode(c, "UTF-8"), "ISO-8859-1")
+    t = F.col("text")
+    broken = F.when(F.col("doc_id") % 3 == 0, wrong(t)).when(F.col("doc_id") % 3 == 1, wrong(wrong(t))).otherwise(t)
+    return docs(spark, d).select("doc_id", F.md5(column(repair_mojibake)(broken)).alias("text"))
+
+
+@plans.add("s17_encodings", "SELECT doc_id, md5(text) AS text FROM documents")
+def s17_encodings(spark, d):
+    """Texts stored as UTF-8, as UTF-16 with its mark, or in the Western charset where it has their letters, are read as they were."""
+    t = F.col("text")
+    western = F.decode(F.encode(F.regexp_replace(t, "[^\\x00-\\x7F\\xA0-\\xFF]", ""), "ISO-8859-1"), "ISO-8859-1") == t
+    stored = F.when((F.col("doc_id") % 3 == 0) & western, F.encode(t, "ISO-8859-1")).when(F.col("doc_id") % 3 == 1, F.encode(t, "UTF-16")).otherwise(F.encode(t, "UTF-8"))
+    return read_text(docs(spark, d).select("doc_id", stored.alias("content"))).select("doc_id", F.md5("text").alias("text"))
+
+
 @plans.add("t9_strip_links", rf"SELECT doc_id, md5(regexp_replace({_LINKED}, '\[((?:[^\[\]]|\[[^\]]*\])*)\]\([^)]*\)', '\1', 'g')) AS digest FROM documents")
 def t9_strip_links(spark, d):
     """Links around whole texts, and one that never closes."""

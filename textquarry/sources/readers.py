@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from textquarry.functions.encodings import detect
 from textquarry.functions.repair import SLIDE, post_process, sanitise, slide_markers, strip_links
 from textquarry.sources import office
 from textquarry.sources.detect import category, detect_format, page_count
@@ -35,17 +36,8 @@ class Options:
 
 
 def encoding_of(content: bytes) -> str:
-    """By byte order mark, else UTF-8 where the bytes are, else Windows-1252 where they can be, else Latin-1."""
-    for mark, name in ((b"\xef\xbb\xbf", "utf-8-sig"), (b"\xff\xfe", "utf-16"), (b"\xfe\xff", "utf-16")):
-        if content.startswith(mark):
-            return name
-    for name in ("ascii", "utf-8", "cp1252"):
-        try:
-            content.decode(name)
-            return name
-        except UnicodeDecodeError:
-            pass
-    return "latin-1"
+    """By byte order mark, else UTF-8 where the bytes are, else by what the bytes look like."""
+    return detect(content)[0]
 
 
 def decode(content: bytes) -> tuple[str, str]:
@@ -54,6 +46,20 @@ def decode(content: bytes) -> tuple[str, str]:
     return sanitise(content.decode(name, errors="replace").lstrip("﻿")), name
 
 
+def read_text(files: DataFrame, content: str = "content") -> DataFrame:
+    """``files`` with text, encoding and confidence in place of the bytes, and nothing else done to the text; nulls give nulls."""
+    kept = [n for n in files.columns if n != content]
+
+    def run(batches):
+        for b in batches:
+            told = [None if x is None else detect(x) for x in b.column(content).to_pylist()]
+            texts = [None if x is None else x.decode(t[0], errors="replace").removeprefix("\ufeff") for x, t in zip(b.column(content).to_pylist(), told, strict=True)]
+            added = [pa.array(texts, pa.string()), pa.array([t and t[0] for t in told], pa.string()), pa.array([t and t[1] for t in told], pa.float64())]
+            yield pa.RecordBatch.from_arrays([*[b.column(n) for n in kept], *added], names=[*kept, "text", "encoding", "confidence"])
+
+    return files.mapInArrow(run, ", ".join(f"`{n}` {t}" for n, t in files.dtypes if n != content) + ", text string, encoding string, confidence double")
+
+
 def read_txt(content: bytes, name: str, o: Options) -> tuple[str, dict]:
     text, encoding = decode(content)
     return post_process(f"# {name}\n\n{text}"), {"encoding": encoding}
