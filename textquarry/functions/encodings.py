@@ -138,8 +138,6 @@ def detect(content: bytes) -> tuple[str, float]:
 TAKEN_FOR = ("cp1252", "cp1251", "cp1250", "iso8859_2", "koi8_r", "mac_roman", "cp437")
 #: Wrong readings one upon another that are searched.
 DEPTH = 3
-#: Characters of a run that is UTF-8 by no chance, whatever it looks like.
-LONG_RUN = 6
 
 
 @cache
@@ -178,7 +176,7 @@ def _script(c: str) -> str:
 def badness(text: str) -> float:
     """How little a piece of text looks like text: each character beyond ASCII a little, what breaks words much."""
     bad, last = 0.0, ""
-    for c in text:
+    for i, c in enumerate(text):
         if not c.isascii():
             bad += 0.5
             if "\x80" <= c < "\xa0" or "" <= c < "豈" or c == "�":
@@ -196,6 +194,8 @@ def badness(text: str) -> float:
             bad += 1
         if t == "other":
             bad += 2
+        if t == "cjk" and not (s == "cjk" or i + 1 < len(text) and _script(text[i + 1]) == "cjk"):
+            bad += 1.5  # one alone
         last = c
     return bad
 
@@ -228,11 +228,8 @@ def _again(text: str, name: str) -> tuple[str, float]:
     out, at, gain = [], 0, 0.0
     for m in _reading(name)[1].finditer(text):
         before, after = text[max(0, m.start() - 1) : m.start()], text[m.end() : m.end() + 1]
-        around = before + m[0] + after
-        if len(m[0]) < LONG_RUN and badness(around) <= 0.5 * sum(not c.isascii() for c in around):
-            continue  # a few letters with nothing odd about them
         bad, fixed = min(((badness(before + x + after), x) for x in _chains(m[0], name)), key=lambda x: x[0], default=(math.inf, ""))
-        better = badness(around) - bad
+        better = badness(before + m[0] + after) - bad
         if better > 0:
             out += [text[at : m.start()], fixed]
             at, gain = m.end(), gain + better
