@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from bisect import bisect_left
 from collections.abc import Callable
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 from textquarry.operators.lifecycle import apply_changes, back_off_ms, failed_for_good
 from textquarry.sinks.buckets import BucketTable
 from textquarry.sinks.tables import KeyedTable, synchronised, upsert_points, valid_vector
+from textquarry.streaming.schedules import firings
 
 #: Kinds of events that subscribers may ask for.
 EVENT_TYPES = (
@@ -162,23 +164,6 @@ def stream_events(events: DataFrame, path: str, checkpoint: str) -> DataStreamWr
 
 
 def cron_due(schedules: DataFrame, now: str) -> DataFrame:
-    """Schedules (id, cron, enabled) whose five fields (minute, hour, day, month, weekday) match a time. Fields hold ``*``, numbers, ranges,
-    lists and steps. An outside scheduler, or a stream with a rate source, asks once a minute."""
-    t = F.lit(now).cast("timestamp")
-    values = [F.minute(t), F.hour(t), F.dayofmonth(t), F.month(t), F.dayofweek(t) - 1]
-    parts = F.split(F.trim("cron"), r"\s+")
-
-    def matches(field, value):
-        def one(x):
-            step = F.coalesce(F.get(F.split(x, "/"), F.lit(1)).try_cast("int"), F.lit(1))
-            span = F.get(F.split(x, "/"), F.lit(0))
-            low = F.get(F.split(span, "-"), F.lit(0)).try_cast("int")
-            high = F.coalesce(F.get(F.split(span, "-"), F.lit(1)).try_cast("int"), F.when(x.contains("/"), F.lit(59)).otherwise(low))
-            return F.when(span == "*", F.pmod(value, step) == 0).otherwise((value >= low) & (value <= high) & (F.pmod(value - low, step) == 0))
-
-        return F.exists(F.split(field, ","), lambda x: F.coalesce(one(x), F.lit(False)))
-
-    ok = F.size(parts) == 5
-    for i, v in enumerate(values):
-        ok = ok & F.coalesce(matches(F.get(parts, F.lit(i)), v), F.lit(False))
-    return schedules.where(F.col("enabled") & ok)
+    """Schedules (id, cron, enabled) that fire in the minute of ``now``. An outside scheduler, or a stream with a rate source, asks once a minute."""
+    rows = firings(schedules.where("enabled"), datetime.fromisoformat(now))
+    return rows.where("due").drop("due", "next_at", "last_at")
