@@ -155,7 +155,7 @@ def test_cotraining_hands_labels_from_view_to_view():
     n = 1200
     y = rng.integers(0, 2, n)
     clear = (y[:, None] * 2 - 1) * 2 + rng.normal(size=(n, 3))
-    dim = (y[:, None] * 2 - 1) * 0.6 + rng.normal(size=(n, 12))
+    dim = (y[:, None] * 2 - 1) * 0.3 + rng.normal(size=(n, 12))  # dim enough that 48 rows don't show it
     both = cotraining.CoTrained.fit(clear[:60], dim[:60], y[:60], lambda views: cotraining.judged(clear[60:], dim[60:], views))
     alone = cotraining.CoTrained.fit(clear[:60], dim[:60], y[:60], lambda views: cotraining.judged(clear[:0], dim[:0], views))
     right = lambda w: np.mean((cotraining.odds(dim[60:], w) > 0) == y[60:])
@@ -194,7 +194,7 @@ def test_every_unlabelled_row_is_judged(spark, sf):
     for v in views:  # far from even, so some rows are sure
         v.w = v.w * 5
     pool = cotraining.viewed(docs.select(F.col("text").alias("t"), F.col("lang").alias("l"), F.col("source").alias("s")).repartition(7))
-    want, got = cotraining.judged(xc, xm, views), cotraining.exchanged(pool, views)
+    want, got = cotraining.judged(xc, xm, views), cotraining.exchanged(pool, views, 7)
     assert sum(n for n, *_ in want.values()) > 50
     for key, (n, g, h) in want.items():
         assert got[key][0] == n and np.allclose(got[key][1], g, atol=1e-6) and np.allclose(got[key][2], h, atol=1e-6)

@@ -236,8 +236,13 @@ def viewed(rows: DataFrame) -> DataFrame:
     return with_columns(rows, "c binary, m binary", make, drop=("t", "l", "s"))
 
 
-def exchanged(pool: DataFrame, models: tuple[View, View]) -> dict:
-    """``judged`` of all rows of ``pool`` (c, m). Each task sums its own rows, two steps add the tasks' sums up, and two of them reach the driver."""
+#: Rows whose sums one task adds up, and tasks whose sums another one adds up.
+PER_TASK, FAN_IN = 20_000, 32
+
+
+def exchanged(pool: DataFrame, models: tuple[View, View], tasks: int) -> dict:
+    """``judged`` of all rows of ``pool`` (c, m). Each of at most ``tasks`` tasks sums its own rows, steps of FAN_IN add the tasks' sums up, and at most two of them
+    reach the driver. Curvatures are symmetric, so half of each is sent."""
     bare = []
     for v in models:  # the labelled rows stay where they are
         x = View.__new__(View)
@@ -248,7 +253,13 @@ def exchanged(pool: DataFrame, models: tuple[View, View]) -> dict:
 
     def rows(total, at):
         for (view, label), (n, g, h) in total.items():
-            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([view]), pa.array([label]), pa.array([n]), pa.array([g.tobytes()], pa.binary()), pa.array([h.tobytes()], pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([pa.array([at]), pa.array([view]), pa.array([label]), pa.array([n]), pa.array([g.tobytes()], pa.binary()), pa.array([h[np.triu_indices(len(g))].tobytes()], pa.binary())], names=names)
+
+    def part_of(r):
+        g = np.frombuffer(r["g"])
+        h = np.zeros((len(g), len(g)))
+        h[np.triu_indices(len(g))] = np.frombuffer(r["h"])
+        return r["n"], g, np.triu(h) + np.triu(h, 1).T
 
     def add(total, key, part):
         total[key] = part if key not in total else tuple(a + b for a, b in zip(total[key], part, strict=True))
@@ -267,18 +278,17 @@ def exchanged(pool: DataFrame, models: tuple[View, View]) -> dict:
         for b in batches:
             for r in b.to_pylist():
                 at = r["at"]
-                g = np.frombuffer(r["g"])
-                add(total, (r["view"], r["label"]), (r["n"], g, np.frombuffer(r["h"]).reshape(len(g), len(g))))
+                add(total, (r["view"], r["label"]), part_of(r))
         yield from rows(total, at)
 
     kind = "at long, view long, label long, n long, g binary, h binary"
-    parts = pool.select("c", "m").mapInArrow(each, kind)
-    for n in (16, 2):
+    parts, n = pool.select("c", "m").coalesce(tasks).mapInArrow(each, kind), tasks
+    while n > 2:
+        n = -(-n // FAN_IN)
         parts = parts.repartition(n, F.pmod("at", F.lit(n))).mapInArrow(together, kind)
     total = {(i, y): (0, np.zeros(w + 1), np.zeros((w + 1, w + 1))) for i, w in enumerate((CONTENT, META)) for y in (0, 1)}
     for r in sorted(parts.collect(), key=lambda r: r["at"]):
-        g = np.frombuffer(r["g"])
-        add(total, (r["view"], r["label"]), (r["n"], g, np.frombuffer(r["h"]).reshape(len(g), len(g))))
+        add(total, (r["view"], r["label"]), part_of(r))
     return total
 
 
@@ -300,7 +310,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     if (y == 0).sum() < 5 or (y == 1).sum() < 5:
         return CoTrained()
     pool = materialise(viewed(rows.join(F.broadcast(picked), "k", "left_anti").select("t", "l", "s")), "views")
-    model = CoTrained.fit(*unpacked([r["c"] for r in got], [r["m"] for r in got]), y, lambda models: exchanged(pool, models), (every[0], every[1]))
+    tasks = max(1, -(-pool.count() // PER_TASK))
+    model = CoTrained.fit(*unpacked([r["c"] for r in got], [r["m"] for r in got]), y, lambda models: exchanged(pool, models, tasks), (every[0], every[1]))
     discard(docs.sparkSession, pool, picked)
     return model
 
