@@ -1,5 +1,7 @@
 """Chunkers, quality, search, sinks and lifecycle on fixed inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,3 +181,138 @@ def test_terms(spark):
     assert got == pytest.approx(want, rel=1e-6) and set(got) == {0, 1} and search.stored_scores(stored, "the").count() == 0
     dense = stored.withColumns({"dense_vector": F.expr("array(CAST(id AS FLOAT), 1.0F)"), "document_id": F.lit(1), "quality_score": F.lit(0.5), "quality_flags": F.expr("array('x')"), "chunk_type": F.lit("document"), "chunk_index": F.lit(0), "breadcrumbs": F.expr("array('x')"), "token_count": F.lit(1)})
     assert [r.id for r in search.search(dense, "running license", 5, "hybrid", make=lambda: lambda t: [[1.0, 0.0] for _ in t], stored=True).collect()] == [1, 0]
+
+
+# chunkers against a plain reading of their rules, on whole texts with headers, fences and blank lines put in
+
+
+def marked_up(i, text):
+    """A text whose lines become headers, fences, bullets and paragraphs by their number."""
+    out, lines = [], text.split("\n")
+    for j, line in enumerate(lines):
+        h = (i * 31 + j * 7) % 11
+        out += {0: ["", f"{'#' * (1 + (i + j) % 5)} {line[:30]}", ""], 1: [line, "", ""], 2: ["```py", "# " + line[:20], "```"], 3: ["* " + line]}.get(h, [line])
+    return "\n".join(out)
+
+
+def cut_by_hand(text, size, overlap, seps=("\n\n", "\n", ". ", " ", "")):
+    """Pieces by the rules, with sums and slices instead of a running size."""
+    k = next(i for i, s in enumerate(seps) if s == "" or s in text)
+    parts = [c for c in text] if seps[k] == "" else [p for p in re.split(f"(?={re.escape(seps[k])})", text) if p]
+    if seps[k]:  # a separator opens the part after it; overlapping ones are found from the left
+        parts, rest = [], text
+        while (at := rest.find(seps[k], len(seps[k]) if parts or rest.startswith(seps[k]) else 0)) >= 0:
+            parts, rest = [*parts, rest[:at]], rest[at:]
+        parts = [p for p in [*parts, rest] if p]
+    out, now = [], []
+    for p in parts:
+        if len(p) >= size and seps[k + 1 :]:
+            out, now = [*out, "".join(now), *cut_by_hand(p, size, overlap, seps[k + 1 :])], []
+            continue
+        if now and len("".join(now)) + len(p) > size:
+            out.append("".join(now))
+            keep = 1
+            while keep <= len(now) and (len("".join(now[keep:])) > overlap or len("".join(now[keep:])) + len(p) > size):
+                keep += 1
+            now = now[keep:]
+        now.append(p)
+    return [x.strip() for x in [*out, "".join(now)] if x.strip()]
+
+
+def sections_by_hand(text):
+    out, path, block, inside = [], {}, [], None
+
+    def end():
+        body = "\n".join(block).strip()
+        block.clear()
+        if body:
+            names = [path[k] for k in sorted(path)]
+            out[-1:] = [(names, out[-1][1] + "  \n" + body)] if out and out[-1][0] == names else [*out[-1:], (names, body)]
+
+    for raw in text.split("\n"):
+        line = raw.strip()
+        if line[:3] == "```":
+            inside = None if inside else "```"
+        m = None if inside or line[:3] == "```" else re.fullmatch("(#+) (.*)", line)
+        if m and len(m[1]) <= 3:
+            end()
+            path = {k: v for k, v in path.items() if k < len(m[1])} | {len(m[1]): m[2].strip()}
+        elif line or inside:
+            block.append(raw if inside and line[:3] != "```" else line)
+        else:
+            end()
+    end()
+    return out
+
+
+def chunks_by_hand(text):
+    found = []
+    for path, body in sections_by_hand(text):
+        lead = f"> {' > '.join(path)}\n\n" if path else ""
+        found += [(lead + p, path) for p in (cut_by_hand(body, 1500, 200) if len(lead + body) > 1500 else [body])]
+    if len(found) < 2:
+        return found
+    done, acc = [], None
+    for content, path in found:
+        if len(content) >= 500:
+            if acc and len(acc[0]) + 2 + len(content) <= 2000:
+                content, acc = f"{acc[0]}\n\n{content}", None
+            if acc:
+                done = settled(done, acc)
+            done, acc = [*done, (content, path)], None
+            continue
+        bare = re.sub(r"\A>.*\n?([ \t]*\n)*", "", content)
+        if not bare.strip():
+            continue
+        if acc and len(acc[0]) + 2 + len(bare) > 2000:
+            done, acc = settled(done, acc), None
+        acc = (f"{acc[0]}\n\n{bare}", acc[1]) if acc else (bare, path)
+        if len(acc[0]) >= 500:
+            done, acc = [*done, acc], None
+    return settled(done, acc) if acc else done
+
+
+def settled(done, acc):
+    if len(acc[0]) < 500 and done and len(done[-1][0]) + 2 + len(acc[0]) <= 2000:
+        return [*done[:-1], (f"{done[-1][0]}\n\n{acc[0]}", done[-1][1])]
+    return [*done, acc]
+
+
+def test_document_chunks_of_whole_texts(spark):
+    texts = {r.doc_id: marked_up(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    got = {}
+    for r in chunking.chunk_documents(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).orderBy("doc_id", "chunk_index").collect():
+        got.setdefault(r.doc_id, []).append((r.content, r.breadcrumbs))
+    assert sum(map(len, got.values())) > 1.5 * len(texts)
+    for k, t in texts.items():
+        assert got.get(k, []) == chunks_by_hand(t), k
+
+
+def test_auto_fix_of_whole_texts(spark):
+    def fixed(chunks):
+        for _ in range(2):
+            parts = []
+            for c in chunks:
+                if not c.strip():
+                    continue
+                if len(c.strip()) <= 2000:
+                    parts.append(c)
+                    continue
+                pieces = c.split("\n\n") if "\n\n" in c else [x + "." * (not x.endswith(".")) for x in c.split(". ") if x.strip()]
+                held, more = "", []
+                for x in pieces:
+                    if held and len(held) + 2 + len(x) > 2000:
+                        more, held = [*more, held.strip()], x
+                    else:
+                        held = held + "\n\n" + x if held else x
+                parts += [*more, held.strip()] if held.strip() else more or [c]
+            chunks, i = [], 0
+            while i < len(parts):
+                take = 2 if len(parts[i].strip()) < 50 and i + 1 < len(parts) else 1
+                chunks.append("\n\n".join(parts[i : i + take]))
+                i += take
+        return chunks
+
+    rows = [(r.doc_id, [r.text, " ", f"tiny {r.doc_id}", marked_up(r.doc_id, r.text)]) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.k: r.c for r in spark.createDataFrame(rows, "k long, t array<string>").select("k", chunking.auto_fixed(F.col("t")).alias("c")).collect()}
+    assert got == {k: fixed(t) for k, t in rows}

@@ -117,25 +117,45 @@ def c5_tabular_chunks(spark, d):
     return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.get("breadcrumbs", F.lit(0)).alias("breadcrumb"))
 
 
-@plans.add("c1_c2_header_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN concat('> A', chr(10), chr(10), 'one ', doc_id) WHEN 1 THEN concat('> A > B', chr(10), chr(10), 'two', '  ', chr(10), 'three') WHEN 2 THEN concat('> A > B > C', chr(10), chr(10), '#### D', chr(10), 'deep') ELSE concat('> E', chr(10), chr(10), '```', chr(10), '# no header', chr(10), '```') END AS content, CASE i WHEN 0 THEN 'A' WHEN 1 THEN 'A/B' WHEN 2 THEN 'A/B/C' ELSE 'E' END AS path FROM documents, range(4) t(i)")
+# a whole text as a section's body: without what would be a header or a fence in it; and what the header chunker makes of its lines
+_BODY = "translate(text, '#`~', '')"
+_TRIMMED = f"trim(array_to_string(list_transform(string_split({_BODY}, chr(10)), lambda x: trim(x, concat(' ', chr(9), chr(13)))), chr(10)), chr(10))"
+_N = rf"regexp_replace({_TRIMMED}, '\n\n+', concat('  ', chr(10)), 'g')"
+body = lambda: F.translate("text", "#`~", "")
+WHOLE = Profile(chunk_size=1_000_000, auto_fix=False)
+
+
+@plans.add("c1_c2_header_chunks", f"""WITH n AS (SELECT doc_id, {_N} AS n FROM documents), s AS (SELECT doc_id, unnest([
+    {{i: 0, path: concat('Doc ', doc_id), c: n}}, {{i: 1, path: concat('Doc ', doc_id, '/Part'), c: n}}, {{i: 2, path: concat('Doc ', doc_id, '/Part/Deep'), c: concat('#### Deeper', chr(10), n)}}, {{i: 3, path: 'End', c: concat('```', chr(10), '# no header', chr(10), '```')}}]) AS s FROM n)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY s.i) - 1)::INT AS chunk_index, md5(concat('> ', replace(s.path, '/', ' > '), chr(10), chr(10), s.c)) AS digest, s.path FROM s WHERE s.c <> ''""")
 def c1_c2_header_chunks(spark, d):
-    text = F.concat(F.lit("# A\n\none "), "doc_id", F.lit("\n\n## B\ntwo\n\nthree\n\n### C\n#### D\ndeep\n# E\n```\n# no header\n```\n"))
-    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text")), p=Profile(auto_fix=False))
-    return out.select("doc_id", "chunk_index", "content", F.array_join("breadcrumbs", "/").alias("path"))
+    """Each whole text as the body of three headers, one inside the other."""
+    text = F.concat(F.lit("# Doc "), "doc_id", F.lit("\n"), body(), F.lit("\n\n## Part\n\n"), body(), F.lit("\n### Deep\n#### Deeper\n"), body(), F.lit("\n# End\n```\n# no header\n```\n"))
+    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text")), p=WHOLE)
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join("breadcrumbs", "/").alias("path"))
 
 
-@plans.add("c4_slide_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat('# T ', doc_id, chr(10), chr(10), repeat('x', 250))) WHEN 1 THEN md5(repeat('y', 200)) ELSE md5('end') END AS digest, CASE i WHEN 0 THEN '1,2' WHEN 1 THEN '4' ELSE '5' END AS slides, CASE i WHEN 0 THEN concat('T ', doc_id) END AS title FROM documents, range(3) t(i)")
+@plans.add("c4_slide_chunks", rf"""WITH RECURSIVE l AS (SELECT doc_id, unnest(string_split(concat('# T ', doc_id, chr(10), {_BODY}), chr(10))) AS line, generate_subscripts(string_split(concat('# T ', doc_id, chr(10), {_BODY}), chr(10)), 1) AS slide FROM documents),
+    s AS (SELECT doc_id, slide, trim(line) AS line, row_number() OVER (PARTITION BY doc_id ORDER BY slide) AS i FROM l WHERE trim(line) <> ''),
+    g AS (SELECT doc_id, i, 0 AS chunk_index, length(line) AS size FROM s WHERE i = 1 UNION ALL SELECT s.doc_id, s.i, g.chunk_index + (g.size >= 200)::INT, CASE WHEN g.size >= 200 THEN 0 ELSE g.size END + length(s.line) FROM g JOIN s ON s.doc_id = g.doc_id AND s.i = g.i + 1),
+    c AS (SELECT doc_id, chunk_index, string_agg(line, concat(chr(10), chr(10)) ORDER BY slide) AS content, string_agg(slide, ',' ORDER BY slide) AS slides FROM g JOIN s USING (doc_id, i) GROUP BY ALL)
+    SELECT doc_id, chunk_index, md5(content) AS digest, slides, CASE WHEN chunk_index = 0 THEN concat('T ', doc_id) END AS title FROM c""")
 def c4_slide_chunks(spark, d):
-    text = F.concat(F.lit("# T "), "doc_id", F.lit("<!-- slide -->"), F.lit("x" * 250), F.lit("\n<!-- slide -->\n \n<!-- slide -->"), F.lit("y" * 200), F.lit("<!-- slide -->end<!-- slide -->"))
-    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text"), F.lit("presentation").alias("kind")), p=Profile(auto_fix=False), kind="kind")
+    """Each line of a whole text as a slide."""
+    text = F.concat(F.lit("# T "), "doc_id", F.lit("\n"), body())
+    rows = docs(spark, d).select("doc_id", F.array_join(F.split(text, "\n"), "<!-- slide -->").alias("text"), F.lit("presentation").alias("kind"))
+    out = chunk_documents(rows, p=WHOLE, kind="kind")
     return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join(F.col("slide_numbers").cast("array<string>"), ",").alias("slides"), "title")
 
 
-@plans.add("c6_merged_chunks", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat(repeat('a', 300), chr(10), chr(10), repeat('b', 250))) WHEN 1 THEN md5(concat(repeat('c', 100), chr(10), chr(10), '> D', chr(10), chr(10), repeat('d', 600))) ELSE md5(concat('> F', chr(10), chr(10), repeat('f', 1400), chr(10), chr(10), repeat('g', 90))) END AS digest, CASE i WHEN 0 THEN 'A' WHEN 1 THEN 'D' ELSE 'F' END AS path FROM documents, range(3) t(i)")
+@plans.add("c6_merged_chunks", f"""WITH n AS (SELECT doc_id, {_N} AS n, concat('tail ', doc_id) AS m FROM documents),
+    c AS (SELECT doc_id, unnest(CASE WHEN n = '' THEN [{{content: concat('> B', chr(10), chr(10), m), path: 'B'}}] WHEN length(n) + 5 < 500 THEN [{{content: concat(n, chr(10), chr(10), m), path: 'A'}}]
+        WHEN length(n) + 5 + 2 + length(m) <= 2000 THEN [{{content: concat('> A', chr(10), chr(10), n, chr(10), chr(10), m), path: 'A'}}] ELSE [{{content: concat('> A', chr(10), chr(10), n), path: 'A'}}, {{content: m, path: 'B'}}] END) AS x FROM n)
+    SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY x.path) - 1)::INT AS chunk_index, md5(x.content) AS digest, x.path FROM c""")
 def c6_merged_chunks(spark, d):
-    parts = [("A", "a" * 300), ("B", "b" * 250), ("C", "c" * 100), ("D", "d" * 600), ("F", "f" * 1400), ("G", "g" * 90)]
-    text = "".join(f"# {h}\n\n{body}\n\n" for h, body in parts)
-    out = chunk_documents(docs(spark, d).select("doc_id", F.lit(text).alias("text")))
+    """A whole text under one header and a short section after it, which goes to it, takes it in, or stands alone."""
+    text = F.concat(F.lit("# A\n"), body(), F.lit("\n# B\ntail "), "doc_id")
+    out = chunk_documents(docs(spark, d).select("doc_id", text.alias("text")), p=Profile(chunk_size=1_000_000))
     return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join("breadcrumbs", "/").alias("path"))
 
 
@@ -149,14 +169,14 @@ _SCORED = "greatest(0, 1 - 0.15::DOUBLE * ((n < 500)::INT + (n > 2000)::INT + (N
 
 @plans.add(
     "c10_c11_processed_chunks",
-    rf"""WITH c AS (SELECT doc_id, concat('> H ', doc_id, chr(10), chr(10), 'body ', left(md5(text), doc_id % 20 + 1), CASE doc_id % 3 WHEN 0 THEN '.' ELSE '' END) AS content FROM documents), s AS (SELECT *, length(content) AS n, doc_id % 3 = 0 AS done FROM c)
-    SELECT doc_id, 0 AS chunk_index, content, CASE WHEN done THEN 'TOO_SHORT' ELSE 'TOO_SHORT,FRAGMENT' END AS flags, {exact_sql(_SCORED, 2, True)} AS quality_score, true AS has_title, CASE WHEN done THEN 'complete' ELSE 'partial' END AS completeness, least(CAST(floor(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) * 1.3) AS INT), 512) AS token_count, 'document' AS chunk_type FROM s""",
+    rf"""WITH c AS (SELECT doc_id, concat('> H ', doc_id, chr(10), chr(10), 'body ', {_N}, CASE doc_id % 3 WHEN 0 THEN '.' ELSE '' END) AS content FROM documents), s AS (SELECT *, length(content) AS n, right(content, 1) IN ('.', '!', '?', ':', '>') AS done FROM c)
+    SELECT doc_id, 0 AS chunk_index, md5(content) AS digest, array_to_string(list_filter([CASE WHEN n < 500 THEN 'TOO_SHORT' END, CASE WHEN n > 2000 THEN 'TOO_LONG' END, CASE WHEN NOT done THEN 'FRAGMENT' END], lambda x: x IS NOT NULL), ',') AS flags, {exact_sql(_SCORED.replace("1500", "1000000"), 2, True)} AS quality_score, true AS has_title, CASE WHEN done THEN 'complete' ELSE 'partial' END AS completeness, least(CAST(floor(len(list_filter(regexp_split_to_array(content, '\s+'), lambda x: x <> '')) * 1.3) AS INT), 512) AS token_count, 'document' AS chunk_type FROM s""",
 )
 def c10_c11_processed_chunks(spark, d):
-    body = F.substring(F.md5("text"), F.lit(1), (F.col("doc_id") % 20 + 1).cast("int"))
-    text = F.concat(F.lit("# H "), "doc_id", F.lit("\n\nbody "), body, F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""))
-    out = process(docs(spark, d).select("doc_id", text.alias("text")))
-    return out.select("doc_id", "chunk_index", "content", F.array_join("quality_flags", ",").alias("flags"), "quality_score", "has_title", "completeness", "token_count", "chunk_type")
+    """The whole way of each whole text, under one header and as one chunk."""
+    text = F.concat(F.lit("# H "), "doc_id", F.lit("\n\nbody "), F.regexp_replace(body(), r"\s+\z", ""), F.when(F.col("doc_id") % 3 == 0, ".").otherwise(""))
+    out = process(docs(spark, d).select("doc_id", text.alias("text")), p=WHOLE)
+    return out.select("doc_id", "chunk_index", F.md5("content").alias("digest"), F.array_join("quality_flags", ",").alias("flags"), "quality_score", "has_title", "completeness", "token_count", "chunk_type")
 
 
 @plans.add("c7_c9_auto_fix", "SELECT doc_id, i AS chunk_index, CASE i WHEN 0 THEN md5(concat(repeat('a', 1500), chr(10), chr(10), repeat('b', 400))) WHEN 1 THEN md5(repeat('c', 1800)) ELSE md5(concat('tiny ', doc_id, chr(10), chr(10), repeat('d', 100))) END AS digest FROM documents, range(3) t(i)")
