@@ -110,6 +110,12 @@ def table_head(names: list[str]) -> str:
     return f"| {' | '.join(safe)} |\n| {' | '.join('---' for _ in names)} |"
 
 
+def table_head_of(names: Column) -> Column:
+    """The same of an array of names, row by row."""
+    safe = F.transform(names, lambda n: F.translate(F.replace(n, F.lit("|"), F.lit("&#124;")), "\n", " "))
+    return F.concat(F.lit("| "), F.array_join(safe, " | "), F.lit(" |\n| "), F.array_join(F.transform(names, lambda _: F.lit("---")), " | "), F.lit(" |"))
+
+
 def table_row(cells: list[Column]) -> Column:
     safe = [F.replace(F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("|"), F.lit("&#124;")), F.lit("\n"), F.lit("<br>")) for c in cells]
     return F.concat(F.lit("| "), F.concat_ws(" | ", *safe), F.lit(" |"))

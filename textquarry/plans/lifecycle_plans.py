@@ -225,11 +225,14 @@ def m11_delete_profile(spark, d):
     return beside(*counts)
 
 
-@plans.add("m12_default_profile", "SELECT 'Default' AS name, true AS is_default, 1500 AS chunk_size UNION ALL SELECT 'kept', true, NULL", text=("chunk_size",))
+@plans.add("m12_default_profile", sql("p", """, x AS (SELECT id, name, is_default FROM p), y AS (SELECT 'others' AS part, * FROM x WHERE NOT is_default UNION ALL SELECT 'all', * FROM x)
+    SELECT * FROM y UNION ALL SELECT part, 0, 'Default', true FROM (SELECT part FROM y GROUP BY part HAVING NOT bool_or(is_default)) UNION ALL SELECT 'none', 0, 'Default', true"""))
 def m12_default_profile(spark, d):
-    has = L.default_profile(spark, None, "2024-01-01 00:00:00").withColumns({"name": F.lit("kept"), "chunk_size": F.lit(None).cast("int")})
-    none = L.default_profile(spark, has.where("1 = 0"), "2024-01-01 00:00:00")
-    return none.unionByName(L.default_profile(spark, has, "2024-01-01 00:00:00")).select("name", "is_default", "chunk_size")
+    """All profiles, those that aren't default, and none of them, with a default one where there is none."""
+    p, now = B.profiles(spark, d).select("id", "name", "is_default"), "2024-01-01 00:00:00"
+    parts = {"all": p, "others": p.where("NOT is_default"), "none": p.where("1 = 0")}
+    made = [L.default_profile(spark, x, now).select(F.lit(n).alias("part"), "id", "name", "is_default") for n, x in parts.items()]
+    return made[0].unionByName(made[1]).unionByName(made[2])
 
 
 @plans.add("m13_m17_folders", sql("d", "SELECT id, CASE WHEN drive_folder_id = 2 THEN 'STANDALONE' WHEN drive_folder_id IS NOT NULL THEN 'LINKED' ELSE connection_state END AS connection_state, CASE WHEN drive_folder_id = 2 THEN NULL ELSE drive_folder_id END AS drive_folder_id FROM d"), text=("drive_folder_id",))

@@ -10,6 +10,7 @@ from textquarry.functions.repair import column, merge_soft_breaks, normalise
 from textquarry.operators import quality as Q
 from textquarry.operators.chunking import auto_fixed, chunk_documents, process
 from textquarry.operators.quality import Profile
+from textquarry.operators.table_functions import register
 from textquarry.plans import PlanSet
 from textquarry.plans.base import exact_sql
 from textquarry.sources.html import read_pages
@@ -239,6 +240,17 @@ def t18_t19_t21_small_rules(spark, d):
     return docs(spark, d).select("doc_id", F.md5(T.strip_breadcrumb(x)).alias("stripped"), T.first_title(title).alias("title"), F.array_join(T.parse_list(F.lit(" en, ,vi,")), ",").alias("langs"))
 
 
-@plans.add("t12_table_head", "SELECT '| a&#124;b | c d |' || chr(10) || '| --- | --- |' AS head")
+@plans.add("c4_lateral_chunks", f"WITH x AS (SELECT doc_id, {_N} AS n FROM documents) SELECT doc_id, 0 AS chunk_index, md5(concat('> L ', doc_id, chr(10), chr(10), n)) AS digest, 'document' AS chunk_type FROM x WHERE n <> ''")
+def c4_lateral_chunks(spark, d):
+    """Whole texts by the table function, from SQL."""
+    register(spark)
+    rows = docs(spark, d).select("doc_id", F.concat(F.lit("# L "), "doc_id", F.lit("\n"), body()).alias("text"))
+    return spark.sql("SELECT d.doc_id, c.chunk_index, md5(c.content) AS digest, c.chunk_type FROM {rows} d, LATERAL chunks(d.text, 'document', chunk_size => 1000000, auto_fix => false) c", rows=rows)
+
+
+@plans.add("t12_table_head", "SELECT n_nationkey, concat('| ', n_name, '&#124;', n_nationkey, ' | ', n_regionkey, ' c |', chr(10), '| --- | --- |') AS head FROM nation")
 def t12_table_head(spark, d):
-    return spark.createDataFrame([(T.table_head(["a|b", "c\nd"]),)], "head string")
+    """A head of each nation's two columns, with a bar and a line end in their names."""
+    rows = spark.read.parquet(f"{d}/nation.parquet")
+    names = F.array(F.concat("n_name", F.lit("|"), "n_nationkey"), F.concat("n_regionkey", F.lit("\nc")))
+    return rows.select("n_nationkey", T.table_head_of(names).alias("head"))
