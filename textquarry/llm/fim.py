@@ -70,9 +70,11 @@ def rope(text: str) -> Rope:
     for i, end in enumerate(ends):
         begin = ends[i - 1] if i else 0
         level.append(Leaf(text[begin:end], min(LEAF, len(starts) - i * LEAF)))
-    while len(level) > 1:
-        level = [Node(*level[i : i + 2]) if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
-    return level[0]
+
+    def over(a: int, b: int) -> Rope:
+        return level[a] if b - a == 1 else Node(over(a, (a + b) // 2), over((a + b) // 2, b))
+
+    return over(0, len(level))
 
 
 def join(a: Rope, b: Rope) -> Rope:
