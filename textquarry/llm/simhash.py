@@ -80,7 +80,8 @@ def free_points(radius: int, mask: int) -> list[int]:
 
 def forest(found: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     """(a, b): each of the distinct fingerprints of a bucket, and the first one that it is connected to there, where that is another."""
-    close = np.bitwise_count(found[:, None] ^ found[None, :]) <= radius
+    bits = found.view(np.uint64)  # of a negative number the count would be that of its absolute value
+    close = np.bitwise_count(bits[:, None] ^ bits[None, :]) <= radius
     label = np.arange(len(found))
     while True:
         least = np.where(close, label[None, :], len(found)).min(axis=1)
