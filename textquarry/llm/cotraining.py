@@ -20,10 +20,11 @@ from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textquarry.llm.common import discard, fresh, held_out, materialise, table, trainable, with_columns
+from textquarry.llm.common import fresh, held_out, table, trainable, with_columns
 
 #: Hashed 3-grams and four numbers of words, each also as one of STEPS steps; hashed sources and languages beside the page's numbers.
 GRAMS, STEPS, SOURCES, LANGS = 512, 8, 32, 8
@@ -294,13 +295,14 @@ def exchanged(pool: DataFrame, models: tuple[View, View], tasks: int) -> dict:
 
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", source: str = "source") -> CoTrained:
     """From at most LABELLED rows of each class, those of least key hash, one row a key, and from all other rows as unlabelled ones, each as often as it
-    occurs: their views are written once, and each round is one pass over these."""
+    occurs: their views are made once, and each round is one pass over these."""
     known = labels.where(F.col("quality").isin(0, 1) & trainable(key)).groupBy(F.col(key).alias("k")).agg(F.max(F.col("quality").cast("int")).alias("y")).where("k IS NOT NULL")
     every = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(every) < 2:
         return CoTrained()
     near = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("k"), "k").limit(LABELLED)
-    picked = materialise(near(0).unionByName(near(1)), "labelled")
+    kind = known.schema
+    picked = docs.sparkSession.createDataFrame(near(0).unionByName(near(1)).collect(), kind)  # 5,000 keys at most
     column = lambda n: F.col(n) if n in docs.columns else F.lit(None).cast("string")
     rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t"), column(lang).alias("l"), column(source).alias("s"))
     seen = viewed(rows.join(F.broadcast(picked), "k").select(F.xxhash64("k").alias("h"), "y", "t", "l", "s"))
@@ -309,10 +311,11 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y = np.array([r["y"] for r in got])
     if (y == 0).sum() < 5 or (y == 1).sum() < 5:
         return CoTrained()
-    pool = materialise(viewed(rows.join(F.broadcast(picked), "k", "left_anti").select("t", "l", "s")), "views")
+    # on the executors' disks for the rounds; what a lost one held is worked out anew from the texts
+    pool = viewed(rows.join(F.broadcast(picked), "k", "left_anti").select("t", "l", "s")).persist(StorageLevel.DISK_ONLY)
     tasks = max(1, -(-pool.count() // PER_TASK))
     model = CoTrained.fit(*unpacked([r["c"] for r in got], [r["m"] for r in got]), y, lambda models: exchanged(pool, models, tasks), (every[0], every[1]))
-    discard(docs.sparkSession, pool, picked)
+    pool.unpersist()
     return model
 
 
