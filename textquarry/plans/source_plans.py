@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from textquarry.functions.text import strip
 from textquarry.plans import PlanSet
 from textquarry.plans.base import table
+from textquarry.sinks.scratch import scratch
 from textquarry.sources import detect as T
+from textquarry.sources import large_csv
 from textquarry.sources.readers import read_files
 
 plans = PlanSet()
@@ -243,3 +245,13 @@ def s13_t8_pdf_reader(spark, d):
     files = _files(rows, "pdf", F.lit("x.pdf"))
     out = read_files(files, key="doc_id", parsers={"pdf": lambda c: (c.decode().split("\x01", 1)[1], {"page_count": 3})})
     return out.select("doc_id", F.col("error").isNull().alias("ok"), "error", strip(F.col("markdown")).alias("markdown"), "pages")
+
+
+@plans.add("s9_large_csv", "SELECT doc_id, md5(text) AS digest FROM documents")
+def s9_large_csv(spark, d):
+    """The documents written as CSV with line breaks inside quotes, and read again by splits."""
+    at = scratch(spark, "csv")
+    docs = spark.read.parquet(f"{d}/documents.parquet").select("doc_id", "text")
+    docs.write.option("quoteAll", "true").option("escape", '"').option("emptyValue", "").csv(at)
+    cells = large_csv.records(spark, at)
+    return cells.select(F.get("cells", F.lit(0)).cast("long").alias("doc_id"), F.md5(F.get("cells", F.lit(1))).alias("digest"))
