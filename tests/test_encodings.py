@@ -41,6 +41,13 @@ def test_charsets_are_told(lang, charset):
     assert readers.decode(text.encode(charset))[0] == repair.sanitise(text)
 
 
+@pytest.mark.parametrize("text", ["Et anè enpa. " * 33, "LE Êeux. " * 9, "é è ü ö ä ß ç É Ä ".replace(" ", "n te ") + "é é é è ü ö ä ç é é", "éan èan éo óa íen êle ça ñar é ó éd ó é ó é ó è è í"])
+def test_western_texts_of_one_letter_or_several_languages(text):
+    """A letter that comes again and again, or letters of several languages, are no Central European text."""
+    for t in (text, text * 30):
+        assert t.encode("cp1252").decode(E.detect(t.encode("cp1252"))[0]) == t
+
+
 def test_odd_bytes():
     for b in (b"", b"abc", b"\x81", b"\x81\x8d", bytes(range(256)), b"\xff" * 1000, b"\x80" * 7, b"a\x00\xe9", bytes(range(128, 256)) * 50):
         name, sure = E.detect(b)
