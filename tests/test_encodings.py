@@ -74,3 +74,19 @@ def test_clean_texts_stay(text):
 def test_long_texts_are_repaired_in_time():
     text = wrongly(TEXTS["pl"] * 3000, "cp1250") + TEXTS["ru"] * 3000
     assert E.repair_mojibake(text) == TEXTS["pl"] * 3000 + TEXTS["ru"] * 3000
+
+
+@pytest.mark.parametrize("word", ["Ííí", "Ííñ", "ßüä", "ßüü", "сёла", "тёплый", "берёза", "пёс"])
+def test_words_that_are_utf8_in_another_charset_stay(word):
+    """Found in the documents: each is valid UTF-8 in Mac Roman, code page 437 or KOI8-R."""
+    text = f"{word} los que. {TEXTS['es']} der {word} {TEXTS['de']}"
+    for t in (word, text):
+        assert E.repair_mojibake(t) == t
+        once = wrongly(t, "latin-1")
+        assert E.repair_mojibake(once) == t and E.repair_mojibake(wrongly(once, "latin-1")) == t
+
+
+def test_words_go_along_with_the_others_of_their_charset():
+    text = "Мы и они в лесу у реки, а потом к дому."  # one letter alone gives two letters: "Рё", "РІ"
+    once = wrongly(text, "cp1251")
+    assert E.repair_mojibake(once) == text and E.repair_mojibake(wrongly(once, "cp1252")) == text
