@@ -3,6 +3,7 @@
 import csv
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -50,3 +51,21 @@ def test_odd_files(spark, tmp_path, tiny_splits):
     # several files at once stay apart
     got = large_csv.records(spark, f"file://{tmp_path}").groupBy("path").agg(F.count(F.lit(1)).alias("n")).collect()
     assert sorted(r.n for r in got) == sorted(n for i in range(7) if (n := len(whole(tmp_path / f"{i}.csv"))))
+
+
+def test_a_task_holds_few_records_at_once(spark, tmp_path):
+    rows = [[str(i), "word " * 600] for i in range(9000)]
+    batch = pa.RecordBatch.from_pydict({"path": ["p"] * 9000, "split": [0] * 9000, "place": list(range(9000)), "text": [",".join(r) for r in rows]})
+    made = list(large_csv.parsed(iter([batch])))
+    assert [c for b in made for c in b.column("cells").to_pylist()] == rows and max(b.nbytes for b in made) < 4 << 20
+    path = tmp_path / "x.csv"
+    path.write_text("1,2\n")
+    conf = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    spark.conf.set(conf, "10000")
+    assert read(spark, path) == [["1", "2"]] and int(spark.conf.get(conf)) <= 2000
+
+
+def test_cells_of_any_length(spark, tmp_path):
+    path = tmp_path / "x.csv"
+    path.write_text('1,"' + "a\n" * 100_000 + '"\n2,b\n')
+    assert read(spark, path) == [["1", "a\n" * 100_000], ["2", "b"]]

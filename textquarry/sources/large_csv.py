@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.functions.batches import limit, parts
+
 ROW = "path string, split long, line long, cells array<string>"
 
 
@@ -45,7 +47,7 @@ def pieces(rows: DataFrame, known: DataFrame, quote: str = '"') -> DataFrame:
 
     def run(batches):
         at, held, inside, place, first = None, [], False, 0, False
-        for b in batches:
+        for b in parts(batches):
             out: list[tuple] = []
             for path, split, begins, line in zip(*(b.column(c).to_pylist() for c in ("path", "split", "inside", "line")), strict=True):
                 if (path, split) != at:
@@ -70,24 +72,28 @@ def pieces(rows: DataFrame, known: DataFrame, quote: str = '"') -> DataFrame:
     return marked.mapInArrow(run, PIECE)
 
 
+def parsed(batches, delimiter: str = ",", quote: str = '"') -> Iterator[pa.RecordBatch]:
+    """(path, split, line, cells) of (path, split, place, text) of records, blank ones left out."""
+    csv.field_size_limit(1 << 31)  # a cell may be as long as its record; the library's own limit is 131,072
+    for b in parts(batches):
+        cells = [next(csv.reader(io.StringIO(t.removesuffix("\r"), newline=""), delimiter=delimiter, quotechar=quote), []) for t in b.column("text").to_pylist()]
+        keep = pa.array([bool(c) for c in cells])
+        made = pa.RecordBatch.from_arrays([b.column("path"), b.column("split"), b.column("place"), pa.array(cells, pa.list_(pa.string()))], names=["path", "split", "line", "cells"])
+        yield made.filter(keep)
+
+
 def records(spark: SparkSession, path: str, delimiter: str = ",", quote: str = '"') -> DataFrame:
     """(path, split, line, cells) of each record of CSV files, blank ones left out; (split, line) orders a file's. A mark that is never closed takes in the
     rest of its file."""
+    limit(spark)
     rows = lines(spark, path)
     found = pieces(rows, parities(rows, quote), quote)
     whole = found.where("whole").select("path", "split", "place", "text")
     # a record over several splits begins with the last piece that nothing before leads into: after each piece that ends, a new one
-    parts = found.where("NOT whole")
+    edges = found.where("NOT whole")
     order = Window.partitionBy("path").orderBy("split", "place")
     ended = F.coalesce(F.sum(F.col("ends").cast("int")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    joined = parts.withColumn("n", ended).groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("split", "place", "text"))).alias("x"))
+    joined = edges.withColumn("n", ended).groupBy("path", "n").agg(F.sort_array(F.collect_list(F.struct("split", "place", "text"))).alias("x"))
     joined = joined.select("path", F.col("x")[0]["split"].alias("split"), F.col("x")[0]["place"].alias("place"), F.array_join(F.transform("x", lambda p: p["text"]), "\n").alias("text"))
 
-    def parse(batches) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            cells = [next(csv.reader(io.StringIO(t.removesuffix("\r"), newline=""), delimiter=delimiter, quotechar=quote), []) for t in b.column("text").to_pylist()]
-            keep = pa.array([bool(c) for c in cells])
-            made = pa.RecordBatch.from_arrays([b.column("path"), b.column("split"), b.column("place"), pa.array(cells, pa.list_(pa.string()))], names=["path", "split", "line", "cells"])
-            yield made.filter(keep)
-
-    return whole.unionByName(joined).mapInArrow(parse, ROW)
+    return whole.unionByName(joined).mapInArrow(lambda batches: parsed(batches, delimiter, quote), ROW)
