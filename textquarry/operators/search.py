@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from textquarry.functions.batches import limit, parts
 from textquarry.functions.terms import AVERAGE, B, K, bm25_embedding
 
 SIZE = 384
@@ -68,21 +69,22 @@ def weight(tf: Column, n: Column) -> Column:
     return tf * (K + 1) / (tf + K * (1 - B + B * n / AVERAGE))
 
 
-def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, weights: map from term to weight) of every text, row by row."""
+def _weights(batches):
+    for b in parts(batches):
+        out = []
+        for found in b.column("w").to_pylist():
+            counts: dict[str, int] = {}
+            for x in found:
+                counts[x] = counts.get(x, 0) + 1
+            out.append([(t, c * (K + 1) / (c + K * (1 - B + B * len(found) / AVERAGE))) for t, c in sorted(counts.items())])
+        yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.map_(pa.string(), pa.float64()))], names=["k", "weights"])
 
-    def run(batches):
-        for b in batches:
-            out = []
-            for found in b.column("w").to_pylist():
-                counts: dict[str, int] = {}
-                for x in found:
-                    counts[x] = counts.get(x, 0) + 1
-                out.append([(t, c * (K + 1) / (c + K * (1 - B + B * len(found) / AVERAGE))) for t, c in sorted(counts.items())])
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(out, pa.map_(pa.string(), pa.float64()))], names=["k", "weights"])
 
+def sparse_vectors(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """(key, weights: map from term to weight) of every text, row by row."""
+    limit(docs.sparkSession)
     rows = docs.select(F.col(key).alias("k"), words(F.col(text)).alias("w"))
-    return rows.mapInArrow(run, f"k {dict(docs.dtypes)[key]}, weights map<string,double>").withColumnRenamed("k", key)
+    return rows.mapInArrow(_weights, f"k {dict(docs.dtypes)[key]}, weights map<string,double>").withColumnRenamed("k", key)
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -157,10 +159,11 @@ def embed(df: DataFrame, text: str = "content", name: str = "dense", make: Calla
 
 def embed_sparse(df: DataFrame, text: str = "content", indices: str = "sparse_indices", values: str = "sparse_values") -> DataFrame:
     """``df`` with each text's BM25 terms as parallel arrays of term ids (ascending) and weights; empty ones for null texts."""
+    limit(df.sparkSession)
     names = [*df.columns, indices, values]
 
     def run(batches):
-        for b in batches:
+        for b in parts(batches):
             made = [sorted(bm25_embedding(t).items()) for t in b.column(text).to_pylist()]
             arrays = [pa.array([[x[i] for x in m] for m in made], pa.list_(t)) for i, t in ((0, pa.int64()), (1, pa.float32()))]
             yield pa.RecordBatch.from_arrays([*b.columns, *arrays], names=names)
