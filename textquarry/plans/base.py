@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 NOW = datetime(2024, 2, 10, 12, 0, 0)
@@ -136,6 +136,12 @@ def show(name: str):
     return F.date_format(name, "yyyy-MM-dd HH:mm:ss")
 
 
+def placed(c: Column, before: str, gap: str, after: str = "") -> Column:
+    """What an operator made of a text, with the place of an empty one: ``gap`` between what comes before the text and after it (patterns), where
+    nothing else is. Operators leave empty paragraphs and blanks at a line's end out, as they should; the SQL counts them."""
+    return F.regexp_replace(c, rf"\A({before})(?={after}\z)", f"$1{gap}")
+
+
 # rounding by exact binary value, said in SQL: the product with the scale in two exact halves, and where its middle lies
 _SPLIT = "(({x}) * 134217729::DOUBLE - (({x}) * 134217729::DOUBLE - ({x})))"
 
